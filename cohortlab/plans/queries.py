@@ -94,3 +94,97 @@ def q_km_mortality(spark, d):
 @register("km_hospital")
 def q_km_hospital(spark, d):
     return rounded(S.survival_by_cluster(spark, d, "hospital"), "survival", "cumulative")
+
+
+# -- splits and sequences ------------------------------------------------------------
+
+from cohortlab.operators import sequences as SQ  # noqa: E402
+from cohortlab.operators import splits as SP  # noqa: E402
+
+
+def seq_text(df: DataFrame, prefix: str = "") -> DataFrame:
+    """Arrays rendered as text so results compare as scalars."""
+    return (df.withColumn(f"{prefix}n_tokens", F.size(f"{prefix}code").cast("int"))
+              .withColumn(f"{prefix}code_text", F.array_join(f"{prefix}code", " "))
+              .withColumn(f"{prefix}year_text", F.array_join(F.col(f"{prefix}year").cast("array<string>"), ","))
+              .withColumn(f"{prefix}age_text", F.array_join(F.col(f"{prefix}age").cast("array<string>"), ","))
+              .drop(f"{prefix}code", f"{prefix}year", f"{prefix}age"))
+
+
+@register("build_sequences")
+def q_build_sequences(spark, d):
+    return seq_text(S.sequences(spark, d, "before"))
+
+
+@register("build_sequences_after")
+def q_build_sequences_after(spark, d):
+    return seq_text(S.sequences(spark, d, "after"))
+
+
+@register("sequence_long")
+def q_sequence_long(spark, d):
+    return SQ.sequence_long(S.sequences(spark, d, "before"))
+
+
+@register("contrastive_views")
+def q_contrastive_views(spark, d):
+    v = SQ.non_empty(SQ.contrastive_views(S.sequences(spark, d, "before"), n_epochs=2, seed=0), "post_")
+    v = seq_text(seq_text(v, "pre_"), "post_")
+    return v
+
+
+@register("practice_split")
+def q_practice_split(spark, d):
+    return SP.split_groups(R.patients(spark, d), "pracid", 0.8, "split")
+
+
+@register("split_by_group")
+def q_split_by_group(spark, d):
+    seq = S.sequences_with_practice(spark, d).select("patid", "pracid")
+    internal, external = SP.split_by_group(seq, "pracid", 0.8, "split")
+    return (internal.withColumn("side", F.lit("internal"))
+            .unionByName(external.withColumn("side", F.lit("external"))))
+
+
+@register("kfold")
+def q_kfold(spark, d):
+    return SP.kfold(R.patients(spark, d).select("patid"), "patid", 5, "fold")
+
+
+@register("sample_n")
+def q_sample_n(spark, d):
+    return SP.sample_n(R.patients(spark, d).select("patid"), 100, "patid", "sample")
+
+
+@register("bootstrap_draws")
+def q_bootstrap_draws(spark, d):
+    v = R.vectors(spark, d).select("id")
+    n = v.count()
+    idx = SP.dense_index(v, "id", "idx")
+    return SP.bootstrap_draws(idx, n, reps=3, frac=0.8, salt="boot").select("rep", "draw", "idx", "id")
+
+
+@register("vocabulary")
+def q_vocabulary(spark, d):
+    return SQ.vocabulary(SQ.sequence_tokens(S.sequences(spark, d, "before")))
+
+
+def _split_vocab(spark, d):
+    seq = S.sequences_with_practice(spark, d)
+    internal, external = SP.split_by_group(seq, "pracid", 0.8, "split")
+    vocab = SQ.vocabulary(SQ.sequence_tokens(internal))
+    return internal, external, vocab
+
+
+@register("keep_vocabulary")
+def q_keep_vocabulary(spark, d):
+    _, external, vocab = _split_vocab(spark, d)
+    return SQ.keep_vocabulary(external, vocab)
+
+
+@register("vocab_encode")
+def q_vocab_encode(spark, d):
+    _, external, vocab = _split_vocab(spark, d)
+    enc = SQ.vocab_encode(external, vocab, max_len=32)
+    return enc.select("patid", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids_text"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))

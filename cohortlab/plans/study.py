@@ -63,3 +63,21 @@ def survival_by_cluster(spark, sf_dir, kind: str = "mortality") -> DataFrame:
     if kind == "mortality":
         return O.kaplan_meier(lo, "time", "event", "label")
     return O.kaplan_meier(lo, "time_hos", "event_hos", "label")
+
+
+# -- sequences -------------------------------------------------------------------
+
+def sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
+    """M5 over the study cohort; 'after'/'all' include the follow-up end event."""
+    from cohortlab.operators import sequences as SQ
+    coh = cohort(spark, sf_dir)
+    ev = R.sequence_events(spark, sf_dir)
+    if stage != "before":
+        ev = ev.unionByName(SQ.followup_end_events(coh))
+    return SQ.build_sequences(ev, coh, stage=stage)
+
+
+def sequences_with_practice(spark, sf_dir, stage: str = "before") -> DataFrame:
+    """Cohort (patid, pracid, label) joined to its sequences."""
+    coh = cohort(spark, sf_dir).select("patid", "pracid")
+    return coh.join(sequences(spark, sf_dir, stage), "patid", "inner")

@@ -122,3 +122,123 @@ from km""", upto, extra)
 
 ORACLE["km_mortality"] = km_sql("time", "event")
 ORACLE["km_hospital"] = km_sql("time_hos", "event_hos")
+
+
+# -- sequences and splits --------------------------------------------------------
+from oracle.roles import H  # noqa: E402
+
+AGE_M = ("((year({e}) - year({d})) * 12 + (month({e}) - month({d}))"
+         " - case when day({e}) < day({d}) then 1 else 0 end)")
+
+
+def seq_ctes(stage: str) -> list[tuple[str, str]]:
+    s = stage
+    if stage == "before":
+        src, cond = "sequence_events", "e.eventdate < c.index_date"
+    else:
+        src = "(select patid, eventdate, code from sequence_events union all select patid, enddate, 'lost' from cohort)"
+        cond = "e.eventdate >= c.index_date" if stage == "after" else "true"
+    return [
+        (f"ev_{s}", f"""select e.patid, e.eventdate, e.code, {AGE_M.format(e='e.eventdate', d='c.dob')} as age
+            from {src} e join cohort c using (patid) where e.code is not null and {cond}"""),
+        (f"first_{s}", f"""select patid, code, min(eventdate) as eventdate from ev_{s}
+            group by patid, code, floor(age / 6.0)"""),
+        (f"vis_{s}", f"""select f.patid, f.eventdate, {AGE_M.format(e='f.eventdate', d='c.dob')} as age,
+            year(f.eventdate) as yr, list_sort(list(f.code)) as codes
+            from first_{s} f join cohort c using (patid) group by f.patid, f.eventdate, c.dob"""),
+        (f"tok_{s}", f"""select patid, eventdate, age, yr, unnest(list_concat(codes, ['SEP'])) as code,
+            unnest(range(1, len(codes) + 2)) as vpos from vis_{s}"""),
+        (f"seqpos_{s}", f"""select patid, cast(row_number() over (partition by patid order by eventdate, vpos) as integer) as pos,
+            code, cast(yr as integer) as year, cast(age as integer) as age from tok_{s}"""),
+    ]
+
+
+def seq_text_sql(src: str, prefix: str = "", where: str = "true") -> str:
+    p = prefix
+    return f"""select patid, cast(count(*) as integer) as {p}n_tokens,
+      string_agg(code, ' ' order by pos) as {p}code_text,
+      string_agg(cast(year as varchar), ',' order by pos) as {p}year_text,
+      string_agg(cast(age as varchar), ',' order by pos) as {p}age_text
+      from {src} where {where} group by patid"""
+
+
+SEQ_ROLES = COHORT_ROLES + ["sequence_events"]
+
+
+def seq_sql(body: str, stages=("before",), extra=None) -> str:
+    names = [n for n, _ in COHORT_CTES]
+    ctes = COHORT_CTES[: names.index("cohort") + 1]
+    for st in stages:
+        ctes = ctes + seq_ctes(st)
+    return with_roles(SEQ_ROLES, body, ctes + (extra or []))
+
+
+ORACLE["build_sequences"] = seq_sql(seq_text_sql("seqpos_before"))
+ORACLE["build_sequences_after"] = seq_sql(seq_text_sql("seqpos_after"), ("after",))
+ORACLE["sequence_long"] = seq_sql("select patid, pos, code, year, age from seqpos_before")
+
+_VIEW_EXTRA = [
+    ("ep", "select * from (values (0), (1)) t(epoch)"),
+    ("seps", """select patid, pos, row_number() over (partition by patid order by pos) as k,
+        count(*) over (partition by patid) as nsep from seqpos_before where code = 'SEP'"""),
+    ("ntok", "select patid, count(*) as n from seqpos_before group by patid"),
+    ("cuts", f"""select t.patid, ep.epoch,
+        coalesce((select s.pos from seps s where s.patid = t.patid and s.nsep > 1
+                  and s.k = {H("cast(t.patid as varchar) || ':' || cast(ep.epoch as varchar)", "'view0'")}
+                            % greatest((select max(nsep) - 1 from seps s2 where s2.patid = t.patid), 1) + 1), t.n) as cut
+        from ntok t cross join ep"""),
+    ("vw", """select c.patid, c.epoch, p.pos, p.code, p.year, p.age, p.pos <= c.cut as is_pre
+        from cuts c join seqpos_before p using (patid)"""),
+    ("pre", """select patid, epoch, cast(count(*) filter (where is_pre) as integer) as pre_n_tokens,
+        string_agg(code, ' ' order by pos) filter (where is_pre) as pre_code_text,
+        string_agg(cast(year as varchar), ',' order by pos) filter (where is_pre) as pre_year_text,
+        string_agg(cast(age as varchar), ',' order by pos) filter (where is_pre) as pre_age_text,
+        cast(count(*) filter (where not is_pre) as integer) as post_n_tokens,
+        string_agg(code, ' ' order by pos) filter (where not is_pre) as post_code_text,
+        string_agg(cast(year as varchar), ',' order by pos) filter (where not is_pre) as post_year_text,
+        string_agg(cast(age as varchar), ',' order by pos) filter (where not is_pre) as post_age_text
+        from vw group by patid, epoch"""),
+]
+ORACLE["contrastive_views"] = seq_sql(
+    "select * from pre where post_n_tokens > 0", extra=_VIEW_EXTRA)
+
+SIDE = f"case when {H('pracid', chr(39) + 'split' + chr(39))} / 4294967296.0 < 0.8 then 'internal' else 'external' end"
+ORACLE["practice_split"] = with_roles(["patients"], f"select distinct pracid, {SIDE} as side from patients")
+ORACLE["split_by_group"] = seq_sql(
+    f"""select c.patid, c.pracid, {SIDE.replace('pracid', 'c.pracid')} as side
+        from cohort c where c.patid in (select patid from seqpos_before)""")
+ORACLE["kfold"] = with_roles(["patients"], f"select patid, cast({H('patid', chr(39) + 'fold' + chr(39))} % 5 as integer) as fold from patients")
+ORACLE["sample_n"] = with_roles(["patients"], f"select patid from patients order by {H('patid', chr(39) + 'sample' + chr(39))}, patid limit 100")
+ORACLE["bootstrap_draws"] = with_roles(["vectors"], f"""
+select dr.rep, dr.draw, ix.idx, ix.id from dr join ix
+  on ix.idx = {H("cast(dr.rep as varchar) || ':' || cast(dr.draw as varchar)", "'boot'")} % dr.n""", [
+    ("ix", "select id, row_number() over (order by id) - 1 as idx from vectors"),
+    ("nn", "select count(*) as n, greatest(2, cast(floor(0.8 * count(*)) as bigint)) as m from vectors"),
+    ("dr", "select g.i // nn.m as rep, g.i % nn.m as draw, nn.n from nn, generate_series(0, 3 * (select m from nn) - 1) g(i)"),
+])
+
+SPECIALS_SQL = "select * from (values ('PAD', 0), ('UNK', 1), ('SEP', 2), ('CLS', 3), ('MASK', 4)) t(token, idx)"
+ORACLE["vocabulary"] = seq_sql(f"""
+select token, cast(idx as bigint) as idx from ({SPECIALS_SQL})
+union all
+select token, 4 + row_number() over (order by token) from (
+  select distinct code as token from seqpos_before where code not in ('PAD','UNK','SEP','CLS','MASK'))""")
+
+_SPLIT_EXTRA = [
+    ("seqside", f"""select p.*, {SIDE.replace('pracid', 'c.pracid')} as side
+        from seqpos_before p join cohort c using (patid)"""),
+    ("vocab", f"""select token, cast(idx as bigint) as idx from ({SPECIALS_SQL})
+        union all
+        select token, 4 + row_number() over (order by token) from (
+          select distinct code as token from seqside where side = 'internal'
+          and code not in ('PAD','UNK','SEP','CLS','MASK'))"""),
+]
+ORACLE["keep_vocabulary"] = seq_sql("""
+select patid, pos, code from seqside where side = 'external' and code <> 'SEP'
+  and code in (select token from vocab where idx >= 5)""", extra=_SPLIT_EXTRA)
+ORACLE["vocab_encode"] = seq_sql("""
+select patid, '3,' || string_agg(cast(coalesce(v.idx, 1) as varchar), ',' order by pos)
+        || repeat(',0', cast(32 - 1 - count(*) as integer)) as ids_text,
+  cast(count(*) + 1 as integer) as n_real
+from seqside s left join vocab v on v.token = s.code
+where side = 'external' and pos <= 31 group by patid""", extra=_SPLIT_EXTRA)
