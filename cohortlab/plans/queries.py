@@ -188,3 +188,85 @@ def q_vocab_encode(spark, d):
     enc = SQ.vocab_encode(external, vocab, max_len=32)
     return enc.select("patid", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
+
+
+# -- profiles --------------------------------------------------------------------------
+
+from cohortlab.operators import codes as CD  # noqa: E402
+from cohortlab.operators import profile as PR  # noqa: E402
+
+LABELS = [1, 2, 3, 4, 5]
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, d):
+    return rounded(PR.value_counts(S.labelled_outcomes(spark, d), "label"), "share")
+
+
+@register("baseline_table")
+def q_baseline_table(spark, d):
+    return rounded(PR.baseline_table(S.labelled_outcomes(spark, d)), "value", "sd", "pct", "missing_pct")
+
+
+@register("baseline_pivot")
+def q_baseline_pivot(spark, d):
+    long = PR.baseline_table(S.labelled_outcomes(spark, d))
+    wide = PR.pivot_by_label(long, "variable", "text", LABELS)
+    return wide.select("variable", *[F.col(str(k)).alias(f"cluster_{k}") for k in LABELS])
+
+
+@register("code_prevalence")
+def q_code_prevalence(spark, d):
+    return rounded(PR.code_prevalence(S.labelled_sequences(spark, d)), "prevalence")
+
+
+@register("prevalence_range")
+def q_prevalence_range(spark, d):
+    prev = PR.code_prevalence(S.labelled_sequences(spark, d))
+    return rounded(PR.prevalence_range(prev, len(LABELS)), "max_prev", "min_prev", "prevalence_range")
+
+
+def _matrix(spark, d, family, threshold=0.15):
+    prev = PR.code_prevalence(S.labelled_sequences(spark, d))
+    rng = PR.prevalence_range(prev, len(LABELS))
+    m = PR.prevalence_matrix(prev, rng, R.code_descriptions(spark, d), LABELS, threshold, family)
+    return rounded(m.select("code", "description", "display",
+                            *[F.col(str(k)).alias(f"p{k}") for k in LABELS]), *[f"p{k}" for k in LABELS])
+
+
+@register("prevalence_matrix")
+def q_prevalence_matrix(spark, d):
+    return _matrix(spark, d, "all")
+
+
+@register("prevalence_matrix_t05")
+def q_prevalence_matrix_t05(spark, d):
+    return _matrix(spark, d, "all", 0.05)
+
+
+@register("prevalence_matrix_icd")
+def q_prevalence_matrix_icd(spark, d):
+    return _matrix(spark, d, "icd", 0.05)
+
+
+@register("prevalence_matrix_med")
+def q_prevalence_matrix_med(spark, d):
+    return _matrix(spark, d, "med", 0.05)
+
+
+@register("prevalence_matrix_val")
+def q_prevalence_matrix_val(spark, d):
+    return _matrix(spark, d, "val", 0.05)
+
+
+@register("prevalence_matrix_proc")
+def q_prevalence_matrix_proc(spark, d):
+    return _matrix(spark, d, "proc", 0.05)
+
+
+@register("describe_codes")
+def q_describe_codes(spark, d):
+    from cohortlab.functions.codes import group_code
+    codes = (SQ.sequence_long(S.sequences(spark, d)).select(group_code("code").alias("code"))
+             .where(F.col("code").isNotNull()).distinct())
+    return CD.describe_codes(codes, R.code_descriptions(spark, d), "code")

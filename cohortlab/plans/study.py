@@ -81,3 +81,9 @@ def sequences_with_practice(spark, sf_dir, stage: str = "before") -> DataFrame:
     """Cohort (patid, pracid, label) joined to its sequences."""
     coh = cohort(spark, sf_dir).select("patid", "pracid")
     return coh.join(sequences(spark, sf_dir, stage), "patid", "inner")
+
+
+def labelled_sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
+    """Sequences of cohort patients with their (relabelled) cluster."""
+    lab = labelled_outcomes(spark, sf_dir).select("patid", "label")
+    return sequences(spark, sf_dir, stage).join(lab, "patid", "inner")

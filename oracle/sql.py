@@ -242,3 +242,119 @@ select patid, '3,' || string_agg(cast(coalesce(v.idx, 1) as varchar), ',' order
   cast(count(*) + 1 as integer) as n_real
 from seqside s left join vocab v on v.token = s.code
 where side = 'external' and pos <= 31 group by patid""", extra=_SPLIT_EXTRA)
+
+
+# -- profiles -------------------------------------------------------------------------
+CONT = ["age", "sbp", "bmi"]
+CATS = ["Male", "Female", "BMI underweight", "BMI healthy", "BMI overweight", "BMI obesity",
+        "Smoker", "Ex-Smoker", "Non-Smoker", "ethnicity_White", "imd_1", "imd_2", "imd_3", "imd_4", "imd_5"]
+
+
+def r(x: str, d: int) -> str:
+    return f"floor(({x}) * {10 ** d}.0 + 0.5) / {10 ** d}.0"
+
+
+_FEATS = """select label, date_diff('day', dob, index_date) / 365.2425 as age, sbp, bmi,
+  case when gender = 1 then 1 else 0 end as "Male", case when gender = 2 then 1 else 0 end as "Female",
+  case when bmi > 0 and bmi <= 18.5 then 1 else 0 end as "BMI underweight",
+  case when bmi > 18.5 and bmi <= 25 then 1 else 0 end as "BMI healthy",
+  case when bmi > 25 and bmi <= 30 then 1 else 0 end as "BMI overweight",
+  case when bmi > 30 and bmi <= 100 then 1 else 0 end as "BMI obesity",
+  case when smoke = 1 then 1 else 0 end as "Smoker", case when smoke = 2 then 1 else 0 end as "Ex-Smoker",
+  case when smoke = 3 then 1 else 0 end as "Non-Smoker",
+  case when gen_ethnicity = 'White' then 1 else 0 end as "ethnicity_White",
+  case when imd2015_5 = 1 then 1 else 0 end as imd_1, case when imd2015_5 = 2 then 1 else 0 end as imd_2,
+  case when imd2015_5 = 3 then 1 else 0 end as imd_3, case when imd2015_5 = 4 then 1 else 0 end as imd_4,
+  case when imd2015_5 = 5 then 1 else 0 end as imd_5
+  from lo"""
+
+
+def _baseline_long() -> str:
+    parts = []
+    for v in CONT:
+        m, s = f'avg("{v}")', f'stddev_samp("{v}")'
+        x = f'count(*) filter (where "{v}" is null) / count(*) * 100.0'
+        parts.append(f"""select label, count(*) as n, '{v}' as variable, {m} as value, {s} as sd,
+          cast(null as double) as pct, {x} as missing_pct,
+          printf('%.2f (%.2f) Miss(%.1f%%)', {r(m, 2)}, {r(s, 2)}, {r(x, 1)}) as text from feats group by label""")
+    for v in CATS:
+        c = f'sum(case when "{v}" = 1 then 1 else 0 end)'
+        x = f'count(*) filter (where "{v}" is null) / count(*) * 100.0'
+        p = f"{c} / count(*) * 100.0"
+        parts.append(f"""select label, count(*), '{v}', cast({c} as double), cast(null as double), {p}, {x},
+          printf('%d (%.1f%%) Miss(%.1f%%)', {c}, {r(p, 1)}, {r(x, 1)}) from feats group by label""")
+    parts.append("""select label, count(*), 'N', cast(count(*) as double), cast(null as double), cast(null as double),
+          cast(null as double), format('{:,}', count(*)) from feats group by label""")
+    return "\nunion all\n".join(parts)
+
+
+_BASE_EXTRA = [("feats", _FEATS), ("base", _baseline_long())]
+ORACLE["baseline_table"] = cohort_sql(f"""select label, cast(n as bigint) as n, variable,
+  {R6('value')} as value, {R6('sd')} as sd, {R6('pct')} as pct, {R6('missing_pct')} as missing_pct, text
+  from base""", "lo", _BASE_EXTRA)
+ORACLE["baseline_pivot"] = cohort_sql("select variable, " + ", ".join(
+    f"max(text) filter (where label = {k}) as cluster_{k}" for k in range(1, 6)) + " from base group by variable",
+    "lo", _BASE_EXTRA)
+ORACLE["cluster_sizes"] = cohort_sql(f"""select label, count(*) as n,
+  {R6('count(*) / sum(count(*)) over ()')} as share from lo group by label""", "lo")
+
+GROUP_CODE = """case when length({c}) = 4 then substr({c}, 1, 3)
+  when starts_with({c}, 'PROC_') then substr({c}, 1, 8) when {c} = 'SEP' then null
+  when starts_with({c}, 'bnf_') then substr({c}, 1, 8) else {c} end"""
+
+_PREV_EXTRA = [
+    ("lseq", "select s.*, l.label from seqpos_before s join lo l using (patid)"),
+    ("prev_counts", f"""select label, code, count(distinct patid) as n_patients from (
+        select patid, label, {GROUP_CODE.format(c='code')} as code from lseq) t
+        where code is not null group by label, code"""),
+    ("sizes", "select label, count(*) as cluster_size from (select distinct patid, label from lseq) group by label"),
+    ("prev", """select c.code, c.label, c.n_patients, s.cluster_size, c.n_patients / s.cluster_size as prevalence
+        from prev_counts c join sizes s using (label)"""),
+    ("ranges", """select code, max(prevalence) as max_prev,
+        case when count(*) < 5 then 0.0 else min(prevalence) end as min_prev,
+        max(prevalence) - case when count(*) < 5 then 0.0 else min(prevalence) end as prevalence_range
+        from prev group by code"""),
+    ("dmap", """select key, arg_max(target, line_no) as target from (
+        select case when starts_with(k, 'bnf_') then substr(k, 1, 8) else k end as key, target, line_no
+        from (select regexp_replace(source, '^(DIA_|MED_)', '') as k, target, line_no from code_descriptions))
+        group by key"""),
+]
+
+
+def seq_prev_sql(body: str) -> str:
+    names = [n for n, _ in COHORT_CTES]
+    return with_roles(SEQ_ROLES + ["code_descriptions"], body,
+                      COHORT_CTES[: names.index("lo") + 1] + seq_ctes("before") + _PREV_EXTRA)
+
+
+ORACLE["code_prevalence"] = seq_prev_sql(
+    f"select code, label, n_patients, cluster_size, {R6('prevalence')} as prevalence from prev")
+ORACLE["prevalence_range"] = seq_prev_sql(
+    f"select code, {R6('max_prev')} as max_prev, {R6('min_prev')} as min_prev, "
+    f"{R6('prevalence_range')} as prevalence_range from ranges")
+
+DESC = "coalesce(case when {c} = 'Other chronic obstructive pulmonary disease' then 'COPD' end, dm.target, {c})"
+INITCAP = "array_to_string(list_transform(string_split(lower({d}), ' '), lambda w: upper(w[1:1]) || w[2:]), ' ')"
+
+
+def matrix_sql(family_pred: str, threshold: float = 0.15) -> str:
+    desc = DESC.format(c="w.code")
+    desc2 = f"case when ({desc}) = 'Other chronic obstructive pulmonary disease' then 'COPD' else ({desc}) end"
+    disp = f"substr(case when ({desc2}) = upper({desc2}) then ({desc2}) else {INITCAP.format(d=desc2)} end, 1, 50)"
+    cols = ", ".join(f"{R6(f'coalesce(max(p.prevalence) filter (where p.label = {k}), 0.0)')} as p{k}"
+                     for k in range(1, 6))
+    return seq_prev_sql(f"""select w.code, {desc2} as description, {disp} as display, w.p1, w.p2, w.p3, w.p4, w.p5
+      from (select k.code, {cols} from ranges k left join prev p using (code)
+            where k.prevalence_range > {threshold} and ({family_pred.format(c='k.code')}) group by k.code) w
+      left join dmap dm on dm.key = w.code""")
+
+
+ORACLE["prevalence_matrix"] = matrix_sql("true")
+ORACLE["prevalence_matrix_t05"] = matrix_sql("true", 0.05)
+ORACLE["prevalence_matrix_icd"] = matrix_sql("length({c}) = 3", 0.05)
+ORACLE["prevalence_matrix_med"] = matrix_sql("starts_with({c}, 'bnf_') or starts_with({c}, 'vtm_')", 0.05)
+ORACLE["prevalence_matrix_val"] = matrix_sql("starts_with({c}, 'VAL_')", 0.05)
+ORACLE["prevalence_matrix_proc"] = matrix_sql("starts_with({c}, 'PROC_')", 0.05)
+ORACLE["describe_codes"] = seq_prev_sql(f"""select g.code, {DESC.format(c='g.code').replace("dm.target", "dm.target")} as description
+  from (select distinct {GROUP_CODE.format(c='code')} as code from seqpos_before) g
+  left join dmap dm on dm.key = g.code where g.code is not null""")
