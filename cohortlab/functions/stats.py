@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 _HALF_LOG_2PI = 0.5 * math.log(2.0 * math.pi)
 _SHIFT = 8
@@ -124,7 +125,7 @@ def np_t_two_sided(t, df):
     return p
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Vectorised two-sided t p-value; null/NaN inputs give null."""
     tv = t.to_numpy(dtype=float, na_value=np.nan)

@@ -270,3 +270,57 @@ def q_describe_codes(spark, d):
     codes = (SQ.sequence_long(S.sequences(spark, d)).select(group_code("code").alias("code"))
              .where(F.col("code").isNotNull()).distinct())
     return CD.describe_codes(codes, R.code_descriptions(spark, d), "code")
+
+
+# -- genetics ------------------------------------------------------------------------------
+
+from cohortlab.operators import genetics as G  # noqa: E402
+
+
+@register("carrier_ratio")
+def q_carrier_ratio(spark, d):
+    return rounded(G.carrier_ratio(R.dosage(spark, d), R.score_labels(spark, d), R.snp_frequencies(spark)),
+                   "ratio")
+
+
+@register("carrier_ratio_missing_as_carrier")
+def q_carrier_ratio_mc(spark, d):
+    return rounded(G.carrier_ratio(R.dosage(spark, d), R.score_labels(spark, d), R.snp_frequencies(spark),
+                                   missing="carrier"), "ratio")
+
+
+@register("snp_association")
+def q_snp_association(spark, d):
+    return rounded(G.snp_association(R.dosage(spark, d), R.score_labels(spark, d)),
+                   "group_pct", "other_pct", "odds_ratio", "p_value")
+
+
+@register("prs_group_summary")
+def q_prs_group_summary(spark, d):
+    s = G.group_summary(G.labelled_scores(R.scores(spark, d), R.score_labels(spark, d)))
+    return rounded(s, "mean", "var")
+
+
+@register("prs_trait_filter")
+def q_prs_trait_filter(spark, d):
+    ls = G.labelled_scores(R.scores(spark, d), R.score_labels(spark, d))
+    return rounded(G.trait_filter(ls, 0.15), "max_mean", "min_mean", "mean_range")
+
+
+@register("prs_pairwise")
+def q_prs_pairwise(spark, d):
+    return rounded(G.prs_pairwise(R.scores(spark, d), R.score_labels(spark, d)),
+                   "mean1", "mean2", "t_stat", "dof", "p_val", "cohen_d", "p_val_adjusted")
+
+
+@register("prs_significant")
+def q_prs_significant(spark, d):
+    pw = G.prs_pairwise(R.scores(spark, d), R.score_labels(spark, d))
+    return rounded(pw.where(F.col("significant")).select("trait", "group1", "group2", "p_val_adjusted"),
+                   "p_val_adjusted")
+
+
+@register("prs_one_vs_rest")
+def q_prs_one_vs_rest(spark, d):
+    return rounded(G.prs_one_vs_rest(R.scores(spark, d), R.score_labels(spark, d)),
+                   "mean_group", "mean_other", "t_stat", "dof", "p_val", "cohen_d")

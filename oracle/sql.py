@@ -358,3 +358,118 @@ ORACLE["prevalence_matrix_proc"] = matrix_sql("starts_with({c}, 'PROC_')", 0.05)
 ORACLE["describe_codes"] = seq_prev_sql(f"""select g.code, {DESC.format(c='g.code').replace("dm.target", "dm.target")} as description
   from (select distinct {GROUP_CODE.format(c='code')} as code from seqpos_before) g
   left join dmap dm on dm.key = g.code where g.code is not null""")
+
+
+# -- genetics -------------------------------------------------------------------------
+GEN_ROLES = ["dosage", "score_labels", "snp_frequencies", "scores"]
+
+
+def gen_sql(body: str, extra=None) -> str:
+    return with_roles(GEN_ROLES, body, extra)
+
+
+def _carrier(missing: str) -> str:
+    n = "count(d.dosage)" if missing == "exclude" else "count(*)"
+    k = ("count(*) filter (where d.dosage <> 0)" if missing == "exclude"
+         else "count(*) filter (where d.dosage is null or d.dosage <> 0)")
+    return gen_sql(f"""select d.snp, l.label, {n} as n, {k} as carriers, f.freq,
+      {R6(f'({k}) / ({n}) / f.freq')} as ratio
+      from dosage d join score_labels l using (patid) join snp_frequencies f using (snp)
+      group by d.snp, l.label, f.freq""")
+
+
+ORACLE["carrier_ratio"] = _carrier("exclude")
+ORACLE["carrier_ratio_missing_as_carrier"] = _carrier("carrier")
+
+
+def LC(n: str, k: str) -> str:
+    return f"(lgamma(({n}) + 1) - lgamma(({k}) + 1) - lgamma(({n}) - ({k}) + 1))"
+
+
+LP = "({lc1} + {lc2} - {lc3})"
+_FISHER_EXTRA = [
+    ("cnt", """select snp, label, count(dosage) as n, count(*) filter (where dosage <> 0) as k
+        from dosage join score_labels using (patid) group by snp, label"""),
+    ("ovr", """select c.snp, 'Cluster ' || cast(c.label as varchar) as cluster, c.n as group_n, t.tn - c.n as other_n,
+        c.k as group_nonzero, t.tk - c.k as other_nonzero
+        from cnt c join (select snp, cast(sum(n) as bigint) as tn, cast(sum(k) as bigint) as tk from cnt group by snp) t using (snp)"""),
+    ("tab", """select *, group_nonzero as a, group_n - group_nonzero as b, other_nonzero as c,
+        other_n - other_nonzero as d, group_n as r1, other_n as r2, group_nonzero + other_nonzero as c1,
+        group_n + other_n as nn from ovr"""),
+    ("sup", f"""select snp, cluster, x,
+        {LC('r1', 'x')} + {LC('r2', 'c1 - x')} - {LC('nn', 'c1')} as lp,
+        {LC('r1', 'a')} + {LC('r2', 'c1 - a')} - {LC('nn', 'c1')} as obs
+        from (select *, unnest(generate_series(greatest(0, c1 - r2), least(r1, c1))) as x from tab)"""),
+    ("fx", """select snp, cluster, least(1.0, sum(case when lp <= obs + ln(1 + 1e-7) then exp(lp) else 0 end)) as p_value
+        from sup group by snp, cluster"""),
+]
+ORACLE["snp_association"] = gen_sql(f"""select t.snp, t.cluster, cast(group_n as bigint) as group_n,
+  cast(other_n as bigint) as other_n, cast(group_nonzero as bigint) as group_nonzero,
+  cast(other_nonzero as bigint) as other_nonzero,
+  {R6('case when group_n > 0 then group_nonzero / group_n * 100.0 end')} as group_pct,
+  {R6('case when other_n > 0 then other_nonzero / other_n * 100.0 end')} as other_pct,
+  {R6("case when b * c <> 0 then (a * d) / (b * c) when a * d <> 0 then 'inf'::double end")} as odds_ratio,
+  {R6('p_value')} as p_value
+  from tab t join fx using (snp, cluster)""", _FISHER_EXTRA)
+
+_LS = [
+    ("ls", """select s.patid, s.trait, s.score,
+        coalesce('Cluster ' || cast(l.label as varchar), 'Control') as grp
+        from scores s left join score_labels l using (patid)"""),
+    ("summ", "select trait, grp, count(score) as n, avg(score) as mean, var_samp(score) as var from ls group by trait, grp"),
+]
+ORACLE["prs_group_summary"] = gen_sql(
+    f'select trait, grp as "group", n, {R6("mean")} as mean, {R6("var")} as var from summ', _LS)
+ORACLE["prs_trait_filter"] = gen_sql(f"""select trait, {R6('max_mean')} as max_mean, {R6('min_mean')} as min_mean,
+  {R6('max_mean - min_mean')} as mean_range from (
+  select trait, max(mean) as max_mean, min(mean) as min_mean from summ where grp <> 'Control' group by trait)
+  where max_mean - min_mean > 0.15""", _LS)
+
+SIMPSON_N = 4000
+
+
+def t_pvalue_ctes(src: str, keys: str) -> list[tuple[str, str]]:
+    """Two-sided t p-value: 1 - I_y(1/2, dof/2) with y = t^2/(dof+t^2), by Simpson's rule on
+    I_y(1/2, a) = int_0^sqrt(y) 2 (1-v^2)^(a-1) dv / B(1/2, a)."""
+    return [
+        (f"{src}_g", f"""select {keys}, dof / 2.0 as a, sqrt(t_stat * t_stat / (dof + t_stat * t_stat)) / {SIMPSON_N} as h,
+            exp(lgamma(0.5) + lgamma(dof / 2.0) - lgamma(dof / 2.0 + 0.5)) as beta,
+            unnest(generate_series(0, {SIMPSON_N})) as i from {src}"""),
+        (f"{src}_p", f"""select {keys}, 1 - sum(case when i = 0 or i = {SIMPSON_N} then 1 when i % 2 = 1 then 4 else 2 end
+              * 2 * pow(1 - (i * h) * (i * h), a - 1)) * min(h) / 3 / min(beta) as p_val
+            from {src}_g group by {keys}"""),
+    ]
+
+
+_PW = _LS + [
+    ("pairs", """select a.trait, a.grp as group1, b.grp as group2, a.n as n1, b.n as n2, a.mean as mean1,
+        b.mean as mean2, a.var as v1, b.var as v2 from summ a join summ b on a.trait = b.trait and a.grp < b.grp"""),
+    ("pw", """select *, (mean1 - mean2) / sqrt(v1 / n1 + v2 / n2) as t_stat,
+        pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) as dof,
+        case when sqrt((v1 + v2) / 2) > 0 then (mean1 - mean2) / sqrt((v1 + v2) / 2) end as cohen_d from pairs"""),
+] + t_pvalue_ctes("pw", "trait, group1, group2") + [
+    ("bh0", """select pw.*, p.p_val, row_number() over (partition by pw.trait order by p.p_val) as rk,
+        count(p.p_val) over (partition by pw.trait) as m from pw join pw_p p using (trait, group1, group2)"""),
+    ("bh", """select *, least(1.0, min(p_val * m / rk) over (partition by trait order by rk desc
+        rows between unbounded preceding and current row)) as p_val_adjusted from bh0"""),
+]
+ORACLE["prs_pairwise"] = gen_sql(f"""select trait, group1, group2, n1, n2, {R6('mean1')} as mean1, {R6('mean2')} as mean2,
+  {R6('t_stat')} as t_stat, {R6('dof')} as dof, {R6('p_val')} as p_val, {R6('cohen_d')} as cohen_d,
+  {R6('p_val_adjusted')} as p_val_adjusted, p_val_adjusted <= 0.05 as significant from bh""", _PW)
+ORACLE["prs_significant"] = gen_sql(f"""select trait, group1, group2, {R6('p_val_adjusted')} as p_val_adjusted
+  from bh where p_val_adjusted <= 0.05""", _PW)
+
+_OVR = _LS + [
+    ("cl", "select distinct trait, grp from ls where grp <> 'Control'"),
+    ("ov", """select cl.trait, cl.grp as cluster,
+        count(ls.score) filter (where ls.grp = cl.grp) as n_group, count(ls.score) filter (where ls.grp <> cl.grp) as n_other,
+        avg(ls.score) filter (where ls.grp = cl.grp) as mean_group, avg(ls.score) filter (where ls.grp <> cl.grp) as mean_other,
+        var_samp(ls.score) filter (where ls.grp = cl.grp) as v1, var_samp(ls.score) filter (where ls.grp <> cl.grp) as v2
+        from cl join ls on ls.trait = cl.trait and ls.grp <> 'Control' group by cl.trait, cl.grp"""),
+    ("ovt", """select *, (mean_group - mean_other) / sqrt(v1 / n_group + v2 / n_other) as t_stat,
+        pow(v1 / n_group + v2 / n_other, 2) / (pow(v1 / n_group, 2) / (n_group - 1) + pow(v2 / n_other, 2) / (n_other - 1)) as dof,
+        case when sqrt((v1 + v2) / 2) > 0 then (mean_group - mean_other) / sqrt((v1 + v2) / 2) end as cohen_d from ov"""),
+] + t_pvalue_ctes("ovt", "trait, cluster")
+ORACLE["prs_one_vs_rest"] = gen_sql(f"""select trait, cluster, n_group, cast(n_other as bigint) as n_other,
+  {R6('mean_group')} as mean_group, {R6('mean_other')} as mean_other, {R6('t_stat')} as t_stat, {R6('dof')} as dof,
+  {R6('p.p_val')} as p_val, {R6('cohen_d')} as cohen_d from ovt join ovt_p p using (trait, cluster)""", _OVR)
