@@ -324,3 +324,145 @@ def q_prs_significant(spark, d):
 def q_prs_one_vs_rest(spark, d):
     return rounded(G.prs_one_vs_rest(R.scores(spark, d), R.score_labels(spark, d)),
                    "mean_group", "mean_other", "t_stat", "dof", "p_val", "cohen_d")
+
+
+# -- cluster metrics -----------------------------------------------------------------------
+
+from cohortlab.operators import metrics as M  # noqa: E402
+
+
+@register("nearest_center")
+def q_nearest_center(spark, d):
+    return S.vector_partitions(spark, d).select("id", "label", "nearest")
+
+
+@register("crosstab")
+def q_crosstab(spark, d):
+    return M.crosstab(S.vector_partitions(spark, d), "label", "nearest")
+
+
+@register("adjusted_rand")
+def q_adjusted_rand(spark, d):
+    return rounded(M.adjusted_rand(S.vector_partitions(spark, d), "label", "nearest"), "ari")
+
+
+@register("jaccard_partition")
+def q_jaccard(spark, d):
+    return rounded(M.jaccard_partition(S.vector_partitions(spark, d), "label", "nearest"), "jaccard")
+
+
+@register("best_mapping_accuracy")
+def q_best_mapping(spark, d):
+    acc = M.best_mapping_accuracy(S.vector_partitions(spark, d), "label", "nearest")
+    return rounded(spark.createDataFrame([(acc,)], "accuracy double"), "accuracy")
+
+
+@register("prediction_strength_by_cluster")
+def q_ps_by_cluster(spark, d):
+    return rounded(M.prediction_strength_by_cluster(R.vectors(spark, d), "label", S.class_center_list(spark, d)),
+                   "strength")
+
+
+@register("prediction_strength")
+def q_ps(spark, d):
+    return rounded(M.prediction_strength(R.vectors(spark, d), "label", S.class_center_list(spark, d)),
+                   "prediction_strength")
+
+
+@register("silhouette")
+def q_silhouette(spark, d):
+    return rounded(M.silhouette(R.vectors(spark, d), "label"), "silhouette")
+
+
+@register("silhouette_points")
+def q_silhouette_points(spark, d):
+    return rounded(M.silhouette_points(R.vectors(spark, d), "label"), "s")
+
+
+@register("calinski_harabasz")
+def q_ch(spark, d):
+    return rounded(M.calinski_harabasz(R.vectors(spark, d), "label"), "calinski_harabasz")
+
+
+@register("davies_bouldin")
+def q_db(spark, d):
+    return rounded(M.davies_bouldin(R.vectors(spark, d), "label"), "davies_bouldin")
+
+
+@register("within_dispersion")
+def q_inertia(spark, d):
+    return rounded(M.within_dispersion(R.vectors(spark, d), "label"), "inertia")
+
+
+@register("inertia_to_centers")
+def q_inertia_centers(spark, d):
+    return rounded(M.inertia_to_centers(R.vectors(spark, d), S.class_center_list(spark, d)), "inertia")
+
+
+@register("minmax_scale")
+def q_minmax(spark, d):
+    x = M.minmax_scale(R.vectors(spark, d), "features", "scaled")
+    return rounded(x.select("id", F.posexplode("scaled").alias("dim", "value")), "value")
+
+
+@register("consensus_pac")
+def q_pac(spark, d):
+    rl = S.replicate_labels(spark, d, reps=5, frac=0.8)
+    return rounded(M.consensus_pac(rl, R.vectors(spark, d).select("id"), denominator="all"), "pac")
+
+
+@register("consensus_pac_cosampled")
+def q_pac_b(spark, d):
+    rl = S.replicate_labels(spark, d, reps=5, frac=0.8)
+    return rounded(M.consensus_pac(rl, R.vectors(spark, d).select("id"), denominator="cosampled_minus_n"), "pac")
+
+
+@register("replicate_pair_ari")
+def q_rep_pair_ari(spark, d):
+    return rounded(M.replicate_pair_ari(S.replicate_labels(spark, d, reps=4, frac=0.8, full=True)), "ari")
+
+
+@register("bootstrap_ari")
+def q_bootstrap_ari(spark, d):
+    return rounded(M.bootstrap_ari(S.replicate_labels(spark, d, reps=4, frac=0.8, full=True), ddof=0),
+                   "mean_ari", "sd_ari")
+
+
+@register("bootstrap_ari_ddof1")
+def q_bootstrap_ari1(spark, d):
+    return rounded(M.bootstrap_ari(S.replicate_labels(spark, d, reps=4, frac=0.8, full=True), ddof=1),
+                   "mean_ari", "sd_ari")
+
+
+@register("bootstrap_jaccard")
+def q_bootstrap_jaccard(spark, d):
+    full = S.vector_partitions(spark, d).select("id", F.col("nearest").alias("label"))
+    return rounded(M.bootstrap_jaccard(S.bootstrap_refit_labels(spark, d, reps=3, frac=0.8), full),
+                   "mean_jaccard", "sd_jaccard")
+
+
+@register("cross_source_ari")
+def q_cross_source_ari(spark, d):
+    from cohortlab.functions.hashing import unit_hash
+    v = R.vectors(spark, d)
+    src = unit_hash(F.col("id"), "src") < F.lit(0.5)
+    a, b = v.where(src), v.where(~src)
+
+    def centers(x):
+        first = x.groupBy("label").agg(F.min("id").alias("id"))
+        c = x.join(first, ["label", "id"], "left_semi").select(F.col("label").alias("idx"), F.col("features").alias("center"))
+        return M.collect_centers(c, with_ids=True)
+
+    (ca, ia), (cb, ib) = centers(a), centers(b)
+    x = M.assign_nearest(b, ca, "features", "transfer", ia)
+    x = M.assign_nearest(x, cb, "features", "native", ib)
+    return rounded(M.adjusted_rand(x, "transfer", "native"), "ari")
+
+
+@register("pair_ranking_loss")
+def q_pair_ranking_loss(spark, d):
+    v = R.vectors(spark, d)
+    a = v.where(F.col("id") % 2 == 0).select((F.col("id") / 2).cast("long").alias("i"), F.col("features").alias("a"))
+    b = v.where(F.col("id") % 2 == 1).select(((F.col("id") - 1) / 2).cast("long").alias("i"), F.col("features").alias("b"))
+    pairs = a.join(b, "i").select((F.col("i") / 16).cast("long").alias("batch"), (F.col("i") % 16).alias("pos"), "a", "b")
+    return rounded(M.pair_ranking_loss(pairs, scale=20.0), "loss")

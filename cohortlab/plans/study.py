@@ -87,3 +87,66 @@ def labelled_sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
     """Sequences of cohort patients with their (relabelled) cluster."""
     lab = labelled_outcomes(spark, sf_dir).select("patid", "label")
     return sequences(spark, sf_dir, stage).join(lab, "patid", "inner")
+
+
+# -- vectors and replicate labelings ---------------------------------------------------------
+
+def class_center_list(spark, sf_dir):
+    from cohortlab.operators.metrics import collect_centers
+    return collect_centers(R.class_centers(spark, sf_dir))
+
+
+def vector_partitions(spark, sf_dir) -> DataFrame:
+    """Two labelings of the vectors: the given class (label) and the nearest
+    class center (nearest)."""
+    from cohortlab.operators.metrics import assign_nearest
+    return assign_nearest(R.vectors(spark, sf_dir), class_center_list(spark, sf_dir))
+
+
+def _rep_centers(rows: DataFrame, r: int):
+    from cohortlab.functions.hashing import portable_hash
+    from cohortlab.operators.metrics import collect_centers
+    cen = (rows.groupBy("label")
+               .agg(F.min_by("features", portable_hash(F.col("id"), f"ctr{r}")).alias("center"))
+               .select(F.col("label").alias("idx"), "center"))
+    return collect_centers(cen, with_ids=True)
+
+
+def replicate_labels(spark, sf_dir, reps: int = 5, frac: float = 0.8, full: bool = False) -> DataFrame:
+    """(rep, id, label) replicate labelings derived from the vectors.
+
+    Replicate r subsamples ids with hash(id, 'pac<r>') < frac, takes per
+    class the subsampled vector with the smallest hash(id, 'ctr<r>') as a
+    center and labels by nearest center (its class).  ``full`` labels every
+    vector (fit on the subsample, predict all), otherwise only the subsample.
+    """
+    from cohortlab.functions.hashing import unit_hash
+    from cohortlab.operators.metrics import assign_nearest
+    v = R.vectors(spark, sf_dir)
+    out = None
+    for r in range(reps):
+        sub = v.where(unit_hash(F.col("id"), f"pac{r}") < F.lit(frac))
+        centers, ids = _rep_centers(sub, r)
+        target = v if full else sub
+        lab = assign_nearest(target, centers, "features", "rl", ids).select(
+            F.lit(r).alias("rep"), "id", F.col("rl").alias("label"))
+        out = lab if out is None else out.unionByName(lab)
+    return out
+
+
+def bootstrap_refit_labels(spark, sf_dir, reps: int = 3, frac: float = 0.8) -> DataFrame:
+    """(rep, draw, id, label): with-replacement draws labelled by centers
+    chosen from the drawn rows (per class, smallest hash(id, 'ctr<r>'))."""
+    from cohortlab.operators.metrics import assign_nearest
+    from cohortlab.operators.splits import bootstrap_draws, dense_index
+    v = R.vectors(spark, sf_dir)
+    n = v.count()
+    drawn = bootstrap_draws(dense_index(v, "id", "idx"), n, reps, frac, "boot")
+    out = None
+    for r in range(reps):
+        dr = drawn.where(F.col("rep") == r)
+        centers, ids = _rep_centers(dr, r)
+        lab = assign_nearest(dr, centers, "features", "rl", ids).select(
+            "rep", "draw", "id", F.col("rl").alias("label"))
+        out = lab if out is None else out.unionByName(lab)
+    return out

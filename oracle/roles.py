@@ -118,7 +118,8 @@ select case when p_type = 'SMALL' then 'DIA_I' || lpad(cast(p_partkey % 100 as v
 from part where p_type in ('SMALL', 'ECONOMY')""")
 
 
-def with_roles(names: list[str], body: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_roles(names: list[str], body: str, extra: list[tuple[str, str]] | None = None,
+               recursive: bool = False) -> str:
     """Build ``WITH <roles...>, <extra...> <body>``; roles resolved transitively."""
     order: list[str] = []
 
@@ -136,4 +137,4 @@ def with_roles(names: list[str], body: str, extra: list[tuple[str, str]] | None
         parts.append(f"{n} AS ({sql.strip()})")
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body

@@ -473,3 +473,184 @@ _OVR = _LS + [
 ORACLE["prs_one_vs_rest"] = gen_sql(f"""select trait, cluster, n_group, cast(n_other as bigint) as n_other,
   {R6('mean_group')} as mean_group, {R6('mean_other')} as mean_other, {R6('t_stat')} as t_stat, {R6('dof')} as dof,
   {R6('p.p_val')} as p_val, {R6('cohen_d')} as cohen_d from ovt join ovt_p p using (trait, cluster)""", _OVR)
+
+
+# -- cluster metrics ----------------------------------------------------------------------
+VEC_ROLES = ["vectors", "class_centers"]
+HS = lambda key, salt_sql: H(key, salt_sql) + " / 4294967296.0"
+
+_PART = [
+    ("nv", """select v.id, v.label, v.features, c.idx, list_distance(v.features, c.center) as dist
+        from vectors v, class_centers c"""),
+    ("part", """select id, label, features, idx as nearest from (
+        select *, row_number() over (partition by id order by dist, idx) as rn from nv) where rn = 1"""),
+]
+
+
+def vec_sql(body: str, extra=None) -> str:
+    return with_roles(VEC_ROLES, body, _PART + (extra or []))
+
+
+def ari_ctes(src: str, a: str, b: str, keys: list[str], p: str) -> list[tuple[str, str]]:
+    k = ", ".join(keys)
+    kc = (k + ", ") if keys else ""
+    on = (" using (" + k + ")") if keys else " on true"
+    return [
+        (f"{p}_ct", f"select {kc}{a} as a, {b} as b, count(*) as n from {src} group by {kc}{a}, {b}"),
+        (f"{p}_s", f"""select * from (select {kc}sum(n * (n - 1) / 2.0) as s_ab, sum(n) as nn from {p}_ct {'group by ' + k if keys else ''}) c
+            join (select {kc}sum(x * (x - 1) / 2.0) as s_a from (select {kc}sum(n) as x from {p}_ct group by {kc}a) {'group by ' + k if keys else ''}) ra{on}
+            join (select {kc}sum(x * (x - 1) / 2.0) as s_b from (select {kc}sum(n) as x from {p}_ct group by {kc}b) {'group by ' + k if keys else ''}) rb{on}"""),
+        (f"{p}_ari", f"""select {kc}case when (s_a + s_b) / 2.0 = s_a * s_b / (nn * (nn - 1) / 2.0) then 1.0
+            else (s_ab - s_a * s_b / (nn * (nn - 1) / 2.0)) / ((s_a + s_b) / 2.0 - s_a * s_b / (nn * (nn - 1) / 2.0)) end as ari,
+            case when s_ab + (s_a - s_ab) + (s_b - s_ab) = 0 then 1.0
+            else s_ab / (s_ab + (s_a - s_ab) + (s_b - s_ab)) end as jaccard from {p}_s"""),
+    ]
+
+
+ORACLE["nearest_center"] = vec_sql("select id, label, nearest from part")
+ORACLE["crosstab"] = vec_sql("select label, nearest, count(*) as n_ab from part group by label, nearest")
+ORACLE["adjusted_rand"] = vec_sql(f"select {R6('ari')} as ari from x_ari", ari_ctes("part", "label", "nearest", [], "x"))
+ORACLE["jaccard_partition"] = vec_sql(f"select {R6('jaccard')} as jaccard from x_ari",
+                                      ari_ctes("part", "label", "nearest", [], "x"))
+ORACLE["best_mapping_accuracy"] = with_roles(VEC_ROLES, f"""
+select {R6('max(val) / (select sum(n) from mx)')} as accuracy from dp
+where i = (select count(distinct ai) from mx)""", _PART + [
+    ("ct", "select label as a, nearest as b, count(*) as n from part group by label, nearest"),
+    ("mx", """select dense_rank() over (order by a) - 1 as ai, dense_rank() over (order by b) - 1 as bj, n from ct"""),
+    ("dp(i, mask, val) USING KEY (i, mask)", """
+  select 0::bigint, 0::bigint, 0::double
+  union
+  select d.i + 1, d.mask | (1::bigint << m.bj), max(d.val + m.n)::double
+  from dp d join mx m on m.ai = d.i where (d.mask & (1::bigint << m.bj)) = 0
+  group by d.i + 1, d.mask | (1::bigint << m.bj)"""),
+], recursive=True)
+
+_PS = [("cells", "select label, nearest, count(*) as c from part group by label, nearest"),
+       ("psc", """select label as cluster, cast(sum(c) as bigint) as size,
+           case when sum(c) <= 1 then 'inf'::double else sum(c * (c - 1) / 2.0) / (sum(c) * (sum(c) - 1) / 2.0) end as strength
+           from cells group by label""")]
+ORACLE["prediction_strength_by_cluster"] = vec_sql(f"select cluster, size, {R6('strength')} as strength from psc", _PS)
+ORACLE["prediction_strength"] = vec_sql(f"select {R6('min(strength)')} as prediction_strength from psc", _PS)
+
+_SIL = [
+    ("pdist", """select a.id, a.label as la, b.label as lb, list_distance(a.features, b.features) as d
+        from vectors a join vectors b on a.id <> b.id"""),
+    ("per", "select id, la, lb, sum(d) as sd, count(*) as cnt from pdist group by id, la, lb"),
+    ("own", "select label, count(*) as n_own from vectors group by label"),
+    ("sil", """select v.id, v.label, case when o.n_own <= 1 then 0.0 else
+          (bmin - ai) / greatest(ai, bmin) end as s
+        from vectors v join own o using (label)
+        left join (select id, sd / cnt as ai from per where la = lb) a using (id)
+        left join (select id, min(sd / cnt) as bmin from per where la <> lb group by id) b using (id)"""),
+]
+ORACLE["silhouette"] = vec_sql(f"select {R6('avg(s)')} as silhouette from sil", _SIL)
+ORACLE["silhouette_points"] = vec_sql(f"select id, label, {R6('s')} as s from sil", _SIL)
+
+_DISP = [
+    ("dims", "select id, label, unnest(features) as x, unnest(range(0, len(features))) as dim from vectors"),
+    ("cen", "select label, dim, avg(x) as mu from dims group by label, dim"),
+    ("allm", "select dim, avg(x) as mu from dims group by dim"),
+    ("cnt", "select label, count(*) as n from vectors group by label"),
+    ("bw", """select (select sum(c.n * pow(ce.mu - a.mu, 2)) from cen ce join allm a using (dim) join cnt c using (label)) as b,
+        (select sum(pow(d.x - ce.mu, 2)) from dims d join cen ce using (label, dim)) as w,
+        (select count(*) from cnt) as k, (select count(*) from vectors) as n"""),
+    ("spread", """select label, avg(dist) as s from (
+        select d.id, d.label, sqrt(sum(pow(d.x - ce.mu, 2))) as dist from dims d join cen ce using (label, dim)
+        group by d.id, d.label) group by label"""),
+    ("cdist", """select a.label as i, b.label as j, sqrt(sum(pow(a.mu - b.mu, 2))) as dij
+        from cen a join cen b on a.dim = b.dim and a.label <> b.label group by a.label, b.label"""),
+]
+ORACLE["calinski_harabasz"] = vec_sql(
+    f"select {R6('case when k > 1 and w > 0 then (b / (k - 1)) / (w / (n - k)) end')} as calinski_harabasz from bw", _DISP)
+ORACLE["within_dispersion"] = vec_sql(f"select {R6('w')} as inertia from bw", _DISP)
+ORACLE["davies_bouldin"] = vec_sql(f"""select {R6('avg(rmax)')} as davies_bouldin from (
+  select c.i, max(case when c.dij > 0 then (si.s + sj.s) / c.dij else 'inf'::double end) as rmax
+  from cdist c join spread si on si.label = c.i join spread sj on sj.label = c.j group by c.i)""", _DISP)
+ORACLE["inertia_to_centers"] = vec_sql(f"""select {R6('sum(d2)')} as inertia from (
+  select id, min(pow(dist, 2)) as d2 from nv group by id)""")
+ORACLE["minmax_scale"] = vec_sql(f"""select d.id, cast(d.dim as integer) as dim,
+  {R6('case when m.hi > m.lo then (d.x - m.lo) / (m.hi - m.lo) else 0.0 end')} as value
+  from dims d join (select dim, min(x) as lo, max(x) as hi from dims group by dim) m using (dim)""", _DISP)
+
+
+def rep_label_ctes(reps: int, full: bool, p: str) -> list[tuple[str, str]]:
+    rr = ", ".join(f"({r})" for r in range(reps))
+    target = "vectors v" if full else "sub v"
+    tcond = "" if full else "and v.rep = c.rep"
+    return [
+        (f"{p}_reps", f"select * from (values {rr}) t(rep)"),
+        (f"{p}_sub", f"""select r.rep, v.* from {p}_reps r join vectors v
+            on {HS('v.id', "'pac' || cast(r.rep as varchar)")} < 0.8"""),
+        (f"{p}_ctr", f"""select rep, label as idx, arg_min(features, {H('id', "'ctr' || cast(rep as varchar)")}) as center
+            from {p}_sub group by rep, label"""),
+        (f"{p}_dist", f"""select c.rep, v.id, c.idx, list_distance(v.features, c.center) as dist
+            from {target.replace('sub', p + '_sub')} join {p}_ctr c on true {tcond}"""),
+        (f"{p}_rl", f"""select rep, id, idx as label from (
+            select *, row_number() over (partition by rep, id order by dist, idx) as rn from {p}_dist) where rn = 1"""),
+    ]
+
+
+_PAC = rep_label_ctes(5, False, "pc") + [
+    ("pairs", """select a.id as i, b.id as j, count(*) as both_n, count(*) filter (where a.label = b.label) as same_n
+        from pc_rl a join pc_rl b on a.rep = b.rep and a.id < b.id group by a.id, b.id"""),
+    ("pacs", """select 2 * count(*) filter (where same_n / both_n > 0.1 and same_n / both_n < 0.9) as ambiguous,
+        2 * count(*) as cosampled, (select count(*) from vectors) as n from pairs"""),
+]
+ORACLE["consensus_pac"] = vec_sql(f"""select {R6('ambiguous / (n * (n - 1.0))')} as pac, ambiguous, cosampled,
+  cast(n as integer) as n from pacs""", _PAC)
+ORACLE["consensus_pac_cosampled"] = vec_sql(f"""select {R6('ambiguous / greatest(cosampled - n, 1.0)')} as pac,
+  ambiguous, cosampled, cast(n as integer) as n from pacs""", _PAC)
+
+_RPA = rep_label_ctes(4, True, "rf") + [
+    ("rpairs", """select a.rep as rep1, b.rep as rep2, a.label as l1, b.label as l2
+        from rf_rl a join rf_rl b on a.id = b.id and a.rep < b.rep"""),
+] + ari_ctes("rpairs", "l1", "l2", ["rep1", "rep2"], "rp")
+ORACLE["replicate_pair_ari"] = vec_sql(f"select rep1, rep2, {R6('ari')} as ari from rp_ari", _RPA)
+ORACLE["bootstrap_ari"] = vec_sql(
+    f"select {R6('avg(ari)')} as mean_ari, {R6('stddev_pop(ari)')} as sd_ari from rp_ari", _RPA)
+ORACLE["bootstrap_ari_ddof1"] = vec_sql(
+    f"select {R6('avg(ari)')} as mean_ari, {R6('stddev_samp(ari)')} as sd_ari from rp_ari", _RPA)
+
+_BJ = [
+    ("ix", "select id, row_number() over (order by id) - 1 as idx from vectors"),
+    ("nn", "select count(*) as n, greatest(2, cast(floor(0.8 * count(*)) as bigint)) as m from vectors"),
+    ("dr", "select g.i // nn.m as rep, g.i % nn.m as draw, nn.n from nn, generate_series(0, 3 * (select m from nn) - 1) g(i)"),
+    ("drawn", f"""select dr.rep, dr.draw, v.id, v.label, v.features from dr
+        join ix on ix.idx = {H("cast(dr.rep as varchar) || ':' || cast(dr.draw as varchar)", "'boot'")} % dr.n
+        join vectors v on v.id = ix.id"""),
+    ("bctr", f"""select rep, label as idx, arg_min(features, {H('id', "'ctr' || cast(rep as varchar)")}) as center
+        from drawn group by rep, label"""),
+    ("bl", """select rep, draw, id, idx as label from (
+        select d.rep, d.draw, d.id, c.idx, row_number() over (partition by d.rep, d.draw order by list_distance(d.features, c.center), c.idx) as rn
+        from drawn d join bctr c on c.rep = d.rep) where rn = 1"""),
+    ("bj", "select b.rep, p.nearest as full_label, b.label from bl b join part p using (id)"),
+] + ari_ctes("bj", "full_label", "label", ["rep"], "bjx")
+ORACLE["bootstrap_jaccard"] = vec_sql(
+    f"select {R6('avg(jaccard)')} as mean_jaccard, {R6('stddev_pop(jaccard)')} as sd_jaccard from bjx_ari", _BJ)
+
+_CS = [
+    ("src", f"select *, {HS('id', chr(39) + 'src' + chr(39))} < 0.5 as is_a from vectors"),
+    ("ca", "select label as idx, features as center from src s where is_a and id = (select min(id) from src t where t.is_a and t.label = s.label)"),
+    ("cb", "select label as idx, features as center from src s where not is_a and id = (select min(id) from src t where not t.is_a and t.label = s.label)"),
+    ("tr", """select s.id, (select c.idx from ca c order by list_distance(s.features, c.center), c.idx limit 1) as transfer,
+        (select c.idx from cb c order by list_distance(s.features, c.center), c.idx limit 1) as native
+        from src s where not is_a"""),
+] + ari_ctes("tr", "transfer", "native", [], "cs")
+ORACLE["cross_source_ari"] = vec_sql(f"select {R6('ari')} as ari from cs_ari", _CS)
+
+_PRL = [
+    ("pa", "select id // 2 as i, features as a from vectors where id % 2 = 0"),
+    ("pb", "select (id - 1) // 2 as i, features as b from vectors where id % 2 = 1"),
+    ("pp", "select i // 16 as batch, i % 16 as pos, a, b from pa join pb using (i)"),
+    ("sc", """select x.batch, x.pos as i, y.pos as j, 20.0 * list_dot_product(x.a, y.b) as s
+        from pp x join pp y on x.batch = y.batch"""),
+    ("rowce", """select batch, i, max(s) + ln(sum(exp(s - (select max(s) from sc z where z.batch = sc.batch and z.i = sc.i))))
+        - max(s) + max(s) as lse, max(case when i = j then s end) as diag from sc group by batch, i"""),
+]
+ORACLE["pair_ranking_loss"] = vec_sql(f"""select {R6('(r + c) / 2.0')} as loss from
+  (select avg(lse - diag) as r from (
+     select batch, i, m + ln(sum(exp(s - m))) as lse, max(case when i = j then s end) as diag
+     from (select *, max(s) over (partition by batch, i) as m from sc) group by batch, i, m)),
+  (select avg(lse - diag) as c from (
+     select batch, j, m + ln(sum(exp(s - m))) as lse, max(case when i = j then s end) as diag
+     from (select *, max(s) over (partition by batch, j) as m from sc) group by batch, j, m))""", _PRL[:4])
