@@ -466,3 +466,109 @@ def q_pair_ranking_loss(spark, d):
     b = v.where(F.col("id") % 2 == 1).select(((F.col("id") - 1) / 2).cast("long").alias("i"), F.col("features").alias("b"))
     pairs = a.join(b, "i").select((F.col("i") / 16).cast("long").alias("batch"), (F.col("i") % 16).alias("pos"), "a", "b")
     return rounded(M.pair_ranking_loss(pairs, scale=20.0), "loss")
+
+
+# -- features and clustering ----------------------------------------------------------------
+
+from cohortlab.operators import clustering as CL  # noqa: E402
+from cohortlab.operators import features as FE  # noqa: E402
+
+
+@register("tfidf")
+def q_tfidf(spark, d):
+    _, te, _, _, _ = S.tfidf_split(spark, d)
+    return rounded(te, "value")
+
+
+@register("tfidf_external")
+def q_tfidf_external(spark, d):
+    _, _, ex, _, _ = S.tfidf_split(spark, d)
+    return rounded(ex, "value")
+
+
+@register("idf")
+def q_idf(spark, d):
+    _, _, _, _, idf = S.tfidf_split(spark, d)
+    return rounded(idf, "idf")
+
+
+def _svd(spark, d, k=8):
+    tr, te, ex, vocab, _ = S.tfidf_split(spark, d)
+    n_feat = vocab.agg(F.max("idx")).first()[0] + 1
+    loads, sv = FE.svd_loadings(tr, n_feat, k)
+    return tr, te, ex, loads, sv
+
+
+@register("svd_project")
+def q_svd_project(spark, d):
+    """Rows-only (signs of singular vectors are arbitrary): test docs in SVD space."""
+    _, te, _, loads, _ = _svd(spark, d)
+    p = FE.project(te, loads, 8)
+    return p.select("doc", F.size("features").alias("dims"),
+                    F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
+
+
+@register("kmeans_labels")
+def q_kmeans_labels(spark, d):
+    """Rows-only: K-Means fitted on projected train docs, external docs labelled."""
+    tr, _, ex, loads, _ = _svd(spark, d)
+    model = CL.kmeans_fit(FE.project(tr, loads, 8), 4, restarts=2, max_iter=20)
+    return CL.kmeans_predict(FE.project(ex, loads, 8), model).select("doc", "label")
+
+
+@register("k_sweep")
+def q_k_sweep(spark, d):
+    """Rows-only: folds x k metric rows with K-Means fits on the vectors."""
+    return CL.k_sweep(R.vectors(spark, d), [2, 3], folds=2, restarts=1, max_iter=10)
+
+
+@register("gap_statistic")
+def q_gap(spark, d):
+    """Rows-only: gap statistic with replicated numpy fits in one grouped job."""
+    return CL.gap_statistic(R.vectors(spark, d), [2, 3, 4], B=3, n_init=2)
+
+
+@register("fixed_center_sweep")
+def q_fixed_sweep(spark, d):
+    return rounded(S.fixed_center_sweep(spark, d), "prediction_strength", "silhouette")
+
+
+@register("sweep_summary")
+def q_sweep_summary(spark, d):
+    return rounded(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), "prediction_strength", "silhouette")
+
+
+@register("select_k")
+def q_select_k(spark, d):
+    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.9)
+
+
+@register("select_k_strict")
+def q_select_k_strict(spark, d):
+    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.95)
+
+
+@register("best_fold")
+def q_best_fold(spark, d):
+    m = S.fixed_center_sweep(spark, d)
+    return rounded(CL.best_fold(m, CL.select_k(CL.summarise_sweep(m), 0.9)), "prediction_strength")
+
+
+@register("argmax_k_per_fold")
+def q_argmax_k(spark, d):
+    return rounded(CL.argmax_k_per_fold(S.fixed_center_sweep(spark, d)), "max_prediction_strength")
+
+
+@register("mean_pool")
+def q_mean_pool(spark, d):
+    """Token vectors: vocabulary token -> the vector with id = hash(token) mod n."""
+    from cohortlab.functions.hashing import portable_hash
+    seq = S.sequences(spark, d)
+    toks = SQ.sequence_tokens(seq)
+    v = R.vectors(spark, d)
+    n = v.count()
+    tv = (toks.select(F.col("code").alias("token")).distinct()
+              .withColumn("id", portable_hash(F.col("token"), "tok") % n)
+              .join(v.select("id", "features"), "id").select("token", "features"))
+    pooled = FE.mean_pool(toks, tv)
+    return rounded(pooled.select("patid", F.posexplode("pooled").alias("dim", "value")), "value")

@@ -150,3 +150,49 @@ def bootstrap_refit_labels(spark, sf_dir, reps: int = 3, frac: float = 0.8) -> D
             "rep", "draw", "id", F.col("rl").alias("label"))
         out = lab if out is None else out.unionByName(lab)
     return out
+
+
+# -- features and clustering -------------------------------------------------------------
+
+def tfidf_split(spark, sf_dir, test_fold: int = 0, folds: int = 5):
+    """Internal sequences split into train/test folds, vocabulary from the
+    internal set, idf fitted on train; returns (train_x, test_x, external_x, vocab)."""
+    from cohortlab.operators import features as FE
+    from cohortlab.operators import sequences as SQ
+    from cohortlab.operators import splits as SP
+    seq = sequences_with_practice(spark, sf_dir)
+    internal, external = SP.split_by_group(seq, "pracid", 0.8, "split")
+    vocab = SQ.vocabulary(SQ.sequence_tokens(internal))
+    internal = SP.kfold(internal, "patid", folds, "fold")
+    toks = lambda df: SQ.sequence_tokens(df).where(F.col("code") != "SEP")
+    tr = FE.term_counts(toks(internal.where(F.col("fold") != test_fold)), vocab)
+    te = FE.term_counts(toks(internal.where(F.col("fold") == test_fold)), vocab)
+    ex = FE.term_counts(toks(external), vocab)
+    idf = FE.fit_idf(tr, vocab)
+    return FE.tfidf(tr, idf), FE.tfidf(te, idf), FE.tfidf(ex, idf), vocab, idf
+
+
+def fixed_center_sweep(spark, sf_dir, ks=(2, 3, 4), folds: int = 3) -> DataFrame:
+    """Deterministic (fold, k) metric rows without model fitting.
+
+    Test labels: nearest of the first k global class centers; train centers:
+    per class (< k) the smallest-id train vector.  Scores: prediction
+    strength and silhouette of the test fold.
+    """
+    from cohortlab.operators import metrics as M
+    from cohortlab.operators.splits import kfold
+    v = kfold(R.vectors(spark, sf_dir), "id", folds, "fold")
+    glob = class_center_list(spark, sf_dir)
+    rows = []
+    for f in range(folds):
+        tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
+        for k in ks:
+            tl = M.assign_nearest(te, glob[:k], "features", "test_label")
+            first = tr.where(F.col("label") < k).groupBy("label").agg(F.min("id").alias("id"))
+            c = (tr.join(first, ["label", "id"], "left_semi")
+                   .select(F.col("label").alias("idx"), F.col("features").alias("center")))
+            centers = M.collect_centers(c)
+            ps = M.prediction_strength(tl, "test_label", centers).first()[0]
+            sil = M.silhouette(tl, "test_label").first()[0]
+            rows.append((f + 1, k, float(ps), float(sil) if sil is not None else None))
+    return spark.createDataFrame(rows, "fold int, k int, prediction_strength double, silhouette double")

@@ -654,3 +654,90 @@ ORACLE["pair_ranking_loss"] = vec_sql(f"""select {R6('(r + c) / 2.0')} as loss f
   (select avg(lse - diag) as c from (
      select batch, j, m + ln(sum(exp(s - m))) as lse, max(case when i = j then s end) as diag
      from (select *, max(s) over (partition by batch, j) as m from sc) group by batch, j, m))""", _PRL[:4])
+
+
+# -- features and model selection ------------------------------------------------------------
+_TFIDF = _SPLIT_EXTRA + [
+    ("tdoc", f"""select patid as doc, code, side, {H('patid', chr(39) + 'fold' + chr(39))} % 5 as fold
+        from seqside where code <> 'SEP'"""),
+    ("tf", """select t.doc, v.idx, count(*) as tf, min(t.side) as side, min(t.fold) as fold
+        from tdoc t join vocab v on v.token = t.code where v.idx >= 5 group by t.doc, v.idx"""),
+    ("idf", """select v.idx, ln((1 + (select count(distinct doc) from tf where side = 'internal' and fold <> 0))
+        / (1 + coalesce(d.df, 0))) + 1 as idf
+        from vocab v left join (select idx, count(*) as df from tf where side = 'internal' and fold <> 0 group by idx) d
+        using (idx) where v.idx >= 5"""),
+    ("tw", "select tf.*, tf.tf * i.idf as w from tf join idf i using (idx)"),
+    ("tfidf", "select doc, idx, side, fold, w / sqrt(sum(w * w) over (partition by doc)) as value from tw"),
+]
+ORACLE["tfidf"] = seq_sql(f"select doc, idx, {R6('value')} as value from tfidf where side = 'internal' and fold = 0",
+                          extra=_TFIDF)
+ORACLE["tfidf_external"] = seq_sql(f"select doc, idx, {R6('value')} as value from tfidf where side = 'external'",
+                                   extra=_TFIDF)
+ORACLE["idf"] = seq_sql(f"select idx, {R6('idf')} as idf from idf", extra=_TFIDF)
+
+_SWEEP = [
+    ("vf", f"select *, {H('id', chr(39) + 'fold' + chr(39))} % 3 as fold from vectors"),
+    ("fk", "select * from (values (0), (1), (2)) f(fold), (values (2), (3), (4)) kk(k)"),
+    ("tl", """select fold, k, id, features, idx as test_label from (
+        select fk.fold, fk.k, v.id, v.features, c.idx,
+          row_number() over (partition by fk.fold, fk.k, v.id order by list_distance(v.features, c.center), c.idx) as rn
+        from fk join vf v on v.fold = fk.fold join class_centers c on c.idx < fk.k) where rn = 1"""),
+    ("trm", """select fk.fold, fk.k, v.label as idx, min(v.id) as mid
+        from fk join vf v on v.fold <> fk.fold and v.label < fk.k group by fk.fold, fk.k, v.label"""),
+    ("trc", """select t.fold, t.k, t.idx, v.features as center, row_number() over (partition by t.fold, t.k order by t.idx) - 1 as pos
+        from trm t join vf v on v.id = t.mid"""),
+    ("nr", """select fold, k, id, test_label, pos as near from (
+        select t.fold, t.k, t.id, t.test_label, c.pos,
+          row_number() over (partition by t.fold, t.k, t.id order by list_distance(t.features, c.center), c.pos) as rn
+        from tl t join trc c using (fold, k)) where rn = 1"""),
+    ("cellz", "select fold, k, test_label, near, count(*) as c from nr group by fold, k, test_label, near"),
+    ("psk", """select fold, k, min(case when sz <= 1 then 'inf'::double else m / (sz * (sz - 1) / 2.0) end) as prediction_strength
+        from (select fold, k, test_label, sum(c * (c - 1) / 2.0) as m, sum(c) as sz from cellz group by fold, k, test_label)
+        group by fold, k"""),
+    ("pd2", """select a.fold, a.k, a.id, a.test_label as la, b.test_label as lb, list_distance(a.features, b.features) as d
+        from tl a join tl b on a.fold = b.fold and a.k = b.k and a.id <> b.id"""),
+    ("per2", "select fold, k, id, la, lb, sum(d) / count(*) as md from pd2 group by fold, k, id, la, lb"),
+    ("own2", "select fold, k, test_label, count(*) as n_own from tl group by fold, k, test_label"),
+    ("silk", """select t.fold, t.k, avg(case when o.n_own <= 1 then 0.0 else (b.bmin - a.ai) / greatest(a.ai, b.bmin) end) as silhouette
+        from tl t join own2 o on o.fold = t.fold and o.k = t.k and o.test_label = t.test_label
+        left join (select fold, k, id, md as ai from per2 where la = lb) a on a.fold = t.fold and a.k = t.k and a.id = t.id
+        left join (select fold, k, id, min(md) as bmin from per2 where la <> lb group by fold, k, id) b
+          on b.fold = t.fold and b.k = t.k and b.id = t.id
+        group by t.fold, t.k"""),
+    ("sweep", """select cast(p.fold + 1 as integer) as fold, cast(p.k as integer) as k, p.prediction_strength, s.silhouette
+        from psk p join silk s using (fold, k)"""),
+    ("ssum", "select k, avg(prediction_strength) as prediction_strength, avg(silhouette) as silhouette from sweep group by k"),
+]
+
+
+def sweep_sql(body: str, extra=None) -> str:
+    return vec_sql(body, _SWEEP + (extra or []))
+
+
+def select_k_sql(threshold: float) -> str:
+    return sweep_sql(f"""select cast(coalesce(bs, bf) as integer) as best_k,
+      case when bs is not null then 'prediction_strength' else 'silhouette' end as rule from (
+      select max(case when prediction_strength >= {threshold} then k end) as bs,
+        (select k from ssum order by silhouette desc, k limit 1) as bf from ssum)""")
+
+
+ORACLE["fixed_center_sweep"] = sweep_sql(
+    f"select fold, k, {R6('prediction_strength')} as prediction_strength, {R6('silhouette')} as silhouette from sweep")
+ORACLE["sweep_summary"] = sweep_sql(
+    f"select cast(k as integer) as k, {R6('prediction_strength')} as prediction_strength, {R6('silhouette')} as silhouette from ssum")
+ORACLE["select_k"] = select_k_sql(0.9)
+ORACLE["select_k_strict"] = select_k_sql(0.95)
+ORACLE["best_fold"] = sweep_sql(f"""select k, fold, {R6('prediction_strength')} as prediction_strength from (
+  select s.*, row_number() over (order by prediction_strength desc, fold) as rn from sweep s
+  where k = (select coalesce(max(case when prediction_strength >= 0.9 then k end),
+                             (select k from ssum order by silhouette desc, k limit 1)) from ssum)) where rn = 1""")
+ORACLE["argmax_k_per_fold"] = sweep_sql(f"""select fold, cast(arg_min(k, [-prediction_strength, k]) as integer) as best_k,
+  {R6('max(prediction_strength)')} as max_prediction_strength from sweep group by fold""")
+
+ORACLE["mean_pool"] = with_roles(SEQ_ROLES + ["vectors"], f"""
+select t.patid, cast(u.dim as integer) as dim, {R6('avg(u.x)')} as value
+from seqpos_before t
+join (select token, {H('token', chr(39) + 'tok' + chr(39))} % (select count(*) from vectors) as vid
+      from (select distinct code as token from seqpos_before)) tv on tv.token = t.code
+join (select id, unnest(features) as x, unnest(range(0, len(features))) as dim from vectors) u on u.id = tv.vid
+group by t.patid, u.dim""", COHORT_CTES[: [n for n, _ in COHORT_CTES].index("cohort") + 1] + seq_ctes("before"))
