@@ -46,32 +46,47 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return x.join(norm, "doc").select("doc", "idx", (F.col("w") / F.col("_norm")).alias("value"))
 
 
+GRAMIAN_MAX_FEATURES = 4096   # V x V Gramian on the driver: <= 128 MiB
+
+
 def svd_loadings(x: DataFrame, n_features: int, k: int) -> tuple[DataFrame, list[float]]:
     """Right singular vectors V (idx, comp, v) and singular values.
 
-    Rows of X are assembled as sparse vectors per document and handed to
-    ``RowMatrix.computeSVD`` (Gramian / ARPACK, chosen by Spark).
+    Rows of X are assembled as sparse vectors per document.  Up to
+    ``GRAMIAN_MAX_FEATURES`` columns, X'X is accumulated in ONE distributed
+    pass (``computeGramianMatrix``) and its top-k eigenvectors are taken
+    locally; wider matrices use ``RowMatrix.computeSVD`` (distributed ARPACK,
+    one matrix-vector pass per iteration, nothing V x V on the driver).
     """
+    import numpy as np
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     rows = (x.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("nz"))
              .rdd.map(lambda r: MV.sparse(n_features, [int(e["idx"]) for e in r["nz"]],
                                           [float(e["value"]) for e in r["nz"]])))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    V = svd.V.toArray()                                    # n_features x k
+    mat = RowMatrix(rows)
+    if n_features <= GRAMIAN_MAX_FEATURES:
+        g = mat.computeGramianMatrix().toArray()
+        w, vecs = np.linalg.eigh(g)
+        order = np.argsort(w)[::-1][:k]
+        V = vecs[:, order]
+        sv = np.sqrt(np.maximum(w[order], 0.0))
+    else:
+        svd = mat.computeSVD(k, computeU=False)
+        V, sv = svd.V.toArray(), svd.s.toArray()
     spark = x.sparkSession
     loads = spark.createDataFrame(
         [(int(i), int(c), float(V[i, c])) for i in range(V.shape[0]) for c in range(V.shape[1]) if V[i, c] != 0.0],
         "idx long, comp int, v double")
-    return loads, [float(s) for s in svd.s.toArray()]
+    return loads, [float(s) for s in sv]
 
 
 def project(x: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
     """X.V for sparse rows: (doc, features array<double> of length k)."""
     p = (x.join(loadings, "idx").groupBy("doc", "comp").agg(F.sum(F.col("value") * F.col("v")).alias("s")))
     dense = p.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("comp", "s"))).alias("m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.coalesce(F.element_at(F.col("m"), c), F.lit(0.0)))
+    arr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0.0)))
     return dense.select("doc", arr.alias("features"))
 
 

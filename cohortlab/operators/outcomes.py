@@ -76,26 +76,29 @@ def kaplan_meier(df: DataFrame, time_col: str = "time", event_col: str = "event"
 
     Returns (by, time, at_risk, events, censored, survival, cumulative) with
     cumulative = 1 - S(t) and a starting row (time 0, S = 1) per group when
-    no subject has time 0.  The product window keeps S = 0 exact when every
+    no subject has time 0.  One aggregation to (group, time), then windows
+    over those rows only; the product window keeps S = 0 exact when every
     subject at risk has the event.
     """
     per_t = (df.groupBy(by, F.col(time_col).alias("time"))
                .agg(F.count(F.lit(1)).alias("n"),
                     F.sum(F.col(event_col).cast("long")).alias("events")))
-    w_desc = Window.partitionBy(by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_asc = Window.partitionBy(by).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    g = Window.partitionBy(by)
+    w_desc = g.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_asc = g.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     curve = (per_t.withColumn("at_risk", F.sum("n").over(w_desc))
                   .withColumn("survival", F.product(F.lit(1.0) - F.col("events") / F.col("at_risk")).over(w_asc))
-                  .select(by, F.col("time").cast("int").alias("time"),
-                          F.col("at_risk").cast("bigint"), F.col("events").cast("bigint"),
-                          (F.col("n") - F.col("events")).cast("bigint").alias("censored"),
-                          "survival"))
-    start = (per_t.groupBy(by).agg(F.min("time").alias("tmin"), F.sum("n").alias("at_risk"))
-                  .where(F.col("tmin") > 0)
-                  .select(by, F.lit(0).alias("time"), F.col("at_risk").cast("bigint"),
-                          F.lit(0).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("censored"),
-                          F.lit(1.0).alias("survival")))
-    out = curve.unionByName(start)
+                  .withColumn("_tmin", F.min("time").over(g)))
+    row = F.struct(F.col("time").cast("int").alias("time"), F.col("at_risk").cast("bigint").alias("at_risk"),
+                   F.col("events").cast("bigint").alias("events"),
+                   (F.col("n") - F.col("events")).cast("bigint").alias("censored"),
+                   F.col("survival").alias("survival"))
+    start = F.struct(F.lit(0).alias("time"), F.col("at_risk").cast("bigint").alias("at_risk"),
+                     F.lit(0).cast("bigint").alias("events"), F.lit(0).cast("bigint").alias("censored"),
+                     F.lit(1.0).alias("survival"))
+    first = (F.col("time") == F.col("_tmin")) & (F.col("_tmin") > 0)
+    rows = F.when(first, F.array(start, row)).otherwise(F.array(row))
+    out = curve.select(by, F.inline(rows))
     return out.withColumn("cumulative", F.lit(1.0) - F.col("survival"))
 
 
@@ -114,16 +117,28 @@ def outcome_relabel_map(internal: DataFrame, by: str = "label", event_col: str =
     return rates.select(F.col(by).alias("_old"), F.row_number().over(w).cast("int").alias("_new"))
 
 
-def apply_relabel(df: DataFrame, mapping: DataFrame, by: str = "label") -> DataFrame:
-    # mapping has one row per cluster (bounded by k): broadcast is safe
-    m = F.broadcast(mapping)
-    return (df.join(m, F.col(by) == F.col("_old"), "left")
-              .withColumn(by, F.col("_new")).drop("_old", "_new"))
+MAX_LABELS = 10_000
+
+
+def collect_relabel_map(mapping: DataFrame) -> dict:
+    """The relabel map has one row per cluster; collected with a bound check."""
+    rows = mapping.limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError("too many labels to relabel")
+    return {r["_old"]: r["_new"] for r in rows}
+
+
+def apply_relabel(df: DataFrame, mapping: dict, by: str = "label") -> DataFrame:
+    """Apply a (bounded) old -> new label map as a literal map expression."""
+    if not mapping:
+        return df.withColumn(by, F.lit(None).cast("int"))
+    m = F.create_map(*[x for k, v in sorted(mapping.items()) for x in (F.lit(k), F.lit(v))])
+    return df.withColumn(by, F.try_element_at(m, F.col(by)).cast("int"))
 
 
 def relabel_by_outcome(internal: DataFrame, *others: DataFrame, by: str = "label",
                        event_col: str = "event"):
     """Renumber clusters by internal mortality; same map for external sets."""
-    mapping = outcome_relabel_map(internal, by, event_col)
+    mapping = collect_relabel_map(outcome_relabel_map(internal, by, event_col))
     res = [apply_relabel(internal, mapping, by)] + [apply_relabel(o, mapping, by) for o in others]
     return res[0] if not others else tuple(res)

@@ -14,18 +14,18 @@ from pyspark.sql import functions as F
 from cohortlab.operators import codes as C
 from cohortlab.operators import cohort as CH
 from cohortlab.operators import outcomes as O
+from cohortlab.plans.materialize import literal_table, materialized
 from cohortlab.sources import roles as R
 
 STUDY = CH.CohortConfig(window_start=R.INDEX_WINDOW[0], window_end=R.INDEX_WINDOW[1], least_age=40)
 
 
 def case_code_df(spark: SparkSession) -> DataFrame:
-    rows = [(c,) for c in R.CASE_GP_CODES + R.CASE_ICD_CODES]
-    return spark.createDataFrame(rows, "code string")
+    return literal_table(spark, [(c,) for c in R.CASE_GP_CODES + R.CASE_ICD_CODES], ["code"])
 
 
 def icd_code_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in R.CASE_ICD_CODES], "code string")
+    return literal_table(spark, [(c,) for c in R.CASE_ICD_CODES], ["code"])
 
 
 def harmonised_diagnoses(spark, sf_dir) -> DataFrame:
@@ -38,7 +38,8 @@ def cohort_inputs(spark, sf_dir):
 
 
 def cohort(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
-    return CH.build_cohort(*cohort_inputs(spark, sf_dir), cfg=cfg)
+    return materialized(spark, ("cohort", sf_dir, cfg),
+                        lambda: CH.build_cohort(*cohort_inputs(spark, sf_dir), cfg=cfg))
 
 
 def attrition(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
@@ -47,15 +48,19 @@ def attrition(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
 
 def outcomes(spark, sf_dir, years: int = R.FOLLOW_UP_YEARS) -> DataFrame:
     """Cohort with mortality and hospitalisation outcomes."""
-    mort = O.mortality_outcome(cohort(spark, sf_dir), years=years)
-    return O.hospital_outcome(mort, R.admissions(spark, sf_dir), R.stays(spark, sf_dir),
-                              icd_code_df(spark))
+    def build():
+        mort = O.mortality_outcome(cohort(spark, sf_dir), years=years)
+        return O.hospital_outcome(mort, R.admissions(spark, sf_dir), R.stays(spark, sf_dir),
+                                  icd_code_df(spark))
+    return materialized(spark, ("outcomes", sf_dir, years), build)
 
 
 def labelled_outcomes(spark, sf_dir) -> DataFrame:
     """Outcomes joined to cluster labels (J10), relabelled by mortality."""
-    out = outcomes(spark, sf_dir).join(R.cluster_labels(spark, sf_dir), "patid", "inner")
-    return O.relabel_by_outcome(out)
+    def build():
+        out = outcomes(spark, sf_dir).join(R.cluster_labels(spark, sf_dir), "patid", "inner")
+        return O.relabel_by_outcome(out)
+    return materialized(spark, ("labelled_outcomes", sf_dir), build)
 
 
 def survival_by_cluster(spark, sf_dir, kind: str = "mortality") -> DataFrame:
@@ -70,17 +75,22 @@ def survival_by_cluster(spark, sf_dir, kind: str = "mortality") -> DataFrame:
 def sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
     """M5 over the study cohort; 'after'/'all' include the follow-up end event."""
     from cohortlab.operators import sequences as SQ
-    coh = cohort(spark, sf_dir)
-    ev = R.sequence_events(spark, sf_dir)
-    if stage != "before":
-        ev = ev.unionByName(SQ.followup_end_events(coh))
-    return SQ.build_sequences(ev, coh, stage=stage)
+
+    def build():
+        coh = cohort(spark, sf_dir)
+        ev = R.sequence_events(spark, sf_dir)
+        if stage != "before":
+            ev = ev.unionByName(SQ.followup_end_events(coh))
+        return SQ.build_sequences(ev, coh, stage=stage)
+    return materialized(spark, ("sequences", sf_dir, stage), build)
 
 
 def sequences_with_practice(spark, sf_dir, stage: str = "before") -> DataFrame:
-    """Cohort (patid, pracid, label) joined to its sequences."""
-    coh = cohort(spark, sf_dir).select("patid", "pracid")
-    return coh.join(sequences(spark, sf_dir, stage), "patid", "inner")
+    """Cohort (patid, pracid) joined to its sequences."""
+    def build():
+        coh = cohort(spark, sf_dir).select("patid", "pracid")
+        return coh.join(sequences(spark, sf_dir, stage), "patid", "inner")
+    return materialized(spark, ("sequences_with_practice", sf_dir, stage), build)
 
 
 def labelled_sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
@@ -162,14 +172,17 @@ def tfidf_split(spark, sf_dir, test_fold: int = 0, folds: int = 5):
     from cohortlab.operators import splits as SP
     seq = sequences_with_practice(spark, sf_dir)
     internal, external = SP.split_by_group(seq, "pracid", 0.8, "split")
-    vocab = SQ.vocabulary(SQ.sequence_tokens(internal))
+    vocab = materialized(spark, ("vocab_internal", sf_dir),
+                         lambda: SQ.vocabulary(SQ.sequence_tokens(internal)))
     internal = SP.kfold(internal, "patid", folds, "fold")
     toks = lambda df: SQ.sequence_tokens(df).where(F.col("code") != "SEP")
     tr = FE.term_counts(toks(internal.where(F.col("fold") != test_fold)), vocab)
     te = FE.term_counts(toks(internal.where(F.col("fold") == test_fold)), vocab)
     ex = FE.term_counts(toks(external), vocab)
-    idf = FE.fit_idf(tr, vocab)
-    return FE.tfidf(tr, idf), FE.tfidf(te, idf), FE.tfidf(ex, idf), vocab, idf
+    key = ("tfidf", sf_dir, test_fold, folds)
+    idf = materialized(spark, key + ("idf",), lambda: FE.fit_idf(tr, vocab))
+    m = lambda name, df: materialized(spark, key + (name,), lambda: FE.tfidf(df, idf))
+    return m("train", tr), m("test", te), m("external", ex), vocab, idf
 
 
 def fixed_center_sweep(spark, sf_dir, ks=(2, 3, 4), folds: int = 3) -> DataFrame:
