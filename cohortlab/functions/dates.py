@@ -42,4 +42,4 @@ def age_months(at, dob) -> Column:
 
 def parse_date(c, fmt: str = "dd/MM/yyyy") -> Column:
     """Text date to DATE; unparsable text gives null instead of an error."""
-    return F.try_to_date(_c(c), F.lit(fmt)) if hasattr(F, "try_to_date") else F.to_date(_c(c), fmt)
+    return F.try_to_date(_c(c), fmt)
