@@ -130,3 +130,15 @@ def title_unless_upper(c) -> Column:
     c = _c(c)
     titled = F.when(c == F.upper(c), c).otherwise(F.initcap(c))
     return F.substring(titled, 1, 50)
+
+
+def one_hot(c, values: list, prefix: str | None = None) -> list[Column]:
+    """0/1 indicator columns for known values (null -> all zeros)."""
+    c = _c(c)
+    name = (lambda v: f"{prefix}_{v}") if prefix else (lambda v: str(v))
+    return [F.coalesce(c == F.lit(v), F.lit(False)).cast("int").alias(name(v)) for v in values]
+
+
+def shift_label(c, by: int = 1) -> Column:
+    """shift 0-based cluster labels to 1-based."""
+    return (_c(c) + F.lit(by)).cast("int")

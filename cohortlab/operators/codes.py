@@ -109,3 +109,14 @@ def describe_codes(codes: DataFrame, descriptions: DataFrame, col: str = "code",
     desc = F.coalesce(*chain)
     desc = F.coalesce(decode(desc, DESCRIPTION_SPECIAL_CASES), desc)
     return out.withColumn("description", desc).drop("target", "_fb")
+
+
+def non_overlapping_join(left: DataFrame, right: DataFrame, key: str = "patid", how: str = "inner") -> DataFrame:
+    """Join only the right-side columns absent on the left (plus the key)."""
+    cols = [c for c in right.columns if c not in left.columns and c != key]
+    return left.join(right.select(key, *cols), key, how)
+
+
+def with_row_id(df: DataFrame, col: str = "row_num") -> DataFrame:
+    """Unique (not dense, not stable across re-partitioning) row id."""
+    return df.withColumn(col, F.monotonically_increasing_id())

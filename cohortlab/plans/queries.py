@@ -572,3 +572,37 @@ def q_mean_pool(spark, d):
               .join(v.select("id", "features"), "id").select("token", "features"))
     pooled = FE.mean_pool(toks, tv)
     return rounded(pooled.select("patid", F.posexplode("pooled").alias("dim", "value")), "value")
+
+
+# -- code lists and sides ---------------------------------------------------------------------
+
+@register("case_codes")
+def q_case_codes(spark, d):
+    return CD.case_codes(S.code_list(spark), R.code_dictionary(spark, d), "case", S.icd_code_df(spark))
+
+
+@register("symptom_codes")
+def q_symptom_codes(spark, d):
+    return CD.symptom_codes(S.code_list(spark).where(F.col("name") != "case"), R.code_dictionary(spark, d))
+
+
+@register("index_event_from_definitions")
+def q_index_event_defs(spark, d):
+    codes = CD.case_codes(S.code_list(spark), R.code_dictionary(spark, d), "case", S.icd_code_df(spark))
+    return CH.index_event(S.harmonised_diagnoses(spark, d), codes)
+
+
+@register("relabel_external")
+def q_relabel_external(spark, d):
+    return S.relabelled_sides(spark, d).select("patid", "side", "label", "event")
+
+
+@register("validation_report")
+def q_validation_report(spark, d):
+    """Rows-only: union of one-row metric frames into (section, metric, value)."""
+    v = R.vectors(spark, d)
+    parts = S.vector_partitions(spark, d)
+    return CL.validation_report({
+        "internal": M.calinski_harabasz(v, "label").crossJoin(M.davies_bouldin(v, "label")),
+        "agreement": M.adjusted_rand(parts, "label", "nearest"),
+    })

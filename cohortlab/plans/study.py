@@ -209,3 +209,30 @@ def fixed_center_sweep(spark, sf_dir, ks=(2, 3, 4), folds: int = 3) -> DataFrame
             sil = M.silhouette(tl, "test_label").first()[0]
             rows.append((f + 1, k, float(ps), float(sil) if sil is not None else None))
     return spark.createDataFrame(rows, "fold int, k int, prediction_strength double, silhouette double")
+
+
+# -- code lists ---------------------------------------------------------------------------------
+
+def snomed_of(medcode: str) -> str:
+    """Same value as the derived dictionary's Snomedcode column (portable hash)."""
+    import hashlib
+    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:8], 16) % 1000000)
+
+
+def code_list(spark) -> DataFrame:
+    """Definition lists (system, name, code) against the derived dictionary."""
+    rows = [("read", "case", "R91O"), ("snomed", "case", snomed_of("92P")),
+            ("read", "fall", "R91P"), ("read", "fall", "R93O"), ("snomed", "memory", snomed_of("94P")),
+            ("snomed", "memory", snomed_of("95O")), ("read", "sleep", "R99X")]
+    return literal_table(spark, rows, ["system", "name", "code"])
+
+
+def relabelled_sides(spark, sf_dir) -> DataFrame:
+    """Internal and external outcome sets; the external set takes the
+    internal set's mortality-ordered label map."""
+    from cohortlab.operators import splits as SP
+    out = outcomes(spark, sf_dir).join(R.cluster_labels(spark, sf_dir), "patid", "inner")
+    internal, external = SP.split_by_group(out, "pracid", 0.8, "split")
+    i2, e2 = O.relabel_by_outcome(internal, external)
+    return (i2.withColumn("side", F.lit("internal"))
+              .unionByName(e2.withColumn("side", F.lit("external"))))

@@ -741,3 +741,39 @@ join (select token, {H('token', chr(39) + 'tok' + chr(39))} % (select count(*) f
       from (select distinct code as token from seqpos_before)) tv on tv.token = t.code
 join (select id, unnest(features) as x, unnest(range(0, len(features))) as dim from vectors) u on u.id = tv.vid
 group by t.patid, u.dim""", COHORT_CTES[: [n for n, _ in COHORT_CTES].index("cohort") + 1] + seq_ctes("before"))
+
+
+# -- code lists and sides ------------------------------------------------------------------------
+import hashlib  # noqa: E402
+
+
+def _sn(medcode: str) -> str:
+    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:8], 16) % 1000000)
+
+
+CODE_LIST = f"""select * from (values ('read', 'case', 'R91O'), ('snomed', 'case', '{_sn("92P")}'),
+  ('read', 'fall', 'R91P'), ('read', 'fall', 'R93O'), ('snomed', 'memory', '{_sn("94P")}'),
+  ('snomed', 'memory', '{_sn("95O")}'), ('read', 'sleep', 'R99X')) t(system, name, code)"""
+_CASE = [
+    ("cl", CODE_LIST),
+    ("casec", """select distinct code from (
+        select d.medcode as code from code_dictionary d join cl on cl.name = 'case'
+          and ((cl.system = 'read' and cl.code = d.readcode) or (cl.system = 'snomed' and cl.code = d."Snomedcode"))
+        union all select 'G31')"""),
+]
+ORACLE["case_codes"] = with_roles(["code_dictionary"], "select code from casec", _CASE)
+ORACLE["symptom_codes"] = with_roles(["code_dictionary"], """select distinct cl.name, d.medcode
+  from code_dictionary d join cl on cl.name <> 'case'
+   and ((cl.system = 'read' and cl.code = d.readcode) or (cl.system = 'snomed' and cl.code = d."Snomedcode"))""", _CASE)
+ORACLE["index_event_from_definitions"] = with_roles(["code_dictionary", "diagnoses"], """
+select patid, eventdate as index_date, min(code) as code from (
+  select patid, eventdate, code, min(eventdate) over (partition by patid) as m
+  from hd where code in (select code from casec)) t where eventdate = m group by patid, eventdate""",
+    _CASE + COHORT_CTES[:1])
+ORACLE["relabel_external"] = cohort_sql(f"""select patid, side, cast(r.new_label as integer) as label, event from (
+  select h.*, l.label as old_label, {SIDE.replace('pracid', 'h.pracid')} as side
+  from hosp h join cluster_labels l using (patid)) x
+  left join (select old_label, row_number() over (order by avg(event), old_label) as new_label from (
+      select h.event, l.label as old_label, {SIDE.replace('pracid', 'h.pracid')} as side
+      from hosp h join cluster_labels l using (patid)) where side = 'internal' group by old_label) r using (old_label)""",
+    "hosp")
