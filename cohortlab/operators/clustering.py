@@ -40,13 +40,17 @@ class FittedKMeans:
 def kmeans_fit(df: DataFrame, k: int, features: str = "features", restarts: int = 3,
                max_iter: int = 50, seed: int = 0) -> FittedKMeans:
     """Best of ``restarts`` Spark ML K-Means fits by training cost."""
-    x = df.select(array_to_vector(F.col(features)).alias("vec"))
+    # Lloyd iterations re-read the input: persist it for the restarts
+    x = df.select(array_to_vector(F.col(features)).alias("vec")).persist()
     best = None
-    for r in range(restarts):
-        model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=seed + r, initMode="k-means||").fit(x)
-        cost = float(model.summary.trainingCost)
-        if best is None or cost < best.cost:
-            best = FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()], cost, seed + r)
+    try:
+        for r in range(restarts):
+            model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=seed + r, initMode="k-means||").fit(x)
+            cost = float(model.summary.trainingCost)
+            if best is None or cost < best.cost:
+                best = FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()], cost, seed + r)
+    finally:
+        x.unpersist()
     return best
 
 

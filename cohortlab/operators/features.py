@@ -65,16 +65,22 @@ def svd_loadings(x: DataFrame, n_features: int, k: int) -> tuple[DataFrame, list
     rows = (x.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("nz"))
              .rdd.map(lambda r: MV.sparse(n_features, [int(e["idx"]) for e in r["nz"]],
                                           [float(e["value"]) for e in r["nz"]])))
-    mat = RowMatrix(rows)
-    if n_features <= GRAMIAN_MAX_FEATURES:
-        g = mat.computeGramianMatrix().toArray()
-        w, vecs = np.linalg.eigh(g)
-        order = np.argsort(w)[::-1][:k]
-        V = vecs[:, order]
-        sv = np.sqrt(np.maximum(w[order], 0.0))
-    else:
-        svd = mat.computeSVD(k, computeU=False)
-        V, sv = svd.V.toArray(), svd.s.toArray()
+    # iterative passes re-read the rows: persist them once (spills to disk)
+    from pyspark import StorageLevel
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mat = RowMatrix(rows)
+        if n_features <= GRAMIAN_MAX_FEATURES:
+            g = mat.computeGramianMatrix().toArray()
+            w, vecs = np.linalg.eigh(g)
+            order = np.argsort(w)[::-1][:k]
+            V = vecs[:, order]
+            sv = np.sqrt(np.maximum(w[order], 0.0))
+        else:
+            svd = mat.computeSVD(k, computeU=False)
+            V, sv = svd.V.toArray(), svd.s.toArray()
+    finally:
+        rows.unpersist()
     spark = x.sparkSession
     loads = spark.createDataFrame(
         [(int(i), int(c), float(V[i, c])) for i in range(V.shape[0]) for c in range(V.shape[1]) if V[i, c] != 0.0],

@@ -1,0 +1,2 @@
+"""No streaming operators: the studied analyses are batch-only (no watermark,
+window, stateful or late-data logic anywhere), so nothing is planned here."""
