@@ -72,10 +72,12 @@ def fisher_exact(tables: DataFrame, keys: list[str], a: str = "a", b: str = "b",
     p = sum of hypergeometric probabilities not above the observed one
     (relative tolerance 1e-7); odds ratio ad/bc (inf when bc = 0 < ad,
     null when both are 0).  The support of each table is exploded (bounded
-    by the smaller margin) and summed with a grouped aggregate.
+    by the smaller margin) and summed in one grouped aggregate that also
+    carries the table's own columns - no join back to the input.
     """
-    t = tables.select(*keys, F.col(a).cast("long").alias("_a"), F.col(b).cast("long").alias("_b"),
-                      F.col(c).cast("long").alias("_c"), F.col(d).cast("long").alias("_d"))
+    other = [x for x in tables.columns if x not in keys]
+    t = (tables.withColumn("_a", F.col(a).cast("long")).withColumn("_b", F.col(b).cast("long"))
+               .withColumn("_c", F.col(c).cast("long")).withColumn("_d", F.col(d).cast("long")))
     t = (t.withColumn("_r1", F.col("_a") + F.col("_b")).withColumn("_r2", F.col("_c") + F.col("_d"))
           .withColumn("_c1", F.col("_a") + F.col("_c")))
     t = t.withColumn("_n", F.col("_r1") + F.col("_r2"))
@@ -86,24 +88,34 @@ def fisher_exact(tables: DataFrame, keys: list[str], a: str = "a", b: str = "b",
     x = t.withColumn("_obs", lp(F.col("_a"))).withColumn("_x", F.explode(F.sequence(lo, hi)))
     x = x.withColumn("_lp", lp(F.col("_x")))
     keep = F.col("_lp") <= F.col("_obs") + F.lit(math.log1p(FISHER_RTOL))
-    p = x.groupBy(*keys).agg(F.sum(F.when(keep, F.exp("_lp")).otherwise(F.lit(0.0))).alias("p_value"))
     ad = (F.col("_a") * F.col("_d")).cast("double")
     bc = (F.col("_b") * F.col("_c")).cast("double")
     odds = F.when(bc != 0, ad / bc).when(ad != 0, F.lit(float("inf")))
-    out = t.select(*keys, odds.alias("odds_ratio")).join(p, keys)
+    x = x.withColumn("_odds", odds)
+    out = x.groupBy(*keys).agg(
+        *[F.first(o).alias(o) for o in other],
+        F.first("_odds").alias("odds_ratio"),
+        F.sum(F.when(keep, F.exp("_lp")).otherwise(F.lit(0.0))).alias("p_value"))
     return out.withColumn("p_value", F.least(F.col("p_value"), F.lit(1.0)))
 
 
 def one_vs_rest_counts(counts: DataFrame, family: str, group: str, n: str, k: str) -> DataFrame:
-    """Group counts next to the rest of its family (total - group)."""
-    tot = counts.groupBy(family).agg(F.sum(n).alias("_tn"), F.sum(k).alias("_tk"))
-    j = counts.join(tot, family)
-    return j.select(family, group, F.col(n).alias("group_n"), (F.col("_tn") - F.col(n)).alias("other_n"),
-                    F.col(k).alias("group_k"), (F.col("_tk") - F.col(k)).alias("other_k"))
+    """Group counts next to the rest of its family (total - group).
+
+    Totals are a window over the family's summary rows (one per group), so
+    the summary is not joined back to an aggregate of itself.
+    """
+    w = Window.partitionBy(family)
+    return counts.select(family, group, F.col(n).alias("group_n"), (F.sum(n).over(w) - F.col(n)).alias("other_n"),
+                         F.col(k).alias("group_k"), (F.sum(k).over(w) - F.col(k)).alias("other_k"))
 
 
 def snp_association(dosage: DataFrame, labels: DataFrame, missing: str = "exclude") -> DataFrame:
-    """Fisher test of carriers, each cluster vs all other clusters, per SNP."""
+    """Fisher test of carriers, each cluster vs all other clusters, per SNP.
+
+    One pass over the genotype rows to (snp, label) counts; everything after
+    runs on those summary rows.
+    """
     counts = carrier_counts(dosage, labels.where(F.col("label").isNotNull()), missing)   # P16
     ovr = one_vs_rest_counts(counts, "snp", "label", "n", "carriers")
     tab = ovr.select("snp", cluster_name("label").alias("cluster"),
@@ -114,10 +126,9 @@ def snp_association(dosage: DataFrame, labels: DataFrame, missing: str = "exclud
               .withColumn("c", F.col("other_nonzero")).withColumn("d", F.col("other_n") - F.col("other_nonzero")))
     fx = fisher_exact(tab, ["snp", "cluster"])
     pct = lambda k, n: F.when(F.col(n) > 0, F.col(k) / F.col(n) * 100.0)
-    return (tab.join(fx, ["snp", "cluster"])
-               .select("snp", "cluster", "group_n", "other_n", "group_nonzero", "other_nonzero",
-                       pct("group_nonzero", "group_n").alias("group_pct"),
-                       pct("other_nonzero", "other_n").alias("other_pct"), "odds_ratio", "p_value"))
+    return fx.select("snp", "cluster", "group_n", "other_n", "group_nonzero", "other_nonzero",
+                     pct("group_nonzero", "group_n").alias("group_pct"),
+                     pct("other_nonzero", "other_n").alias("other_pct"), "odds_ratio", "p_value")
 
 
 # -- scores -------------------------------------------------------------------------
@@ -207,8 +218,9 @@ def prs_one_vs_rest(scores: DataFrame, labels: DataFrame) -> DataFrame:
     g = ls.groupBy("trait", "group").agg(F.count("score").alias("n"), F.avg("score").alias("mean"),
                                          F.var_samp("score").alias("var"),
                                          F.sum("score").alias("s1"), F.sum(F.col("score") * F.col("score")).alias("s2"))
-    tot = g.groupBy("trait").agg(F.sum("n").alias("tn"), F.sum("s1").alias("ts1"), F.sum("s2").alias("ts2"))
-    j = g.join(tot, "trait")
+    w = Window.partitionBy("trait")        # one row per cluster in each trait
+    j = (g.withColumn("tn", F.sum("n").over(w)).withColumn("ts1", F.sum("s1").over(w))
+          .withColumn("ts2", F.sum("s2").over(w)))
     rn = (F.col("tn") - F.col("n")).cast("double")
     rs1, rs2 = F.col("ts1") - F.col("s1"), F.col("ts2") - F.col("s2")
     rmean = rs1 / rn

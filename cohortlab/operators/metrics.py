@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cohortlab.functions.numeric import comb2
 from cohortlab.functions.vectors import dot, euclidean, squared_distance
@@ -86,12 +87,20 @@ def crosstab(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> Da
 
 
 def _pair_sums(ct: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    cells = ct.groupBy(*keys).agg(F.sum(comb2("n_ab")).alias("s_ab"), F.sum("n_ab").alias("n"))
-    rows = ct.groupBy(*keys, a).agg(F.sum("n_ab").alias("_na")).groupBy(*keys).agg(F.sum(comb2("_na")).alias("s_a"))
-    cols = ct.groupBy(*keys, b).agg(F.sum("n_ab").alias("_nb")).groupBy(*keys).agg(F.sum(comb2("_nb")).alias("s_b"))
-    if keys:
-        return cells.join(rows, keys).join(cols, keys)
-    return cells.crossJoin(rows).crossJoin(cols)   # three one-row aggregates
+    """Sum of comb2 over cells, row margins and column margins, per key.
+
+    Margins are windows over the contingency cells (ka x kb rows per key);
+    each margin is counted once via its first cell.  One aggregate, no joins.
+    """
+    part = keys or [F.lit(1)]
+    wa = Window.partitionBy(*part, a)
+    wb = Window.partitionBy(*part, b)
+    x = (ct.withColumn("_na", F.sum("n_ab").over(wa)).withColumn("_nb", F.sum("n_ab").over(wb))
+           .withColumn("_fa", F.row_number().over(wa.orderBy(b)) == 1)
+           .withColumn("_fb", F.row_number().over(wb.orderBy(a)) == 1))
+    return x.groupBy(*keys).agg(F.sum(comb2("n_ab")).alias("s_ab"), F.sum("n_ab").alias("n"),
+                                F.sum(F.when(F.col("_fa"), comb2("_na")).otherwise(F.lit(0.0))).alias("s_a"),
+                                F.sum(F.when(F.col("_fb"), comb2("_nb")).otherwise(F.lit(0.0))).alias("s_b"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
