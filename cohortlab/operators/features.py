@@ -49,45 +49,136 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
 GRAMIAN_MAX_FEATURES = 4096   # V x V Gramian on the driver: <= 128 MiB
 
 
-def svd_loadings(x: DataFrame, n_features: int, k: int) -> tuple[DataFrame, list[float]]:
+def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, power_iters: int = 5,
+                 seed: int = 0) -> tuple[DataFrame, list[float]]:
     """Right singular vectors V (idx, comp, v) and singular values.
 
-    Rows of X are assembled as sparse vectors per document.  Up to
-    ``GRAMIAN_MAX_FEATURES`` columns, X'X is accumulated in ONE distributed
-    pass (``computeGramianMatrix``) and its top-k eigenvectors are taken
-    locally; wider matrices use ``RowMatrix.computeSVD`` (distributed ARPACK,
-    one matrix-vector pass per iteration, nothing V x V on the driver).
+    Up to ``GRAMIAN_MAX_FEATURES`` columns X'X is accumulated in ONE
+    distributed pass (``RowMatrix.computeGramianMatrix``) and its top-k
+    eigenvectors are taken locally.  Wider matrices use a randomized range
+    finder with power iterations (Halko, Martinsson & Tropp 2011): 2q + 2
+    passes over X as joins + grouped vector sums, whatever k is; only
+    l x l matrices (l = k + oversample) reach the driver.
     """
+    if n_features > GRAMIAN_MAX_FEATURES:
+        return randomized_svd_loadings(x, n_features, k, oversample, power_iters, seed)
     import numpy as np
+    from pyspark import StorageLevel
     from pyspark.mllib.linalg import Vectors as MV
     from pyspark.mllib.linalg.distributed import RowMatrix
 
     rows = (x.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("nz"))
              .rdd.map(lambda r: MV.sparse(n_features, [int(e["idx"]) for e in r["nz"]],
                                           [float(e["value"]) for e in r["nz"]])))
-    # iterative passes re-read the rows: persist them once (spills to disk)
-    from pyspark import StorageLevel
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        mat = RowMatrix(rows)
-        if n_features <= GRAMIAN_MAX_FEATURES:
-            g = mat.computeGramianMatrix().toArray()
-            w, vecs = np.linalg.eigh(g)
-            order = np.argsort(w)[::-1][:k]
-            V = vecs[:, order]
-            sv = np.sqrt(np.maximum(w[order], 0.0))
-        else:
-            svd = mat.computeSVD(k, computeU=False)
-            V, sv = svd.V.toArray(), svd.s.toArray()
+        g = RowMatrix(rows).computeGramianMatrix().toArray()
     finally:
         rows.unpersist()
-    spark = x.sparkSession
-    loads = spark.createDataFrame(
+    w, vecs = np.linalg.eigh(g)
+    order = np.argsort(w)[::-1][:k]
+    V = vecs[:, order]
+    sv = np.sqrt(np.maximum(w[order], 0.0))
+    loads = x.sparkSession.createDataFrame(
         [(int(i), int(c), float(V[i, c])) for i in range(V.shape[0]) for c in range(V.shape[1]) if V[i, c] != 0.0],
         "idx long, comp int, v double")
     return loads, [float(s) for s in sv]
 
 
+# -- randomized SVD building blocks -------------------------------------------------------
+
+def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str) -> DataFrame:
+    """sum over ``on`` of value * vec: (out_key, vec array) - X.D (on=idx) or X'.D (on=doc).
+
+    ``dense`` is (on, vec array<double>); the product is a join plus a
+    grouped ``Summarizer.sum`` (partial aggregation on the JVM).
+    """
+    j = x.join(dense, on)
+    v = array_to_vector(F.transform("vec", lambda e: e * F.col("value")))
+    s = j.select(out_key, v.alias("_v")).groupBy(out_key).agg(Summarizer.sum(F.col("_v")).alias("_s"))
+    return s.select(out_key, vector_to_array("_s").alias("vec"))
+
+
+def _gram(rows: DataFrame, width: int):
+    """Y'Y for (key, vec) rows: per-task numpy partial Grams, summed on Spark."""
+    import numpy as np
+    import pandas as pd
+
+    def part(it):
+        g = np.zeros((width, width))
+        for pdf in it:
+            if len(pdf):
+                Y = np.stack(pdf["vec"].map(np.asarray).to_numpy()).astype(float)
+                g += Y.T @ Y
+        yield pd.DataFrame({"g": [g.ravel().tolist()]})
+
+    parts = rows.select("vec").mapInPandas(part, "g array<double>")
+    tot = parts.agg(Summarizer.sum(array_to_vector("g")).alias("s")).first()["s"]
+    return np.asarray(tot.toArray()).reshape(width, width)
+
+
+def _times_small(rows: DataFrame, key: str, M) -> DataFrame:
+    """(key, vec) . M for a small dense matrix M (broadcast, numpy per batch)."""
+    import numpy as np
+    import pandas as pd
+    bc = rows.sparkSession.sparkContext.broadcast(M)
+    kt = dict(rows.dtypes)[key]
+
+    def run(it):
+        m = bc.value
+        for pdf in it:
+            if len(pdf):
+                Y = np.stack(pdf["vec"].map(np.asarray).to_numpy()).astype(float)
+                yield pd.DataFrame({key: pdf[key], "vec": list(Y @ m)})
+
+    return rows.mapInPandas(run, f"{key} {kt}, vec array<double>")
+
+
+def _orthonormalise(rows: DataFrame, key: str, width: int):
+    """Q = Y E diag(1/sqrt(lambda)) from the eigen-decomposition of Y'Y
+    (stable even when Y is rank deficient: tiny directions are dropped)."""
+    import numpy as np
+    lam, E = np.linalg.eigh(_gram(rows, width))
+    keep = lam > lam.max() * 1e-12 if lam.max() > 0 else np.zeros_like(lam, dtype=bool)
+    T = E[:, keep] / np.sqrt(lam[keep])
+    return _times_small(rows, key, T), int(keep.sum())
+
+
+def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10,
+                            power_iters: int = 5, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """Randomized truncated SVD of the sparse long matrix (doc, idx, value)."""
+    import numpy as np
+    from cohortlab.functions.hashing import unit_hash
+
+    spark = x.sparkSession
+    l = k + oversample
+    # iterates are checkpointed (reliable, in spark.checkpoint.dir): each
+    # round's plan starts from files, so plans do not grow with iterations
+    ck = lambda df: df.checkpoint(eager=True)
+    x = ck(x.select("doc", "idx", "value"))
+    omega = spark.range(n_features).select(
+        F.col("id").alias("idx"),
+        F.transform(F.sequence(F.lit(0), F.lit(l - 1)),
+                    lambda c: unit_hash(F.concat_ws(":", F.col("id").cast("string"), c.cast("string")),
+                                        f"omega{seed}") * 2.0 - 1.0).alias("vec"))
+    y = ck(_times_sparse(x, omega, "idx", "doc"))                       # X . Omega
+    width = l
+    for it in range(power_iters + 1):
+        q, width = _orthonormalise(y, "doc", width)
+        z = ck(_times_sparse(x, ck(q), "doc", "idx"))                   # X' . Q
+        if it < power_iters:
+            zq, width = _orthonormalise(z, "idx", width)
+            y = ck(_times_sparse(x, ck(zq), "idx", "doc"))              # X . Z
+    lam, W = np.linalg.eigh(_gram(z, width))                            # Z'Z = B B'
+    order = np.argsort(lam)[::-1][:k]
+    sv = np.sqrt(np.maximum(lam[order], 0.0))
+    T = W[:, order] / np.where(sv > 0, sv, 1.0)
+    v = _times_small(z, "idx", T)                                       # V = Z W S^-1
+    loads = ck(v.select(F.col("idx").cast("long"), F.posexplode("vec").alias("comp", "v"))
+                .select("idx", F.col("comp").cast("int"), "v").where(F.col("v") != 0.0))
+    return loads, [float(s) for s in sv]
+
+
 def project(x: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
     """X.V for sparse rows: (doc, features array<double> of length k)."""
     p = (x.join(loadings, "idx").groupBy("doc", "comp").agg(F.sum(F.col("value") * F.col("v")).alias("s")))

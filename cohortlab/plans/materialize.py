@@ -34,7 +34,10 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) ->
 
 def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
     """Checkpoint ``build()`` once per (application, key) and reuse it."""
-    app = spark.sparkContext.applicationId
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - sessions without a local SparkContext
+        app = spark.conf.get("spark.app.id", str(id(spark)))
     k = (app,) + key
     df = _MEMO.get(k)
     if df is None:

@@ -90,3 +90,18 @@ def test_km_survival_non_increasing(spark, sf_small):
         by.setdefault(r.label, []).append(r.survival)
     for s in by.values():
         assert all(a >= b - 1e-12 for a, b in zip(s, s[1:]))
+
+
+def test_randomized_svd_matches_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, i, float(rng.random())) for d in range(40) for i in range(25) if rng.random() < 0.4]
+    x = spark.createDataFrame(rows, "doc int, idx long, value double")
+    loads, sv = FE.randomized_svd_loadings(x, 25, 3, oversample=10, power_iters=5)
+    X = np.zeros((40, 25))
+    for d, i, v in rows:
+        X[d, i] = v
+    assert np.allclose(sv, np.linalg.svd(X, compute_uv=False)[:3], rtol=1e-4)
+    V = np.zeros((25, 3))
+    for r in loads.collect():
+        V[r.idx, r.comp] = r.v
+    assert np.allclose(V.T @ V, np.eye(3), atol=1e-6)
