@@ -192,6 +192,11 @@ def fixed_center_sweep(spark, sf_dir, ks=(2, 3, 4), folds: int = 3) -> DataFrame
     per class (< k) the smallest-id train vector.  Scores: prediction
     strength and silhouette of the test fold.
     """
+    return materialized(spark, ("fixed_sweep", sf_dir, tuple(ks), folds),
+                        lambda: _fixed_center_sweep(spark, sf_dir, ks, folds))
+
+
+def _fixed_center_sweep(spark, sf_dir, ks, folds) -> DataFrame:
     from cohortlab.operators import metrics as M
     from cohortlab.operators.splits import kfold
     v = kfold(R.vectors(spark, sf_dir), "id", folds, "fold")
