@@ -233,3 +233,94 @@ def validation_report(sections: dict[str, DataFrame]) -> DataFrame:
                                             for c in cols]))).withColumn("section", F.lit(name))
         out = long if out is None else out.unionByName(long)
     return out.select("section", "metric", "value")
+
+
+# -- replicate stability with model fitting (R operators) ------------------------------------
+
+def replicated_labels(data: DataFrame, k: int, key: str = "rep", id_col: str = "id",
+                      features: str = "features", n_init: int = 3, max_iter: int = 100,
+                      seed: int = 0) -> DataFrame:
+    """Fit K-Means inside each replicate group and label the group's rows.
+
+    One ``applyInPandas`` job keyed by replicate; every group must be a
+    capped sample (it is clustered inside one task).  Returns (rep, id, label).
+    """
+    key_type = dict(data.dtypes)[key]
+    id_type = dict(data.dtypes)[id_col]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.stack(pdf[features].map(np.asarray).to_numpy()).astype(float)
+        rep = pdf[key].iloc[0]
+        _, C = _lloyd(X, k, n_init, max_iter, abs(seed + (int(rep) + 1) * 7919))
+        d2 = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2 * X @ C.T
+        return pd.DataFrame({key: rep, id_col: pdf[id_col], "label": d2.argmin(1).astype("int32")})
+
+    return (data.select(key, id_col, features).groupBy(key)
+                .applyInPandas(fit, f"{key} {key_type}, {id_col} {id_type}, label int"))
+
+
+def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8, sample_size: int = 2000,
+                      id_col: str = "id", features: str = "features", denominator: str = "all",
+                      n_init: int = 3, seed: int = 0) -> DataFrame:
+    """M20 with training: capped sample, ``reps`` subsamples without
+    replacement (hash < frac), K-Means per subsample, then PAC."""
+    from cohortlab.operators.splits import sample_n
+    xs = sample_n(df.select(id_col, features), sample_size, id_col, f"pac{seed}")
+    subs = (xs.select(id_col, features, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+              .where(unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.col("rep").cast("string")),
+                               f"sub{seed}") < F.lit(frac)))
+    labels = replicated_labels(subs, k, "rep", id_col, features, n_init, seed=seed)
+    return M.consensus_pac(labels, xs.select(id_col), id_col, denominator, max_n=sample_size)
+
+
+def bootstrap_ari_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
+                      features: str = "features", restarts: int = 3, max_iter: int = 50, seed: int = 0,
+                      ddof: int = 0) -> DataFrame:
+    """M21 with training: fit on each with-replacement resample (Spark ML,
+    distributed), label the FULL data with each model, mean/sd of pairwise ARI."""
+    from cohortlab.operators.splits import bootstrap_draws, dense_index
+    base = df.select(id_col, features)
+    n = base.count()
+    drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
+    out = None
+    try:
+        for r in range(reps):
+            model = kmeans_fit(drawn.where(F.col("rep") == r), k, features, restarts, max_iter, seed + r)
+            lab = kmeans_predict(base, model, features, "label").select(F.lit(r).alias("rep"), id_col, "label")
+            out = lab if out is None else out.unionByName(lab)
+        res = M.bootstrap_ari(out.checkpoint(eager=True), id_col, ddof)
+    finally:
+        drawn.unpersist()
+    return res
+
+
+def bootstrap_jaccard_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
+                          features: str = "features", restarts: int = 3, max_iter: int = 50,
+                          seed: int = 0) -> DataFrame:
+    """M22 with training: full-data labels vs labels of a model refitted on
+    each resample (duplicates kept); mean and sd (ddof 0) of the Jaccard."""
+    from cohortlab.operators.splits import bootstrap_draws, dense_index
+    base = df.select(id_col, features)
+    n = base.count()
+    full = kmeans_predict(base, kmeans_fit(base, k, features, restarts, max_iter, seed), features, "label")
+    drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
+    out = None
+    try:
+        for r in range(reps):
+            dr = drawn.where(F.col("rep") == r)
+            model = kmeans_fit(dr, k, features, restarts, max_iter, seed + r + 1)
+            lab = kmeans_predict(dr, model, features, "label").select("rep", "draw", id_col, "label")
+            out = lab if out is None else out.unionByName(lab)
+        res = M.bootstrap_jaccard(out.checkpoint(eager=True), full.select(id_col, "label"), id_col)
+    finally:
+        drawn.unpersist()
+    return res
+
+
+def cross_source_ari_fit(source: DataFrame, target: DataFrame, k: int, features: str = "features",
+                         restarts: int = 3, max_iter: int = 50, seed: int = 0) -> DataFrame:
+    """M26 with training: labels transferred from a model fitted on the
+    source vs the target's own model, as ARI."""
+    ms = kmeans_fit(source, k, features, restarts, max_iter, seed)
+    mt = kmeans_fit(target, k, features, restarts, max_iter, seed)
+    return M.cross_source_ari(target, ms.centers, mt.centers, features)

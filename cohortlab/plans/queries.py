@@ -606,3 +606,30 @@ def q_validation_report(spark, d):
         "internal": M.calinski_harabasz(v, "label").crossJoin(M.davies_bouldin(v, "label")),
         "agreement": M.adjusted_rand(parts, "label", "nearest"),
     })
+
+
+@register("consensus_pac_fit")
+def q_pac_fit(spark, d):
+    """Rows-only: PAC with a K-Means fit per subsample (grouped numpy fits)."""
+    return CL.consensus_pac_fit(R.vectors(spark, d), 4, reps=5, frac=0.8, sample_size=2000, n_init=2)
+
+
+@register("bootstrap_ari_fit")
+def q_bootstrap_ari_fit(spark, d):
+    """Rows-only: bootstrap ARI with Spark ML fits per resample."""
+    return CL.bootstrap_ari_fit(R.vectors(spark, d), 4, reps=3, restarts=1, max_iter=10)
+
+
+@register("bootstrap_jaccard_fit")
+def q_bootstrap_jaccard_fit(spark, d):
+    """Rows-only: bootstrap Jaccard with Spark ML fits per resample."""
+    return CL.bootstrap_jaccard_fit(R.vectors(spark, d), 4, reps=2, restarts=1, max_iter=10)
+
+
+@register("cross_source_ari_fit")
+def q_cross_source_ari_fit(spark, d):
+    """Rows-only: cross-source ARI with K-Means fitted on each source."""
+    from cohortlab.functions.hashing import unit_hash
+    v = R.vectors(spark, d)
+    src = unit_hash(F.col("id"), "src") < F.lit(0.5)
+    return CL.cross_source_ari_fit(v.where(src), v.where(~src), 4, restarts=1, max_iter=10)

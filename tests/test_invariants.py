@@ -105,3 +105,14 @@ def test_randomized_svd_matches_exact(spark):
     for r in loads.collect():
         V[r.idx, r.comp] = r.v
     assert np.allclose(V.T @ V, np.eye(3), atol=1e-6)
+
+
+def test_trained_stability_ranges(spark, vecs):
+    pac = CL.consensus_pac_fit(vecs, 3, reps=3, sample_size=200, n_init=1).first()
+    assert 0.0 <= pac.pac <= 1.0
+    ari = CL.bootstrap_ari_fit(vecs, 3, reps=2, restarts=1, max_iter=5).first()
+    assert -1.0 <= ari.mean_ari <= 1.0 and ari.sd_ari >= 0.0
+    jac = CL.bootstrap_jaccard_fit(vecs, 3, reps=2, restarts=1, max_iter=5).first()
+    assert 0.0 <= jac.mean_jaccard <= 1.0
+    same = CL.cross_source_ari_fit(vecs, vecs, 3, restarts=1, max_iter=5, seed=1).first()
+    assert same.ari == pytest.approx(1.0)
