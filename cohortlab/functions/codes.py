@@ -119,10 +119,14 @@ def sequence_text(c) -> Column:
     return F.coalesce(F.array_join(_c(c), " "), F.lit(""))
 
 
+WHITESPACE = "[ \t\n\r\f]+"
+
+
 def text_tokens_normalised(c) -> Column:
-    """F9 for text cells: commas to blanks, whitespace collapsed, null -> ''."""
+    """F9 for text cells: commas to blanks, whitespace runs to one blank,
+    trimmed, null -> ''."""
     s = F.regexp_replace(F.coalesce(_c(c), F.lit("")), ",", " ")
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
+    return F.trim(F.regexp_replace(s, WHITESPACE, " "))
 
 
 def title_unless_upper(c) -> Column:

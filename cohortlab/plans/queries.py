@@ -633,3 +633,19 @@ def q_cross_source_ari_fit(spark, d):
     v = R.vectors(spark, d)
     src = unit_hash(F.col("id"), "src") < F.lit(0.5)
     return CL.cross_source_ari_fit(v.where(src), v.where(~src), 4, restarts=1, max_iter=10)
+
+
+@register("index_code_counts")
+def q_index_code_counts(spark, d):
+    """A5: cohort patients per index code, by descending frequency with share."""
+    return rounded(PR.value_counts(S.cohort(spark, d), "code"), "share")
+
+
+@register("text_normalise")
+def q_text_normalise(spark, d):
+    """F9 on whole document texts: token count and a digest of the normalised text."""
+    from cohortlab.functions.codes import text_tokens_normalised
+    docs = R.table(spark, d, "documents").select("doc_id", "text")
+    t = text_tokens_normalised("text")
+    n = F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    return docs.select("doc_id", n.alias("n_tokens"), F.md5(t).alias("digest"))

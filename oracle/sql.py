@@ -777,3 +777,10 @@ ORACLE["relabel_external"] = cohort_sql(f"""select patid, side, cast(r.new_label
       select h.event, l.label as old_label, {SIDE.replace('pracid', 'h.pracid')} as side
       from hosp h join cluster_labels l using (patid)) where side = 'internal' group by old_label) r using (old_label)""",
     "hosp")
+
+
+ORACLE["index_code_counts"] = cohort_sql(
+    f"select code, count(*) as n, {R6('count(*) / sum(count(*)) over ()')} as share from cohort group by code", "cohort")
+_NORM = "trim(regexp_replace(replace(coalesce(text, ''), ',', ' '), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+ORACLE["text_normalise"] = f"""select doc_id, cast(case when {_NORM} = '' then 0 else len(string_split({_NORM}, ' ')) end as integer) as n_tokens,
+  md5({_NORM}) as digest from documents"""
