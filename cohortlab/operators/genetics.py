@@ -190,16 +190,25 @@ def bh_adjust(df: DataFrame, p_col: str = "p_val", by: list[str] | None = None,
 
 
 def pairwise_tests(summary: DataFrame, group: str = "group") -> DataFrame:
-    """J16 + M30/M31 for every unordered pair of groups within a trait."""
-    s1 = summary.select("trait", F.col(group).alias("group1"), F.col("n").alias("n1"),
-                        F.col("mean").alias("mean1"), F.col("var").alias("v1"))
-    s2 = summary.select("trait", F.col(group).alias("group2"), F.col("n").alias("n2"),
-                        F.col("mean").alias("mean2"), F.col("var").alias("v2"))
-    pairs = s1.join(s2, "trait").where(F.col("group1") < F.col("group2"))
+    """J16 + M30/M31 for every unordered pair of groups within a trait.
+
+    The few summary rows of a trait are gathered into one sorted array and
+    the pairs (g1 < g2) are generated with higher-order functions - one pass
+    over the summary, no self-join (which would recompute it).
+    """
+    per = summary.groupBy("trait").agg(F.sort_array(F.collect_list(
+        F.struct(F.col(group).alias("g"), "n", "mean", "var"))).alias("_s"))
+    pairs = F.flatten(F.transform("_s", lambda a, i: F.transform(
+        F.slice("_s", i + 2, F.greatest(F.size("_s") - i - 1, F.lit(0))), lambda b: F.struct(a.alias("p"), b.alias("q")))))
+    x = per.select("trait", F.explode(pairs).alias("_pq"))
+    x = x.select("trait", F.col("_pq.p.g").alias("group1"), F.col("_pq.q.g").alias("group2"),
+                 F.col("_pq.p.n").alias("n1"), F.col("_pq.q.n").alias("n2"),
+                 F.col("_pq.p.mean").alias("mean1"), F.col("_pq.q.mean").alias("mean2"),
+                 F.col("_pq.p.var").alias("v1"), F.col("_pq.q.var").alias("v2"))
     t, df, p = welch(F.col("n1"), F.col("mean1"), F.col("v1"), F.col("n2"), F.col("mean2"), F.col("v2"))
-    return pairs.select("trait", "group1", "group2", "n1", "n2", "mean1", "mean2",
-                        t.alias("t_stat"), df.alias("dof"), p.alias("p_val"),
-                        cohen_d(F.col("mean1"), F.col("v1"), F.col("mean2"), F.col("v2")).alias("cohen_d"))
+    return x.select("trait", "group1", "group2", "n1", "n2", "mean1", "mean2",
+                    t.alias("t_stat"), df.alias("dof"), p.alias("p_val"),
+                    cohen_d(F.col("mean1"), F.col("v1"), F.col("mean2"), F.col("v2")).alias("cohen_d"))
 
 
 def prs_pairwise(scores: DataFrame, labels: DataFrame, alpha: float = 0.05) -> DataFrame:

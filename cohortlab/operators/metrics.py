@@ -180,15 +180,17 @@ def prediction_strength(test: DataFrame, test_label: str, train_centers: list[li
 
 # -- dispersion-based indices -------------------------------------------------------------
 
-def with_centroids(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+def with_centroids(df: DataFrame, label: str = "label", features: str = "features",
+                   centroids: DataFrame | None = None) -> DataFrame:
     """Points joined to their cluster centroid; centroids are k rows (bounded broadcast)."""
-    cen = cluster_centroids(df, label, features)
+    cen = centroids if centroids is not None else cluster_centroids(df, label, features)
     return df.join(F.broadcast(cen), label)
 
 
-def within_dispersion(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+def within_dispersion(df: DataFrame, label: str = "label", features: str = "features",
+                      centroids: DataFrame | None = None) -> DataFrame:
     """Inertia sum ||x - centroid(label)||^2 (one row)."""
-    x = with_centroids(df, label, features)
+    x = with_centroids(df, label, features, centroids)
     return x.agg(F.sum(squared_distance(F.col(features), F.col("centroid"))).alias("inertia"))
 
 
@@ -200,16 +202,23 @@ def inertia_to_centers(df: DataFrame, centers: list[list[float]], features: str
 
 
 def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
-    """(B / (k - 1)) / (W / (n - k)); fewer than 2 clusters -> null."""
+    """(B / (k - 1)) / (W / (n - k)); fewer than 2 clusters -> null.
+
+    B comes from the k centroid rows alone (the overall mean is their
+    size-weighted mean); W is one pass of the points against their centroid.
+    """
     cen = cluster_centroids(df, label, features)
-    overall = (to_vector(df, features)
-               .agg(Summarizer.metrics("mean", "count").summary(F.col("vec")).alias("s"))
-               .select(vector_to_array(F.col("s.mean")).alias("mu"), F.col("s.count").alias("n_all")))
-    b = (cen.crossJoin(overall)   # one-row overall mean
-            .agg(F.sum(F.col("n") * squared_distance(F.col("centroid"), F.col("mu"))).alias("B"),
-                 F.count(F.lit(1)).alias("k"), F.first("n_all").alias("n_all")))
-    w = within_dispersion(df, label, features)
-    j = b.crossJoin(w)            # two one-row aggregates
+    cs = cen.agg(F.collect_list(F.struct("n", "centroid")).alias("_c"))
+    tot = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    dim = F.size(F.col("_c")[0]["centroid"])
+    mu = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.aggregate(
+        "_c", F.lit(0.0), lambda acc, c: acc + c["n"] * c["centroid"][i]) / tot)
+    bstat = cs.select(F.size("_c").alias("k"), tot.alias("n_all"),
+                      F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["n"] * F.aggregate(
+                          F.zip_with(c["centroid"], mu, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                          lambda s, v: s + v)).alias("B"))
+    w = within_dispersion(df, label, features, cen)
+    j = bstat.crossJoin(w)        # two one-row aggregates
     k, n = F.col("k"), F.col("n_all")
     ch = F.when((k > 1) & (F.col("inertia") > 0),
                 (F.col("B") / (k - 1)) / (F.col("inertia") / (n - k)))
@@ -219,19 +228,24 @@ def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "feat
 def davies_bouldin(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j).
 
-    s_i = mean distance of cluster i's points to its centroid.  The pair
-    step joins the k centroid rows with themselves (k^2 rows).
+    s_i = mean distance of cluster i's points to its centroid.  The k
+    per-cluster rows are gathered into one array and the k x k ratios are
+    computed with higher-order functions (no self-join).
     """
     x = with_centroids(df, label, features)
     s = x.groupBy(label).agg(F.avg(euclidean(F.col(features), F.col("centroid"))).alias("s"),
                              F.first("centroid").alias("c"))
-    a = s.select(F.col(label).alias("i"), F.col("s").alias("si"), F.col("c").alias("ci"))
-    b = s.select(F.col(label).alias("j"), F.col("s").alias("sj"), F.col("c").alias("cj"))
-    pairs = a.join(F.broadcast(b), F.col("i") != F.col("j"))
-    dij = euclidean(F.col("ci"), F.col("cj"))
-    r = pairs.withColumn("r", F.when(dij > 0, (F.col("si") + F.col("sj")) / dij).otherwise(F.lit(float("inf"))))
-    per = r.groupBy("i").agg(F.max("r").alias("rmax"))
-    return per.agg(F.avg("rmax").alias("davies_bouldin"))
+    arr = s.agg(F.collect_list(F.struct(F.col(label).alias("i"), "s", "c")).alias("_a"))
+
+    def worst(a):
+        others = F.filter("_a", lambda b: b["i"] != a["i"])
+        r = F.transform(others, lambda b: F.when(euclidean(a["c"], b["c"]) > 0,
+                                                   (a["s"] + b["s"]) / euclidean(a["c"], b["c"]))
+                        .otherwise(F.lit(float("inf"))))
+        return F.array_max(r)
+
+    per = F.transform("_a", worst)
+    return arr.select((F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size(per)).alias("davies_bouldin"))
 
 
 def minmax_scale(df: DataFrame, features: str = "features", out: str | None = None) -> DataFrame:
