@@ -207,7 +207,8 @@ def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "feat
     B comes from the k centroid rows alone (the overall mean is their
     size-weighted mean); W is one pass of the points against their centroid.
     """
-    cen = cluster_centroids(df, label, features)
+    # k rows, used twice: written once so the points are read in two passes only
+    cen = cluster_centroids(df, label, features).checkpoint(eager=True)
     cs = cen.agg(F.collect_list(F.struct("n", "centroid")).alias("_c"))
     tot = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
     dim = F.size(F.col("_c")[0]["centroid"])
