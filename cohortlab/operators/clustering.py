@@ -147,7 +147,7 @@ def gap_statistic(df: DataFrame, ks: list[int], B: int = 10, id_col: str = "id",
                   max_n: int = M.DEFAULT_PAIR_CAP, n_init: int = 3, seed: int = 0) -> DataFrame:
     """Gap statistic on a capped hash sample, min-max scaled."""
     from cohortlab.operators.splits import sample_n
-    xs = M.minmax_scale(sample_n(df.select(id_col, features), max_n, id_col, "gap"), features)
+    xs = M.minmax_scale(sample_n(df.select(id_col, features), max_n, id_col, "gap"), features).checkpoint(eager=True)
     obs = replicated_inertia(xs.withColumn("rep", F.lit(-1)), ks, "rep", features, n_init, seed=seed)
     ref = replicated_inertia(uniform_reference(xs, B, id_col, features).withColumnRenamed("b", "rep"),
                              ks, "rep", features, n_init, seed=seed + 1)
@@ -265,7 +265,7 @@ def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8,
     """M20 with training: capped sample, ``reps`` subsamples without
     replacement (hash < frac), K-Means per subsample, then PAC."""
     from cohortlab.operators.splits import sample_n
-    xs = sample_n(df.select(id_col, features), sample_size, id_col, f"pac{seed}")
+    xs = sample_n(df.select(id_col, features), sample_size, id_col, f"pac{seed}").checkpoint(eager=True)
     subs = (xs.select(id_col, features, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
               .where(unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.col("rep").cast("string")),
                                f"sub{seed}") < F.lit(frac)))

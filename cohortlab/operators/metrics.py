@@ -279,7 +279,8 @@ def silhouette_points(df: DataFrame, label: str = "label", features: str = "feat
     the sample with numpy.
     """
     spark = df.sparkSession
-    sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt)
+    # the capped sample is used twice (broadcast copy and row blocks): written once
+    sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt).checkpoint(eager=True)
     pdf = _bounded_pandas(sample, max_n)
     if pdf.empty:
         return spark.createDataFrame([], f"{id_col} long, {label} int, s double")
