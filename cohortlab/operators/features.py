@@ -41,9 +41,11 @@ def fit_idf(train_tf: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     """tf x idf, then L2-normalised per document -> (doc, idx, value)."""
+    from pyspark.sql.window import Window
     x = tf.join(idf, "idx").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return x.join(norm, "doc").select("doc", "idx", (F.col("w") / F.col("_norm")).alias("value"))
+    # per-document norm as a window over that document's terms (no self-join)
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return x.select("doc", "idx", (F.col("w") / norm).alias("value"))
 
 
 GRAMIAN_MAX_FEATURES = 4096   # V x V Gramian on the driver: <= 128 MiB
@@ -180,11 +182,17 @@ def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: i
 
 
 def project(x: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
-    """X.V for sparse rows: (doc, features array<double> of length k)."""
-    p = (x.join(loadings, "idx").groupBy("doc", "comp").agg(F.sum(F.col("value") * F.col("v")).alias("s")))
-    dense = p.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("comp", "s"))).alias("m"))
-    arr = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0.0)))
-    return dense.select("doc", arr.alias("features"))
+    """X.V for sparse rows: (doc, features array<double> of length k).
+
+    Loadings become one k-vector per term; each non-zero contributes
+    value * V[idx] and the per-document sum is a ``Summarizer.sum``
+    (one shuffled row per non-zero, partial aggregation).
+    """
+    wide = (loadings.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
+                    .select("idx", F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                                               lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0.0)))
+                            .alias("vec")))
+    return _times_sparse(x, wide, "idx", "doc").withColumnRenamed("vec", "features")
 
 
 def mean_pool(tokens: DataFrame, token_vectors: DataFrame, doc_col: str = "patid",

@@ -44,10 +44,11 @@ def hospital_admissions(admissions: DataFrame, stays: DataFrame, icd_codes: Data
     J7 is a composite-key join on (patid, spno); ``stays`` must hold one row
     per stay, otherwise the join fans out.
     """
-    st = stays.where(F.col("duration") >= min_duration).select("patid", "spno")     # P19
-    hes = (admissions.join(st, ["patid", "spno"], "inner")                         # J7
-                     .withColumn("code", strip_dots("ICD")))                       # F6
-    return filter_codes(hes, icd_codes).select("patid", "spno", "admidate")        # P7
+    # the case-code filter runs first: it keeps a small fraction of the
+    # admissions, so the composite-key join with stays shuffles only those
+    case = filter_codes(admissions.withColumn("code", strip_dots("ICD")), icd_codes)   # F6 + P7
+    st = stays.where(F.col("duration") >= min_duration).select("patid", "spno")        # P19
+    return case.join(st, ["patid", "spno"], "inner").select("patid", "spno", "admidate")  # J7
 
 
 def hospital_outcome(outcomes: DataFrame, admissions: DataFrame, stays: DataFrame,
