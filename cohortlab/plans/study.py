@@ -129,19 +129,27 @@ def replicate_labels(spark, sf_dir, reps: int = 5, frac: float = 0.8, full: bool
     class the subsampled vector with the smallest hash(id, 'ctr<r>') as a
     center and labels by nearest center (its class).  ``full`` labels every
     vector (fit on the subsample, predict all), otherwise only the subsample.
+    All replicates are handled together: one grouped job builds every
+    replicate's centers (reps x classes rows, joined back as one array per
+    replicate), one projection labels the rows.
     """
-    from cohortlab.functions.hashing import unit_hash
-    from cohortlab.operators.metrics import assign_nearest
+    from cohortlab.functions.hashing import portable_hash, unit_hash
+    from cohortlab.functions.vectors import squared_distance
     v = R.vectors(spark, sf_dir)
-    out = None
-    for r in range(reps):
-        sub = v.where(unit_hash(F.col("id"), f"pac{r}") < F.lit(frac))
-        centers, ids = _rep_centers(sub, r)
-        target = v if full else sub
-        lab = assign_nearest(target, centers, "features", "rl", ids).select(
-            F.lit(r).alias("rep"), "id", F.col("rl").alias("label"))
-        out = lab if out is None else out.unionByName(lab)
-    return out
+    x = v.select("id", "label", "features", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    rep_s = F.col("rep").cast("string")
+    sampled = unit_hash(F.col("id"), F.concat(F.lit("pac"), rep_s)) < F.lit(frac)
+    x = x.withColumn("_in", sampled)
+    cen = (x.where("_in").groupBy("rep", "label")
+             .agg(F.min_by("features", portable_hash(F.col("id"), F.concat(F.lit("ctr"), rep_s))).alias("center"))
+             .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("idx"), "center")))
+                                 .alias("_c")))
+    target = x if full else x.where("_in")
+    # one row per replicate (bounded by reps): broadcast
+    j = target.join(F.broadcast(cen), "rep")
+    d = F.transform("_c", lambda c: squared_distance(F.col("features"), c["center"]))
+    pos = F.array_position(d, F.array_min(d)).cast("int")
+    return j.select("rep", "id", F.element_at("_c", pos)["idx"].cast("int").alias("label"))
 
 
 def bootstrap_refit_labels(spark, sf_dir, reps: int = 3, frac: float = 0.8) -> DataFrame:
