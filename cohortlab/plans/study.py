@@ -154,20 +154,23 @@ def replicate_labels(spark, sf_dir, reps: int = 5, frac: float = 0.8, full: bool
 
 def bootstrap_refit_labels(spark, sf_dir, reps: int = 3, frac: float = 0.8) -> DataFrame:
     """(rep, draw, id, label): with-replacement draws labelled by centers
-    chosen from the drawn rows (per class, smallest hash(id, 'ctr<r>'))."""
-    from cohortlab.operators.metrics import assign_nearest
+    chosen from the drawn rows (per class, smallest hash(id, 'ctr<r>')),
+    all replicates in one grouped job plus one projection."""
+    from cohortlab.functions.hashing import portable_hash
+    from cohortlab.functions.vectors import squared_distance
     from cohortlab.operators.splits import bootstrap_draws, dense_index
     v = R.vectors(spark, sf_dir)
     n = v.count()
-    drawn = bootstrap_draws(dense_index(v, "id", "idx"), n, reps, frac, "boot")
-    out = None
-    for r in range(reps):
-        dr = drawn.where(F.col("rep") == r)
-        centers, ids = _rep_centers(dr, r)
-        lab = assign_nearest(dr, centers, "features", "rl", ids).select(
-            "rep", "draw", "id", F.col("rl").alias("label"))
-        out = lab if out is None else out.unionByName(lab)
-    return out
+    drawn = bootstrap_draws(dense_index(v, "id", "idx"), n, reps, frac, "boot").checkpoint(eager=True)
+    rep_s = F.col("rep").cast("string")
+    cen = (drawn.groupBy("rep", "label")
+                .agg(F.min_by("features", portable_hash(F.col("id"), F.concat(F.lit("ctr"), rep_s))).alias("center"))
+                .groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("idx"), "center")))
+                                    .alias("_c")))
+    j = drawn.join(F.broadcast(cen), "rep")      # one row per replicate
+    d = F.transform("_c", lambda c: squared_distance(F.col("features"), c["center"]))
+    pos = F.array_position(d, F.array_min(d)).cast("int")
+    return j.select("rep", "draw", "id", F.element_at("_c", pos)["idx"].cast("int").alias("label"))
 
 
 # -- features and clustering -------------------------------------------------------------
