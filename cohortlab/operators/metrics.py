@@ -221,8 +221,10 @@ def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "feat
     w = within_dispersion(df, label, features, cen)
     j = bstat.crossJoin(w)        # two one-row aggregates
     k, n = F.col("k"), F.col("n_all")
-    ch = F.when((k > 1) & (F.col("inertia") > 0),
-                (F.col("B") / (k - 1)) / (F.col("inertia") / (n - k)))
+    # W = 0 (every point on its centroid) scores 1.0 by convention
+    ch = (F.when(k <= 1, F.lit(None).cast("double"))
+           .when(F.col("inertia") == 0, F.lit(1.0))
+           .otherwise((F.col("B") / (k - 1)) / (F.col("inertia") / (n - k))))
     return j.select(ch.alias("calinski_harabasz"))
 
 
@@ -239,14 +241,20 @@ def davies_bouldin(df: DataFrame, label: str = "label", features: str = "feature
     arr = s.agg(F.collect_list(F.struct(F.col(label).alias("i"), "s", "c")).alias("_a"))
 
     def worst(a):
+        # coinciding centroids divide by +inf (ratio 0), as in the usual definition
         others = F.filter("_a", lambda b: b["i"] != a["i"])
         r = F.transform(others, lambda b: F.when(euclidean(a["c"], b["c"]) > 0,
                                                    (a["s"] + b["s"]) / euclidean(a["c"], b["c"]))
-                        .otherwise(F.lit(float("inf"))))
+                        .otherwise(F.lit(0.0)))
         return F.array_max(r)
 
     per = F.transform("_a", worst)
-    return arr.select((F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size(per)).alias("davies_bouldin"))
+    all_s0 = F.aggregate("_a", F.lit(True), lambda acc, b: acc & (b["s"] == 0))
+    pair_d = F.flatten(F.transform("_a", lambda a: F.transform(
+        F.filter("_a", lambda b: b["i"] != a["i"]), lambda b: euclidean(a["c"], b["c"]))))
+    all_d0 = F.aggregate(pair_d, F.lit(True), lambda acc, x: acc & (x == 0))
+    mean = F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size(per)
+    return arr.select(F.when(all_s0 | all_d0, F.lit(0.0)).otherwise(mean).alias("davies_bouldin"))
 
 
 def minmax_scale(df: DataFrame, features: str = "features", out: str | None = None) -> DataFrame:

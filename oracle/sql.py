@@ -561,10 +561,10 @@ _DISP = [
         from cen a join cen b on a.dim = b.dim and a.label <> b.label group by a.label, b.label"""),
 ]
 ORACLE["calinski_harabasz"] = vec_sql(
-    f"select {R6('case when k > 1 and w > 0 then (b / (k - 1)) / (w / (n - k)) end')} as calinski_harabasz from bw", _DISP)
+    f"select {R6('case when k <= 1 then null when w = 0 then 1.0 else (b / (k - 1)) / (w / (n - k)) end')} as calinski_harabasz from bw", _DISP)
 ORACLE["within_dispersion"] = vec_sql(f"select {R6('w')} as inertia from bw", _DISP)
-ORACLE["davies_bouldin"] = vec_sql(f"""select {R6('avg(rmax)')} as davies_bouldin from (
-  select c.i, max(case when c.dij > 0 then (si.s + sj.s) / c.dij else 'inf'::double end) as rmax
+ORACLE["davies_bouldin"] = vec_sql(f"""select {R6("case when (select max(s) from spread) = 0 or (select max(dij) from cdist) = 0 then 0.0 else avg(rmax) end")} as davies_bouldin from (
+  select c.i, max(case when c.dij > 0 then (si.s + sj.s) / c.dij else 0.0 end) as rmax
   from cdist c join spread si on si.label = c.i join spread sj on sj.label = c.j group by c.i)""", _DISP)
 ORACLE["inertia_to_centers"] = vec_sql(f"""select {R6('sum(d2)')} as inertia from (
   select id, min(pow(dist, 2)) as d2 from nv group by id)""")

@@ -226,3 +226,13 @@ def test_contrastive_views_edge_cases(spark):
     assert v[2].pre_code == ["A", "SEP"] and v[2].post_code == []
     assert v[3].pre_code in (["A", "SEP"], ["A", "SEP", "B", "SEP"])
     assert v[3].pre_code + v[3].post_code == ["A", "SEP", "B", "SEP", "C", "SEP"]
+
+
+def test_dispersion_index_conventions(spark):
+    df = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, [1.0, 1.0], 1), (4, [1.0, 1.0], 1)],
+                               "id int, features array<double>, label int")
+    assert M.calinski_harabasz(df, "label").first()[0] == 1.0          # W = 0
+    assert M.davies_bouldin(df, "label").first()[0] == 0.0             # all spreads 0
+    same = spark.createDataFrame([(1, [0.0], 0), (2, [2.0], 0), (3, [0.0], 1), (4, [2.0], 1)],
+                                 "id int, features array<double>, label int")
+    assert M.davies_bouldin(same, "label").first()[0] == 0.0           # centroids coincide
