@@ -154,8 +154,9 @@ def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: i
 
     spark = x.sparkSession
     l = k + oversample
-    # iterates are checkpointed (reliable, in spark.checkpoint.dir): each
-    # round's plan starts from files, so plans do not grow with iterations
+    # iterates read twice (y, z) are checkpointed (reliable, in
+    # spark.checkpoint.dir): each round's plan starts from files, so plans
+    # do not grow with the iterations and a lost executor re-reads files
     ck = lambda df: df.checkpoint(eager=True)
     x = ck(x.select("doc", "idx", "value"))
     omega = spark.range(n_features).select(
@@ -167,10 +168,10 @@ def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: i
     width = l
     for it in range(power_iters + 1):
         q, width = _orthonormalise(y, "doc", width)
-        z = ck(_times_sparse(x, ck(q), "doc", "idx"))                   # X' . Q
+        z = ck(_times_sparse(x, q, "doc", "idx"))                       # X' . Q (q read once)
         if it < power_iters:
             zq, width = _orthonormalise(z, "idx", width)
-            y = ck(_times_sparse(x, ck(zq), "idx", "doc"))              # X . Z
+            y = ck(_times_sparse(x, zq, "idx", "doc"))                  # X . Z (zq read once)
     lam, W = np.linalg.eigh(_gram(z, width))                            # Z'Z = B B'
     order = np.argsort(lam)[::-1][:k]
     sv = np.sqrt(np.maximum(lam[order], 0.0))
