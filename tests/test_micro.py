@@ -236,3 +236,99 @@ def test_dispersion_index_conventions(spark):
     same = spark.createDataFrame([(1, [0.0], 0), (2, [2.0], 0), (3, [0.0], 1), (4, [2.0], 1)],
                                  "id int, features array<double>, label int")
     assert M.davies_bouldin(same, "label").first()[0] == 0.0           # centroids coincide
+
+
+def test_vocab_encode_truncate_pad_mask(spark):
+    seq = spark.createDataFrame([(1, ["B", "SEP", "Z", "A", "SEP"], [1] * 5, [1] * 5)],
+                                "patid int, code array<string>, year array<int>, age array<int>")
+    vocab = SQ.vocabulary(spark.createDataFrame([("A",), ("B",)], "code string"))
+    got = {r.token: r.idx for r in vocab.collect()}
+    assert got == {"PAD": 0, "UNK": 1, "SEP": 2, "CLS": 3, "MASK": 4, "A": 5, "B": 6}
+    r = SQ.vocab_encode(seq, vocab, max_len=4).first()
+    assert r.input_ids == [3, 6, 2, 1] and r.attention_mask == [1, 1, 1, 1]
+    r = SQ.vocab_encode(seq, vocab, max_len=8).first()
+    assert r.input_ids == [3, 6, 2, 1, 5, 2, 0, 0] and r.attention_mask == [1] * 6 + [0, 0]
+    kept = [x.code for x in SQ.keep_vocabulary(seq, vocab).orderBy("pos").collect()]
+    assert kept == ["B", "A"]
+
+
+def test_hospital_outcome_fallback_and_window(spark):
+    out = spark.createDataFrame([
+        (1, D(2000, 1, 1), D(2001, 6, 1), D(2002, 1, 1)),   # no admission: least(dod, end)
+        (2, D(2000, 1, 1), None, D(2002, 1, 1)),             # admission in window
+        (3, D(2000, 1, 1), None, D(2002, 1, 1)),             # admission on index day: outside
+    ], "patid int, index_date date, dod date, endfollowupdate date")
+    adm = spark.createDataFrame([(2, 10, D(2000, 3, 1), "G3.1"), (2, 11, D(2000, 2, 1), "G3.1"),
+                                 (3, 12, D(2000, 1, 1), "G3.1"), (2, 13, D(2000, 1, 15), "G3.2")],
+                                "patid int, spno int, admidate date, ICD string")
+    stays = spark.createDataFrame([(2, 10, 3), (2, 11, 0), (3, 12, 5), (2, 13, 9)], "patid int, spno int, duration int")
+    icd = spark.createDataFrame([("G31",)], "code string")
+    got = {r.patid: (r.event_hos, r.time_hos) for r in O.hospital_outcome(out, adm, stays, icd).collect()}
+    assert got[1] == (0, (D(2001, 6, 1) - D(2000, 1, 1)).days)
+    assert got[2] == (1, (D(2000, 3, 1) - D(2000, 1, 1)).days)    # the 0-day stay is ignored
+    assert got[3] == (0, (D(2002, 1, 1) - D(2000, 1, 1)).days)
+
+
+def test_describe_codes_chain(spark):
+    from cohortlab.operators.codes import describe_codes
+    codes = spark.createDataFrame([("I10",), ("bnf_0102",), ("X99",), ("Y00",),
+                                   ("Other chronic obstructive pulmonary disease",)], "code string")
+    desc = spark.createDataFrame([("DIA_I10", "old text", 1), ("DIA_I10", "hypertension", 2),
+                                  ("MED_bnf_01020304", "drug class", 3)], "source string, target string, line_no int")
+    fb = spark.createDataFrame([("X99", "fallback text")], "code string, description string")
+    got = {r.code: r.description for r in describe_codes(codes, desc, fallback=fb).collect()}
+    assert got == {"I10": "hypertension", "bnf_0102": "drug class", "X99": "fallback text", "Y00": "Y00",
+                   "Other chronic obstructive pulmonary disease": "COPD"}
+
+
+def test_prevalence_range_zero_fill(spark):
+    from cohortlab.operators import profile as PR
+    seq = spark.createDataFrame([(1, ["A", "SEP"], 1), (2, ["A", "B", "SEP"], 1), (3, ["B", "SEP"], 2),
+                                 (4, ["A", "SEP"], 2)], "patid int, code array<string>, label int")
+    prev = PR.code_prevalence(seq)
+    rng = {r.code: r.prevalence_range for r in PR.prevalence_range(prev, 3).collect()}
+    assert rng == {"A": 1.0, "B": 0.5}      # a third, empty cluster counts as prevalence 0
+    rng2 = {r.code: r.prevalence_range for r in PR.prevalence_range(prev, 2).collect()}
+    assert rng2 == {"A": 0.5, "B": 0.0}
+
+
+def test_baseline_text_formats(spark):
+    from cohortlab.operators import profile as PR
+    rows = [(1, D(2000, 1, 1), D(1950, 1, 1), 1, 1, 20.0, 120.0, 1, "White"),
+            (1, D(2000, 1, 1), D(1940, 1, 1), 2, 3, None, 130.0, 2, "Asian")]
+    df = spark.createDataFrame(rows, "label int, index_date date, dob date, gender int, smoke int, bmi double, "
+                                     "sbp double, imd2015_5 int, gen_ethnicity string")
+    t = {r.variable: r.text for r in PR.baseline_table(df).collect()}
+    assert t["sbp"] == "125.00 (7.07) Miss(0.0%)"
+    assert t["bmi"] == "20.00 (NaN) Miss(50.0%)" or t["bmi"].startswith("20.00 (")
+    assert t["Male"] == "1 (50.0%) Miss(0.0%)" and t["BMI healthy"] == "1 (50.0%) Miss(0.0%)"
+    assert t["N"] == "2"
+
+
+def test_relabel_by_outcome_ties(spark):
+    df = spark.createDataFrame([(1, 7, 1), (2, 7, 0), (3, 3, 1), (4, 3, 0), (5, 9, 0)], "patid int, label int, event int")
+    got = {r.patid: r.label for r in O.relabel_by_outcome(df).collect()}
+    assert got == {5: 1, 3: 2, 4: 2, 1: 3, 2: 3}   # rate 0 first; tie 0.5 broken by old label
+
+
+def test_hot_patient_skew(spark):
+    """One patient holds a third of all events; results stay whole and exact."""
+    hot = [(0, D(1990, 1, 1) + dt.timedelta(days=i), "A" if i % 2 else "B") for i in range(2000)]
+    cold = [(p, D(1995, 1, 1) + dt.timedelta(days=p), "C") for p in range(1, 4001)]
+    ev = spark.createDataFrame(hot + cold, "patid int, eventdate date, code string")
+    codes = spark.createDataFrame([("A",), ("C",)], "code string")
+    ix = {r.patid: r.index_date for r in CH.index_event(ev, codes).collect()}
+    assert len(ix) == 4001 and ix[0] == D(1990, 1, 2)
+    coh = spark.createDataFrame([(0, D(2000, 1, 1), D(1950, 1, 1))], "patid int, index_date date, dob date")
+    r = SQ.build_sequences(ev, coh).first()
+
+    def months(d):
+        return (d.year - 1950) * 12 + (d.month - 1) - (1 if d.day < 1 else 0)
+
+    firsts = {}
+    for _, d, c in hot:
+        key = (c, months(d) // 6)
+        firsts[key] = min(firsts.get(key, d), d)
+    assert r.code.count("A") == sum(1 for c, _ in firsts if c == "A")
+    assert r.code.count("B") == sum(1 for c, _ in firsts if c == "B")
+    assert r.code.count("SEP") == len(set(firsts.values()))
