@@ -60,11 +60,13 @@ def build_sequences(events: DataFrame, cohort: DataFrame, stage: str = "before",
         ev = ev.where(F.col("eventdate") >= F.col("_idx"))
     elif stage != "all":
         raise ValueError(f"unknown stage {stage!r}")
-    ev = ev.withColumn("age", whole_months("eventdate", "_dob"))
-    bucket = F.floor(F.col("age") / F.lit(unique_in_months))
-    first = (ev.groupBy("patid", "code", bucket.alias("_b"))
-               .agg(F.min(F.struct("eventdate", "age")).alias("_e")))
-    visits = (first.groupBy("patid", F.col("_e.eventdate").alias("eventdate"), F.col("_e.age").alias("age"))
+    bucket = F.floor(whole_months("eventdate", "_dob") / F.lit(unique_in_months))
+    # age is a function of (date, dob) and dob is constant per patient, so the
+    # dedupe is a plain min(date) - a hash aggregate with map-side combine
+    first = (ev.groupBy("patid", "_dob", "code", bucket.alias("_b"))
+               .agg(F.min("eventdate").alias("eventdate")))
+    first = first.withColumn("age", whole_months("eventdate", "_dob"))
+    visits = (first.groupBy("patid", "eventdate", "age")
                    .agg(F.array_sort(F.collect_list("code")).alias("codes")))
     per_pat = visits.groupBy("patid").agg(
         F.array_sort(F.collect_list(F.struct("eventdate", "age", "codes"))).alias("_v"))
