@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlab.functions.hashing import portable_hash, unit_hash
+from cohortlab.functions.hashing import HASH_RANGE, portable_hash, unit_hash
+
+HASH_SPACE = int(HASH_RANGE)
 
 
 def group_side(group_col: str = "pracid", frac: float = 0.8, salt: str = "split"):
@@ -42,13 +44,26 @@ def kfold(df: DataFrame, id_col: str, k: int = 5, salt: str = "fold") -> DataFra
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, salt: str = "sample") -> DataFrame:
-    """At most ``n`` rows without replacement, the n smallest id hashes.
+    """At most ``n`` rows without replacement - the n smallest id hashes.
 
-    Planned as TakeOrderedAndProject: each task keeps its own top n, so no
-    full sort or shuffle of the input.
+    Exact and distributed: a hash threshold t (expected ~n + 5 sqrt(n)
+    survivors) is applied as a filter in every task, and only the
+    survivors are ranked.  A plain ``orderBy(h).limit(n)`` would funnel
+    every partition's top n rows into one task (partitions x n rows).
     """
+    import math
     h = portable_hash(F.col(id_col), salt)
-    return df.withColumn("_h", h).orderBy("_h", id_col).limit(n).drop("_h")
+    total = df.count()
+    if total <= n:
+        return df
+    x = df.withColumn("_h", h)
+    frac = min(1.0, (n + 5.0 * math.sqrt(n) + 10.0) / total)
+    while True:
+        cand = x.where(F.col("_h") < F.lit(int(frac * HASH_SPACE)))
+        if frac >= 1.0 or cand.count() >= n:
+            break
+        frac = min(1.0, frac * 2.0)     # rare: too few survivors, widen
+    return cand.orderBy("_h", id_col).limit(n).drop("_h")
 
 
 def dense_index(df: DataFrame, order_col: str, index_col: str = "idx",
