@@ -32,8 +32,15 @@ def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) ->
     return spark.sql(f"SELECT * FROM VALUES {vals} AS t({', '.join(columns)})")
 
 
-def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Checkpoint ``build()`` once per (application, key) and reuse it."""
+def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame],
+                 partition_by: str | None = None) -> DataFrame:
+    """Checkpoint ``build()`` once per (application, key) and reuse it.
+
+    With ``partition_by`` the table is hash-partitioned on that key (into
+    ``spark.sql.shuffle.partitions`` parts) before it is written; the
+    checkpoint keeps that partitioning, so later joins and aggregations of
+    such tables on the same key need no shuffle (co-located, like bucketing).
+    """
     try:
         app = spark.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - sessions without a local SparkContext
@@ -42,10 +49,33 @@ def materialized(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
     df = _MEMO.get(k)
     if df is None:
         ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
+        df = build()
+        df = co_partitioned(spark, df, partition_by) if partition_by else df.checkpoint(eager=True)
         _MEMO[k] = df
     return df
 
 
+def co_partitioned(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` hash-partitioned on ``key`` so the written table keeps it.
+
+    The build runs with the session's settings (AQE on: runtime join choice,
+    skew split).  Only the final scan -> repartition -> checkpoint step is
+    planned without AQE, because an adaptive plan does not report its output
+    partitioning to the checkpoint; the setting is restored right after.
+    """
+    from pyspark import StorageLevel
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    staged.count()
+    prev = spark.conf.get("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = staged.repartition(n, key).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+        staged.unpersist()
+    return out
+
+
 def clear() -> None:
     _MEMO.clear()

@@ -39,7 +39,7 @@ def cohort_inputs(spark, sf_dir):
 
 def cohort(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
     return materialized(spark, ("cohort", sf_dir, cfg),
-                        lambda: CH.build_cohort(*cohort_inputs(spark, sf_dir), cfg=cfg))
+                        lambda: CH.build_cohort(*cohort_inputs(spark, sf_dir), cfg=cfg), "patid")
 
 
 def attrition(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
@@ -52,7 +52,7 @@ def outcomes(spark, sf_dir, years: int = R.FOLLOW_UP_YEARS) -> DataFrame:
         mort = O.mortality_outcome(cohort(spark, sf_dir), years=years)
         return O.hospital_outcome(mort, R.admissions(spark, sf_dir), R.stays(spark, sf_dir),
                                   icd_code_df(spark))
-    return materialized(spark, ("outcomes", sf_dir, years), build)
+    return materialized(spark, ("outcomes", sf_dir, years), build, "patid")
 
 
 def labelled_outcomes(spark, sf_dir) -> DataFrame:
@@ -60,7 +60,7 @@ def labelled_outcomes(spark, sf_dir) -> DataFrame:
     def build():
         out = outcomes(spark, sf_dir).join(R.cluster_labels(spark, sf_dir), "patid", "inner")
         return O.relabel_by_outcome(out)
-    return materialized(spark, ("labelled_outcomes", sf_dir), build)
+    return materialized(spark, ("labelled_outcomes", sf_dir), build, "patid")
 
 
 def survival_by_cluster(spark, sf_dir, kind: str = "mortality") -> DataFrame:
@@ -82,7 +82,7 @@ def sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
         if stage != "before":
             ev = ev.unionByName(SQ.followup_end_events(coh))
         return SQ.build_sequences(ev, coh, stage=stage)
-    return materialized(spark, ("sequences", sf_dir, stage), build)
+    return materialized(spark, ("sequences", sf_dir, stage), build, "patid")
 
 
 def sequences_with_practice(spark, sf_dir, stage: str = "before") -> DataFrame:
@@ -90,7 +90,7 @@ def sequences_with_practice(spark, sf_dir, stage: str = "before") -> DataFrame:
     def build():
         coh = cohort(spark, sf_dir).select("patid", "pracid")
         return coh.join(sequences(spark, sf_dir, stage), "patid", "inner")
-    return materialized(spark, ("sequences_with_practice", sf_dir, stage), build)
+    return materialized(spark, ("sequences_with_practice", sf_dir, stage), build, "patid")
 
 
 def labelled_sequences(spark, sf_dir, stage: str = "before") -> DataFrame:
