@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from cohortlab.functions.numeric import comb2
 from cohortlab.functions.vectors import dot, euclidean, squared_distance
+from cohortlab.functions.hashing import portable_hash
 from cohortlab.operators.splits import sample_n
 
 MAX_CENTERS = 10_000          # bound on literal-embedded centers (k)
@@ -270,11 +271,19 @@ def minmax_scale(df: DataFrame, features: str = "features", out: str | None = No
 
 # -- pairwise metrics on a capped sample -------------------------------------------------
 
-def _bounded_pandas(df: DataFrame, cap: int) -> pd.DataFrame:
-    rows = df.limit(cap + 1).toPandas()
-    if len(rows) > cap:
-        raise ValueError(f"pairwise sample exceeds cap {cap}")
-    return rows
+def _blocks(n_hint: int) -> int:
+    return max(1, min(64, n_hint // 256 + 1))
+
+
+def _with_reference_copies(rows: DataFrame, id_col: str, blocks: int, salt: str) -> DataFrame:
+    """Query rows tagged with a block id, plus one copy of every row per
+    block as the reference set: each (block) group holds ~n/blocks query rows
+    and the n reference rows - bounded by the sample cap, no driver hop."""
+    blk = (portable_hash(F.col(id_col), salt) % blocks).cast("int")
+    q = rows.withColumn("_blk", blk).withColumn("_q", F.lit(True))
+    r = (rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .withColumn("_q", F.lit(False)))
+    return q.unionByName(r)
 
 
 def silhouette_points(df: DataFrame, label: str = "label", features: str = "features",
@@ -282,47 +291,39 @@ def silhouette_points(df: DataFrame, label: str = "label", features: str = "feat
                       blocks: int | None = None) -> DataFrame:
     """M15 per point: (id, label, s) with Euclidean distances; singleton -> 0.
 
-    The sample (<= max_n rows by id hash, O4) is broadcast once; Spark
-    splits its rows into blocks and each task computes its block against
-    the sample with numpy.
+    Runs on the capped hash sample (<= max_n rows, O4).  Each block of
+    query rows meets a full copy of the sample inside one grouped task and
+    is scored with numpy; nothing passes through the driver.
     """
-    spark = df.sparkSession
-    # the capped sample is used twice (broadcast copy and row blocks): written once
-    sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt).checkpoint(eager=True)
-    pdf = _bounded_pandas(sample, max_n)
-    if pdf.empty:
-        return spark.createDataFrame([], f"{id_col} long, {label} int, s double")
-    X = np.stack(pdf[features].map(np.asarray).to_numpy()).astype(float)
-    y = pdf[label].to_numpy()
-    bc = spark.sparkContext.broadcast((X, y))
+    sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt)
+    nb = blocks or _blocks(max_n)
+    x = _with_reference_copies(sample, id_col, nb, salt + "blk")
     id_type = dict(sample.dtypes)[id_col]
     lab_type = dict(sample.dtypes)[label]
 
-    def run(it):
-        Xa, ya = bc.value
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
+        if qry.empty:
+            return pd.DataFrame({id_col: [], label: [], "s": []})
+        Xa = np.stack(ref[features].map(np.asarray).to_numpy()).astype(float)
+        ya = ref[label].to_numpy()
         labs = np.unique(ya)
         onehot = (ya[:, None] == labs[None, :]).astype(float)
         counts = onehot.sum(axis=0)
-        sq = (Xa * Xa).sum(axis=1)
-        for part in it:
-            if part.empty:
-                continue
-            P = np.stack(part[features].map(np.asarray).to_numpy()).astype(float)
-            d2 = (P * P).sum(axis=1)[:, None] + sq[None, :] - 2.0 * P @ Xa.T
-            D = np.sqrt(np.maximum(d2, 0.0))
-            sums = D @ onehot
-            own = np.searchsorted(labs, part[label].to_numpy())
-            n_own = counts[own]
-            a = np.where(n_own > 1, sums[np.arange(len(P)), own] / np.maximum(n_own - 1, 1), 0.0)
-            mean_other = sums / counts[None, :]
-            mean_other[np.arange(len(P)), own] = np.inf
-            b = mean_other.min(axis=1) if len(labs) > 1 else np.full(len(P), np.nan)
-            s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
-            yield pd.DataFrame({id_col: part[id_col], label: part[label], "s": s})
-
-    nb = blocks or max(1, min(64, len(pdf) // 256 + 1))
-    return (sample.repartition(nb, id_col)
-            .mapInPandas(run, f"{id_col} {id_type}, {label} {lab_type}, s double"))
+        P = np.stack(qry[features].map(np.asarray).to_numpy()).astype(float)
+        d2 = (P * P).sum(axis=1)[:, None] + (Xa * Xa).sum(axis=1)[None, :] - 2.0 * P @ Xa.T
+        sums = np.sqrt(np.maximum(d2, 0.0)) @ onehot
+        own = np.searchsorted(labs, qry[label].to_numpy())
+        rows = np.arange(len(P))
+        n_own = counts[own]
+        a = np.where(n_own > 1, sums[rows, own] / np.maximum(n_own - 1, 1), 0.0)
+        mean_other = sums / counts[None, :]
+        mean_other[rows, own] = np.inf
+        b = mean_other.min(axis=1) if len(labs) > 1 else np.full(len(P), np.nan)
+        s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
+        return pd.DataFrame({id_col: qry[id_col].to_numpy(), label: qry[label].to_numpy(), "s": s})
+
+    return x.groupBy("_blk").applyInPandas(run, f"{id_col} {id_type}, {label} {lab_type}, s double")
 
 
 def silhouette(df: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
@@ -337,57 +338,63 @@ def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
     """Proportion of ambiguous clustering from replicate labels.
 
     ``rep_labels`` (rep, id, label) lists the items sampled in each
-    replicate with their label; ``items`` is the item universe (<= max_n).
-    consensus(i, j) = #reps with the same label / #reps with both sampled
-    (0 when never co-sampled); ambiguous = strictly inside (low, high).
-    denominator: 'all' -> n(n-1) ordered pairs; 'cosampled' -> ordered
-    co-sampled pairs; 'cosampled_minus_n' -> that minus n, floor 1.
+    replicate with their label; ``items`` is the item universe (a capped
+    sample).  consensus(i, j) = #reps with the same label / #reps with both
+    sampled (0 when never co-sampled); ambiguous = strictly inside
+    (low, high).  denominator: 'all' -> n(n-1) ordered pairs; 'cosampled' ->
+    ordered co-sampled pairs; 'cosampled_minus_n' -> that minus n, floor 1.
+    Each block of items meets a copy of every item's replicate labels in one
+    grouped task (numpy); no pair rows, nothing through the driver.
     """
-    spark = rep_labels.sparkSession
-    ids = _bounded_pandas(items.select(id_col).distinct(), max_n)[id_col].to_numpy()
-    ids.sort()
-    reps = rep_labels.select("rep").distinct().count()
-    rl = rep_labels.select("rep", id_col, "label")
-    lab = _bounded_pandas(rl, max_n * max(reps, 1))
-    rep_ix = {r: i for i, r in enumerate(sorted(lab["rep"].unique()))}
-    L = np.full((max(len(rep_ix), 1), len(ids)), -1, dtype=np.int64)
-    pos = np.searchsorted(ids, lab[id_col].to_numpy())
-    L[lab["rep"].map(rep_ix).to_numpy(), pos] = lab["label"].to_numpy()
-    bc = spark.sparkContext.broadcast(L)
-    n = len(ids)
-
-    def run(it):
-        Lm = bc.value
-        sampled = Lm >= 0
-        for part in it:
-            if part.empty:
-                continue
-            rows = part["i"].to_numpy()
-            Si = sampled[:, rows]                               # reps x b
-            both = Si.T.astype(np.int32) @ sampled.astype(np.int32)          # b x n
-            same = np.zeros_like(both)
-            for r in range(Lm.shape[0]):
-                li = Lm[r, rows]
-                same += ((li[:, None] == Lm[r][None, :]) & (li[:, None] >= 0)).astype(np.int32)
-            cons = np.where(both > 0, same / np.maximum(both, 1), 0.0)
-            off = rows[:, None] != np.arange(Lm.shape[1])[None, :]
-            amb = int((((cons > low) & (cons < high)) & off).sum())
-            co = int(((both > 0) & off).sum())
-            yield pd.DataFrame({"ambiguous": [amb], "cosampled": [co]})
-
-    idx = spark.range(n).withColumnRenamed("id", "i")
-    agg = (idx.repartition(max(1, min(64, n // 256 + 1)))
-              .mapInPandas(run, "ambiguous long, cosampled long")
-              .agg(F.sum("ambiguous").alias("ambiguous"), F.sum("cosampled").alias("cosampled")))
+    if denominator not in ("all", "cosampled", "cosampled_minus_n"):
+        raise ValueError("denominator must be 'all', 'cosampled' or 'cosampled_minus_n'")
+    it = items.select(id_col).distinct()
+    sig = (it.join(rep_labels.select(id_col, "rep", "label"), id_col, "left")
+             .groupBy(id_col).agg(F.map_from_entries(F.collect_list(
+                 F.when(F.col("rep").isNotNull(), F.struct("rep", "label")))).alias("sig")))
+    nb = _blocks(max_n)
+    x = _with_reference_copies(sig, id_col, nb, "pacblk")
+    n_items = it.agg(F.count(F.lit(1)).alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
+        if qry.empty:
+            return pd.DataFrame({"ambiguous": [0], "cosampled": [0]})
+        reps = sorted({r for m in ref["sig"] for r in (dict(m) if m is not None else {})})
+        rix = {r: i for i, r in enumerate(reps)}
+
+        def mat(frame):
+            L = np.full((len(frame), max(len(reps), 1)), -1, dtype=np.int64)
+            for row, m in enumerate(frame["sig"]):
+                for r, lab in (dict(m) if m is not None else {}).items():
+                    L[row, rix[r]] = lab
+            return L
+
+        La, Lq = mat(ref), mat(qry)
+        Sa, Sq = (La >= 0).astype(np.int32), (Lq >= 0).astype(np.int32)
+        both = Sq @ Sa.T
+        same = np.zeros_like(both)
+        for r in range(La.shape[1]):
+            same += ((Lq[:, r][:, None] == La[:, r][None, :]) & (Lq[:, r][:, None] >= 0)).astype(np.int32)
+        cons = np.where(both > 0, same / np.maximum(both, 1), 0.0)
+        off = qry[id_col].to_numpy()[:, None] != ref[id_col].to_numpy()[None, :]
+        amb = int((((cons > low) & (cons < high)) & off).sum())
+        co = int(((both > 0) & off).sum())
+        return pd.DataFrame({"ambiguous": [amb], "cosampled": [co]})
+
+    agg = (x.groupBy("_blk").applyInPandas(run, "ambiguous long, cosampled long")
+            .agg(F.coalesce(F.sum("ambiguous"), F.lit(0)).alias("ambiguous"),
+                 F.coalesce(F.sum("cosampled"), F.lit(0)).alias("cosampled")))
+    j = agg.crossJoin(n_items)    # two one-row aggregates
+    n = F.col("n").cast("double")
     if denominator == "all":
-        den = F.lit(float(n * (n - 1)))
+        den = n * (n - F.lit(1.0))
     elif denominator == "cosampled":
         den = F.greatest(F.col("cosampled").cast("double"), F.lit(1.0))
-    elif denominator == "cosampled_minus_n":
-        den = F.greatest(F.col("cosampled").cast("double") - F.lit(float(n)), F.lit(1.0))
     else:
-        raise ValueError("denominator must be 'all', 'cosampled' or 'cosampled_minus_n'")
-    return agg.select((F.col("ambiguous") / den).alias("pac"), "ambiguous", "cosampled", F.lit(n).alias("n"))
+        den = F.greatest(F.col("cosampled").cast("double") - n, F.lit(1.0))
+    return j.select((F.col("ambiguous") / den).alias("pac"), "ambiguous", "cosampled",
+                    F.col("n").cast("int").alias("n"))
 
 
 def replicate_pair_ari(rep_labels: DataFrame, id_col: str = "id") -> DataFrame:
