@@ -37,6 +37,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +60,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+_SHIPPED: set[str] = set()
+_ZIP: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cohortlab`` importable on the executors' Python workers.
+
+    Pandas UDFs and ``mapInPandas`` functions refer to library functions by
+    module; a zip of the package is added with ``addPyFile`` once per
+    application (what a cluster deployment does with ``--py-files``).
+    """
+    import os
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # noqa: BLE001 - remote sessions ship code differently
+        return
+    if app in _SHIPPED:
+        return
+    if not _ZIP:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="cohortlab-pkg-"), "cohortlab.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        _ZIP.append(out)
+    sc.addPyFile(_ZIP[0])
+    _SHIPPED.add(app)
