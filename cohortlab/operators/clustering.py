@@ -171,25 +171,63 @@ def fold_metrics(train: DataFrame, test: DataFrame, k: int, features: str = "fea
     return {"k": k, "silhouette": sil, "prediction_strength": ps, "calinski_harabasz": ch, "davies_bouldin": db}
 
 
+def label_all_k(test: DataFrame, train_models: dict, test_models: dict, features: str = "features",
+                id_col: str = "id") -> DataFrame:
+    """Test rows x every k with ``test_label`` (own-fold model) and
+    ``train_label`` (training model) in ONE projection.
+
+    Centers are model parameters (sum of k rows of d numbers) joined as a
+    bounded broadcast keyed by k.
+    """
+    from cohortlab.functions.vectors import squared_distance
+    spark = test.sparkSession
+    ks = sorted(train_models)
+    cen = spark.createDataFrame([(int(k), train_models[k].centers, test_models[k].centers) for k in ks],
+                                "k int, tr array<array<double>>, te array<array<double>>")
+    x = test.select(id_col, features, F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    x = x.join(F.broadcast(cen), "k")
+
+    def nearest(col):
+        d = F.transform(col, lambda c: squared_distance(F.col(features), c))
+        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
+    return x.select("k", id_col, features, nearest(F.col("te")).alias("test_label"),
+                    nearest(F.col("tr")).alias("train_label"))
+
+
+def sweep_fold_metrics(labelled: DataFrame, features: str = "features", id_col: str = "id",
+                       sil_max_n: int = M.DEFAULT_PAIR_CAP) -> DataFrame:
+    """Strength, silhouette, CH and DB for every k of one fold: one grouped
+    pass per metric over the labelled test rows (keyed by k)."""
+    keys = ["k"]
+    ps = (M.strength_from_assignment(labelled, "test_label", "train_label", keys)
+          .groupBy("k").agg(F.coalesce(F.min("strength"), F.lit(float("inf"))).alias("prediction_strength")))
+    sil = M.silhouette(labelled, "train_label", features, id_col, sil_max_n, keys=keys)
+    ch = M.calinski_harabasz(labelled, "train_label", features, keys=keys)
+    db = M.davies_bouldin(labelled, "train_label", features, keys=keys)
+    return ps.join(sil, "k", "left").join(ch, "k", "left").join(db, "k", "left")
+
+
 def k_sweep(df: DataFrame, ks: list[int], folds: int = 5, features: str = "features", id_col: str = "id",
             restarts: int = 3, max_iter: int = 50, seed: int = 0) -> DataFrame:
-    """Metric rows (fold, k, ...) over hash folds; the driver loops over
-    (fold, k) cells only - no data rows pass through it."""
+    """Metric rows (fold, k, ...) over hash folds.
+
+    The driver loops over folds and k only to fit models (distributed Spark
+    ML); the test fold is then labelled for all k at once and each metric
+    is one keyed job per fold.  No data rows pass through the driver.
+    """
     from cohortlab.operators.splits import kfold
-    x = kfold(df.select(id_col, features), id_col, folds, f"fold{seed}").cache()
-    rows = []
+    x = kfold(df.select(id_col, features), id_col, folds, f"fold{seed}").checkpoint(eager=True)
+    out = None
     for f in range(folds):
         tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
-        for k in ks:
-            r = fold_metrics(tr, te, k, features, id_col, restarts, max_iter, seed)
-            r["fold"] = f + 1
-            rows.append(r)
-    x.unpersist()
-    schema = ("fold int, k int, silhouette double, prediction_strength double, "
-              "calinski_harabasz double, davies_bouldin double")
-    return df.sparkSession.createDataFrame(
-        [(r["fold"], r["k"], r["silhouette"], r["prediction_strength"], r["calinski_harabasz"],
-          r["davies_bouldin"]) for r in rows], schema)
+        m_tr = {k: kmeans_fit(tr, k, features, restarts, max_iter, seed) for k in ks}
+        m_te = {k: kmeans_fit(te, k, features, restarts, max_iter, seed) for k in ks}
+        lab = label_all_k(te, m_tr, m_te, features, id_col).checkpoint(eager=True)
+        met = sweep_fold_metrics(lab, features, id_col).withColumn("fold", F.lit(f + 1))
+        out = met if out is None else out.unionByName(met)
+    return out.select(F.col("fold").cast("int"), F.col("k").cast("int"), "silhouette", "prediction_strength",
+                      "calinski_harabasz", "davies_bouldin").checkpoint(eager=True)
 
 
 def summarise_sweep(metrics: DataFrame) -> DataFrame:

@@ -72,11 +72,13 @@ def to_vector(df: DataFrame, features: str = "features", out: str = "vec") -> Da
     return df.withColumn(out, array_to_vector(F.col(features)))
 
 
-def cluster_centroids(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
-    """(label, n, centroid array) with ``Summarizer`` (vectorised, partial aggregation)."""
-    s = (to_vector(df, features).groupBy(label)
+def cluster_centroids(df: DataFrame, label: str = "label", features: str = "features",
+                      keys: list[str] | None = None) -> DataFrame:
+    """(keys, label, n, centroid array) with ``Summarizer`` (vectorised, partial aggregation)."""
+    keys = keys or []
+    s = (to_vector(df, features).groupBy(*keys, label)
          .agg(Summarizer.metrics("mean", "count").summary(F.col("vec")).alias("s")))
-    return s.select(label, F.col("s.count").alias("n"), vector_to_array(F.col("s.mean")).alias("centroid"))
+    return s.select(*keys, label, F.col("s.count").alias("n"), vector_to_array(F.col("s.mean")).alias("centroid"))
 
 
 # -- contingency-based agreement ----------------------------------------------------------
@@ -158,6 +160,16 @@ def best_mapping_accuracy(df: DataFrame, a: str, b: str) -> float:
     return float(max(best.values()) / m.sum())
 
 
+def strength_from_assignment(x: DataFrame, test_label: str, near: str,
+                             keys: list[str] | None = None) -> DataFrame:
+    """M14 per (keys, test cluster) from a precomputed nearest-train-center column."""
+    keys = keys or []
+    cells = x.groupBy(*keys, test_label, near).agg(F.count(F.lit(1)).alias("c"))
+    g = cells.groupBy(*keys, test_label).agg(F.sum(comb2("c")).alias("match"), F.sum("c").alias("size"))
+    s = F.when(F.col("size") <= 1, F.lit(float("inf"))).otherwise(F.col("match") / comb2("size"))
+    return g.select(*keys, F.col(test_label).alias("cluster"), F.col("size").cast("bigint"), s.alias("strength"))
+
+
 def prediction_strength_by_cluster(test: DataFrame, test_label: str, train_centers: list[list[float]],
                                    features: str = "features") -> DataFrame:
     """M14 per test cluster: share of its point pairs sharing the nearest train center.
@@ -165,11 +177,7 @@ def prediction_strength_by_cluster(test: DataFrame, test_label: str, train_cente
     Size <= 1 -> +inf.  Returns (cluster, size, strength) for clusters
     present in ``test``; absent clusters count as +inf in the minimum.
     """
-    x = assign_nearest(test, train_centers, features, "_near")
-    cells = x.groupBy(test_label, "_near").agg(F.count(F.lit(1)).alias("c"))
-    g = cells.groupBy(test_label).agg(F.sum(comb2("c")).alias("match"), F.sum("c").alias("size"))
-    s = F.when(F.col("size") <= 1, F.lit(float("inf"))).otherwise(F.col("match") / comb2("size"))
-    return g.select(F.col(test_label).alias("cluster"), F.col("size").cast("bigint"), s.alias("strength"))
+    return strength_from_assignment(assign_nearest(test, train_centers, features, "_near"), test_label, "_near")
 
 
 def prediction_strength(test: DataFrame, test_label: str, train_centers: list[list[float]],
@@ -182,17 +190,19 @@ def prediction_strength(test: DataFrame, test_label: str, train_centers: list[li
 # -- dispersion-based indices -------------------------------------------------------------
 
 def with_centroids(df: DataFrame, label: str = "label", features: str = "features",
-                   centroids: DataFrame | None = None) -> DataFrame:
-    """Points joined to their cluster centroid; centroids are k rows (bounded broadcast)."""
-    cen = centroids if centroids is not None else cluster_centroids(df, label, features)
-    return df.join(F.broadcast(cen), label)
+                   centroids: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Points joined to their cluster centroid; centroids are (keys x k) rows (bounded broadcast)."""
+    keys = keys or []
+    cen = centroids if centroids is not None else cluster_centroids(df, label, features, keys)
+    return df.join(F.broadcast(cen), keys + [label])
 
 
 def within_dispersion(df: DataFrame, label: str = "label", features: str = "features",
-                      centroids: DataFrame | None = None) -> DataFrame:
-    """Inertia sum ||x - centroid(label)||^2 (one row)."""
-    x = with_centroids(df, label, features, centroids)
-    return x.agg(F.sum(squared_distance(F.col(features), F.col("centroid"))).alias("inertia"))
+                      centroids: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Inertia sum ||x - centroid(label)||^2 (one row per key)."""
+    keys = keys or []
+    x = with_centroids(df, label, features, centroids, keys)
+    return x.groupBy(*keys).agg(F.sum(squared_distance(F.col(features), F.col("centroid"))).alias("inertia"))
 
 
 def inertia_to_centers(df: DataFrame, centers: list[list[float]], features: str = "features") -> DataFrame:
@@ -202,44 +212,50 @@ def inertia_to_centers(df: DataFrame, centers: list[list[float]], features: str
     return df.agg(F.sum(d).alias("inertia"))
 
 
-def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "features",
+                      keys: list[str] | None = None) -> DataFrame:
     """(B / (k - 1)) / (W / (n - k)); fewer than 2 clusters -> null.
 
     B comes from the k centroid rows alone (the overall mean is their
     size-weighted mean); W is one pass of the points against their centroid.
+    With ``keys`` every labelling (e.g. every k of a sweep) is scored in the
+    same two passes.
     """
-    # k rows, used twice: written once so the points are read in two passes only
-    cen = cluster_centroids(df, label, features).checkpoint(eager=True)
-    cs = cen.agg(F.collect_list(F.struct("n", "centroid")).alias("_c"))
+    keys = keys or []
+    # k rows per key, used twice: written once so the points are read in two passes only
+    cen = cluster_centroids(df, label, features, keys).checkpoint(eager=True)
+    cs = cen.groupBy(*keys).agg(F.collect_list(F.struct("n", "centroid")).alias("_c"))
     tot = F.aggregate("_c", F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
     dim = F.size(F.col("_c")[0]["centroid"])
     mu = F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.aggregate(
         "_c", F.lit(0.0), lambda acc, c: acc + c["n"] * c["centroid"][i]) / tot)
-    bstat = cs.select(F.size("_c").alias("k"), tot.alias("n_all"),
+    bstat = cs.select(*keys, F.size("_c").alias("k_"), tot.alias("n_all"),
                       F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + c["n"] * F.aggregate(
                           F.zip_with(c["centroid"], mu, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                           lambda s, v: s + v)).alias("B"))
-    w = within_dispersion(df, label, features, cen)
-    j = bstat.crossJoin(w)        # two one-row aggregates
-    k, n = F.col("k"), F.col("n_all")
+    w = within_dispersion(df, label, features, cen, keys)
+    j = bstat.join(w, keys) if keys else bstat.crossJoin(w)   # one row per key on each side
+    k, n = F.col("k_"), F.col("n_all")
     # W = 0 (every point on its centroid) scores 1.0 by convention
     ch = (F.when(k <= 1, F.lit(None).cast("double"))
            .when(F.col("inertia") == 0, F.lit(1.0))
            .otherwise((F.col("B") / (k - 1)) / (F.col("inertia") / (n - k))))
-    return j.select(ch.alias("calinski_harabasz"))
+    return j.select(*keys, ch.alias("calinski_harabasz"))
 
 
-def davies_bouldin(df: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+def davies_bouldin(df: DataFrame, label: str = "label", features: str = "features",
+                   keys: list[str] | None = None) -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d(c_i, c_j).
 
     s_i = mean distance of cluster i's points to its centroid.  The k
-    per-cluster rows are gathered into one array and the k x k ratios are
-    computed with higher-order functions (no self-join).
+    per-cluster rows of each key are gathered into one array and the k x k
+    ratios are computed with higher-order functions (no self-join).
     """
-    x = with_centroids(df, label, features)
-    s = x.groupBy(label).agg(F.avg(euclidean(F.col(features), F.col("centroid"))).alias("s"),
-                             F.first("centroid").alias("c"))
-    arr = s.agg(F.collect_list(F.struct(F.col(label).alias("i"), "s", "c")).alias("_a"))
+    keys = keys or []
+    x = with_centroids(df, label, features, None, keys)
+    s = x.groupBy(*keys, label).agg(F.avg(euclidean(F.col(features), F.col("centroid"))).alias("s"),
+                                    F.first("centroid").alias("c"))
+    arr = s.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("i"), "s", "c")).alias("_a"))
 
     def worst(a):
         # coinciding centroids divide by +inf (ratio 0), as in the usual definition
@@ -255,7 +271,7 @@ def davies_bouldin(df: DataFrame, label: str = "label", features: str = "feature
         F.filter("_a", lambda b: b["i"] != a["i"]), lambda b: euclidean(a["c"], b["c"]))))
     all_d0 = F.aggregate(pair_d, F.lit(True), lambda acc, x: acc & (x == 0))
     mean = F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size(per)
-    return arr.select(F.when(all_s0 | all_d0, F.lit(0.0)).otherwise(mean).alias("davies_bouldin"))
+    return arr.select(*keys, F.when(all_s0 | all_d0, F.lit(0.0)).otherwise(mean).alias("davies_bouldin"))
 
 
 def minmax_scale(df: DataFrame, features: str = "features", out: str | None = None) -> DataFrame:
@@ -288,23 +304,31 @@ def _with_reference_copies(rows: DataFrame, id_col: str, blocks: int, salt: str)
 
 def silhouette_points(df: DataFrame, label: str = "label", features: str = "features",
                       id_col: str = "id", max_n: int = DEFAULT_PAIR_CAP, salt: str = "silhouette",
-                      blocks: int | None = None) -> DataFrame:
-    """M15 per point: (id, label, s) with Euclidean distances; singleton -> 0.
-
-    Runs on the capped hash sample (<= max_n rows, O4).  Each block of
-    query rows meets a full copy of the sample inside one grouped task and
-    is scored with numpy; nothing passes through the driver.
+                      blocks: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """M15 per point: (keys, id, label, s) with Euclidean distances; singleton -> 0.
+
+    Runs on the capped hash sample of ids (<= max_n, O4).  Each block of
+    query rows meets a full copy of the sample (of its key) inside one
+    grouped task and is scored with numpy; nothing passes through the driver.
+    With ``keys`` (several labellings of the same rows) every labelling is
+    scored in the same grouped job.
     """
-    sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt)
+    keys = keys or []
+    if keys:
+        ids = sample_n(df.select(id_col).distinct(), max_n, id_col, salt)
+        sample = df.select(*keys, id_col, label, features).join(ids, id_col, "left_semi")
+    else:
+        sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt)
     nb = blocks or _blocks(max_n)
     x = _with_reference_copies(sample, id_col, nb, salt + "blk")
-    id_type = dict(sample.dtypes)[id_col]
-    lab_type = dict(sample.dtypes)[label]
+    types = dict(sample.dtypes)
+    out_schema = ", ".join([f"{k} {types[k]}" for k in keys] +
+                           [f"{id_col} {types[id_col]}", f"{label} {types[label]}", "s double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
         if qry.empty:
-            return pd.DataFrame({id_col: [], label: [], "s": []})
+            return pd.DataFrame({c: [] for c in keys + [id_col, label, "s"]})
         Xa = np.stack(ref[features].map(np.asarray).to_numpy()).astype(float)
         ya = ref[label].to_numpy()
         labs = np.unique(ya)
@@ -321,15 +345,19 @@ def silhouette_points(df: DataFrame, label: str = "label", features: str = "feat
         mean_other[rows, own] = np.inf
         b = mean_other.min(axis=1) if len(labs) > 1 else np.full(len(P), np.nan)
         s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
-        return pd.DataFrame({id_col: qry[id_col].to_numpy(), label: qry[label].to_numpy(), "s": s})
+        out = {k: qry[k].to_numpy() for k in keys}
+        out.update({id_col: qry[id_col].to_numpy(), label: qry[label].to_numpy(), "s": s})
+        return pd.DataFrame(out)
 
-    return x.groupBy("_blk").applyInPandas(run, f"{id_col} {id_type}, {label} {lab_type}, s double")
+    return x.groupBy(*keys, "_blk").applyInPandas(run, out_schema)
 
 
 def silhouette(df: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
-               max_n: int = DEFAULT_PAIR_CAP, salt: str = "silhouette") -> DataFrame:
-    """Mean Euclidean silhouette over the (capped) sample."""
-    return silhouette_points(df, label, features, id_col, max_n, salt).agg(F.avg("s").alias("silhouette"))
+               max_n: int = DEFAULT_PAIR_CAP, salt: str = "silhouette", keys: list[str] | None = None) -> DataFrame:
+    """Mean Euclidean silhouette over the (capped) sample, per key."""
+    keys = keys or []
+    pts = silhouette_points(df, label, features, id_col, max_n, salt, keys=keys)
+    return pts.groupBy(*keys).agg(F.avg("s").alias("silhouette"))
 
 
 def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",

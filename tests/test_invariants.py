@@ -116,3 +116,18 @@ def test_trained_stability_ranges(spark, vecs):
     assert 0.0 <= jac.mean_jaccard <= 1.0
     same = CL.cross_source_ari_fit(vecs, vecs, 3, restarts=1, max_iter=5, seed=1).first()
     assert same.ari == pytest.approx(1.0)
+
+
+def test_keyed_sweep_metrics_match_single_cell(spark, vecs):
+    tr, te = vecs.where(F.col("id") % 3 != 0), vecs.where(F.col("id") % 3 == 0)
+    ks = [2, 3]
+    m_tr = {k: CL.kmeans_fit(tr, k, restarts=1, max_iter=5) for k in ks}
+    m_te = {k: CL.kmeans_fit(te, k, restarts=1, max_iter=5) for k in ks}
+    keyed = {r.k: r for r in CL.sweep_fold_metrics(CL.label_all_k(te, m_tr, m_te)).collect()}
+    for k in ks:
+        x = CL.kmeans_predict(CL.kmeans_predict(te, m_te[k], out="test_label"), m_tr[k], out="train_label")
+        assert keyed[k].prediction_strength == pytest.approx(
+            M.prediction_strength(x, "test_label", m_tr[k].centers).first()[0])
+        assert keyed[k].silhouette == pytest.approx(M.silhouette(x, "train_label").first()[0])
+        assert keyed[k].calinski_harabasz == pytest.approx(M.calinski_harabasz(x, "train_label").first()[0])
+        assert keyed[k].davies_bouldin == pytest.approx(M.davies_bouldin(x, "train_label").first()[0])
