@@ -134,3 +134,14 @@ def read_deprivation(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     """Deprivation quintile per patient (patid, imd2015_5)."""
     df = spark.read.parquet(path) if fmt == "parquet" else read_delimited(spark, path)
     return df.select(F.col("patid").cast("string"), F.col("imd2015_5").try_cast("int").alias("imd2015_5"))
+
+
+def reuse_or_build(spark: SparkSession, path: str, build, partition_by: list[str] | None = None) -> DataFrame:
+    """Read an intermediate table if it was written before, otherwise
+    build it, write it once (S8) and read it back - the next job starts from
+    the files, not from the upstream plan."""
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - missing or unreadable: recompute
+        write_once(build(), path, partition_by=partition_by)
+        return spark.read.parquet(path)

@@ -58,3 +58,16 @@ def test_write_labels_and_csv(spark, tmp_path):
     assert back.where(F.col("k") == 2).count() == 2
     io.write_csv(lab, str(tmp_path / "rep"), single_file=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "rep")).count() == 2
+
+
+def test_reuse_or_build(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+
+    path = str(tmp_path / "inter")
+    assert io.reuse_or_build(spark, path, build).count() == 2
+    assert io.reuse_or_build(spark, path, build).count() == 2
+    assert len(calls) == 1
