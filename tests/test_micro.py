@@ -332,3 +332,21 @@ def test_hot_patient_skew(spark):
     assert r.code.count("A") == sum(1 for c, _ in firsts if c == "A")
     assert r.code.count("B") == sum(1 for c, _ in firsts if c == "B")
     assert r.code.count("SEP") == len(set(firsts.values()))
+
+
+def test_small_helpers(spark):
+    from cohortlab.operators import codes as CD
+    proc = spark.createDataFrame([(1, D(2000, 1, 1), "A01"), (1, D(2000, 1, 2), None)],
+                                 "patid int, eventdate date, code string")
+    dx = spark.createDataFrame([(2, D(2001, 1, 1), "G30")], "patid int, eventdate date, code string")
+    ev = CD.union_event_sources(CD.prefix_code(proc, "PROC_"), dx)
+    assert sorted(r.code for r in ev.collect()) == ["G30", "PROC_A01"]      # null code dropped
+    left = spark.createDataFrame([(1, "x")], "patid int, a string")
+    right = spark.createDataFrame([(1, "y", "z")], "patid int, a string, b string")
+    j = CD.non_overlapping_join(left, right)
+    assert j.columns == ["patid", "a", "b"] and j.first().a == "x"
+    df = spark.createDataFrame([(0, 2), (2, None)], "label int, imd int")
+    row = df.select(FC.shift_label("label").alias("l"), *FC.one_hot("imd", [1, 2], "imd")).collect()
+    assert [(r.l, r.imd_1, r.imd_2) for r in row] == [(1, 0, 1), (3, 0, 0)]
+    ids = [r.row_num for r in CD.with_row_id(df).collect()]
+    assert len(set(ids)) == 2
