@@ -106,15 +106,19 @@ def cohort_candidates(demographics: DataFrame, events: DataFrame, codes: DataFra
     return out
 
 
+def apply_eligibility(candidates: DataFrame, cfg: CohortConfig = CohortConfig()) -> DataFrame:
+    """P10: keep candidates passing every eligibility step."""
+    cond = None
+    for _, c in eligibility_steps(cfg):
+        cond = c if cond is None else cond & c
+    return candidates.where(cond)
+
+
 def build_cohort(demographics: DataFrame, events: DataFrame, codes: DataFrame,
                  patients: DataFrame, deprivation: DataFrame,
                  cfg: CohortConfig = CohortConfig()) -> DataFrame:
     """M4: eligible cohort, one row per patient with its index date."""
-    cand = cohort_candidates(demographics, events, codes, patients, deprivation, cfg)
-    cond = None
-    for _, c in eligibility_steps(cfg):
-        cond = c if cond is None else cond & c
-    return cand.where(cond)
+    return apply_eligibility(cohort_candidates(demographics, events, codes, patients, deprivation, cfg), cfg)
 
 
 def cohort_attrition(demographics: DataFrame, events: DataFrame, codes: DataFrame,

@@ -37,13 +37,24 @@ def cohort_inputs(spark, sf_dir):
             case_code_df(spark), R.patients(spark, sf_dir), R.deprivation(spark, sf_dir))
 
 
+def candidates(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
+    """M4 before eligibility: linked patients with index event and IMD.
+
+    Written once (co-partitioned on patid); both the cohort (a filter) and
+    the attrition counts (one aggregate) are derived from it, so the patient
+    joins and the diagnosis scans run once.
+    """
+    return materialized(spark, ("candidates", sf_dir, cfg),
+                        lambda: CH.cohort_candidates(*cohort_inputs(spark, sf_dir), cfg=cfg), "patid")
+
+
 def cohort(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
     return materialized(spark, ("cohort", sf_dir, cfg),
-                        lambda: CH.build_cohort(*cohort_inputs(spark, sf_dir), cfg=cfg), "patid")
+                        lambda: CH.apply_eligibility(candidates(spark, sf_dir, cfg), cfg), "patid")
 
 
 def attrition(spark, sf_dir, cfg: CH.CohortConfig = STUDY) -> DataFrame:
-    return CH.cohort_attrition(*cohort_inputs(spark, sf_dir), cfg=cfg)
+    return CH.attrition(candidates(spark, sf_dir, cfg), CH.eligibility_steps(cfg), start_name="linked_with_imd")
 
 
 def outcomes(spark, sf_dir, years: int = R.FOLLOW_UP_YEARS) -> DataFrame:
