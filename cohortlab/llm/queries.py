@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from cohortlab.llm import mixing, warc
+from cohortlab.llm import decontamination, mixing, near_duplicates, warc
 from cohortlab.llm._tables import documents, prepare, shared_path
 
 
@@ -20,4 +19,15 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(pages, shared_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_archive)}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.find_leaks(documents(spark, sf_dir), benchmark).drop("row_key")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_archive, op3_decontaminate, op8_ngram_jaccard_join)}
