@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import decontamination, mixing, near_duplicates, warc
-from cohortlab.llm._tables import documents, prepare, shared_path
+from cohortlab.llm import (decontamination, license_scan, mixing, near_duplicates, personal_data,
+                           quality_classifier, quality_rules, secrets, toxicity, warc)
+from cohortlab.llm._tables import documents, labels, prepare, shared_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +26,41 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(documents(spark, sf_dir), benchmark).drop("row_key")
 
 
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir)).drop("row_key")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality_classifier.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return personal_data.report(documents(spark, sf_dir))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_archive, op3_decontaminate, op8_ngram_jaccard_join)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return secrets.report(documents(spark, sf_dir))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mix_sources, op2_warc_archive, op3_decontaminate, op4_toxicity_chain, op5_quality_rules, op6_quality_classifier,
+    op7_personal_data, op8_ngram_jaccard_join, op9_secret_scan, op10_license_scan)}
