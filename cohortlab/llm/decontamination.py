@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ MASKS = ("1111111", "1110010111", "11010011011", "1011101011")
 MIN_ITEM = 5
 CHUNK_CHARS = 32 << 20
 PUNCTUATION = string.punctuation + "«»“”„‘’…–—¿¡"
-SCHEMA = ("doc_id long, row_key string, item_id long, start_word long, end_word long, item_start long, "
-          "matched long, item_words long")
+SCHEMA = ("doc_id long, item_id long, start_word long, end_word long, item_start long, matched long, "
+          "item_words long")
 
 
 def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,43 +133,53 @@ class SeedIndex:
                 for m, _, d, j, s, e, i in best.values()]
 
 
-def row_key():
-    """Names a document row by id and text."""
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-                             F.coalesce(F.col("text"), F.lit("\0"))))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.7, enough: int = 25, same: float = 0.75,
-               chunk_chars: int = CHUNK_CHARS, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """One row per document row and benchmark item that it holds (see module)."""
-    spark = docs.sparkSession
+def seed_indexes(benchmark: DataFrame, chunk_chars: int = CHUNK_CHARS, masks: tuple[str, ...] = MASKS) -> list:
+    """Broadcast indexes of the benchmark, each of about ``chunk_chars`` characters at most."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").filter("text IS NOT NULL")
     chars = int(items.agg(F.sum(F.length("text"))).first()[0] or 0)
     n_chunks = 1 + chars // max(1, chunk_chars // 2)      # halves: chunks dealt by hash are uneven
-    rows = docs.select("doc_id", row_key().alias("row_key"), "text")
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string())] + [
-        (c, pa.int64()) for c in ("item_id", "start_word", "end_word", "item_start", "matched", "item_words")])
-    found = None
+    out = []
     for c in range(n_chunks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_chunks)) == c).collect()
-        index = spark.sparkContext.broadcast(SeedIndex([r[0] for r in part], [r[1] for r in part], masks))
+        out.append(spark.sparkContext.broadcast(SeedIndex([r[0] for r in part], [r[1] for r in part], masks)))
+    return out
+
 
-        def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.7, enough: int = 25, same: float = 0.75,
+               chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """One row per document row and benchmark item that it holds (see module)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start_word", "end_word", "item_start",
+                                                  "matched", "item_words")])
+
+    def searcher(index):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in text_slices(batch):
                     got = index.value.leaks(*normal_words(piece.column("text")), share, enough, same)
                     if got:
-                        at = pa.array([x[0] for x in got])
-                        columns = [piece.column("doc_id").take(at), piece.column("row_key").take(at)]
+                        columns = [piece.column("doc_id").take(pa.array([x[0] for x in got]))]
                         columns += [pa.array([x[k] for x in got], pa.int64()) for k in range(1, 7)]
                         yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        return search
 
-        one = rows.mapInArrow(search, SCHEMA)
-        found = one if found is None else found.unionByName(one)
-    return found
+    rows = docs.select("doc_id", "text")
+    found = [rows.mapInArrow(searcher(i), SCHEMA) for i in seed_indexes(benchmark, chunk_chars)]
+    return reduce(DataFrame.unionByName, found)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.7, enough: int = 25, same: float = 0.75,
+                  chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``docs`` less the rows that hold a benchmark item; columns as they were."""
-    leaked = find_leaks(docs, benchmark, **options).select("row_key").distinct()
-    return docs.withColumn("row_key", row_key()).join(leaked, "row_key", "left_anti").select(*docs.columns)
+    def keeper(index):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in text_slices(batch):
+                    clean = np.ones(piece.num_rows, bool)
+                    clean[[x[0] for x in index.value.leaks(*normal_words(piece.column("text")), share, enough, same)]] = False
+                    yield piece.filter(pa.array(clean))
+        return keep
+
+    for index in seed_indexes(benchmark, chunk_chars):
+        docs = docs.mapInArrow(keeper(index), docs.schema)
+    return docs

@@ -23,12 +23,12 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.find_leaks(documents(spark, sf_dir), benchmark).drop("row_key")
+    return decontamination.find_leaks(documents(spark, sf_dir), benchmark)
 
 
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir)).drop("row_key")
+    return toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,17 +28,15 @@ from __future__ import annotations
 
 import string
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm._tables import stage
 from cohortlab.llm._words import split_words, text_slices
 
 PUNCTUATION = string.punctuation + "«»“”„‘’…–—¿¡"
@@ -183,36 +181,42 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, st
     return one.orderBy(order, "doc_id").limit(max_train)
 
 
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES, deciding: str = DECIDING,
+          max_train: int = 4000, n_features: int = 30_000) -> Chain:
+    """The chain of the labelled sample of ``docs``."""
+    names = list(categories)
+    sample = training_sample(docs, labels, categories, max_train).toPandas().sort_values("doc_id", kind="stable")
+    return fit_chain(sample["doc_id"].tolist(), sample["text"].tolist(),
+                     sample[names].to_numpy(dtype=int).reshape(-1, len(names)), names, deciding, n_features)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, categories: dict[str, str] = CATEGORIES,
                     deciding: str = DECIDING, max_train: int = 4000, n_features: int = 30_000) -> DataFrame:
-    """(doc_id, row_key, p_<category>..., rejected) of every document row."""
-    spark = docs.sparkSession
+    """(doc_id, p_<category>..., rejected) of every document row."""
     names = list(categories)
-    sample = training_sample(docs, labels, categories, max_train).toPandas()
-    sample = sample.sort_values("doc_id", kind="stable")
-    chain = spark.sparkContext.broadcast(fit_chain(
-        sample["doc_id"].tolist(), sample["text"].tolist(), sample[names].to_numpy(dtype=int).reshape(-1, len(names)),
-        names, deciding, n_features))
+    chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, categories, deciding, max_train, n_features))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text_slices(batch):
                 p = chain.value.score(piece.column("text"))
-                columns = [piece.column("doc_id"), piece.column("row_key")]
+                columns = [piece.column("doc_id")]
                 columns += [pa.array(p[:, k]) for k in range(len(names))]
                 columns.append(pa.array(p[:, chain.value.deciding] >= chain.value.cutoff))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *[f"p_{n}" for n in names], "rejected"])
-
-    shape = "doc_id long, row_key string, " + ", ".join(f"p_{n} double" for n in names) + ", rejected boolean"
-    return docs.select("doc_id", row_key(), "text").mapInArrow(score, shape)
-
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"p_{n}" for n in names], "rejected"])
 
-def row_key() -> Column:
-    """Names the text of a row: its score depends on nothing else."""
-    return F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("row_key")
+    shape = "doc_id long, " + ", ".join(f"p_{n} double" for n in names) + ", rejected boolean"
+    return docs.select("doc_id", "text").mapInArrow(score, shape)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` less the rejected rows; columns as they were."""
-    bad = stage(score_documents(docs, labels, **options).filter("rejected").select("row_key").distinct(), "toxic")
-    return docs.withColumn("row_key", row_key()).join(bad, "row_key", "left_anti").select(*docs.columns)
+    chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text_slices(batch):
+                p = chain.value.score(piece.column("text"))[:, chain.value.deciding]
+                yield piece.filter(pa.array(p < chain.value.cutoff))
+
+    return docs.mapInArrow(keep, docs.schema)

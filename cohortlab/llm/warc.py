@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In,
                                     InputPartition, IsNotNull, IsNull, WriterCommitMessage)
 
+from cohortlab.llm._tables import stage
+
 SCHEMA = ("record_id string, record_type string, target_uri string, warc_date string, content_type string, "
           "payload_digest string, payload_bytes long, refers_to string, payload binary")
 #: WARC header of each column; the payload's length is an extension field,
@@ -294,11 +296,12 @@ def archive_records(pages: DataFrame, min_bytes: int = 1000, date: str = "2024-0
                          F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
             .withColumn("payload_digest", F.sha1("payload"))
             .withColumn("payload_bytes", F.octet_length("payload").cast("long")))
-    # only payloads that occur twice need the look-up: equal payloads are counted first
+    # only payloads that occur twice need the look-up; written first, so that the join's
+    # strategy follows the number of them
     twice = (rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes")
              .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select("payload_digest", "payload_bytes", "last", F.lit(True).alias("shared")))
-    rows = rows.join(twice, ["payload_digest", "payload_bytes"], "left")
+    rows = rows.join(stage(twice, "warc-shared"), ["payload_digest", "payload_bytes"], "left")
     revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("last"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     return rows.select(
