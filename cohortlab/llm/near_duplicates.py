@@ -20,8 +20,9 @@ Result: one row per document with its class (documents connected by links), the
 class's least doc_id, its number of links (other documents at 0.8 or more,
 copies included) and its copy key.
 
-Shuffles carry keys and 128-byte sketches of classes; texts are shuffled once, to
-fetch the shingles of connected classes.  Nothing is collected but counts.
+Shuffles carry keys, 128-byte sketches of classes, and the shingle sets of connected
+classes; a bit table of fixed size (2 MB, from connected classes' keys) keeps other
+texts out.  Nothing else is collected but counts.
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words has one
 shingle, all its words; null texts and texts without words have no links and a
@@ -50,6 +51,7 @@ N_HASH = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-6
 TILE = 512                  # members of a bucket that meet in one tile, per side
 TILE_SHINGLES = 1 << 18     # shingles that meet in one tile, per side
+FILTER_BITS = 24            # bits (as a power of 2) of the filter before texts are shuffled
 
 
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
@@ -211,15 +213,41 @@ def prune_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(label[moved]))], ["a", "b"])
 
 
-def shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the text by its sorted distinct shingles."""
-    for batch in batches:
-        for piece in text_slices(batch):
-            offsets, hashes = shingles(piece.column("text"))
-            sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(offsets[:-1], offsets[1:])]
-            names = [c for c in piece.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([piece.column(c) for c in names] + [pa.array(sets, pa.binary())],
-                                             [*names, "shingles"])
+def _filter_place(node: str):
+    return F.pmod(F.xxhash64(node), F.lit(1 << FILTER_BITS))
+
+
+def member_filter(members: DataFrame) -> np.ndarray:
+    """Bit table of the members' keys, of fixed size: texts that it lacks are no
+    members; texts that it has are looked up."""
+    place = members.select(_filter_place("node").alias("at"))
+    words = place.groupBy(F.expr("int(at div 64)").alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(at % 64))")).alias("bits")).toPandas()
+    table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    table[words["w"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return table
+
+
+def member_shingles(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(root, blocks, node, n_docs, shingles): the sorted distinct shingles of each
+    member.  Only texts that pass the filter become shingle sets and are shuffled."""
+    table = rows.sparkSession.sparkContext.broadcast(member_filter(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy().astype(np.uint64)
+            bit = table.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            for piece in text_slices(batch.filter(pa.array(bit.astype(bool)))):
+                offsets, hashes = shingles(piece.column("text"))
+                sets = [np.unique(hashes[s:e]).tobytes() for s, e in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column("node"), piece.column("doc_id"), pa.array(sets, pa.binary())],
+                                                 ["node", "doc_id", "shingles"])
+
+    sets = (rows.withColumn("at", _filter_place("node"))
+            .mapInArrow(run, "node binary, doc_id long, shingles binary"))
+    same = (F.col("s.node") == F.col("m.node")) & F.col("s.doc_id").eqNullSafe(F.col("m.rep"))
+    return (sets.alias("s").join(members.alias("m"), same)
+            .select("root", "blocks", "m.node", "n_docs", "shingles").dropDuplicates(["node"]))
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,10 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
     blocks = F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("all") / TILE_SHINGLES)).alias("blocks")
     members = members.join(sizes.select("root", blocks), "root")
-    same_row = (F.col("rows.node") == F.col("members.node")) & F.col("rows.doc_id").eqNullSafe(F.col("members.rep"))
-    texts = (rows.alias("rows").join(members.alias("members"), same_row)
-             .select("root", "blocks", "members.node", "n_docs", "rows.text").dropDuplicates(["node"]))
-    sets = texts.mapInArrow(shingle_batches, "root binary, blocks long, node binary, n_docs long, shingles binary")
+    sets = member_shingles(rows, members)
     verified = stage(_tiles(sets, "root", "blocks")
                      .mapInArrow(verify_batches, "node binary, links long, partner binary"), "nd-links")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
@@ -328,14 +353,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class of near duplicates: the row with the
-    least doc_id (null ids last), of equal ids the least text.  Rows without words all stay."""
+    """``docs`` with one row of each class of near duplicates: the row with the least
+    doc_id (null ids last), of equal ids the least copy key.  Of rows without words one
+    of each text stays."""
     found = near_duplicates(docs)
-    keyed = docs.withColumn("_copy", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     first = (found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy_key")).alias("k"))
              .select(F.col("k.doc_id").alias("_id"), F.col("k.copy_key").alias("_copy")))
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = (keyed.filter(~wordless).alias("d")
-            .join(first.alias("f"), (F.col("d._copy") == F.col("f._copy")) & F.col("d.doc_id").eqNullSafe(F.col("f._id")),
-                  "left_semi").dropDuplicates(["doc_id", "_copy"]).select(*docs.columns))
-    return kept.unionByName(keyed.filter(wordless).select(*docs.columns))
+    # texts meet the kept keys in one shuffle at every size; of repeated rows one is left
+    same = (F.col("d._copy") == F.col("f._copy")) & F.col("d.doc_id").eqNullSafe(F.col("f._id"))
+    keyed = docs.withColumn("_copy", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    return (keyed.alias("d").join(first.alias("f").hint("merge"), same, "left_semi")
+            .dropDuplicates(["doc_id", "_copy"]).select(*docs.columns))
