@@ -143,17 +143,38 @@ def best_cutoff(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + low) / 2)
 
 
+def sample_features(texts: list, n_features: int, step: int = 200) -> tuple[Sparse, dict[str, int]]:
+    """Features of the sample and the vocabulary; a few hundred texts are cut at a time."""
+    known: dict[str, int] = {}
+    rows, cols, counts = [], [], []
+    for s in range(0, len(texts), step):
+        offsets, codes, names = feature_rows(pa.array(texts[s:s + step], pa.string()))
+        to = np.array([known.setdefault(n, len(known)) for n in names], np.int64)
+        row = np.repeat(np.arange(len(offsets) - 1), 2 * np.diff(offsets))
+        key, count = np.unique(row * max(1, len(names)) + codes, return_counts=True)
+        rows.append((key // max(1, len(names)) + s).astype(np.int32))
+        cols.append((to[key % max(1, len(names))] if len(key) else key).astype(np.int32))
+        counts.append(count.astype(np.int32))
+    row, col, count = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols, counts))
+    df = np.bincount(col, minlength=len(known))
+    words = list(known)
+    order = sorted((i for i in range(len(words)) if df[i] > 1), key=lambda i: (-df[i], words[i]))[:n_features]
+    lookup = np.full(max(1, len(words)), -1, np.int32)
+    lookup[order] = np.arange(len(order))
+    keep = lookup[col] >= 0
+    row, col, value = row[keep], lookup[col[keep]], 1 + np.log(count[keep])
+    order_in = np.lexsort((col, row))
+    row, col, value = row[order_in], col[order_in], value[order_in]
+    norm = np.sqrt(np.bincount(row, value * value, len(texts)))
+    at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts)))))
+    return Sparse(at, col, value / norm[row]), {words[i]: k for k, i in enumerate(order)}
+
+
 def fit_chain(ids: list, texts: list, labels: np.ndarray, names: list[str], deciding: str = DECIDING,
               n_features: int = 30_000, folds: int = FOLDS) -> Chain:
     """The chain of a bounded sample; ``labels`` has a 0/1 column for each category."""
-    offsets, codes, words = feature_rows(pa.array(texts, pa.string()))
-    seen = np.unique(np.repeat(np.arange(len(texts)), 2 * np.diff(offsets)) * max(1, len(words)) + codes)
-    df = np.bincount(seen % max(1, len(words)), minlength=len(words))
-    order = sorted(range(len(words)), key=lambda i: (-df[i], words[i]))[:n_features]
-    features = {words[i]: k for k, i in enumerate(order) if df[i] > 1}
-    lookup = np.array([features.get(w, -1) for w in words] or [-1])
+    x, features = sample_features(texts, n_features)
     width = max(1, len(features))
-    x = weigh(offsets, codes, lookup, width)
     fold = np.array([zlib.crc32(str(i).encode()) % folds for i in ids])
     extra, weights = np.zeros((len(texts), 0)), []
     for k in range(len(names)):
