@@ -144,7 +144,7 @@ def gap_from_inertia(observed: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def gap_statistic(df: DataFrame, ks: list[int], B: int = 10, id_col: str = "id", features: str = "features",
-                  max_n: int = M.DEFAULT_PAIR_CAP, n_init: int = 3, seed: int = 0) -> DataFrame:
+                  max_n: int = 10_000, n_init: int = 3, seed: int = 0) -> DataFrame:
     """Gap statistic on a capped hash sample, min-max scaled."""
     from cohortlab.operators.splits import sample_n
     xs = M.minmax_scale(sample_n(df.select(id_col, features), max_n, id_col, "gap"), features).checkpoint(eager=True)
@@ -157,7 +157,7 @@ def gap_statistic(df: DataFrame, ks: list[int], B: int = 10, id_col: str = "id",
 # -- k sweep and selection -----------------------------------------------------------------
 
 def fold_metrics(train: DataFrame, test: DataFrame, k: int, features: str = "features", id_col: str = "id",
-                 restarts: int = 3, max_iter: int = 50, seed: int = 0, sil_max_n: int = M.DEFAULT_PAIR_CAP) -> dict:
+                 restarts: int = 3, max_iter: int = 50, seed: int = 0, sil_max_n: int | None = None) -> dict:
     """One (fold, k) cell of the sweep: fit on train and test, score the test set."""
     m_tr = kmeans_fit(train, k, features, restarts, max_iter, seed)
     m_te = kmeans_fit(test, k, features, restarts, max_iter, seed)
@@ -196,7 +196,7 @@ def label_all_k(test: DataFrame, train_models: dict, test_models: dict, features
 
 
 def sweep_fold_metrics(labelled: DataFrame, features: str = "features", id_col: str = "id",
-                       sil_max_n: int = M.DEFAULT_PAIR_CAP) -> DataFrame:
+                       sil_max_n: int | None = None) -> DataFrame:
     """Strength, silhouette, CH and DB for every k of one fold: one grouped
     pass per metric over the labelled test rows (keyed by k)."""
     keys = ["k"]
@@ -308,7 +308,7 @@ def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8,
               .where(unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.col("rep").cast("string")),
                                f"sub{seed}") < F.lit(frac)))
     labels = replicated_labels(subs, k, "rep", id_col, features, n_init, seed=seed)
-    return M.consensus_pac(labels, xs.select(id_col), id_col, denominator, max_n=sample_size)
+    return M.consensus_pac(labels, xs.select(id_col), id_col, denominator)
 
 
 def bootstrap_ari_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",

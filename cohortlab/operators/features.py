@@ -25,13 +25,15 @@ def term_counts(tokens: DataFrame, vocab: DataFrame, doc_col: str = "patid",
                   .groupBy(F.col(doc_col).alias("doc"), "idx").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def fit_idf(train_tf: DataFrame, vocab: DataFrame) -> DataFrame:
+def fit_idf(train_tf: DataFrame, vocab: DataFrame, train_docs: DataFrame | None = None) -> DataFrame:
     """Smoothed idf over the fixed vocabulary: ln((1+n)/(1+df)) + 1.
 
-    n = training documents; df = training documents containing the term
+    n = rows of ``train_docs`` (one row per training document, also those that keep
+    no token; without it, the documents in ``train_tf``); df = training documents containing the term
     (0 for vocabulary terms never seen in training).
     """
-    n_docs = train_tf.agg(F.countDistinct("doc").alias("n"))
+    n_docs = (train_tf.agg(F.countDistinct("doc").alias("n")) if train_docs is None
+              else train_docs.agg(F.count(F.lit(1)).alias("n")))
     df = train_tf.groupBy("idx").agg(F.count(F.lit(1)).alias("df"))
     v = vocab.where(~F.col("token").isin(*SPECIAL_TOKENS)).select("idx")
     j = v.join(df, "idx", "left").join(F.broadcast(n_docs), how="cross")  # one-row count
@@ -48,21 +50,18 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return x.select("doc", "idx", (F.col("w") / norm).alias("value"))
 
 
-GRAMIAN_MAX_FEATURES = 4096   # V x V Gramian on the driver: <= 128 MiB
-
 
 def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, power_iters: int = 5,
-                 seed: int = 0) -> tuple[DataFrame, list[float]]:
+                 seed: int = 0, method: str = "randomized") -> tuple[DataFrame, list[float]]:
     """Right singular vectors V (idx, comp, v) and singular values.
 
-    Up to ``GRAMIAN_MAX_FEATURES`` columns X'X is accumulated in ONE
-    distributed pass (``RowMatrix.computeGramianMatrix``) and its top-k
-    eigenvectors are taken locally.  Wider matrices use a randomized range
+    The same method at every size: a randomized range
     finder with power iterations (Halko, Martinsson & Tropp 2011): 2q + 2
     passes over X as joins + grouped vector sums, whatever k is; only
-    l x l matrices (l = k + oversample) reach the driver.
+    l x l matrices (l = k + oversample) reach the driver.  ``method="gramian"`` asks
+    for X'X and its eigenvectors instead (n_features^2 numbers on the driver).
     """
-    if n_features > GRAMIAN_MAX_FEATURES:
+    if method == "randomized":
         return randomized_svd_loadings(x, n_features, k, oversample, power_iters, seed)
     import numpy as np
     from pyspark import StorageLevel

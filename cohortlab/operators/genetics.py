@@ -58,11 +58,10 @@ def carrier_ratio(dosage: DataFrame, labels: DataFrame, freqs: DataFrame,
                   missing: str = "exclude") -> DataFrame:
     """Carrier share per (snp, label) divided by the population frequency."""
     c = carrier_counts(dosage, labels, missing)
-    # one row per SNP in the frequency table: bounded broadcast
-    c = c.join(F.broadcast(freqs.select("snp", "freq")), "snp", "inner")
+    c = c.join(freqs.select("snp", "freq"), "snp", "inner")     # both one row per SNP: left to measured sizes
     share = safe_div(F.col("carriers").cast("double"), F.col("n").cast("double"))
     return c.select("snp", "label", F.col("n").cast("bigint"), F.col("carriers").cast("bigint"),
-                    "freq", (share / F.col("freq")).alias("ratio"))
+                    "freq", safe_div(share, F.col("freq")).alias("ratio"))
 
 
 def fisher_exact(tables: DataFrame, keys: list[str], a: str = "a", b: str = "b",
@@ -154,10 +153,11 @@ def trait_filter(ls: DataFrame, threshold: float = 0.15) -> DataFrame:
 
 
 def welch(n1, m1, v1, n2, m2, v2):
-    """M30 on summary columns: (t, df, two-sided p)."""
-    se1, se2 = v1 / n1, v2 / n2
-    t = (m1 - m2) / F.sqrt(se1 + se2)
-    df = (se1 + se2) * (se1 + se2) / (se1 * se1 / (n1 - 1) + se2 * se2 / (n2 - 1))
+    """M30 on summary columns: (t, df, two-sided p); null where a group has fewer than
+    two rows or both groups are constant."""
+    se1, se2 = safe_div(v1, n1), safe_div(v2, n2)
+    t = safe_div(m1 - m2, F.sqrt(se1 + se2))
+    df = safe_div((se1 + se2) * (se1 + se2), safe_div(se1 * se1, n1 - 1) + safe_div(se2 * se2, n2 - 1))
     return t, df, student_t_two_sided(t, df)
 
 
@@ -220,20 +220,22 @@ def prs_pairwise(scores: DataFrame, labels: DataFrame, alpha: float = 0.05) -> D
 def prs_one_vs_rest(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """Each cluster vs all other clusters (controls excluded).
 
-    The rest's n/mean/variance come from per-trait totals of n, sum and
-    sum of squares minus the group's, so no row is compared twice.
+    The rest's n/mean/variance are merged from the other groups' n, mean and M2 (sums of
+    squares about the mean), so large means do not cancel; a trait with one cluster has
+    no rest and null statistics.
     """
     ls = labelled_scores(scores, labels).where((F.col("group") != CONTROL) & F.col("score").isNotNull())
     g = ls.groupBy("trait", "group").agg(F.count("score").alias("n"), F.avg("score").alias("mean"),
-                                         F.var_samp("score").alias("var"),
-                                         F.sum("score").alias("s1"), F.sum(F.col("score") * F.col("score")).alias("s2"))
+                                         F.var_samp("score").alias("var"))
     w = Window.partitionBy("trait")        # one row per cluster in each trait
-    j = (g.withColumn("tn", F.sum("n").over(w)).withColumn("ts1", F.sum("s1").over(w))
-          .withColumn("ts2", F.sum("s2").over(w)))
-    rn = (F.col("tn") - F.col("n")).cast("double")
-    rs1, rs2 = F.col("ts1") - F.col("s1"), F.col("ts2") - F.col("s2")
-    rmean = rs1 / rn
-    rvar = (rs2 - rs1 * rs1 / rn) / (rn - 1)
+    j = g.withColumn("_all", F.collect_list(F.struct("group", "n", "mean", F.coalesce("var", F.lit(0.0)).alias("var"))).over(w))
+    j = j.withColumn("_rest", F.filter("_all", lambda x: x["group"] != F.col("group")))
+    total = lambda term: F.aggregate("_rest", F.lit(0.0), lambda acc, x: acc + term(x))
+    rn = total(lambda x: x["n"].cast("double"))
+    j = j.withColumn("_rn", rn).withColumn("_rmean", safe_div(total(lambda x: x["n"] * x["mean"]), F.col("_rn")))
+    rn, rmean = F.col("_rn"), F.col("_rmean")
+    rvar = safe_div(total(lambda x: (x["n"] - 1) * x["var"] + x["n"] * (x["mean"] - F.col("_rmean")) * (
+        x["mean"] - F.col("_rmean"))), rn - 1)
     j = j.select("trait", "group", F.col("n").alias("n_group"), rn.cast("bigint").alias("n_other"),
                  F.col("mean").alias("mean_group"), rmean.alias("mean_other"),
                  F.col("var").alias("v1"), rvar.alias("v2"))

@@ -8,11 +8,11 @@ Design:
   (JVM, partial aggregation); per-cluster rows are bounded by k.
 * Fitted centers (k x d, model parameters) are embedded as literals, so
   nearest-center assignment is a projection - no join at all.
-* Silhouette and consensus PAC are pairwise by definition.  They run on a
-  hash sample capped at ``max_n`` (the sampling operator O4, as the
-  studied analysis does); the capped sample is broadcast and each task
-  computes its block of rows against it with numpy - no pair rows are
-  materialised and no all-pairs join is planned.
+* Silhouette and consensus PAC are pairwise by definition and use every row:
+  blocks of ``TILE_ROWS`` rows meet in tiles (block i against block j), each
+  tile returns sums per row or one row of counts, and the sums are added up.
+  No pair rows, no group larger than two blocks.  A caller who wants a
+  sample passes ``max_n`` (the sampling operator O4); there is no default.
 """
 
 from __future__ import annotations
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cohortlab.functions.numeric import comb2
+from cohortlab.functions.numeric import comb2, safe_div
 from cohortlab.functions.vectors import dot, euclidean, squared_distance
 from cohortlab.functions.hashing import portable_hash
 from cohortlab.operators.splits import sample_n
 
 MAX_CENTERS = 10_000          # bound on literal-embedded centers (k)
-DEFAULT_PAIR_CAP = 10_000     # bound on the pairwise sample (silhouette, PAC)
+TILE_ROWS = 2048              # rows of each side that meet in one pairwise task
 
 
 # -- centers and assignment -------------------------------------------------------------
@@ -110,7 +110,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None)
     """Adjusted Rand index from the contingency table; degenerate -> 1."""
     keys = keys or []
     s = _pair_sums(crosstab(df, a, b, keys), a, b, keys)
-    expected = F.col("s_a") * F.col("s_b") / comb2("n")
+    expected = F.coalesce(safe_div(F.col("s_a") * F.col("s_b"), comb2("n")), F.lit(0.0))   # one item: no pairs
     mx = (F.col("s_a") + F.col("s_b")) / 2.0
     ari = F.when(mx == expected, F.lit(1.0)).otherwise((F.col("s_ab") - expected) / (mx - expected))
     return s.select(*keys, ari.alias("ari"))
@@ -285,76 +285,78 @@ def minmax_scale(df: DataFrame, features: str = "features", out: str | None = No
     return j.withColumn(out, scaled).drop("_lo", "_hi")
 
 
-# -- pairwise metrics on a capped sample -------------------------------------------------
+# -- pairwise metrics by tiles -----------------------------------------------------------
 
-def _blocks(n_hint: int) -> int:
-    return max(1, min(64, n_hint // 256 + 1))
-
-
-def _with_reference_copies(rows: DataFrame, id_col: str, blocks: int, salt: str) -> DataFrame:
-    """Query rows tagged with a block id, plus one copy of every row per
-    block as the reference set: each (block) group holds ~n/blocks query rows
-    and the n reference rows - bounded by the sample cap, no driver hop."""
-    blk = (portable_hash(F.col(id_col), salt) % blocks).cast("int")
-    q = rows.withColumn("_blk", blk).withColumn("_q", F.lit(True))
-    r = (rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .withColumn("_q", F.lit(False)))
+def _tiled(rows: DataFrame, id_col: str, n_rows: int, salt: str, tile_rows: int) -> DataFrame:
+    """Rows dealt to tiles (_i, _j): block i as queries (_q) against block j as
+    references.  Blocks hold about ``tile_rows`` rows whatever the table's size."""
+    blocks = max(1, -(-n_rows // tile_rows))
+    own = (portable_hash(F.col(id_col), salt) % blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    q = rows.withColumn("_i", own).withColumn("_j", every).withColumn("_q", F.lit(True))
+    r = rows.withColumn("_j", own).withColumn("_i", every).withColumn("_q", F.lit(False))
     return q.unionByName(r)
 
 
 def silhouette_points(df: DataFrame, label: str = "label", features: str = "features",
-                      id_col: str = "id", max_n: int = DEFAULT_PAIR_CAP, salt: str = "silhouette",
-                      blocks: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """M15 per point: (keys, id, label, s) with Euclidean distances; singleton -> 0.
-
-    Runs on the capped hash sample of ids (<= max_n, O4).  Each block of
-    query rows meets a full copy of the sample (of its key) inside one
-    grouped task and is scored with numpy; nothing passes through the driver.
-    With ``keys`` (several labellings of the same rows) every labelling is
-    scored in the same grouped job.
+                      id_col: str = "id", max_n: int | None = None, salt: str = "silhouette",
+                      keys: list[str] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """M15 per point: (keys, id, label, s) with Euclidean distances; singleton -> 0,
+    a point at distance 0 from its own and the next cluster -> 0, one label only -> null.
+
+    Uses every row unless the caller asks for a hash sample of ``max_n`` ids.  A tile
+    returns, for each of its query rows and each label among its references, the sum
+    of distances; sums and label counts give a and b.  The row count sets the number
+    of blocks.  With ``keys`` (several labellings of the same rows) every labelling is
+    scored in the same job.
     """
     keys = keys or []
-    if keys:
-        ids = sample_n(df.select(id_col).distinct(), max_n, id_col, salt)
-        sample = df.select(*keys, id_col, label, features).join(ids, id_col, "left_semi")
-    else:
-        sample = sample_n(df.select(id_col, label, features), max_n, id_col, salt)
-    nb = blocks or _blocks(max_n)
-    x = _with_reference_copies(sample, id_col, nb, salt + "blk")
-    types = dict(sample.dtypes)
-    out_schema = ", ".join([f"{k} {types[k]}" for k in keys] +
-                           [f"{id_col} {types[id_col]}", f"{label} {types[label]}", "s double"])
+    rows = df.select(*keys, id_col, label, features)
+    if max_n is not None:
+        rows = rows.join(sample_n(df.select(id_col).distinct(), max_n, id_col, salt), id_col, "left_semi")
+    n_rows = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    x = _tiled(rows, id_col, n_rows, salt + "blk", tile_rows)
+    types = dict(rows.dtypes)
+    shape = ", ".join([f"{k} {types[k]}" for k in keys]
+                      + [f"{id_col} {types[id_col]}", f"{label} {types[label]}", f"_other {types[label]}", "_d double"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
-        if qry.empty:
-            return pd.DataFrame({c: [] for c in keys + [id_col, label, "s"]})
-        Xa = np.stack(ref[features].map(np.asarray).to_numpy()).astype(float)
-        ya = ref[label].to_numpy()
-        labs = np.unique(ya)
-        onehot = (ya[:, None] == labs[None, :]).astype(float)
-        counts = onehot.sum(axis=0)
-        P = np.stack(qry[features].map(np.asarray).to_numpy()).astype(float)
-        d2 = (P * P).sum(axis=1)[:, None] + (Xa * Xa).sum(axis=1)[None, :] - 2.0 * P @ Xa.T
-        sums = np.sqrt(np.maximum(d2, 0.0)) @ onehot
-        own = np.searchsorted(labs, qry[label].to_numpy())
-        rows = np.arange(len(P))
-        n_own = counts[own]
-        a = np.where(n_own > 1, sums[rows, own] / np.maximum(n_own - 1, 1), 0.0)
-        mean_other = sums / counts[None, :]
-        mean_other[rows, own] = np.inf
-        b = mean_other.min(axis=1) if len(labs) > 1 else np.full(len(P), np.nan)
-        s = np.where(n_own > 1, (b - a) / np.maximum(a, b), 0.0)
-        out = {k: qry[k].to_numpy() for k in keys}
-        out.update({id_col: qry[id_col].to_numpy(), label: qry[label].to_numpy(), "s": s})
+        if qry.empty or ref.empty:
+            return pd.DataFrame({c: [] for c in [*keys, id_col, label, "_other", "_d"]})
+        xa = np.stack(ref[features].map(np.asarray).to_numpy()).astype(float)
+        labs, code = np.unique(ref[label].to_numpy(), return_inverse=True)
+        xq = np.stack(qry[features].map(np.asarray).to_numpy()).astype(float)
+        d2 = (xq * xq).sum(axis=1)[:, None] + (xa * xa).sum(axis=1)[None, :] - 2.0 * xq @ xa.T
+        d = np.sqrt(np.maximum(d2, 0.0))
+        # the expanded square leaves rounding noise at distance 0: equal vectors are 0 apart
+        near = np.argwhere(d2 < 1e-9 * (1.0 + (xq * xq).sum(axis=1)[:, None]))
+        for i, j in near:
+            d[i, j] = np.sqrt(((xq[i] - xa[j]) ** 2).sum())
+        sums = d @ (code[:, None] == np.arange(len(labs))[None, :]).astype(float)
+        out = {k: np.repeat(qry[k].to_numpy(), len(labs)) for k in keys}
+        out.update({id_col: np.repeat(qry[id_col].to_numpy(), len(labs)),
+                    label: np.repeat(qry[label].to_numpy(), len(labs)),
+                    "_other": np.tile(labs, len(qry)), "_d": sums.ravel()})
         return pd.DataFrame(out)
 
-    return x.groupBy(*keys, "_blk").applyInPandas(run, out_schema)
+    sums = (x.groupBy(*keys, "_i", "_j").applyInPandas(run, shape)
+            .groupBy(*keys, id_col, label, "_other").agg(F.sum("_d").alias("_d")))
+    sizes = rows.groupBy(*keys, F.col(label).alias("_other")).agg(F.count(F.lit(1)).alias("_n"))
+    own = F.col("_other") == F.col(label)
+    per = (sums.join(sizes, [*keys, "_other"]).groupBy(*keys, id_col, label)
+           .agg(F.max(F.when(own, F.col("_n"))).alias("_n"),
+                F.max(F.when(own & (F.col("_n") > 1), F.col("_d") / (F.col("_n") - 1))).alias("_a"),
+                F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("_b")))
+    most = F.greatest("_a", "_b")
+    s = (F.when(F.col("_n") <= 1, 0.0).when(F.col("_b").isNull(), None).when(most == 0, 0.0)
+         .otherwise(safe_div(F.col("_b") - F.col("_a"), most)))
+    return per.select(*keys, id_col, label, s.cast("double").alias("s"))
 
 
 def silhouette(df: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
-               max_n: int = DEFAULT_PAIR_CAP, salt: str = "silhouette", keys: list[str] | None = None) -> DataFrame:
-    """Mean Euclidean silhouette over the (capped) sample, per key."""
+               max_n: int | None = None, salt: str = "silhouette", keys: list[str] | None = None) -> DataFrame:
+    """Mean Euclidean silhouette over all rows (or the sample asked for), per key."""
     keys = keys or []
     pts = silhouette_points(df, label, features, id_col, max_n, salt, keys=keys)
     return pts.groupBy(*keys).agg(F.avg("s").alias("silhouette"))
@@ -362,17 +364,17 @@ def silhouette(df: DataFrame, label: str = "label", features: str = "features",
 
 def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
                   denominator: str = "all", low: float = 0.1, high: float = 0.9,
-                  max_n: int = DEFAULT_PAIR_CAP) -> DataFrame:
+                  tile_rows: int = TILE_ROWS) -> DataFrame:
     """Proportion of ambiguous clustering from replicate labels.
 
     ``rep_labels`` (rep, id, label) lists the items sampled in each
-    replicate with their label; ``items`` is the item universe (a capped
-    sample).  consensus(i, j) = #reps with the same label / #reps with both
+    replicate with their label; ``items`` is the item universe.
+    consensus(i, j) = #reps with the same label / #reps with both
     sampled (0 when never co-sampled); ambiguous = strictly inside
     (low, high).  denominator: 'all' -> n(n-1) ordered pairs; 'cosampled' ->
     ordered co-sampled pairs; 'cosampled_minus_n' -> that minus n, floor 1.
-    Each block of items meets a copy of every item's replicate labels in one
-    grouped task (numpy); no pair rows, nothing through the driver.
+    Fewer than two items have no pairs: PAC 0.  Items meet in tiles of two
+    blocks, and a tile returns one row of counts.
     """
     if denominator not in ("all", "cosampled", "cosampled_minus_n"):
         raise ValueError("denominator must be 'all', 'cosampled' or 'cosampled_minus_n'")
@@ -380,49 +382,44 @@ def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
     sig = (it.join(rep_labels.select(id_col, "rep", "label"), id_col, "left")
              .groupBy(id_col).agg(F.map_from_entries(F.collect_list(
                  F.when(F.col("rep").isNotNull(), F.struct("rep", "label")))).alias("sig")))
-    nb = _blocks(max_n)
-    x = _with_reference_copies(sig, id_col, nb, "pacblk")
-    n_items = it.agg(F.count(F.lit(1)).alias("n"))
+    n_items = it.count()
+    x = _tiled(sig, id_col, n_items, "pacblk", tile_rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
-        if qry.empty:
-            return pd.DataFrame({"ambiguous": [0], "cosampled": [0]})
-        reps = sorted({r for m in ref["sig"] for r in (dict(m) if m is not None else {})})
+        reps = sorted({r for m in pdf["sig"] for r in (dict(m) if m is not None else {})})
         rix = {r: i for i, r in enumerate(reps)}
 
         def mat(frame):
-            L = np.full((len(frame), max(len(reps), 1)), -1, dtype=np.int64)
+            labels = np.full((len(frame), max(len(reps), 1)), -1, dtype=np.int64)
             for row, m in enumerate(frame["sig"]):
                 for r, lab in (dict(m) if m is not None else {}).items():
-                    L[row, rix[r]] = lab
-            return L
+                    labels[row, rix[r]] = lab
+            return labels
 
-        La, Lq = mat(ref), mat(qry)
-        Sa, Sq = (La >= 0).astype(np.int32), (Lq >= 0).astype(np.int32)
-        both = Sq @ Sa.T
+        la, lq = mat(ref), mat(qry)
+        both = (lq >= 0).astype(np.int32) @ (la >= 0).astype(np.int32).T
         same = np.zeros_like(both)
-        for r in range(La.shape[1]):
-            same += ((Lq[:, r][:, None] == La[:, r][None, :]) & (Lq[:, r][:, None] >= 0)).astype(np.int32)
+        for r in range(la.shape[1]):
+            same += ((lq[:, r][:, None] == la[:, r][None, :]) & (lq[:, r][:, None] >= 0)).astype(np.int32)
         cons = np.where(both > 0, same / np.maximum(both, 1), 0.0)
         off = qry[id_col].to_numpy()[:, None] != ref[id_col].to_numpy()[None, :]
         amb = int((((cons > low) & (cons < high)) & off).sum())
         co = int(((both > 0) & off).sum())
         return pd.DataFrame({"ambiguous": [amb], "cosampled": [co]})
 
-    agg = (x.groupBy("_blk").applyInPandas(run, "ambiguous long, cosampled long")
+    agg = (x.groupBy("_i", "_j").applyInPandas(run, "ambiguous long, cosampled long")
             .agg(F.coalesce(F.sum("ambiguous"), F.lit(0)).alias("ambiguous"),
                  F.coalesce(F.sum("cosampled"), F.lit(0)).alias("cosampled")))
-    j = agg.crossJoin(n_items)    # two one-row aggregates
-    n = F.col("n").cast("double")
+    n = F.lit(float(n_items))
     if denominator == "all":
         den = n * (n - F.lit(1.0))
     elif denominator == "cosampled":
         den = F.greatest(F.col("cosampled").cast("double"), F.lit(1.0))
     else:
         den = F.greatest(F.col("cosampled").cast("double") - n, F.lit(1.0))
-    return j.select((F.col("ambiguous") / den).alias("pac"), "ambiguous", "cosampled",
-                    F.col("n").cast("int").alias("n"))
+    return agg.select(F.coalesce(safe_div(F.col("ambiguous").cast("double"), den), F.lit(0.0)).alias("pac"),
+                      "ambiguous", "cosampled", F.lit(n_items).cast("int").alias("n"))
 
 
 def replicate_pair_ari(rep_labels: DataFrame, id_col: str = "id") -> DataFrame:

@@ -185,7 +185,7 @@ def q_keep_vocabulary(spark, d):
 @register("vocab_encode")
 def q_vocab_encode(spark, d):
     _, external, vocab = _split_vocab(spark, d)
-    enc = SQ.vocab_encode(external, vocab, max_len=32)
+    enc = SQ.vocab_encode(external, vocab, max_len=512)
     return enc.select("patid", F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids_text"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"))
 

@@ -202,7 +202,8 @@ def tfidf_split(spark, sf_dir, test_fold: int = 0, folds: int = 5):
     te = FE.term_counts(toks(internal.where(F.col("fold") == test_fold)), vocab)
     ex = FE.term_counts(toks(external), vocab)
     key = ("tfidf", sf_dir, test_fold, folds)
-    idf = materialized(spark, key + ("idf",), lambda: FE.fit_idf(tr, vocab))
+    idf = materialized(spark, key + ("idf",), lambda: FE.fit_idf(
+        tr, vocab, internal.where(F.col("fold") != test_fold)))
     m = lambda name, df: materialized(spark, key + (name,), lambda: FE.tfidf(df, idf))
     return m("train", tr), m("test", te), m("external", ex), vocab, idf
 
@@ -243,7 +244,7 @@ def _fixed_center_sweep(spark, sf_dir, ks, folds) -> DataFrame:
 def snomed_of(medcode: str) -> str:
     """Same value as the derived dictionary's Snomedcode column (portable hash)."""
     import hashlib
-    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:8], 16) % 1000000)
+    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:15], 16) % 1000000)
 
 
 def code_list(spark) -> DataFrame:

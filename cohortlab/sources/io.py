@@ -136,12 +136,17 @@ def read_deprivation(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
     return df.select(F.col("patid").cast("string"), F.col("imd2015_5").try_cast("int").alias("imd2015_5"))
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write stands at ``path`` (Spark's ``_SUCCESS`` marker)."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def reuse_or_build(spark: SparkSession, path: str, build, partition_by: list[str] | None = None) -> DataFrame:
-    """Read an intermediate table if it was written before, otherwise
-    build it, write it once (S8) and read it back - the next job starts from
-    the files, not from the upstream plan."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - missing or unreadable: recompute
-        write_once(build(), path, partition_by=partition_by)
-        return spark.read.parquet(path)
+    """Read an intermediate table that was written to its end before, otherwise
+    build it, write it over whatever an unfinished write left, and read it back - the
+    next job starts from the files, not from the upstream plan."""
+    if not is_complete(spark, path):
+        w = build().write.mode("overwrite").option("compression", "snappy")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    return spark.read.parquet(path)

@@ -118,9 +118,8 @@ def admissions(spark, sf_dir) -> DataFrame:
 
 
 def stays(spark, sf_dir) -> DataFrame:
-    """stays: one row per (patid, spno) - the first line item - with duration."""
-    li = (table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-          .where(F.col("l_linenumber") == 1))
+    """stays: one row per (patid, spno) with the longest duration of its line items."""
+    li = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("l_quantity")))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(F.col("o_custkey").alias("patid"), F.col("l_orderkey").alias("spno"),

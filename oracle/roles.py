@@ -10,7 +10,7 @@ from __future__ import annotations
 
 def H(key: str, salt_sql: str) -> str:
     """Portable md5 hash, identical to ``cohortlab.functions.hashing``."""
-    return f"(('0x'||substr(md5(cast({key} as varchar)||':'||{salt_sql}),1,8))::BIGINT)"
+    return f"(('0x'||substr(md5(cast({key} as varchar)||':'||{salt_sql}),1,15))::BIGINT)"
 
 
 ROLES: dict[str, tuple[list[str], str]] = {}
@@ -58,8 +58,8 @@ select o_custkey as patid, l_orderkey as spno, cast(l_shipdate as date) as admid
 from lineitem join orders on l_orderkey = o_orderkey""")
 
 role("stays", [], """
-select o_custkey as patid, l_orderkey as spno, cast(floor(l_quantity) as integer) - 1 as duration
-from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1""")
+select o_custkey as patid, l_orderkey as spno, cast(floor(max(l_quantity)) as integer) - 1 as duration
+from lineitem join orders on l_orderkey = o_orderkey group by o_custkey, l_orderkey""")
 
 role("sequence_events", [], """
 select o_custkey as patid, cast(l_shipdate as date) as eventdate,

@@ -202,7 +202,7 @@ _VIEW_EXTRA = [
 ORACLE["contrastive_views"] = seq_sql(
     "select * from pre where post_n_tokens > 0", extra=_VIEW_EXTRA)
 
-SIDE = f"case when {H('pracid', chr(39) + 'split' + chr(39))} / 4294967296.0 < 0.8 then 'internal' else 'external' end"
+SIDE = f"case when {H('pracid', chr(39) + 'split' + chr(39))} / 1152921504606846976.0::DOUBLE < 0.8 then 'internal' else 'external' end"
 ORACLE["practice_split"] = with_roles(["patients"], f"select distinct pracid, {SIDE} as side from patients")
 ORACLE["split_by_group"] = seq_sql(
     f"""select c.patid, c.pracid, {SIDE.replace('pracid', 'c.pracid')} as side
@@ -238,10 +238,10 @@ select patid, pos, code from seqside where side = 'external' and code <> 'SEP'
   and code in (select token from vocab where idx >= 5)""", extra=_SPLIT_EXTRA)
 ORACLE["vocab_encode"] = seq_sql("""
 select patid, '3,' || string_agg(cast(coalesce(v.idx, 1) as varchar), ',' order by pos)
-        || repeat(',0', cast(32 - 1 - count(*) as integer)) as ids_text,
+        || repeat(',0', cast(512 - 1 - count(*) as integer)) as ids_text,
   cast(count(*) + 1 as integer) as n_real
 from seqside s left join vocab v on v.token = s.code
-where side = 'external' and pos <= 31 group by patid""", extra=_SPLIT_EXTRA)
+where side = 'external' and pos <= 511 group by patid""", extra=_SPLIT_EXTRA)
 
 
 # -- profiles -------------------------------------------------------------------------
@@ -477,7 +477,7 @@ ORACLE["prs_one_vs_rest"] = gen_sql(f"""select trait, cluster, n_group, cast(n_o
 
 # -- cluster metrics ----------------------------------------------------------------------
 VEC_ROLES = ["vectors", "class_centers"]
-HS = lambda key, salt_sql: H(key, salt_sql) + " / 4294967296.0"
+HS = lambda key, salt_sql: H(key, salt_sql) + " / 1152921504606846976.0::DOUBLE"
 
 _PART = [
     ("nv", """select v.id, v.label, v.features, c.idx, list_distance(v.features, c.center) as dist
@@ -662,7 +662,7 @@ _TFIDF = _SPLIT_EXTRA + [
         from seqside where code <> 'SEP'"""),
     ("tf", """select t.doc, v.idx, count(*) as tf, min(t.side) as side, min(t.fold) as fold
         from tdoc t join vocab v on v.token = t.code where v.idx >= 5 group by t.doc, v.idx"""),
-    ("idf", """select v.idx, ln((1 + (select count(distinct doc) from tf where side = 'internal' and fold <> 0))
+    ("idf", f"""select v.idx, ln((1 + (select count(distinct patid) from seqside where side = 'internal' and {H('patid', chr(39) + 'fold' + chr(39))} % 5 <> 0))
         / (1 + coalesce(d.df, 0))) + 1 as idf
         from vocab v left join (select idx, count(*) as df from tf where side = 'internal' and fold <> 0 group by idx) d
         using (idx) where v.idx >= 5"""),
@@ -698,7 +698,7 @@ _SWEEP = [
         from tl a join tl b on a.fold = b.fold and a.k = b.k and a.id <> b.id"""),
     ("per2", "select fold, k, id, la, lb, sum(d) / count(*) as md from pd2 group by fold, k, id, la, lb"),
     ("own2", "select fold, k, test_label, count(*) as n_own from tl group by fold, k, test_label"),
-    ("silk", """select t.fold, t.k, avg(case when o.n_own <= 1 then 0.0 else (b.bmin - a.ai) / greatest(a.ai, b.bmin) end) as silhouette
+    ("silk", """select t.fold, t.k, avg(case when o.n_own <= 1 or greatest(a.ai, b.bmin) = 0 then 0.0 else (b.bmin - a.ai) / greatest(a.ai, b.bmin) end) as silhouette
         from tl t join own2 o on o.fold = t.fold and o.k = t.k and o.test_label = t.test_label
         left join (select fold, k, id, md as ai from per2 where la = lb) a on a.fold = t.fold and a.k = t.k and a.id = t.id
         left join (select fold, k, id, min(md) as bmin from per2 where la <> lb group by fold, k, id) b
@@ -748,7 +748,7 @@ import hashlib  # noqa: E402
 
 
 def _sn(medcode: str) -> str:
-    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:8], 16) % 1000000)
+    return str(int(hashlib.md5(f"{medcode}:snomed".encode()).hexdigest()[:15], 16) % 1000000)
 
 
 CODE_LIST = f"""select * from (values ('read', 'case', 'R91O'), ('snomed', 'case', '{_sn("92P")}'),
