@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cohortlab.functions.hashing import HASH_RANGE, portable_hash
 from cohortlab.session import ensure_checkpoint_dir, ship_package
 
 
@@ -39,3 +41,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def hash_order(salt: str) -> Column:
+    return portable_hash(F.col("doc_id"), salt)
+
+
+def hash_thinned(rows: DataFrame, n: int, salt: str) -> DataFrame:
+    """A fifth more than ``n`` of ``rows`` by the hash of doc_id (all, if there are
+    fewer), so that taking the first ``n`` of them sorts and sends no more than that
+    however many partitions there are."""
+    share = 1.2 * n / max(1, rows.count())
+    return rows if share >= 1 else rows.filter(hash_order(salt) < F.lit(int(share * HASH_RANGE)))

@@ -36,7 +36,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm._tables import stage
+from cohortlab.llm._tables import hash_order, hash_thinned, stage
 from cohortlab.llm._words import hash_words, mix64, split_words, text_slices
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
@@ -199,8 +199,8 @@ def train(pooled: DataFrame, labels: DataFrame, max_train: int = 12_000) -> Netw
     not held out; a sixth of them sets the temperature."""
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
              .agg(F.max("quality").alias("quality")).filter(~held_out(F.col("doc_id"))))
-    order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":quality")))
-    rows = pooled.join(known, "doc_id").orderBy(order, "doc_id").limit(max_train).select("pooled", "quality").collect()
+    known = hash_thinned(known, max_train, "quality")
+    rows = pooled.join(known, "doc_id").orderBy(hash_order("quality"), "doc_id", "pooled").limit(max_train).select("pooled", "quality").collect()
     y = np.array([r[1] for r in rows], float)
     network = Network((y.sum() + 1) / (len(y) + 2))
     if len(y) >= 12 and 0 < y.mean() < 1:

@@ -37,6 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.llm._tables import hash_order, hash_thinned
 from cohortlab.llm._words import split_words, text_slices
 
 PUNCTUATION = string.punctuation + "«»“”„‘’…–—¿¡"
@@ -194,9 +195,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: dict[str, st
     """At most ``max_train`` labelled documents: (doc_id, text, one 0/1 column a category)."""
     marks = [F.max(F.expr(f"int({rule})")).alias(name) for name, rule in categories.items()]
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*marks).dropna()
-    order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":toxicity")))
+    order, most = hash_order("toxicity"), max_train + max_train // 2
     # half as many again, for labels without document; the limit bounds the broadcast
-    named = known.orderBy(order, "doc_id").limit(max_train + max_train // 2)
+    named = hash_thinned(known, most, "toxicity").orderBy(order, "doc_id").limit(most)
     found = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
     one = found.groupBy("doc_id").agg(F.max("text").alias("text"), *[F.first(c).alias(c) for c in categories])
     return one.orderBy(order, "doc_id").limit(max_train)
