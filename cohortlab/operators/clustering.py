@@ -1,23 +1,23 @@
 """K-Means, the k sweep and model selection.
 
-* Full-size fits use Spark ML ``KMeans`` (distributed Lloyd, k-means||);
-  restarts are separate seeds and the lowest training cost wins.
-* Replicated small fits (gap-statistic reference sets, bootstrap / consensus
-  replicates) run as ONE grouped job: rows are keyed by (replicate, k) and
-  each group - a capped sample - is clustered with numpy Lloyd inside
-  ``applyInPandas``, so hundreds of fits run in parallel tasks instead of
-  hundreds of sequential Spark jobs.
+* Every fit is Spark ML ``KMeans`` (distributed Lloyd, k-means||) over all
+  rows of its set, replicates of the gap statistic, the consensus and the
+  bootstraps included; no set is clustered inside one task.
+* Restarts are separate seeds and the lowest training cost wins.  Fits that
+  do not depend on each other (restarts, values of k, replicates) are
+  submitted ``PARALLEL_FITS`` at a time over vectors persisted once per set.
 * Model selection (select_k, best_fold, gap formula) are aggregates and
   windows over the metric rows (a few rows per (fold, k)).
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
-import numpy as np
-import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 from cohortlab.functions.hashing import unit_hash
 from cohortlab.operators import metrics as M
 
+PARALLEL_FITS = 4             # independent fits submitted at a time
+
 
 @dataclass
 class FittedKMeans:
@@ -37,90 +39,54 @@ class FittedKMeans:
     seed: int
 
 
-def kmeans_fit(df: DataFrame, k: int, features: str = "features", restarts: int = 3,
-               max_iter: int = 50, seed: int = 0) -> FittedKMeans:
-    """Best of ``restarts`` Spark ML K-Means fits by training cost."""
-    # Lloyd iterations re-read the input: persist it for the restarts
+def _concurrently(calls: list[Callable]) -> list:
+    """Results of independent calls in their order, a few Spark jobs at a time."""
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return list(pool.map(inheritable_thread_target(lambda call: call()), calls))
+
+
+def kmeans_fits(df: DataFrame, ks: list[int], features: str = "features", restarts: int = 3,
+                max_iter: int = 50, seed: int = 0) -> dict[int, FittedKMeans]:
+    """M12 for several k: per k the best of ``restarts`` fits by training cost."""
+    # Lloyd iterations re-read the input: one persisted copy serves every fit
     x = df.select(array_to_vector(F.col(features)).alias("vec")).persist()
-    best = None
+
+    def fit(k: int, s: int) -> FittedKMeans:
+        model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=s, initMode="k-means||").fit(x)
+        return FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()],
+                            float(model.summary.trainingCost), s)
+
     try:
-        for r in range(restarts):
-            model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=seed + r, initMode="k-means||").fit(x)
-            cost = float(model.summary.trainingCost)
-            if best is None or cost < best.cost:
-                best = FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()], cost, seed + r)
+        fits = _concurrently([partial(fit, k, seed + r) for k in ks for r in range(restarts)])
     finally:
         x.unpersist()
-    return best
+    return {k: min((m for m in fits if m.k == k), key=lambda m: (m.cost, m.seed)) for k in ks}
+
+
+def kmeans_fit(df: DataFrame, k: int, features: str = "features", restarts: int = 3,
+               max_iter: int = 50, seed: int = 0) -> FittedKMeans:
+    """Best of ``restarts`` Spark ML K-Means fits by training cost."""
+    return kmeans_fits(df, [k], features, restarts, max_iter, seed)[k]
 
 
 def kmeans_predict(df: DataFrame, model: FittedKMeans, features: str = "features",
                    out: str = "label") -> DataFrame:
-    """Label rows by the nearest fitted center (projection, no join)."""
+    """Label rows by the nearest fitted center (projection over a broadcast row)."""
     return M.assign_nearest(df, model.centers, features, out)
 
 
-# -- replicated numpy fits -----------------------------------------------------------
-
-def _lloyd(X: np.ndarray, k: int, n_init: int, max_iter: int, seed: int) -> tuple[float, np.ndarray]:
-    """Best-of-n_init k-means++ / Lloyd on one capped sample (inside a task)."""
-    rng = np.random.default_rng(seed)
-    n = len(X)
-    k = min(k, n)
-    best = (math.inf, None)
-    sq = (X * X).sum(1)
-    for _ in range(n_init):
-        c = [X[rng.integers(n)]]
-        for _ in range(1, k):
-            d2 = np.min(((X[:, None, :] - np.array(c)[None, :, :]) ** 2).sum(-1), axis=1)
-            tot = d2.sum()
-            c.append(X[rng.choice(n, p=d2 / tot)] if tot > 0 else X[rng.integers(n)])
-        C = np.array(c)
-        for _ in range(max_iter):
-            d2 = sq[:, None] + (C * C).sum(1)[None, :] - 2 * X @ C.T
-            lab = d2.argmin(1)
-            newC = np.array([X[lab == j].mean(0) if np.any(lab == j) else C[j] for j in range(k)])
-            if np.allclose(newC, C):
-                C = newC
-                break
-            C = newC
-        d2 = sq[:, None] + (C * C).sum(1)[None, :] - 2 * X @ C.T
-        inertia = float(np.maximum(d2.min(1), 0).sum())
-        if inertia < best[0]:
-            best = (inertia, C)
-    return best
-
-
-def replicated_inertia(data: DataFrame, ks: list[int], key: str = "rep", features: str = "features",
-                       n_init: int = 3, max_iter: int = 100, seed: int = 0) -> DataFrame:
-    """K-Means inertia for every (replicate, k) in one grouped job.
-
-    ``data`` holds (key, features) rows; each replicate must be a capped
-    sample (it is clustered inside one task).  Returns (key, k, inertia).
-    """
-    kk = F.array(*[F.lit(int(k)) for k in ks])
-    x = data.select(key, F.explode(kk).alias("k"), features)
-    key_type = dict(data.dtypes)[key]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack(pdf[features].map(np.asarray).to_numpy()).astype(float)
-        rep, k = pdf[key].iloc[0], int(pdf["k"].iloc[0])
-        inertia, _ = _lloyd(X, k, n_init, max_iter, abs(seed + (int(rep) + 1) * 1009 + k))
-        return pd.DataFrame({key: [rep], "k": [k], "inertia": [inertia]})
-
-    return x.groupBy(key, "k").applyInPandas(fit, f"{key} {key_type}, k int, inertia double")
-
+# -- gap statistic --------------------------------------------------------------------
 
 def uniform_reference(scaled: DataFrame, B: int, id_col: str = "id", features: str = "features",
-                      salt: str = "gapref") -> DataFrame:
-    """B reference sets drawn uniformly in the per-dimension [min, max] box.
+                      salt: str = "gapref", first: int = 0) -> DataFrame:
+    """Reference sets ``first`` to ``first + B - 1``, uniform in the per-dimension [min, max] box.
 
     Deterministic portable-hash uniforms; one output row per (b, input row).
     """
     box = (scaled.select(array_to_vector(F.col(features)).alias("v"))
            .agg(Summarizer.metrics("min", "max").summary(F.col("v")).alias("s"))
            .select(vector_to_array("s.min").alias("lo"), vector_to_array("s.max").alias("hi")))
-    x = (scaled.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b"))
+    x = (scaled.select(id_col, F.explode(F.sequence(F.lit(first), F.lit(first + B - 1))).alias("b"))
                .join(F.broadcast(box), how="cross"))      # one-row box statistics
     key = F.concat_ws(":", F.col("b").cast("string"), F.col(id_col).cast("string"))
     u = F.transform(F.sequence(F.lit(0), F.size("lo") - 1),
@@ -144,32 +110,24 @@ def gap_from_inertia(observed: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def gap_statistic(df: DataFrame, ks: list[int], B: int = 10, id_col: str = "id", features: str = "features",
-                  max_n: int = 10_000, n_init: int = 3, seed: int = 0) -> DataFrame:
-    """Gap statistic on a capped hash sample, min-max scaled."""
-    from cohortlab.operators.splits import sample_n
-    xs = M.minmax_scale(sample_n(df.select(id_col, features), max_n, id_col, "gap"), features).checkpoint(eager=True)
-    obs = replicated_inertia(xs.withColumn("rep", F.lit(-1)), ks, "rep", features, n_init, seed=seed)
-    ref = replicated_inertia(uniform_reference(xs, B, id_col, features).withColumnRenamed("b", "rep"),
-                             ks, "rep", features, n_init, seed=seed + 1)
-    return gap_from_inertia(obs.select("k", "inertia"), ref.withColumnRenamed("rep", "b"))
-
+                  restarts: int = 3, max_iter: int = 50, seed: int = 0) -> DataFrame:
+    """Gap statistic of all rows, min-max scaled.
 
-# -- k sweep and selection -----------------------------------------------------------------
+    The observed set and each reference set (as many rows, made anew from the
+    scaled ids) are fitted whole; (B + 1) x len(ks) costs reach the driver.
+    """
+    spark = df.sparkSession
+    xs = M.minmax_scale(df.select(id_col, features), features).checkpoint(eager=True)
+    observed = [(k, m.cost) for k, m in kmeans_fits(xs, ks, features, restarts, max_iter, seed).items()]
+    sets = [uniform_reference(xs, 1, id_col, features, first=b) for b in range(B)]
+    fitted = _concurrently([partial(kmeans_fits, x, ks, features, restarts, max_iter, seed + 1 + b)
+                            for b, x in enumerate(sets)])
+    reference = [(b, k, m.cost) for b, models in enumerate(fitted) for k, m in models.items()]
+    return gap_from_inertia(spark.createDataFrame(observed, "k int, inertia double"),
+                            spark.createDataFrame(reference, "b int, k int, inertia double"))
 
-def fold_metrics(train: DataFrame, test: DataFrame, k: int, features: str = "features", id_col: str = "id",
-                 restarts: int = 3, max_iter: int = 50, seed: int = 0, sil_max_n: int | None = None) -> dict:
-    """One (fold, k) cell of the sweep: fit on train and test, score the test set."""
-    m_tr = kmeans_fit(train, k, features, restarts, max_iter, seed)
-    m_te = kmeans_fit(test, k, features, restarts, max_iter, seed)
-    te = kmeans_predict(test, m_te, features, "test_label")
-    te = kmeans_predict(te, m_tr, features, "train_label").cache()
-    ps = M.prediction_strength(te, "test_label", m_tr.centers, features).first()[0]
-    sil = M.silhouette(te, "train_label", features, id_col, sil_max_n).first()[0]
-    ch = M.calinski_harabasz(te, "train_label", features).first()[0]
-    db = M.davies_bouldin(te, "train_label", features).first()[0]
-    te.unpersist()
-    return {"k": k, "silhouette": sil, "prediction_strength": ps, "calinski_harabasz": ch, "davies_bouldin": db}
 
+# -- k sweep and selection -----------------------------------------------------------------
 
 def label_all_k(test: DataFrame, train_models: dict, test_models: dict, features: str = "features",
                 id_col: str = "id") -> DataFrame:
@@ -212,17 +170,18 @@ def k_sweep(df: DataFrame, ks: list[int], folds: int = 5, features: str = "featu
             restarts: int = 3, max_iter: int = 50, seed: int = 0) -> DataFrame:
     """Metric rows (fold, k, ...) over hash folds.
 
-    The driver loops over folds and k only to fit models (distributed Spark
-    ML); the test fold is then labelled for all k at once and each metric
-    is one keyed job per fold.  No data rows pass through the driver.
+    The driver loops over folds only to fit models (distributed Spark ML, all
+    k and restarts of a fold submitted together); the test fold is then
+    labelled for all k at once and each metric is one keyed job per fold.  No
+    data rows pass through the driver.
     """
     from cohortlab.operators.splits import kfold
     x = kfold(df.select(id_col, features), id_col, folds, f"fold{seed}").checkpoint(eager=True)
     out = None
     for f in range(folds):
         tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
-        m_tr = {k: kmeans_fit(tr, k, features, restarts, max_iter, seed) for k in ks}
-        m_te = {k: kmeans_fit(te, k, features, restarts, max_iter, seed) for k in ks}
+        m_tr, m_te = _concurrently([partial(kmeans_fits, part, ks, features, restarts, max_iter, seed)
+                                    for part in (tr, te)])
         lab = label_all_k(te, m_tr, m_te, features, id_col).checkpoint(eager=True)
         met = sweep_fold_metrics(lab, features, id_col).withColumn("fold", F.lit(f + 1))
         out = met if out is None else out.unionByName(met)
@@ -275,40 +234,27 @@ def validation_report(sections: dict[str, DataFrame]) -> DataFrame:
 
 # -- replicate stability with model fitting (R operators) ------------------------------------
 
-def replicated_labels(data: DataFrame, k: int, key: str = "rep", id_col: str = "id",
-                      features: str = "features", n_init: int = 3, max_iter: int = 100,
-                      seed: int = 0) -> DataFrame:
-    """Fit K-Means inside each replicate group and label the group's rows.
-
-    One ``applyInPandas`` job keyed by replicate; every group must be a
-    capped sample (it is clustered inside one task).  Returns (rep, id, label).
-    """
-    key_type = dict(data.dtypes)[key]
-    id_type = dict(data.dtypes)[id_col]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack(pdf[features].map(np.asarray).to_numpy()).astype(float)
-        rep = pdf[key].iloc[0]
-        _, C = _lloyd(X, k, n_init, max_iter, abs(seed + (int(rep) + 1) * 7919))
-        d2 = (X * X).sum(1)[:, None] + (C * C).sum(1)[None, :] - 2 * X @ C.T
-        return pd.DataFrame({key: rep, id_col: pdf[id_col], "label": d2.argmin(1).astype("int32")})
-
-    return (data.select(key, id_col, features).groupBy(key)
-                .applyInPandas(fit, f"{key} {key_type}, {id_col} {id_type}, label int"))
-
-
-def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8, sample_size: int = 2000,
-                      id_col: str = "id", features: str = "features", denominator: str = "all",
-                      n_init: int = 3, seed: int = 0) -> DataFrame:
-    """M20 with training: capped sample, ``reps`` subsamples without
-    replacement (hash < frac), K-Means per subsample, then PAC."""
-    from cohortlab.operators.splits import sample_n
-    xs = sample_n(df.select(id_col, features), sample_size, id_col, f"pac{seed}").checkpoint(eager=True)
-    subs = (xs.select(id_col, features, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-              .where(unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.col("rep").cast("string")),
-                               f"sub{seed}") < F.lit(frac)))
-    labels = replicated_labels(subs, k, "rep", id_col, features, n_init, seed=seed)
-    return M.consensus_pac(labels, xs.select(id_col), id_col, denominator)
+def label_replicates(sets: list[DataFrame], models: list[FittedKMeans], features: str = "features") -> DataFrame:
+    """Union of the replicate sets, each labelled by its own model; written once."""
+    parts = [kmeans_predict(x, m, features, "label").drop(features) for x, m in zip(sets, models, strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.checkpoint(eager=True)
+
+
+def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8, id_col: str = "id",
+                      features: str = "features", denominator: str = "all", restarts: int = 3,
+                      max_iter: int = 50, seed: int = 0) -> DataFrame:
+    """M20 with training: ``reps`` subsamples of all rows without replacement
+    (hash < frac), a K-Means fit on each whole subsample, then PAC."""
+    xs = df.select(id_col, features).checkpoint(eager=True)
+    drawn = lambda r: unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(r))),
+                                f"sub{seed}") < F.lit(frac)
+    sets = [xs.where(drawn(r)).select(F.lit(r).alias("rep"), id_col, features) for r in range(reps)]
+    models = _concurrently([partial(kmeans_fit, x, k, features, restarts, max_iter, seed + r)
+                            for r, x in enumerate(sets)])
+    return M.consensus_pac(label_replicates(sets, models, features), xs.select(id_col), id_col, denominator)
 
 
 def bootstrap_ari_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
@@ -320,16 +266,13 @@ def bootstrap_ari_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8,
     base = df.select(id_col, features)
     n = base.count()
     drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
-    out = None
     try:
-        for r in range(reps):
-            model = kmeans_fit(drawn.where(F.col("rep") == r), k, features, restarts, max_iter, seed + r)
-            lab = kmeans_predict(base, model, features, "label").select(F.lit(r).alias("rep"), id_col, "label")
-            out = lab if out is None else out.unionByName(lab)
-        res = M.bootstrap_ari(out.checkpoint(eager=True), id_col, ddof)
+        models = _concurrently([partial(kmeans_fit, drawn.where(F.col("rep") == r), k, features, restarts,
+                                        max_iter, seed + r) for r in range(reps)])
     finally:
         drawn.unpersist()
-    return res
+    sets = [base.select(F.lit(r).alias("rep"), id_col, features) for r in range(reps)]
+    return M.bootstrap_ari(label_replicates(sets, models, features), id_col, ddof)
 
 
 def bootstrap_jaccard_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
@@ -342,17 +285,14 @@ def bootstrap_jaccard_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0
     n = base.count()
     full = kmeans_predict(base, kmeans_fit(base, k, features, restarts, max_iter, seed), features, "label")
     drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
-    out = None
     try:
-        for r in range(reps):
-            dr = drawn.where(F.col("rep") == r)
-            model = kmeans_fit(dr, k, features, restarts, max_iter, seed + r + 1)
-            lab = kmeans_predict(dr, model, features, "label").select("rep", "draw", id_col, "label")
-            out = lab if out is None else out.unionByName(lab)
-        res = M.bootstrap_jaccard(out.checkpoint(eager=True), full.select(id_col, "label"), id_col)
+        sets = [drawn.where(F.col("rep") == r).select("rep", "draw", id_col, features) for r in range(reps)]
+        models = _concurrently([partial(kmeans_fit, x, k, features, restarts, max_iter, seed + r + 1)
+                                for r, x in enumerate(sets)])
+        labels = label_replicates(sets, models, features)
     finally:
         drawn.unpersist()
-    return res
+    return M.bootstrap_jaccard(labels, full.select(id_col, "label"), id_col)
 
 
 def cross_source_ari_fit(source: DataFrame, target: DataFrame, k: int, features: str = "features",

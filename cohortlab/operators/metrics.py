@@ -6,8 +6,8 @@ Design:
   pair matrices: n(n-1)/2 pair counts are sums of comb2 over cells.
 * Centroid statistics use Spark ML ``Summarizer`` over ``VectorUDT``
   (JVM, partial aggregation); per-cluster rows are bounded by k.
-* Fitted centers (k x d, model parameters) are embedded as literals, so
-  nearest-center assignment is a projection - no join at all.
+* Fitted centers (k x d, model parameters) are one broadcast row, so
+  nearest-center assignment is a projection without shuffle.
 * Silhouette and consensus PAC are pairwise by definition and use every row:
   blocks of ``TILE_ROWS`` rows meet in tiles (block i against block j), each
   tile returns sums per row or one row of counts, and the sums are added up.
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +30,7 @@ from cohortlab.functions.vectors import dot, euclidean, squared_distance
 from cohortlab.functions.hashing import portable_hash
 from cohortlab.operators.splits import sample_n
 
-MAX_CENTERS = 10_000          # bound on literal-embedded centers (k)
+MAX_CENTERS = 10_000          # bound on the centers of one broadcast row (k)
 TILE_ROWS = 2048              # rows of each side that meet in one pairwise task
 
 
@@ -48,8 +48,13 @@ def collect_centers(centers: DataFrame, idx_col: str = "idx", vec_col: str = "ce
     return vecs
 
 
-def centers_literal(centers: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+def _with_centers(df: DataFrame, centers: list[list[float]], ids: list[int], features: str) -> DataFrame:
+    """``df`` with the squared distances ``_d`` to the centers and their ``_ids``; the
+    centers (k x d model parameters) are one broadcast row."""
+    row = df.sparkSession.createDataFrame([([list(map(float, c)) for c in centers], list(map(int, ids)))],
+                                          "_centers array<array<double>>, _ids array<int>")
+    x = df.crossJoin(F.broadcast(row))
+    return x.withColumn("_d", F.transform("_centers", lambda c: squared_distance(F.col(features), c))).drop("_centers")
 
 
 def assign_nearest(df: DataFrame, centers: list[list[float]], features: str = "features",
@@ -59,13 +64,10 @@ def assign_nearest(df: DataFrame, centers: list[list[float]], features: str = "f
     With ``center_ids`` the result is the id of the nearest center instead
     of its position.
     """
-    lit = centers_literal(centers)
-    d = F.transform(lit, lambda c: squared_distance(F.col(features), c))
-    pos = F.array_position(d, F.array_min(d))
-    if center_ids is None:
-        return df.withColumn(out, (pos - 1).cast("int"))
-    ids = F.array(*[F.lit(int(i)) for i in center_ids])
-    return df.withColumn(out, F.element_at(ids, pos.cast("int")).cast("int"))
+    ids = range(len(centers)) if center_ids is None else center_ids
+    x = _with_centers(df, centers, list(ids), features)
+    pos = F.array_position("_d", F.array_min("_d")).cast("int")
+    return x.withColumn(out, F.element_at("_ids", pos)).drop("_d", "_ids")
 
 
 def to_vector(df: DataFrame, features: str = "features", out: str = "vec") -> DataFrame:
@@ -207,9 +209,8 @@ def within_dispersion(df: DataFrame, label: str = "label", features: str = "feat
 
 def inertia_to_centers(df: DataFrame, centers: list[list[float]], features: str = "features") -> DataFrame:
     """K-Means cost: squared distance of every point to its nearest center."""
-    lit = centers_literal(centers)
-    d = F.array_min(F.transform(lit, lambda c: squared_distance(F.col(features), c)))
-    return df.agg(F.sum(d).alias("inertia"))
+    x = _with_centers(df, centers, list(range(len(centers))), features)
+    return x.agg(F.sum(F.array_min("_d")).alias("inertia"))
 
 
 def calinski_harabasz(df: DataFrame, label: str = "label", features: str = "features",

@@ -111,12 +111,14 @@ def pivot_by_label(long: DataFrame, row_col: str, value_col: str, labels: list |
 def code_prevalence(seq: DataFrame, label_col: str = "label", code_col: str = "code") -> DataFrame:
     """Share of each cluster's patients having each grouped code (F8).
 
-    Returns (code, label, n_patients, cluster_size, prevalence).  Cluster
-    sizes are one row per cluster, so their join is a bounded broadcast.
+    ``seq`` has one row per patient and the codes are a set, so a plain count
+    (combined before the shuffle) is the number of patients.  Returns (code,
+    label, n_patients, cluster_size, prevalence).  Cluster sizes are one row
+    per cluster, so their join is a bounded broadcast.
     """
-    pats = seq.select("patid", F.col(label_col).alias("label"),
+    pats = seq.select(F.col(label_col).alias("label"),
                       F.explode(FC.group_code_set(F.col(code_col))).alias("code"))
-    counts = pats.groupBy("label", "code").agg(F.countDistinct("patid").alias("n_patients"))
+    counts = pats.groupBy("label", "code").agg(F.count(F.lit(1)).alias("n_patients"))
     sizes = seq.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("cluster_size"))
     return (counts.join(F.broadcast(sizes), "label")
                   .withColumn("prevalence", F.col("n_patients") / F.col("cluster_size")))
@@ -140,16 +142,18 @@ def prevalence_filter(ranges: DataFrame, threshold: float = 0.15, col: str = "pr
     return ranges.where(F.col(col) > F.lit(threshold))
 
 
-def prevalence_matrix(prev: DataFrame, ranges: DataFrame, descriptions: DataFrame,
-                      labels: list, threshold: float = 0.15, family: str = "all") -> DataFrame:
+def prevalence_matrix(prev: DataFrame, descriptions: DataFrame, labels: list, threshold: float = 0.15,
+                      family: str = "all") -> DataFrame:
     """Code x cluster prevalence of the retained codes, described.
 
-    Columns: code, description, display (title case unless upper, <= 50
-    chars), then one zero-filled column per label.
+    One pivot aggregate; a code stays if the range over its row (0 where a
+    cluster lacks it) is above the threshold.  Columns: code, description,
+    display (title case unless upper, <= 50 chars), then one zero-filled
+    column per label.
     """
-    keep = prevalence_filter(ranges, threshold).where(FC.code_family_predicate(F.col("code"), family))
-    p = prev.join(keep.select("code"), "code", "left_semi")
-    wide = p.groupBy("code").pivot("label", labels).agg(F.first("prevalence")).na.fill(0.0)
-    wide = keep.select("code").join(wide, "code", "left").na.fill(0.0)
+    wide = (prev.where(FC.code_family_predicate(F.col("code"), family))
+                .groupBy("code").pivot("label", labels).agg(F.first("prevalence")).na.fill(0.0))
+    row = F.array(*[F.col(f"`{k}`") for k in labels])
+    wide = wide.where(F.array_max(row) - F.array_min(row) > F.lit(threshold))
     described = describe_codes(wide, descriptions, "code")
     return described.withColumn("display", FC.title_unless_upper(F.col("description")))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.functions.numeric import round6
+from cohortlab.functions.vectors import squared_distance
 from cohortlab.operators import cohort as CH
 from cohortlab.operators import outcomes as O
 from cohortlab.plans import study as S
@@ -228,8 +229,7 @@ def q_prevalence_range(spark, d):
 
 def _matrix(spark, d, family, threshold=0.15):
     prev = PR.code_prevalence(S.labelled_sequences(spark, d))
-    rng = PR.prevalence_range(prev, len(LABELS))
-    m = PR.prevalence_matrix(prev, rng, R.code_descriptions(spark, d), LABELS, threshold, family)
+    m = PR.prevalence_matrix(prev, R.code_descriptions(spark, d), LABELS, threshold, family)
     return rounded(m.select("code", "description", "display",
                             *[F.col(str(k)).alias(f"p{k}") for k in LABELS]), *[f"p{k}" for k in LABELS])
 
@@ -307,6 +307,12 @@ def q_prs_trait_filter(spark, d):
     return rounded(G.trait_filter(ls, 0.15), "max_mean", "min_mean", "mean_range")
 
 
+@register("prs_trait_filter_t02")
+def q_prs_trait_filter_t02(spark, d):
+    ls = G.labelled_scores(R.scores(spark, d), R.score_labels(spark, d))
+    return rounded(G.trait_filter(ls, 0.02), "max_mean", "min_mean", "mean_range")
+
+
 @register("prs_pairwise")
 def q_prs_pairwise(spark, d):
     return rounded(G.prs_pairwise(R.scores(spark, d), R.score_labels(spark, d)),
@@ -524,8 +530,24 @@ def q_k_sweep(spark, d):
 
 @register("gap_statistic")
 def q_gap(spark, d):
-    """Rows-only: gap statistic with replicated numpy fits in one grouped job."""
-    return CL.gap_statistic(R.vectors(spark, d), [2, 3, 4], B=3, n_init=2)
+    """Rows-only: gap statistic with Spark ML fits of the whole observed and reference sets."""
+    return CL.gap_statistic(R.vectors(spark, d), [2, 3, 4], B=3, restarts=1, max_iter=10)
+
+
+@register("gap_from_inertia")
+def q_gap_from_inertia(spark, d):
+    """M19 formula on fixed centers: squared distances of the vectors to the first k class
+    centers; reference b shifts every vector by b + 1."""
+    v = R.vectors(spark, d)
+    classes = R.class_centers(spark, d).agg(F.sort_array(F.collect_list(F.struct("idx", "center"))).alias("_g"))
+    b = F.explode(F.sequence(F.lit(-1), F.lit(2))).alias("b")
+    k = F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("k")
+    x = v.select("features", b).select("features", "b", k).crossJoin(F.broadcast(classes))    # one row of ten centers
+    shifted = F.transform("features", lambda e: e + F.col("b") + 1)
+    cost = F.array_min(F.transform(F.slice("_g", 1, F.col("k")), lambda c: squared_distance(shifted, c["center"])))
+    inertia = x.groupBy("b", "k").agg(F.sum(cost).alias("inertia"))
+    gap = CL.gap_from_inertia(inertia.where("b = -1").drop("b"), inertia.where("b >= 0"))
+    return rounded(gap, "gap", "s_k", "log_w", "ref_log_mean")
 
 
 @register("fixed_center_sweep")
@@ -548,6 +570,12 @@ def q_select_k_strict(spark, d):
     return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.95)
 
 
+@register("select_k_by_strength")
+def q_select_k_by_strength(spark, d):
+    """W5 without fallback, at a threshold that the strengths of fixed centers reach."""
+    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.3, None)
+
+
 @register("best_fold")
 def q_best_fold(spark, d):
     m = S.fixed_center_sweep(spark, d)
@@ -599,19 +627,19 @@ def q_relabel_external(spark, d):
 
 @register("validation_report")
 def q_validation_report(spark, d):
-    """Rows-only: union of one-row metric frames into (section, metric, value)."""
+    """Union of one-row metric frames into (section, metric, value)."""
     v = R.vectors(spark, d)
     parts = S.vector_partitions(spark, d)
-    return CL.validation_report({
+    return rounded(CL.validation_report({
         "internal": M.calinski_harabasz(v, "label").crossJoin(M.davies_bouldin(v, "label")),
         "agreement": M.adjusted_rand(parts, "label", "nearest"),
-    })
+    }), "value")
 
 
 @register("consensus_pac_fit")
 def q_pac_fit(spark, d):
-    """Rows-only: PAC with a K-Means fit per subsample (grouped numpy fits)."""
-    return CL.consensus_pac_fit(R.vectors(spark, d), 4, reps=5, frac=0.8, sample_size=2000, n_init=2)
+    """Rows-only: PAC with a Spark ML K-Means fit per whole subsample."""
+    return CL.consensus_pac_fit(R.vectors(spark, d), 4, reps=5, frac=0.8, restarts=1, max_iter=10)
 
 
 @register("bootstrap_ari_fit")

@@ -124,15 +124,6 @@ def vector_partitions(spark, sf_dir) -> DataFrame:
     return assign_nearest(R.vectors(spark, sf_dir), class_center_list(spark, sf_dir))
 
 
-def _rep_centers(rows: DataFrame, r: int):
-    from cohortlab.functions.hashing import portable_hash
-    from cohortlab.operators.metrics import collect_centers
-    cen = (rows.groupBy("label")
-               .agg(F.min_by("features", portable_hash(F.col("id"), f"ctr{r}")).alias("center"))
-               .select(F.col("label").alias("idx"), "center"))
-    return collect_centers(cen, with_ids=True)
-
-
 def replicate_labels(spark, sf_dir, reps: int = 5, frac: float = 0.8, full: bool = False) -> DataFrame:
     """(rep, id, label) replicate labelings derived from the vectors.
 
@@ -220,23 +211,35 @@ def fixed_center_sweep(spark, sf_dir, ks=(2, 3, 4), folds: int = 3) -> DataFrame
 
 
 def _fixed_center_sweep(spark, sf_dir, ks, folds) -> DataFrame:
+    """All (fold, k) cells in one keyed job per metric; the centers are one row per
+    fold and one row of class centers (labels x folds vectors in all), broadcast."""
+    from cohortlab.functions.vectors import squared_distance
     from cohortlab.operators import metrics as M
     from cohortlab.operators.splits import kfold
     v = kfold(R.vectors(spark, sf_dir), "id", folds, "fold")
-    glob = class_center_list(spark, sf_dir)
-    rows = []
-    for f in range(folds):
-        tr, te = v.where(F.col("fold") != f), v.where(F.col("fold") == f)
-        for k in ks:
-            tl = M.assign_nearest(te, glob[:k], "features", "test_label")
-            first = tr.where(F.col("label") < k).groupBy("label").agg(F.min("id").alias("id"))
-            c = (tr.join(first, ["label", "id"], "left_semi")
-                   .select(F.col("label").alias("idx"), F.col("features").alias("center")))
-            centers = M.collect_centers(c)
-            ps = M.prediction_strength(tl, "test_label", centers).first()[0]
-            sil = M.silhouette(tl, "test_label").first()[0]
-            rows.append((f + 1, k, float(ps), float(sil) if sil is not None else None))
-    return spark.createDataFrame(rows, "fold int, k int, prediction_strength double, silhouette double")
+    every = lambda values: F.explode(F.array(*[F.lit(x) for x in values]))
+    least = v.groupBy("label", "fold").agg(F.min(F.struct("id", "features")).alias("m"))
+    train = (least.withColumn("f", every(range(folds))).where(F.col("f") != F.col("fold"))
+             .groupBy("f", "label").agg(F.min("m").alias("m"))
+             .groupBy(F.col("f").alias("fold")).agg(F.sort_array(F.collect_list(
+                 F.struct("label", F.col("m.features").alias("center")))).alias("_t")))
+    classes = R.class_centers(spark, sf_dir).agg(F.sort_array(F.collect_list(F.struct("idx", "center"))).alias("_g"))
+    x = (v.select("id", "features", "fold", every(ks).alias("k"))
+          .join(F.broadcast(train), "fold").crossJoin(F.broadcast(classes)))
+
+    def nearest(centers):
+        d = F.transform(centers, lambda c: squared_distance(F.col("features"), c["center"]))
+        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
+    labelled = x.select("fold", "k", "id", "features", nearest(F.slice("_g", 1, F.col("k"))).alias("test_label"),
+                        nearest(F.filter("_t", lambda c: c["label"] < F.col("k"))).alias("train_label")
+                        ).checkpoint(eager=True)
+    keys = ["fold", "k"]
+    ps = (M.strength_from_assignment(labelled, "test_label", "train_label", keys)
+          .groupBy(*keys).agg(F.coalesce(F.min("strength"), F.lit(float("inf"))).alias("prediction_strength")))
+    sil = M.silhouette(labelled, "test_label", keys=keys)
+    return ps.join(sil, keys, "left").select((F.col("fold") + 1).cast("int").alias("fold"), F.col("k").cast("int"),
+                                             "prediction_strength", "silhouette")
 
 
 # -- code lists ---------------------------------------------------------------------------------

@@ -159,10 +159,8 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 def class_centers(spark, sf_dir) -> DataFrame:
     """Fixed centers: the vector with the smallest id of each class; idx = class."""
-    v = vectors(spark, sf_dir)
-    first = v.groupBy("label").agg(F.min("id").alias("id"))
-    return (v.join(first, ["label", "id"], "left_semi")
-             .select(F.col("label").alias("idx"), F.col("features").alias("center")))
+    return (vectors(spark, sf_dir).groupBy(F.col("label").alias("idx"))
+            .agg(F.min_by("features", "id").alias("center")))
 
 
 def snp_frequencies(spark) -> DataFrame:

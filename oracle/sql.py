@@ -420,10 +420,17 @@ _LS = [
 ]
 ORACLE["prs_group_summary"] = gen_sql(
     f'select trait, grp as "group", n, {R6("mean")} as mean, {R6("var")} as var from summ', _LS)
-ORACLE["prs_trait_filter"] = gen_sql(f"""select trait, {R6('max_mean')} as max_mean, {R6('min_mean')} as min_mean,
+
+
+def trait_filter_sql(threshold: float) -> str:
+    return gen_sql(f"""select trait, {R6('max_mean')} as max_mean, {R6('min_mean')} as min_mean,
   {R6('max_mean - min_mean')} as mean_range from (
   select trait, max(mean) as max_mean, min(mean) as min_mean from summ where grp <> 'Control' group by trait)
-  where max_mean - min_mean > 0.15""", _LS)
+  where max_mean - min_mean > {threshold}""", _LS)
+
+
+ORACLE["prs_trait_filter"] = trait_filter_sql(0.15)
+ORACLE["prs_trait_filter_t02"] = trait_filter_sql(0.02)
 
 SIMPSON_N = 4000
 
@@ -537,7 +544,7 @@ _SIL = [
         from vectors a join vectors b on a.id <> b.id"""),
     ("per", "select id, la, lb, sum(d) as sd, count(*) as cnt from pdist group by id, la, lb"),
     ("own", "select label, count(*) as n_own from vectors group by label"),
-    ("sil", """select v.id, v.label, case when o.n_own <= 1 then 0.0 else
+    ("sil", """select v.id, v.label, case when o.n_own <= 1 or greatest(ai, bmin) = 0 then 0.0 else
           (bmin - ai) / greatest(ai, bmin) end as s
         from vectors v join own o using (label)
         left join (select id, sd / cnt as ai from per where la = lb) a using (id)
@@ -568,6 +575,17 @@ ORACLE["davies_bouldin"] = vec_sql(f"""select {R6("case when (select max(s) from
   from cdist c join spread si on si.label = c.i join spread sj on sj.label = c.j group by c.i)""", _DISP)
 ORACLE["inertia_to_centers"] = vec_sql(f"""select {R6('sum(d2)')} as inertia from (
   select id, min(pow(dist, 2)) as d2 from nv group by id)""")
+ORACLE["gap_from_inertia"] = vec_sql(f"""select o.k, {R6('m - ln(o.w)')} as gap, {R6('sd * sqrt(1 + 1.0 / n)')} as s_k,
+  {R6('ln(o.w)')} as log_w, {R6('m')} as ref_log_mean
+  from costs o join (select k, avg(ln(w)) as m, stddev_samp(ln(w)) as sd, count(*) as n from costs where b >= 0 group by k) r
+    using (k) where o.b = -1""", [("costs", """select b, cast(k as integer) as k, sum(d2) as w from (
+      select b, k, v.id, min(pow(list_distance(list_transform(v.features, lambda e: e + b + 1), c.center), 2)) as d2
+      from vectors v, (values (-1), (0), (1), (2)) bb(b), (values (2), (3), (4)) kk(k), class_centers c
+      where c.idx < k group by b, k, v.id) group by b, k""")])
+ORACLE["validation_report"] = " union all ".join(
+    f"select '{section}' as section, '{column}' as metric, {column} as value from ({ORACLE[name]})" for section, name, column in (
+        ("internal", "calinski_harabasz", "calinski_harabasz"), ("internal", "davies_bouldin", "davies_bouldin"),
+        ("agreement", "adjusted_rand", "ari")))
 ORACLE["minmax_scale"] = vec_sql(f"""select d.id, cast(d.dim as integer) as dim,
   {R6('case when m.hi > m.lo then (d.x - m.lo) / (m.hi - m.lo) else 0.0 end')} as value
   from dims d join (select dim, min(x) as lo, max(x) as hi from dims group by dim) m using (dim)""", _DISP)
@@ -727,6 +745,9 @@ ORACLE["sweep_summary"] = sweep_sql(
     f"select cast(k as integer) as k, {R6('prediction_strength')} as prediction_strength, {R6('silhouette')} as silhouette from ssum")
 ORACLE["select_k"] = select_k_sql(0.9)
 ORACLE["select_k_strict"] = select_k_sql(0.95)
+ORACLE["select_k_by_strength"] = sweep_sql("""select cast(bs as integer) as best_k,
+  case when bs is not null then 'prediction_strength' end as rule from (
+  select max(case when prediction_strength >= 0.3 then k end) as bs from ssum)""")
 ORACLE["best_fold"] = sweep_sql(f"""select k, fold, {R6('prediction_strength')} as prediction_strength from (
   select s.*, row_number() over (order by prediction_strength desc, fold) as rn from sweep s
   where k = (select coalesce(max(case when prediction_strength >= 0.9 then k end),

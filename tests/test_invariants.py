@@ -67,6 +67,20 @@ def test_gap_formula(spark):
     assert r.s_k == pytest.approx(logs.std(ddof=1) * np.sqrt(1 + 1 / 2))
 
 
+def test_gap_uses_every_row(spark):
+    """Two tight far groups: the fit on all rows leaves their inner spread, whatever the row count."""
+    x = [(i, [float(i % 2) * 10 + (i % 5) * 0.1, float(i % 3) * 0.1]) for i in range(120)]
+    df = spark.createDataFrame(x, "id long, features array<double>")
+    gap = {r.k: r for r in CL.gap_statistic(df, [1, 2], B=2, restarts=1, max_iter=10).collect()}
+    v = np.array([f for _, f in x])
+    v = (v - v.min(0)) / (v.max(0) - v.min(0))
+    side = np.arange(120) % 2
+    inner = sum(((v[side == s] - v[side == s].mean(0)) ** 2).sum() for s in (0, 1))
+    assert gap[1].log_w == pytest.approx(np.log(((v - v.mean(0)) ** 2).sum()), rel=1e-9)
+    assert gap[2].log_w == pytest.approx(np.log(inner), rel=1e-9)
+    assert gap[2].gap > gap[1].gap
+
+
 def test_select_k_rules(spark):
     s = spark.createDataFrame([(2, 0.97, 0.1), (3, 0.96, 0.3), (4, 0.5, 0.2)],
                               "k int, prediction_strength double, silhouette double")
@@ -108,7 +122,7 @@ def test_randomized_svd_matches_exact(spark):
 
 
 def test_trained_stability_ranges(spark, vecs):
-    pac = CL.consensus_pac_fit(vecs, 3, reps=3, sample_size=200, n_init=1).first()
+    pac = CL.consensus_pac_fit(vecs, 3, reps=3, restarts=1, max_iter=5).first()
     assert 0.0 <= pac.pac <= 1.0
     ari = CL.bootstrap_ari_fit(vecs, 3, reps=2, restarts=1, max_iter=5).first()
     assert -1.0 <= ari.mean_ari <= 1.0 and ari.sd_ari >= 0.0

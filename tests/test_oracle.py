@@ -29,7 +29,7 @@ def test_query_matches_oracle(spark, sf_small, con, name):
 def test_every_query_has_oracle_or_is_model_based():
     from cohortlab.plans.queries import QUERIES as OWN
     rows_only = set(OWN) - set(ORACLE)
-    assert rows_only == {"svd_project", "kmeans_labels", "k_sweep", "gap_statistic", "validation_report",
+    assert rows_only == {"svd_project", "kmeans_labels", "k_sweep", "gap_statistic",
                          "consensus_pac_fit", "bootstrap_ari_fit", "bootstrap_jaccard_fit", "cross_source_ari_fit"}
 
 
