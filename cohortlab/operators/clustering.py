@@ -21,7 +21,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +42,7 @@ class FittedKMeans:
 def _concurrently(calls: list[Callable]) -> list:
     """Results of independent calls in their order, a few Spark jobs at a time."""
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(lambda call: call()), calls))
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(lambda call: call()), calls))
 
 
 def kmeans_fits(df: DataFrame, ks: list[int], features: str = "features", restarts: int = 3,
@@ -52,6 +52,9 @@ def kmeans_fits(df: DataFrame, ks: list[int], features: str = "features", restar
     x = df.select(array_to_vector(F.col(features)).alias("vec")).persist()
 
     def fit(k: int, s: int) -> FittedKMeans:
+        if k == 1:        # Spark ML takes two centers at least; the best single one is the mean
+            one = x.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("vec")).alias("s")).first().s
+            return FittedKMeans(1, [list(map(float, one.mean))], float(sum(one.variance)) * (one["count"] - 1), s)
         model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=s, initMode="k-means||").fit(x)
         return FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()],
                             float(model.summary.trainingCost), s)

@@ -573,7 +573,7 @@ def q_select_k_strict(spark, d):
 @register("select_k_by_strength")
 def q_select_k_by_strength(spark, d):
     """W5 without fallback, at a threshold that the strengths of fixed centers reach."""
-    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.3, None)
+    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.5, None)
 
 
 @register("best_fold")

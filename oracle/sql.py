@@ -747,7 +747,7 @@ ORACLE["select_k"] = select_k_sql(0.9)
 ORACLE["select_k_strict"] = select_k_sql(0.95)
 ORACLE["select_k_by_strength"] = sweep_sql("""select cast(bs as integer) as best_k,
   case when bs is not null then 'prediction_strength' end as rule from (
-  select max(case when prediction_strength >= 0.3 then k end) as bs from ssum)""")
+  select max(case when prediction_strength >= 0.5 then k end) as bs from ssum)""")
 ORACLE["best_fold"] = sweep_sql(f"""select k, fold, {R6('prediction_strength')} as prediction_strength from (
   select s.*, row_number() over (order by prediction_strength desc, fold) as rn from sweep s
   where k = (select coalesce(max(case when prediction_strength >= 0.9 then k end),
