@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from cohortlab.llm.license_scan import TEMPLATES
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = rf"""
@@ -53,4 +55,147 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLE = {"op1_mix_sources": OP1, "op2_warc_archive": OP2}
+# -- quality rules: counts, then the exact bounds as sums of binomial terms ----------------
+
+RULE_RATIOS = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n_lines"),
+               ("repeats", "n_repeat_words", "n_words"), ("upper", "n_upper", "word_chars"), ("bangs", "n_bangs", "n_words"))
+_BIN = "CASE WHEN {b} > 0 THEN least((50 * {a} + {b} - 1) // {b}, 51) ELSE 0 END"
+_RATIOS = " UNION ALL ".join(
+    f"SELECT rid, doc_id, lang, {i} AS place, '{r}' AS rule, {_BIN.format(a=a, b=b)} AS bin FROM counts"
+    for i, (r, a, b) in enumerate(RULE_RATIOS))
+
+OP5 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t, {WORDS} AS w FROM documents
+), line AS (
+  SELECT rid, x FROM (SELECT rid, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), lines AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines FROM line GROUP BY rid
+), windows AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w1, w2, w3) AS n
+  FROM (SELECT rid, unnest(generate_series(1, len(w) - 2)) AS i, unnest(w[1:len(w) - 2]) AS w1, unnest(w[2:len(w) - 1]) AS w2,
+               unnest(w[3:]) AS w3 FROM d WHERE len(w) > 2)
+), repeats AS (
+  SELECT rid, count(DISTINCT i + j) AS n FROM windows, (VALUES (0), (1), (2)) v(j) WHERE n > 1 GROUP BY rid
+), counts AS (
+  SELECT rid, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+         len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '!')) AS n_bangs
+  FROM d LEFT JOIN repeats USING (rid) LEFT JOIN lines USING (rid)
+), ratios AS (
+  {_RATIOS}
+), good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), held AS (
+  SELECT lang, rule, bin FROM ratios JOIN good USING (doc_id)
+), families AS (
+  SELECT lang, rule, count(*) AS n, count(*) OVER () AS tests FROM held GROUP BY lang, rule
+), cuts AS (
+  SELECT f.lang, f.rule, f.n, f.tests, c.cut, count(*) FILTER (WHERE h.bin > c.cut) AS k
+  FROM families f CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS cut) c
+  JOIN held h ON h.lang IS NOT DISTINCT FROM f.lang AND h.rule = f.rule
+  GROUP BY f.lang, f.rule, f.n, f.tests, c.cut
+), terms AS (
+  SELECT lang, rule, cut, tests, k, n, unnest(generate_series(0, k)) AS i FROM cuts
+), bounds AS (
+  SELECT lang, rule, cut, tests, k, n, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+         + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE))) AS p
+  FROM terms GROUP BY lang, rule, cut, tests, k, n
+), chosen AS (
+  SELECT lang, rule, coalesce(max(cut) FILTER (WHERE k >= n * 0.01 OR p > 0.05 / tests), 0) + 1 AS cut FROM bounds GROUP BY lang, rule
+), failed AS (
+  SELECT rid, string_agg(r.rule, ',' ORDER BY place) AS reasons
+  FROM ratios r JOIN chosen c ON c.lang IS NOT DISTINCT FROM r.lang AND c.rule = r.rule
+  WHERE r.bin > c.cut GROUP BY rid
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       (n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND reasons IS NULL) AS kept,
+       coalesce(reasons, '') AS reasons
+FROM counts LEFT JOIN failed USING (rid)
+"""
+
+# -- secrets: matches and the pieces between them give the positions -----------------------
+
+_QUOTE = "[\"'']?"                       # a quote, within an SQL string
+SECRET_PATTERNS = (
+    ("assign", rf"((?i:password|passwd|secret|token|api_?key)){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)"),
+    ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"))
+
+
+def _secret_matches(rank: int, kind: str, pattern: str) -> str:
+    value = f"regexp_extract_all(t, '{pattern}', 2)" if kind == "assign" else "NULL"
+    return (f"SELECT rid, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS found, {value} AS secret, "
+            f"string_split_regex(t, '{pattern}') AS pieces FROM d WHERE regexp_matches(t, '{pattern}')")
+
+
+_SECRETS = " UNION ALL ".join(_secret_matches(rank, *rule) for rank, rule in enumerate(SECRET_PATTERNS))
+
+OP9 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), hits AS (
+  {_SECRETS}
+), each AS (
+  SELECT rid, rank, kind, i, found[i] AS m, secret[i] AS s, length(pieces[i]) AS gap
+  FROM (SELECT *, unnest(generate_series(1, len(found))) AS i FROM hits)
+), placed AS (
+  SELECT *, (sum(gap + length(m)) OVER (PARTITION BY rid, rank ORDER BY i))::BIGINT AS e FROM each
+), spans AS (
+  SELECT rid, rank, kind, e - length(m) AS b, kind || ':' || (e - length(m)) || ':' || e AS span
+  FROM placed
+  WHERE CASE kind WHEN 'assign' THEN length(s) >= 8 WHEN 'access' THEN length(m) >= 16 WHEN 'hex' THEN length(m) >= 32 ELSE true END
+), joined AS (
+  SELECT rid, string_agg(span, ',' ORDER BY b, rank) AS spans,
+         string_agg(span, ',' ORDER BY b, rank) FILTER (WHERE rank < 3) AS base,
+         count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+       coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (rid)
+"""
+
+# -- licences: Dice of bigram sets through a join on bigrams, no size bounds ---------------
+
+_NOTICES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+_NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+OP10 = rf"""
+WITH notices AS (
+  SELECT rank, license, string_split({_NORMAL.format("text")}, ' ') AS w FROM (VALUES {_NOTICES}) v(rank, license, text)
+), gram AS (
+  SELECT DISTINCT rank, license, w[i] || ' ' || w[i + 1] AS g FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM notices)
+), sizes AS (
+  SELECT rank, license, count(*) AS m FROM gram GROUP BY rank, license
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), unit AS (
+  SELECT rid, u, row_number() OVER () AS uid FROM (SELECT DISTINCT rid, {_NORMAL.format("u")} AS u FROM (
+    SELECT rid, unnest(list_concat(string_split(t, chr(10)), string_split_regex(t, '\n[\x20\x09-\x0D]*\n'))) AS u FROM d))
+), pair AS (
+  SELECT DISTINCT rid, uid, w1 || ' ' || w2 AS g
+  FROM (SELECT rid, uid, unnest(w[:len(w) - 1]) AS w1, unnest(w[2:]) AS w2
+        FROM (SELECT rid, uid, string_split(u, ' ') AS w FROM unit) WHERE len(w) > 1)
+), own AS (
+  SELECT uid, count(*) AS b FROM pair GROUP BY uid
+), hit AS (
+  SELECT rid, rank, license, 2.0::DOUBLE * c / (b + m) AS dice
+  FROM (SELECT rid, uid, rank, count(*) AS c FROM pair JOIN gram USING (g) GROUP BY rid, uid, rank)
+  JOIN own USING (uid) JOIN sizes USING (rank)
+  WHERE 2.0::DOUBLE * c / (b + m) >= 0.8::DOUBLE - 1e-9
+), best AS (
+  SELECT rid, first(license ORDER BY dice DESC, rank) AS license, max(dice) AS dice, count(*) AS n_matches,
+         string_agg(license || ':' || printf('%.4f', dice), ',' ORDER BY dice DESC, rank DESC) AS matches
+  FROM hit GROUP BY rid
+)
+SELECT doc_id, license, round(dice, 6) AS dice, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(matches, '') AS matches
+FROM d LEFT JOIN best USING (rid)
+"""
+
+ORACLE = {"op1_mix_sources": OP1, "op2_warc_archive": OP2, "op5_quality_rules": OP5, "op9_secret_scan": OP9,
+          "op10_license_scan": OP10}

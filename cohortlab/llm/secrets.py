@@ -11,9 +11,10 @@ to; a blob has a further row when rules of a new version have scanned it.
 Rules: the three base kinds of the contract (assign, access, hex) and the formats
 pem (private key blocks), github and jwt, which add spans.
 
-Scale: content moves once, from the rows that represent an unseen blob; copies are
-keyed by blob without their content, and the join back carries findings only
-(blobs without findings are not in it, hot blobs are split by the skew join).
+Scale: each content moves once, to the key (blob, least id of the blob), so the copies
+of a hot blob spread over all tasks and only the row that represents it is scanned; the
+join back carries findings only (blobs without findings are not in it, hot blobs are
+split by the skew join).
 
 Edge cases: a null text is an empty blob; null ids and repeated rows are paths like
 others; an empty table gives no rows; further columns are ignored.
