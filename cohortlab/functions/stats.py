@@ -1,10 +1,11 @@
 """Special functions for p-values.
 
 ``log_gamma`` is a native Column expression (Stirling series after an
-8-step upward shift, absolute error < 1e-11 for x > 0), so Fisher's exact
-test runs JVM-side.  The Student-t tail needs a continued fraction and is a
-vectorised ``pandas_udf``; it is applied to summary rows only (one row per
-compared pair of groups), never to patient rows.
+8-step upward shift, absolute error < 1e-11 for x > 0).  The Student-t tail
+(a continued fraction) and Fisher's exact test (sums of the tails of a
+hypergeometric distribution) are ``pandas_udf``s; they are applied to summary
+rows only (one row per compared pair of groups, one per 2x2 table), never to
+patient rows.
 """
 
 from __future__ import annotations
@@ -132,3 +133,51 @@ def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     dv = df.to_numpy(dtype=float, na_value=np.nan)
     p = np_t_two_sided(tv, dv)
     return pd.Series(p).where(~np.isnan(p), None)
+
+
+# -- Fisher's exact test ------------------------------------------------------
+
+FISHER_RTOL = 1e-7
+
+
+def hypergeometric_two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Sum of the probabilities of 2x2 tables with the same margins that are not above
+    that of [[a, b], [c, d]].
+
+    The distribution has one peak, so those tables are two tails: one starts at the
+    observed table, the other at the first table beyond the peak that is as improbable
+    (by bisection).  Each is summed outwards by the ratio of neighbours until a term no
+    longer counts: work grows with the spread of the distribution, not its support.
+    """
+    r1, r2, c1 = a + b, c + d, a + c
+    lo, hi = max(0, c1 - r2), min(r1, c1)
+    peak = min(max((r1 + 1) * (c1 + 1) // (r1 + r2 + 2), lo), hi)
+    fact = lambda n: math.lgamma(n + 1)
+    whole = fact(r1) + fact(r2) + fact(c1) + fact(r1 + r2 - c1) - fact(r1 + r2)
+    log_p = lambda x: whole - fact(x) - fact(r1 - x) - fact(c1 - x) - fact(r2 - c1 + x)
+    limit = log_p(a) + math.log1p(FISHER_RTOL)
+
+    def tail(x: int, step: int) -> float:
+        term = total = math.exp(log_p(x)) if lo <= x <= hi else 0.0
+        while lo <= x + step <= hi and term > 1e-18 * total:
+            up, down = (r1 - x) * (c1 - x), x * (r2 - c1 + x)
+            term *= up / ((x + 1) * (r2 - c1 + x + 1)) if step > 0 else down / ((r1 - x + 1) * (c1 - x + 1))
+            x += step
+            total += term
+        return total
+
+    if log_p(peak) <= limit:
+        return 1.0
+    step = 1 if a > peak else -1
+    near, far = peak, (lo - 1 if step > 0 else hi + 1)      # near is above the limit, far counts as below
+    while abs(far - near) > 1:
+        mid = (near + far) // 2
+        near, far = (near, mid) if log_p(mid) <= limit else (mid, far)
+    return min(1.0, tail(a, step) + tail(far, -step))
+
+
+@pandas_udf(DoubleType())
+def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    """p-value of each 2x2 table; a null cell gives null."""
+    cells = zip(a, b, c, d)
+    return pd.Series([None if any(pd.isna(v) for v in t) else hypergeometric_two_sided(*map(int, t)) for t in cells], dtype=float)

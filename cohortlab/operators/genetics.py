@@ -5,7 +5,7 @@ counts or (trait, label) n/mean/var - and every test runs on those summary
 rows.  Comparisons against "the rest" are derived from per-family totals
 (total - group), and pairs of labels are a self-join of summary rows
 (labels x labels per trait), never of patient rows.  The only Python is the
-Student-t tail (a vectorised pandas UDF over the pair rows).
+Student-t tail and Fisher's exact test (pandas UDFs over summary rows).
 """
 
 from __future__ import annotations
@@ -17,18 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.numeric import safe_div
-from cohortlab.functions.stats import log_choose, student_t_two_sided
+from cohortlab.functions.stats import fisher_two_sided, student_t_two_sided
 
-FISHER_RTOL = 1e-7
 CONTROL = "Control"
 
 
-def wide_to_long(df: DataFrame, id_col: str, value_cols: list[str], name_col: str,
-                 value_col: str) -> DataFrame:
-    """Wide genotype/score columns to long (id, name, value) with ``unpivot``."""
-    return df.unpivot([id_col], value_cols, name_col, value_col)
-
-
 def cluster_name(label_col: str = "label"):
     """F12/F16: 'Cluster <n>' for a numeric label; null label -> 'Control'."""
     return F.coalesce(F.concat(F.lit("Cluster "), F.col(label_col).cast("string")), F.lit(CONTROL))
@@ -70,32 +63,14 @@ def fisher_exact(tables: DataFrame, keys: list[str], a: str = "a", b: str = "b",
 
     p = sum of hypergeometric probabilities not above the observed one
     (relative tolerance 1e-7); odds ratio ad/bc (inf when bc = 0 < ad,
-    null when both are 0).  The support of each table is exploded (bounded
-    by the smaller margin) and summed in one grouped aggregate that also
-    carries the table's own columns - no join back to the input.
+    null when both are 0).  A projection of the summary rows: no support is
+    exploded and nothing is shuffled.
     """
-    other = [x for x in tables.columns if x not in keys]
-    t = (tables.withColumn("_a", F.col(a).cast("long")).withColumn("_b", F.col(b).cast("long"))
-               .withColumn("_c", F.col(c).cast("long")).withColumn("_d", F.col(d).cast("long")))
-    t = (t.withColumn("_r1", F.col("_a") + F.col("_b")).withColumn("_r2", F.col("_c") + F.col("_d"))
-          .withColumn("_c1", F.col("_a") + F.col("_c")))
-    t = t.withColumn("_n", F.col("_r1") + F.col("_r2"))
-    lp = lambda x: (log_choose(F.col("_r1"), x) + log_choose(F.col("_r2"), F.col("_c1") - x)
-                    - log_choose(F.col("_n"), F.col("_c1")))
-    lo = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2"))
-    hi = F.least(F.col("_r1"), F.col("_c1"))
-    x = t.withColumn("_obs", lp(F.col("_a"))).withColumn("_x", F.explode(F.sequence(lo, hi)))
-    x = x.withColumn("_lp", lp(F.col("_x")))
-    keep = F.col("_lp") <= F.col("_obs") + F.lit(math.log1p(FISHER_RTOL))
-    ad = (F.col("_a") * F.col("_d")).cast("double")
-    bc = (F.col("_b") * F.col("_c")).cast("double")
+    cell = [F.col(x).cast("long") for x in (a, b, c, d)]
+    ad, bc = (cell[0] * cell[3]).cast("double"), (cell[1] * cell[2]).cast("double")
     odds = F.when(bc != 0, ad / bc).when(ad != 0, F.lit(float("inf")))
-    x = x.withColumn("_odds", odds)
-    out = x.groupBy(*keys).agg(
-        *[F.first(o).alias(o) for o in other],
-        F.first("_odds").alias("odds_ratio"),
-        F.sum(F.when(keep, F.exp("_lp")).otherwise(F.lit(0.0))).alias("p_value"))
-    return out.withColumn("p_value", F.least(F.col("p_value"), F.lit(1.0)))
+    other = [x for x in tables.columns if x not in keys]
+    return tables.select(*keys, *other, odds.alias("odds_ratio"), fisher_two_sided(*cell).alias("p_value"))
 
 
 def one_vs_rest_counts(counts: DataFrame, family: str, group: str, n: str, k: str) -> DataFrame:

@@ -30,6 +30,7 @@ from cohortlab.functions.vectors import dot, euclidean, squared_distance
 from cohortlab.functions.hashing import portable_hash
 from cohortlab.operators.splits import sample_n
 
+MAX_BROADCAST_NUMBERS = 1 << 22     # 32 MB of centroids
 MAX_CENTERS = 10_000          # bound on the centers of one broadcast row (k)
 TILE_ROWS = 2048              # rows of each side that meet in one pairwise task
 
@@ -193,10 +194,13 @@ def prediction_strength(test: DataFrame, test_label: str, train_centers: list[li
 
 def with_centroids(df: DataFrame, label: str = "label", features: str = "features",
                    centroids: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Points joined to their cluster centroid; centroids are (keys x k) rows (bounded broadcast)."""
+    """Points joined to their cluster centroid.  The centroids (keys x k rows, written
+    first) are broadcast if they hold at most ``MAX_BROADCAST_NUMBERS`` numbers;
+    larger tables are joined as Spark's own sizes tell."""
     keys = keys or []
-    cen = centroids if centroids is not None else cluster_centroids(df, label, features, keys)
-    return df.join(F.broadcast(cen), keys + [label])
+    cen = centroids if centroids is not None else cluster_centroids(df, label, features, keys).checkpoint(eager=True)
+    numbers = cen.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    return df.join(F.broadcast(cen) if numbers <= MAX_BROADCAST_NUMBERS else cen, keys + [label])
 
 
 def within_dispersion(df: DataFrame, label: str = "label", features: str = "features",

@@ -113,14 +113,14 @@ def code_prevalence(seq: DataFrame, label_col: str = "label", code_col: str = "c
 
     ``seq`` has one row per patient and the codes are a set, so a plain count
     (combined before the shuffle) is the number of patients.  Returns (code,
-    label, n_patients, cluster_size, prevalence).  Cluster sizes are one row
-    per cluster, so their join is a bounded broadcast.
+    label, n_patients, cluster_size, prevalence).  Both sides of the join are
+    aggregates; which one is broadcast is left to their measured sizes.
     """
     pats = seq.select(F.col(label_col).alias("label"),
                       F.explode(FC.group_code_set(F.col(code_col))).alias("code"))
     counts = pats.groupBy("label", "code").agg(F.count(F.lit(1)).alias("n_patients"))
     sizes = seq.groupBy(F.col(label_col).alias("label")).agg(F.count(F.lit(1)).alias("cluster_size"))
-    return (counts.join(F.broadcast(sizes), "label")
+    return (counts.join(sizes, "label")
                   .withColumn("prevalence", F.col("n_patients") / F.col("cluster_size")))
 
 

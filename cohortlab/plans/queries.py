@@ -677,3 +677,33 @@ def q_text_normalise(spark, d):
     t = text_tokens_normalised("text")
     n = F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
     return docs.select("doc_id", n.alias("n_tokens"), F.md5(t).alias("digest"))
+
+
+@register("parse_dosage")
+def q_parse_dosage(spark, d):
+    """The genotypes as the lines of a dosage file, parsed back."""
+    from cohortlab.sources import io
+    names = [n for n, _ in R.SNP_FREQUENCIES]
+    cell = lambda n: F.coalesce(F.max(F.when(F.col("snp") == n, F.col("dosage").cast("string"))), F.lit("NA"))
+    lines = (R.dosage(spark, d).groupBy("patid").agg(*[cell(n).alias(f"_{i}") for i, n in enumerate(names)])
+             .select(F.concat_ws(" ", "patid", "patid", *[f"_{i}" for i in range(len(names))]).alias("value")))
+    return io.parse_dosage(lines, " ".join(["FID", "IID", *names]))
+
+
+@register("parse_dates")
+def q_parse_dates(spark, d):
+    """ship dates as day/month/year text, broken in every fifth order."""
+    from cohortlab.functions.dates import parse_date
+    li = R.table(spark, d, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("date").alias("day"))
+    text = F.date_format("day", "dd/MM/yyyy")
+    broken = F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit("x"), text)).otherwise(text)
+    return (li.withColumn("parsed", parse_date(broken)).groupBy("l_orderkey")
+            .agg(F.count("parsed").alias("n_dates"), F.min("parsed").alias("first_date"), F.max("parsed").alias("last_date")))
+
+
+@register("shifted_labels")
+def q_shifted_labels(spark, d):
+    """One-based labels joined to the patient columns that they lack."""
+    from cohortlab.functions.codes import shift_label
+    labels = R.cluster_labels(spark, d).select("patid", shift_label("label").alias("cluster"))
+    return CD.non_overlapping_join(labels, R.patients(spark, d).withColumn("cluster", F.lit(-1)))

@@ -45,14 +45,21 @@ def read_dosage(spark: SparkSession, path: str, id_col: str = "FID", snps: list[
     """
     lines = spark.read.text(path)
     header = lines.first()["value"]
-    names = header.strip().split()
-    body = lines.where(F.col("value") != F.lit(header)).where(F.trim("value") != "")
-    parts = F.split(F.trim(F.col("value")), r"\s+")
-    wide = body.select(*[parts.getItem(i).alias(n) for i, n in enumerate(names)])
+    return parse_dosage(lines, header, id_col, snps)
+
+
+def parse_dosage(lines: DataFrame, header: str, id_col: str = "FID", snps: list[str] | None = None) -> DataFrame:
+    """Lines (value) of a dosage file to (patid, snp, dosage); lines equal to the header
+    and blank ones are left out.  Cells are taken by position, so the plan does not
+    grow with the number of SNPs."""
+    names = header.split()
     snps = snps or [n for n in names if n not in (id_col, "IID", "PAT", "MAT", "SEX", "PHENOTYPE")]
-    wide = wide.select(F.col(id_col).cast("string").alias("patid"),
-                       *[F.col(f"`{s}`").try_cast("double").alias(s) for s in snps])
-    return wide.unpivot(["patid"], snps, "snp", "dosage")
+    wanted = F.split(F.lit(" ".join(n if n in set(snps) else "" for n in names)), " ")
+    cells = (lines.where((F.col("value") != F.lit(header)) & (F.trim("value") != ""))
+             .select(F.split(F.trim("value"), r"\s+").alias("_c")))
+    return (cells.select(F.get("_c", F.lit(names.index(id_col))).alias("patid"), F.posexplode("_c").alias("_at", "_v"))
+            .select("patid", F.get(wanted, F.col("_at")).alias("snp"), F.col("_v").try_cast("double").alias("dosage"))
+            .where("snp <> ''"))
 
 
 def read_scores(spark: SparkSession, path: str, traits: list[str], id_col: str = "patid") -> DataFrame:

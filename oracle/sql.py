@@ -805,3 +805,12 @@ ORACLE["index_code_counts"] = cohort_sql(
 _NORM = "trim(regexp_replace(replace(coalesce(text, ''), ',', ' '), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 ORACLE["text_normalise"] = f"""select doc_id, cast(case when {_NORM} = '' then 0 else len(string_split({_NORM}, ' ')) end as integer) as n_tokens,
   md5({_NORM}) as digest from documents"""
+
+ORACLE["parse_dosage"] = gen_sql("select patid, snp, dosage from dosage")
+ORACLE["parse_dates"] = """
+select l_orderkey, count(*) filter (where l_orderkey % 5 <> 0) as n_dates,
+       min(case when l_orderkey % 5 <> 0 then cast(l_shipdate as date) end) as first_date,
+       max(case when l_orderkey % 5 <> 0 then cast(l_shipdate as date) end) as last_date
+from lineitem group by l_orderkey"""
+ORACLE["shifted_labels"] = with_roles(["cluster_labels", "patients"], """
+select patid, cast(label + 1 as integer) as cluster, pracid from cluster_labels join patients using (patid)""")

@@ -101,3 +101,33 @@ def test_draws_reach_every_row(spark):
     from cohortlab.functions.hashing import portable_hash
     h = spark.range(2000).select(portable_hash(F.col("id"), "x").alias("h")).agg(F.max("h"), F.min("h")).first()
     assert h[0] > 2 ** 59 and h[1] >= 0
+
+
+def test_fisher_sums_both_tails():
+    from math import comb
+    from random import Random
+    from cohortlab.functions.stats import hypergeometric_two_sided
+    rnd = Random(1)
+    tables = [[rnd.randint(0, m) for _ in range(4)] for m in (2, 5, 30, 120) for _ in range(200)]
+    for a, b, c, d in tables + [[0, 0, 0, 0], [5, 0, 0, 5], [0, 7, 9, 0]]:
+        r1, r2, c1 = a + b, c + d, a + c
+        p = {x: comb(r1, x) * comb(r2, c1 - x) for x in range(max(0, c1 - r2), min(r1, c1) + 1)}
+        want = sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)) / comb(r1 + r2, c1)
+        assert hypergeometric_two_sided(a, b, c, d) == pytest.approx(want, abs=1e-11)
+    # margins of 10^8: only the terms that count are summed
+    assert 0.5 < hypergeometric_two_sided(10**7, 9 * 10**7, 10**7 + 3000, 9 * 10**7) < 0.55
+
+
+def test_parse_dosage_by_position(spark):
+    lines = spark.createDataFrame([("FID IID SEX a b",), ("p1 p1 1 0 2",), ("",), ("  p2 p2 2 NA 1.5",)], "value string")
+    got = {(r.patid, r.snp): r.dosage for r in io.parse_dosage(lines, "FID IID SEX a b").collect()}
+    assert got == {("p1", "a"): 0.0, ("p1", "b"): 2.0, ("p2", "a"): None, ("p2", "b"): 1.5}
+    assert {r.snp for r in io.parse_dosage(lines, "FID IID SEX a b", snps=["b"]).collect()} == {"b"}
+
+
+def test_centroids_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, i % 3, [float(i % 3) * 5 + i / 10, float(i % 7)]) for i in range(30)]
+    x = spark.createDataFrame(rows, "id long, label int, features array<double>")
+    near = [f(x, "label").first()[0] for f in (M.within_dispersion, M.calinski_harabasz, M.davies_bouldin)]
+    monkeypatch.setattr(M, "MAX_BROADCAST_NUMBERS", 0)
+    assert [f(x, "label").first()[0] for f in (M.within_dispersion, M.calinski_harabasz, M.davies_bouldin)] == pytest.approx(near)
