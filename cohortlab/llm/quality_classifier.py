@@ -60,25 +60,32 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, (hash_words(flat) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def neighbour_sums(offsets: np.ndarray, words: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """For each word the sum of the index vectors of its neighbours in the same text
+    (``index`` in int8: at most 2 * REACH * NONZERO in a place)."""
+    own = index[words]
+    around = np.zeros_like(own)
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    for s in range(1, REACH + 1):
+        same = (row[s:] == row[:-s])[:, None]
+        around[:-s] += own[s:] * same
+        around[s:] += own[:-s] * same
+    return around
+
+
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """This task's sums of neighbours' index vectors, as blocks of the word table."""
-    total, seen, index = np.zeros((BUCKETS, DIM), np.float64), False, index_vectors()
+    total, seen, index = np.zeros((BUCKETS, DIM), np.float64), False, index_vectors().astype(np.int8)
     for batch in batches:
         for piece in text_slices(batch, limit=1 << 20):
             offsets, words = word_buckets(piece.column("text"))
             if len(words) < 2:
                 continue
             seen = True
-            # running sums give each word's window sum in one step; windows end at the text's ends
-            sums = np.concatenate([np.zeros((1, DIM), np.float32), np.cumsum(index[words], axis=0, dtype=np.float64)])
-            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-            at = np.arange(len(words))
-            lo = np.maximum(at - REACH, offsets[row])
-            hi = np.minimum(at + REACH + 1, offsets[row + 1])
-            around = sums[hi] - sums[lo] - index[words]
-            order = np.argsort(words, kind="stable")
+            order = np.argsort(words.astype(np.uint16), kind="stable")     # BUCKETS fits; sorted by digits
             first = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) != 0)))
-            total[words[order][first]] += np.add.reduceat(around[order], first, axis=0)
+            around = neighbour_sums(offsets, words, index)[order]
+            total[words[order][first]] += np.add.reduceat(around, first, axis=0, dtype=np.int32)
     if seen:
         flat = total.reshape(BLOCKS, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(list(flat))], ["block", "sums"])
