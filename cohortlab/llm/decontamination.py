@@ -4,9 +4,10 @@ Fixed masks pick some of the words in a window and ignore the others, so a
 window still hashes alike after substitutions at ignored places.  Hashes of
 all masked windows of the benchmark are joined with those of every window of
 the documents; each hit fixes how item and document line up, and the whole
-overlap on that line is compared word by word.  The best run (a match counts
-1, a mismatch -2) is a leak if it matches ``min(0.7 * item words, 25)`` words
-and three quarters of its own length.
+overlap on that line is compared word by word.  It is a leak if any run of it
+matches ``min(0.7 * item words, 25)`` words and three quarters of its own
+length.  Reported is the best run (a match counts 1, a mismatch -2) if it is
+such a run, else the longest of them (see ``longest_run``).
 
 Words are compared lower-cased and without punctuation at their ends.  Items
 shorter than a mask are looked up by their whole length; items of fewer than
@@ -58,6 +59,18 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, hashes
 
 
+def longest_run(equal: np.ndarray, same: float) -> tuple[int, int]:
+    """The run [begin, end) with the most matches among those that match at least
+    ``same`` of their length; of equal ones the first end, then the last begin."""
+    total = np.concatenate(([0], np.cumsum(equal)))
+    spare = total - same * np.arange(len(total))             # a run will do if this does not fall over it
+    least = np.minimum.accumulate(spare)
+    begin = np.searchsorted(-least, -(spare + 1e-9))         # the first start that will do for each end
+    end = int(np.argmax(total - total[begin]))
+    start = int(begin[end])
+    return start + int(np.argmax(equal[start:end])) if end > start else start, end
+
+
 class SeedIndex:
     """Masked window hashes of benchmark items, with a bit table in front."""
 
@@ -125,6 +138,9 @@ class SeedIndex:
             end = int(np.argmax(gain))
             begin = int(np.argmin(total[:end + 1]))
             matched = int(equal[begin:end].sum())
+            if matched < min(share * len(item), enough) or matched < same * (end - begin):
+                begin, end = longest_run(equal, same)
+                matched = int(equal[begin:end].sum())
             if matched >= min(share * len(item), enough) and matched >= same * (end - begin):
                 row = (matched, -(lo + begin + shift), d, j, lo + begin + shift, lo + end + shift, lo + begin)
                 if (d, j) not in best or row > best[d, j]:

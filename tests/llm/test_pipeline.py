@@ -2,6 +2,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -98,3 +100,41 @@ def test_stages(spark, sf_dir):
         docs = stage(step(spark, docs, sf_dir), name)
         assert docs.columns == columns and 0.6 * n < docs.count() <= n
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def leaks_on_a_line(item, text, shift, share=0.7, enough=25, same=0.75):
+    equal = [a == text[i + shift] if 0 <= i + shift < len(text) else None for i, a in enumerate(item)]
+    runs = [equal[b:e] for b in range(len(item)) for e in range(b + 1, len(item) + 1) if None not in equal[b:e]]
+    return any(sum(r) >= min(share * len(item), enough) and sum(r) >= same * len(r) for r in runs)
+
+
+def test_decontamination_runs_by_brute_force():
+    rng, lost = np.random.default_rng(5), 0
+    for k in range(400):
+        n = int(rng.integers(15, 41))
+        item = [f"i{k}w{i}" for i in range(n)]
+        copy = list(item)
+        for i in rng.choice(n, round(n * rng.uniform(0.1, 0.25)), replace=False):
+            copy[i] = f"x{i}"
+        text = [f"a{i}" for i in range(int(rng.integers(0, 5)))] + copy[:int(rng.integers(n - 4, n + 1))] + ["z", "z"]
+        index = decontamination.SeedIndex([k], [" ".join(item)])
+        offsets, words = decontamination.normal_words(pa.array([" ".join(text)]))
+        lines = {int(at - place) for _, at, place in index.hits(words)}
+        want = any(leaks_on_a_line(item, text, s) for s in lines)
+        got = index.leaks(offsets, words, 0.7, 25, 0.75)
+        assert bool(got) == want
+        for _, _, start, end, first, matched, _ in got:
+            assert sum(a == b for a, b in zip(text[start:end], item[first:])) == matched >= 0.75 * (end - start)
+            assert matched >= min(0.7 * n, 25)
+        lost += not lines
+    assert lost < 100                                  # copies without a seed are the masks' part
+
+
+@pytest.mark.parametrize("changed", [(0, 2, 4), (1, 3, 6), (10, 12, 13)])
+def test_decontamination_close_substitutions(spark, make_docs, changed):
+    item = [f"bench{i}" for i in range(15)]
+    copy = ["other" if i in changed else w for i, w in enumerate(item)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    rows = make_docs([(1, " ".join(["so", *copy, "so"]), "en", "a"), (2, "so " + " ".join(item[:10]), "en", "a")])
+    assert [r.doc_id for r in decontamination.find_leaks(rows, bench).collect()] == [1]
+    assert [r.doc_id for r in decontamination.without_leaks(rows, bench).collect()] == [2]
