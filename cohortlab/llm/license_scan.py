@@ -7,11 +7,19 @@ in the template, Dice can reach t only if ``t / (2 - t) <= b / m <= (2 - t) / t`
 units that fit no template are not compared, and the others only with the templates
 whose size allows it.
 
+A notice inside a larger unit (comment block, running line) is found by word windows:
+for each template that no line or paragraph matches, the window of the whole text with
+the highest Dice counts, among those of at most ``(2 - t) / t`` times the template's
+words.  Such a window starts and ends with a bigram of the template and holds at least
+``t / (2 - t)`` of them, so only stretches that dense are compared.
+
 Result: one row per document with its best licence (highest Dice, then the earlier
 template; null if none reaches the threshold), that Dice, and all matches in order as
 ``licence:dice`` joined by commas.
 
 Scale: a projection, no shuffle; the templates are a fixed table of a few notices.
+Windows are cut only in texts with one of a few words that every window of the template
+must hold one of, and their number depends on the template, not on the text.
 
 Edge cases: null and empty texts match nothing; units of one word have no bigrams and
 match nothing; equal units of a document count once; repeated rows are scanned alike;
@@ -20,7 +28,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,26 +68,88 @@ TEMPLATES = (
 )
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub(r"[^\w]+|_", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^\w]+|_", " ", text.lower()).split()
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def least_common(m: int, threshold: float) -> int:
+    """Bigrams that a unit must share with a template of m bigrams, whatever its size."""
+    return max(1, math.ceil(m * threshold / (2 - threshold) - 1e-9))
+
+
+def anchor_words(grams: list[str], threshold: float) -> list[str]:
+    """Words of which every window that matches holds one: the bigrams without any of
+    them are fewer than a match needs.  Long words first, as the rarer ones."""
+    rest, out = list(grams), []
+    while len(rest) >= least_common(len(grams), threshold):
+        words = {w for g in rest for w in g.split()}
+        out.append(max(words, key=lambda w: (len(w) >= 6, sum(w in g.split() for g in rest), len(w), w)))
+        rest = [g for g in rest if out[-1] not in g.split()]
+    return out
+
+
+def normal(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def units(text: Column) -> Column:
     """Normalised lines and paragraphs (a paragraph ends at a blank line)."""
-    def normal(x: Column) -> Column:
-        return F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " "))
-
     lines = F.transform(F.split(text, "\n", -1), normal)
     paragraphs = F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n", -1), normal)
     return F.array_distinct(F.concat(lines, paragraphs))
 
 
-def unit_bigrams(unit: Column) -> Column:
+def all_bigrams(unit: Column) -> Column:
     words = F.split(unit, " ")
-    return bound(words, lambda w: F.array_distinct(F.zip_with(
+    return bound(words, lambda w: F.zip_with(
         F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b))))
+        lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def unit_bigrams(unit: Column) -> Column:
+    return F.array_distinct(all_bigrams(unit))
+
+
+def best_window(bigrams: Column, template: str, threshold: float) -> Column:
+    """The highest Dice of a word window of the text with the template (null if no
+    window shares enough bigrams); ``bigrams`` are those of the text in order."""
+    grams = template_bigrams(template)
+    least, longest = least_common(len(grams), threshold), int((len(template_words(template)) - 1) * (2 - threshold) / threshold + 1e-9)
+    known = F.array(*map(F.lit, grams))
+    places = F.array_compact(F.transform(bigrams, lambda g, i: F.when(F.array_contains(known, g), i)))
+
+    def dice(first: Column, last: Column) -> Column:
+        return bound(F.slice(bigrams, first + 1, last - first + 1), lambda w: (
+            2.0 * F.size(F.array_intersect(w, known)) / (F.size(F.array_distinct(w)) + len(grams))))
+
+    def from_places(s: Column) -> Column:
+        dense = F.filter(F.sequence(F.lit(1), F.size(s) - least + 1),
+                         lambda k: F.element_at(s, k + least - 1) - F.element_at(s, k) < longest)
+        return F.array_max(F.transform(dense, lambda k: bound(F.element_at(s, k), lambda first: F.array_max(F.transform(
+            F.filter(F.slice(s, k + least - 1, F.lit(longest)), lambda last: last - first < longest),
+            lambda last: dice(first, last))))))
+
+    return bound(places, lambda s: F.when(F.size(s) >= least, from_places(s)))
+
+
+def embedded(text: Column, own: Column, threshold: float, templates: tuple[tuple[str, str], ...]) -> Column:
+    """Matches of word windows with the templates that are not among ``own``."""
+    def search(low: Column) -> Column:
+        todos = []
+        for rank, (_, template) in enumerate(templates):
+            words = [low.contains(w) for w in anchor_words(template_bigrams(template), threshold)]
+            todos.append(reduce(Column.__or__, words) & ~F.array_contains(F.transform(own, lambda x: x["rank"]), F.lit(rank)))
+        found = lambda b: F.filter(F.array(*[F.struct(
+            F.when(todo, best_window(b, template, threshold)).alias("dice"), F.lit(rank).alias("rank"), F.lit(name).alias("license"))
+            for rank, (todo, (name, template)) in enumerate(zip(todos, templates))]), lambda x: x["dice"] >= threshold - 1e-9)
+        return F.when(reduce(Column.__or__, todos), bound(all_bigrams(normal(text)), found))
+
+    return bound(F.lower(text), search)
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD,
@@ -102,7 +174,9 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD,
     blanks = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
     fitting = F.filter(units(F.coalesce("text", F.lit(""))), lambda u: (blanks(u) >= least - 1e-9) & (
         (blanks(u) <= most + 1e-9) | (F.size(F.array_distinct(F.split(u, " "))) - 1 <= most + 1e-9)))
-    hits = F.flatten(F.transform(fitting, lambda u: bound(unit_bigrams(u), compare))).cast(shape)
+    own = F.flatten(F.transform(fitting, lambda u: bound(unit_bigrams(u), compare))).cast(shape)
+    hits = bound(own, lambda h: F.concat(h, F.coalesce(
+        embedded(F.coalesce("text", F.lit("")), h, threshold, templates).cast(shape), F.array().cast(shape))))
     best = F.element_at(F.array_sort(F.transform("hits", lambda h: F.struct((-h["dice"]).alias("d"), h["rank"], h["license"]))), 1)
     ordered = F.sort_array("hits", asc=False)
     return (docs.select("doc_id", hits.alias("hits"))

@@ -1,6 +1,7 @@
 """Secrets, personal data, licences and quality counts against plain Python."""
 import hashlib
 import re
+import textwrap
 
 import pytest
 
@@ -193,3 +194,34 @@ def test_empty_tables(spark, make_docs, sf_dir):
     for got in (personal_data.report(none), secrets.report(none), license_scan.scan_licenses(none),
                 quality_rules.judge(none, marks), quality_rules.judge(none, marks.limit(0)), personal_data.redact(none)):
         assert got.collect() == []
+
+
+def window_matches(text):
+    w, own, out = "".join(c if c.isalnum() else " " for c in text.lower()).split(), {x[1] for x in dice_matches(text)}, []
+    for rank, (name, t) in enumerate(license_scan.TEMPLATES):
+        g = {tuple(x.split(" ")) for x in license_scan.template_bigrams(t)}
+        most = int((len(license_scan.template_words(t)) - 1) * 1.5 + 1e-9)
+        pairs, best = list(zip(w, w[1:])), 0
+        for i in range(len(pairs)):
+            for j in range(i + 1, min(len(pairs), i + most) + 1):
+                b = set(pairs[i:j])
+                best = max(best, 2 * len(b & g) / (len(b) + len(g)))
+        if rank not in own and best >= 0.8 - 1e-9:
+            out.append((-best, rank, name))
+    return out
+
+
+def test_licenses_inside_larger_units(spark, make_docs):
+    t = [x for _, x in license_scan.TEMPLATES]
+    def comment(mark, *notices):
+        return "\n".join(f"{mark} {line}" for n in notices for line in [*textwrap.wrap(n, 60), ""]) + f"\n{mark} more\nint x = 1;"
+    gpl = comment("#", "Frob, a tool. Copyright 2020 Jo", t[5], "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.")
+    texts = [gpl, gpl.replace("#", " *"), comment("//", "Some tool", t[1], "The above copyright notice shall be included in all copies"),
+             f"All of our photos of the last ten years are online now. {t[10]} Write to us if you like them",
+             "Copyright 2020 X. All rights reserved.", "rights reserved all the license under the public software " * 30,
+             f"{t[0]} {t[0]} and then {t[5]} {t[6]} of the software the rights to " * 3, "the license " * 200, "all rights"]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(make_docs([(i, x, "en", "a") for i, x in enumerate(texts)])).collect()}
+    for i, x in enumerate(texts):
+        m = sorted(dice_matches(x) + window_matches(x))
+        assert (got[i].license, got[i].dice, got[i].n_matches) == (m[0][2] if m else None, round(-m[0][0], 6) if m else None, len(m))
+    assert [got[i].license for i in range(6)] == ["GPL-3.0", "GPL-3.0", "MIT", "CC-BY-4.0", "proprietary", None]
