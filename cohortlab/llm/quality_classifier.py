@@ -5,8 +5,8 @@
    within two words, over all documents.  Words share ``BUCKETS`` rows by hash, so
    the table has a fixed size whatever the corpus.
 2. A document is pooled to the mean and the standard deviation of its words'
-   vectors, the mean of its words' own index vectors, and the share of words that
-   repeat.
+   vectors, the mean of its words' own index vectors, and the shares of distinct and
+   of repeated words (by 64-bit hashes of the words, not by rows).
 3. A two-layer network (numpy) is trained on a bounded sample of labelled documents;
    its temperature is fitted on a part of them that it has not seen, and the
    calibrated probability is the score.
@@ -14,8 +14,8 @@
 Labels are learnt only from rows whose ``crc32(doc_id as text) mod 5`` is not 0.
 Labels, lang, source and doc_id are no inputs of a score.
 
-Scale: two passes over the whole texts.  The first sends at most one block of each
-part of the word table per task to a sum (map-side combined vectors); the second
+Scale: two passes over the whole texts.  The first sends the rows that a task has seen
+of each block of the word table to a sum (one row a task and block); the second
 writes one pooled vector per document, from which training and scoring read.  The
 driver holds the word table (``BUCKETS`` x ``DIM``), the sample and the network.
 
@@ -31,16 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlab.llm._tables import hash_order, hash_thinned, stage
 from cohortlab.llm._words import hash_words, mix64, split_words, text_slices
 
-BUCKETS, DIM, NONZERO, REACH = 1 << 14, 32, 4, 2
+BUCKETS, DIM, NONZERO, REACH = 1 << 18, 32, 4, 2
 BLOCKS = 64                                  # parts of the word table that are summed apart
+BLOCK_ROWS = BUCKETS // BLOCKS               # fits 16 bits
 POOLED = 3 * DIM + 3
 HIDDEN, CUTOFF = 32, 0.3
 
@@ -55,9 +54,19 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets, flat = split_words(texts)
-    return offsets, (hash_words(flat) % np.uint64(BUCKETS)).astype(np.int64)
+    return offsets, hash_words(flat)
+
+
+def table_rows(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def row_order(rows: np.ndarray) -> np.ndarray:
+    """Stable order of table rows, sorted by digits of 16 bits."""
+    low = np.argsort((rows & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((rows[low] >> 16).astype(np.uint16), kind="stable")]
 
 
 def neighbour_sums(offsets: np.ndarray, words: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -74,43 +83,65 @@ def neighbour_sums(offsets: np.ndarray, words: np.ndarray, index: np.ndarray) ->
 
 
 def context_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's sums of neighbours' index vectors, as blocks of the word table."""
-    total, seen, index = np.zeros((BUCKETS, DIM), np.float64), False, index_vectors().astype(np.int8)
+    """This task's sums of neighbours' index vectors: for each block of the word table
+    the rows that it saw, those of small numbers in one byte a number."""
+    total, seen, index = np.zeros((BUCKETS, DIM), np.int64), np.zeros(BUCKETS, bool), index_vectors().astype(np.int8)
     for batch in batches:
         for piece in text_slices(batch, limit=1 << 20):
-            offsets, words = word_buckets(piece.column("text"))
-            if len(words) < 2:
+            offsets, hashes = word_hashes(piece.column("text"))
+            if len(hashes) < 2:
                 continue
-            seen = True
-            order = np.argsort(words.astype(np.uint16), kind="stable")     # BUCKETS fits; sorted by digits
+            words = table_rows(hashes)
+            order = row_order(words)
             first = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) != 0)))
-            around = neighbour_sums(offsets, words, index)[order]
-            total[words[order][first]] += np.add.reduceat(around, first, axis=0, dtype=np.int32)
-    if seen:
-        flat = total.reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCKS)), pa.array(list(flat))], ["block", "sums"])
+            around, rows = neighbour_sums(offsets, words, index)[order], words[order][first]
+            total[rows] += np.add.reduceat(around, first, axis=0, dtype=np.int32)
+            seen[rows] = True
+    for block in range(BLOCKS if seen.any() else 0):
+        rows = np.flatnonzero(seen[block * BLOCK_ROWS:(block + 1) * BLOCK_ROWS])
+        sums = total[block * BLOCK_ROWS + rows]
+        small = np.abs(sums).max(axis=1, initial=0) < 128
+        parts = [x.tobytes() for x in (rows[small].astype(np.uint16), sums[small].astype(np.int8),
+                                       rows[~small].astype(np.uint16), sums[~small])]
+        yield pa.RecordBatch.from_arrays([pa.array([block]), *[pa.array([x], pa.binary()) for x in parts]],
+                                         ["block", "few_rows", "few", "many_rows", "many"])
+
+
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' sums added up: word vectors of length 1 of each block."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        columns = [batch.column(i) for i in range(5)]
+        for i, block in enumerate(columns[0].to_pylist()):
+            sums = total.setdefault(block, np.zeros((BLOCK_ROWS, DIM)))
+            for rows, values, kind in ((1, 2, np.int8), (3, 4, np.int64)):
+                sums[np.frombuffer(columns[rows][i].as_py(), np.uint16)] += np.frombuffer(
+                    columns[values][i].as_py(), kind).reshape(-1, DIM)
+    for block, sums in total.items():
+        norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+        unit = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([unit.tobytes()], pa.binary())], ["block", "v"])
 
 
 def word_table(docs: DataFrame) -> np.ndarray:
     """(BUCKETS, DIM) word vectors of length 1 from all texts of ``docs``."""
-    parts = docs.select("text").mapInArrow(context_batches, "block long, sums array<double>")
-    summed = (parts.select("block", array_to_vector("sums").alias("v")).groupBy("block")
-              .agg(Summarizer.sum(F.col("v")).alias("v")).select("block", vector_to_array("v").alias("v")))
-    table = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS))
+    parts = docs.select("text").mapInArrow(
+        context_batches, "block long, few_rows binary, few binary, many_rows binary, many binary")
+    summed = parts.repartition(BLOCKS, "block").mapInArrow(block_batches, "block long, v binary")
+    table = np.zeros((BLOCKS, BLOCK_ROWS, DIM), np.float32)
     for block, v in summed.toLocalIterator():                # BLOCKS rows of fixed length
-        table[block] = v
-    table = table.reshape(BUCKETS, DIM)
-    norm = np.sqrt((table * table).sum(1, keepdims=True))
-    return (table / np.where(norm > 0, norm, 1)).astype(np.float32)
+        table[block] = np.frombuffer(v, np.float32).reshape(BLOCK_ROWS, DIM)
+    return table.reshape(BUCKETS, DIM)
 
 
-def pool(offsets: np.ndarray, words: np.ndarray, table: np.ndarray, index: np.ndarray) -> np.ndarray:
+def pool(offsets: np.ndarray, hashes: np.ndarray, table: np.ndarray, index: np.ndarray) -> np.ndarray:
     """One row of POOLED numbers for each text."""
     n = np.diff(offsets)
     out = np.zeros((len(n), POOLED), np.float32)
     some = np.flatnonzero(n)
     if not len(some):
         return out
+    words = table_rows(hashes)
     at, size = offsets[:-1][some], n[some][:, None]
     v = table[words]
     mean = np.add.reduceat(v, at, axis=0) / size
@@ -119,9 +150,11 @@ def pool(offsets: np.ndarray, words: np.ndarray, table: np.ndarray, index: np.nd
     out[some, DIM:2 * DIM] = np.sqrt(np.maximum(square - mean * mean, 0))
     out[some, 2 * DIM:3 * DIM] = np.add.reduceat(index[words], at, axis=0) / size
     row = np.repeat(np.arange(len(n)), n)
-    distinct = np.bincount(np.unique(row * BUCKETS + words) // BUCKETS, minlength=len(n))
+    # words are told apart by their 64-bit hashes, not by their rows of the table
+    keys = mix64(hashes ^ mix64(row.astype(np.uint64) + np.uint64(1)))
+    distinct = np.bincount(row[np.unique(keys, return_index=True)[1]], minlength=len(n))
     same = np.zeros(len(words), bool)
-    same[1:] = (words[1:] == words[:-1]) & (row[1:] == row[:-1])
+    same[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
     out[some, 3 * DIM] = (distinct[some] / n[some])
     out[some, 3 * DIM + 1] = np.bincount(row[same], minlength=len(n))[some] / n[some]
     out[some, 3 * DIM + 2] = np.log1p(n[some]) / 10
@@ -136,7 +169,7 @@ def pooled_documents(docs: DataFrame, table: np.ndarray) -> DataFrame:
         index = index_vectors()
         for batch in batches:
             for piece in text_slices(batch, limit=1 << 20):
-                p = pool(*word_buckets(piece.column("text")), shared.value, index)
+                p = pool(*word_hashes(piece.column("text")), shared.value, index)
                 lists = pa.ListArray.from_arrays(np.arange(0, p.size + 1, POOLED, dtype=np.int32), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], ["doc_id", "pooled"])
 

@@ -138,3 +138,23 @@ def test_decontamination_close_substitutions(spark, make_docs, changed):
     rows = make_docs([(1, " ".join(["so", *copy, "so"]), "en", "a"), (2, "so " + " ".join(item[:10]), "en", "a")])
     assert [r.doc_id for r in decontamination.find_leaks(rows, bench).collect()] == [1]
     assert [r.doc_id for r in decontamination.without_leaks(rows, bench).collect()] == [2]
+
+
+def test_quality_words_told_apart(spark, make_docs):
+    prepare(spark)
+    texts = [" ".join(f"w{i}" for i in range(20_000)), " ".join(f"v{i}" for i in range(100_000)), "a b a b a b", "a a b", "", None]
+    docs = make_docs([(i, t, "en", "a") for i, t in enumerate(texts)])
+    table = quality_classifier.word_table(docs.repartition(3))
+    got = {r.doc_id: r.pooled[-3:-1] for r in quality_classifier.pooled_documents(docs, table).collect()}
+    want = [(1, 0), (1, 0), (1 / 3, 0), (2 / 3, 1 / 3), (0, 0), (0, 0)]
+    assert all(np.allclose(got[i], w) for i, w in enumerate(want))
+    sums = np.zeros_like(table)
+    index = quality_classifier.index_vectors()
+    for t in texts:                                   # the table by brute force
+        words = (t or "").split()
+        rows = quality_classifier.table_rows(quality_classifier.hash_words(pa.array(words, pa.string())))
+        for s in (1, 2):
+            np.add.at(sums, rows[s:], index[rows[:-s]])
+            np.add.at(sums, rows[:-s], index[rows[s:]])
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(table, sums / np.where(norm > 0, norm, 1), atol=1e-5)
