@@ -10,8 +10,9 @@ length.  Reported is the best run (a match counts 1, a mismatch -2) if it is
 such a run, else the longest of them (see ``longest_run``).
 
 Words are compared lower-cased and without punctuation at their ends.  Items
-shorter than a mask are looked up by their whole length; items of fewer than
-``MIN_ITEM`` words are too short to tell and are not searched.
+of 6-9 words have masks of three and four words besides, of which one fits every
+leak; items of five words are looked up by their whole length; items of fewer
+than ``MIN_ITEM`` words are too short to tell and are not searched.
 
 Scale: one pass over the documents, nothing shuffled.  The benchmark is the
 query set: its index is sent to the executors in chunks of at most
@@ -41,6 +42,8 @@ from cohortlab.llm._words import hash_words, split_words, text_slices, windows
 
 #: Fixed masks: 1 takes the word, 0 ignores it.
 MASKS = ("1111111", "1110010111", "11010011011", "1011101011")
+#: For items of SHORT words: what matches 0.7 of them and 0.75 of a run has a hit of one of these.
+SHORT_MASKS, SHORT = ("111", "11011"), range(6, 10)
 MIN_ITEM = 5
 CHUNK_CHARS = 32 << 20
 PUNCTUATION = string.punctuation + "«»“”„‘’…–—¿¡"
@@ -80,14 +83,19 @@ class SeedIndex:
         self.seeds = [tuple(i for i, c in enumerate(m) if c == "1") for m in masks]
         shortest = min(len(m) for m in masks)
         sizes = np.diff(self.offsets)
+        # sizes of the items that each seed is for: short ones have their own
+        fits = [range(MIN_ITEM, 1 << 62)] * len(masks)
+        if any(n in SHORT for n in sizes.tolist()):
+            self.seeds += [tuple(i for i, c in enumerate(m) if c == "1") for m in SHORT_MASKS]
+            fits += [SHORT] * len(SHORT_MASKS)
         # whole-length seeds for the items that no mask fits
-        short = sorted({int(n) for n in sizes if MIN_ITEM <= n < shortest})
-        self.seeds += [tuple(range(n)) for n in short]
+        whole = sorted({int(n) for n in sizes if MIN_ITEM <= n < shortest and n not in SHORT})
+        self.seeds += [tuple(range(n)) for n in whole]
+        fits += [range(n, n + 1) for n in whole]
         keys, items, places = [], [], []
         for k, seed in enumerate(self.seeds):
             for j, n in enumerate(sizes):
-                whole = k >= len(masks)
-                if n < MIN_ITEM or whole and n != len(seed):
+                if int(n) not in fits[k]:
                     continue
                 h = windows(self.words[self.offsets[j]:self.offsets[j + 1]], seed) ^ np.uint64(k)
                 keys.append(h)

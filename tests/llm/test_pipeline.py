@@ -158,3 +158,16 @@ def test_quality_words_told_apart(spark, make_docs):
             np.add.at(sums, rows[:-s], index[rows[s:]])
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
     assert np.allclose(table, sums / np.where(norm > 0, norm, 1), atol=1e-5)
+
+
+@pytest.mark.parametrize("n", range(6, 10))
+def test_decontamination_short_items_by_brute_force(n):
+    item = [f"w{i}" for i in range(n)]
+    index = decontamination.SeedIndex([1], [" ".join(item)])
+    leaks = 0
+    for changed in range(1 << n):
+        text = ["a", *("x" if changed >> i & 1 else w for i, w in enumerate(item)), "b"]
+        got = index.leaks(*decontamination.normal_words(pa.array([" ".join(text)])), 0.7, 25, 0.75)
+        assert bool(got) == leaks_on_a_line(item, text, 1)
+        leaks += bool(got)
+    assert leaks > n
