@@ -197,5 +197,106 @@ SELECT doc_id, license, round(dice, 6) AS dice, coalesce(n_matches, 0)::BIGINT A
 FROM d LEFT JOIN best USING (rid)
 """
 
+# -- term shares of all groups, without shards or perfect hashes ----------------------------
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), token AS (
+  SELECT rid, lang, source, unnest(w) AS t FROM d
+), kept AS (
+  SELECT lang, t FROM token GROUP BY lang, t HAVING count(DISTINCT rid) >= 10
+), size AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), grp AS (
+  SELECT DISTINCT lang, source FROM d
+), n AS (
+  SELECT lang, source, t, count(*) AS n FROM token JOIN kept USING (lang, t) GROUP BY lang, source, t
+), cell AS (
+  SELECT g.lang, g.source, k.t, coalesce(n.n, 0) AS n
+  FROM grp g JOIN kept k ON k.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = k.t
+), share AS (
+  SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM cell JOIN size USING (lang)
+), whole AS (
+  SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, t, sum(n) AS n FROM cell GROUP BY lang, t) JOIN size USING (lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f
+  FROM share a JOIN share b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', t, ((p - q) * (p - q) // (p + q))::BIGINT FROM share JOIN whole USING (lang, t) WHERE n > 0 AND p > q
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 10
+"""
+
+# -- Merkle trees level by level; crc32 bit by bit -------------------------------------------
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda s, b: list_reduce(list_prepend(xor(s, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), "
+        "lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)))), 4294967295::BIGINT)")
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT *, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars::HUGEINT + 1)")} AS changed, {_CRC} % 7 = 0 AS tampered FROM documents
+), ranked AS (
+  SELECT doc_id, lang, leaf, CASE WHEN tampered AND n_chars IS NOT NULL THEN changed ELSE leaf END AS seen,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM d
+), node(lang, k, i, n, h) AS (
+  SELECT lang, 0, i, n, leaf FROM ranked
+  UNION ALL
+  SELECT lang, k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, k, i // 2, n
+), sub AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1
+), top(k, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM sub
+  UNION ALL
+  SELECT k + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, i // 2, n
+), step AS (
+  SELECT r.lang, r.i, s.k, CASE WHEN (r.i >> s.k) % 2 = 1 THEN s.h ELSE '' END AS l, CASE WHEN (r.i >> s.k) % 2 = 0 THEN s.h ELSE '' END AS r
+  FROM ranked r JOIN node s ON s.lang IS NOT DISTINCT FROM r.lang AND s.n > 1 AND s.i // 2 = (r.i >> s.k) // 2 AND s.i <> (r.i >> s.k)
+  UNION ALL
+  SELECT lang, i, k, '', '' FROM ranked JOIN (SELECT DISTINCT lang AS l, k, n AS m FROM node WHERE n > 1) ON l IS NOT DISTINCT FROM lang
+  WHERE (i >> k) = m - 1 AND m % 2 = 1
+), topstep AS (
+  SELECT sub.lang, s.k, CASE WHEN (sub.i >> s.k) % 2 = 1 THEN s.h ELSE '' END AS l, CASE WHEN (sub.i >> s.k) % 2 = 0 THEN s.h ELSE '' END AS r
+  FROM sub JOIN top s ON s.n > 1 AND s.i // 2 = (sub.i >> s.k) // 2 AND s.i <> (sub.i >> s.k)
+  UNION ALL
+  SELECT lang, k, '', '' FROM sub JOIN (SELECT DISTINCT k, n AS m FROM top WHERE n > 1) ON (i >> k) = m - 1 AND m % 2 = 1
+), low AS (
+  SELECT lang, i, list(l || '|' || r ORDER BY k) AS steps FROM step GROUP BY lang, i
+), high AS (
+  SELECT lang, list(l || '|' || r ORDER BY k) AS steps FROM topstep GROUP BY lang
+), path AS (
+  SELECT r.doc_id, r.leaf, r.seen, sub.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         list_concat(coalesce(low.steps, []::VARCHAR[]), coalesce(high.steps, []::VARCHAR[])) AS steps
+  FROM ranked r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang
+  LEFT JOIN low ON low.lang IS NOT DISTINCT FROM r.lang AND low.i = r.i LEFT JOIN high ON high.lang IS NOT DISTINCT FROM r.lang
+), folded AS (
+  SELECT *, list_reduce(list_prepend(seen, steps), lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM path
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM folded
+"""
+
 ORACLE = {"op1_mix_sources": OP1, "op2_warc_archive": OP2, "op5_quality_rules": OP5, "op9_secret_scan": OP9,
-          "op10_license_scan": OP10}
+          "op10_license_scan": OP10, "op11_source_divergence": OP11, "op13_merkle_manifest": OP13}

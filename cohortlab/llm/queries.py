@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import (decontamination, license_scan, mixing, near_duplicates, personal_data,
-                           quality_classifier, quality_rules, secrets, toxicity, warc)
+from cohortlab.llm import (decontamination, divergence, language_id, license_scan, merkle, mixing, near_duplicates,
+                           personal_data, quality_classifier, quality_rules, secrets, toxicity, warc)
 from cohortlab.llm._tables import documents, labels, prepare, shared_path
 
 
@@ -61,6 +61,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_id.predict_languages(documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return merkle.verified_manifest(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_warc_archive, op3_decontaminate, op4_toxicity_chain, op5_quality_rules, op6_quality_classifier,
-    op7_personal_data, op8_ngram_jaccard_join, op9_secret_scan, op10_license_scan)}
+    op7_personal_data, op8_ngram_jaccard_join, op9_secret_scan, op10_license_scan,
+    op11_source_divergence, op12_language_id, op13_merkle_manifest)}
