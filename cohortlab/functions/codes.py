@@ -31,6 +31,18 @@ BNF_PREFIX = "bnf_"
 VTM_PREFIX = "vtm_"
 VAL_PREFIX = "VAL_"
 CODE_FAMILIES = ("icd", "proc", "med", "val", "all")
+# Case definitions: name -> (system of the GP code list, hospital ICD-10 codes).
+CASE_DEFINITIONS = {
+    "PD": (None, ["G20", "G200"]),
+    "AD": ("read", ["F00", "F000", "F001", "F002", "F009", "G30", "G300", "G301", "G308", "G309"]),
+    "PARM": ("snomed", ["G20", "G21", "G210", "G211", "G212", "G213", "G214", "G218", "G219", "G22", "G230", "G231",
+                        "G232", "G238", "G239", "G259", "G26", "G903"]),
+}
+# Symptom definitions: name -> system of the code list.
+SYMPTOM_SYSTEMS = {
+    "fall": "read", "language": "read", "memory": "read", "confusion": "read", "sleep": "read",
+    "dementia": "snomed", "depression": "snomed", "constipation": "snomed", "mci": "snomed",
+}
 # Description special case applied before any lookup.
 DESCRIPTION_SPECIAL_CASES = {
     "Other chronic obstructive pulmonary disease": "COPD",
@@ -114,11 +126,6 @@ def safe_int(c) -> Column:
     return _c(c).try_cast("int")
 
 
-def sequence_text(c) -> Column:
-    """codes joined by blanks; text input: commas -> blanks, spaces collapsed."""
-    return F.coalesce(F.array_join(_c(c), " "), F.lit(""))
-
-
 WHITESPACE = "[ \t\n\r\f]+"
 
 

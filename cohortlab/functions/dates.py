@@ -35,11 +35,6 @@ def age_years(at, dob) -> Column:
     return F.datediff(_c(at), _c(dob)) / F.lit(365.2425)
 
 
-def age_months(at, dob) -> Column:
-    """Whole months of age at an event."""
-    return F.floor(F.months_between(_c(at), _c(dob))).cast("int")
-
-
 def parse_date(c, fmt: str = "dd/MM/yyyy") -> Column:
     """Text date to DATE; unparsable text gives null instead of an error."""
     return F.try_to_date(_c(c), fmt)

@@ -31,9 +31,5 @@ def dot(a, b) -> Column:
     return _sum(F.zip_with(_c(a), _c(b), lambda x, y: x * y))
 
 
-def squared_norm(a) -> Column:
-    return _sum(F.transform(_c(a), lambda x: x * x))
-
-
 def to_double_array(c) -> Column:
     return _c(c).cast("array<double>")

@@ -2,7 +2,8 @@
 
 * Every fit is Spark ML ``KMeans`` (distributed Lloyd, k-means||) over all
   rows of its set, replicates of the gap statistic, the consensus and the
-  bootstraps included; no set is clustered inside one task.
+  bootstraps included; no set is clustered inside one task.  A resample is a
+  weight per row and replicate (``weightCol``), never a copy of the vectors.
 * Restarts are separate seeds and the lowest training cost wins.  Fits that
   do not depend on each other (restarts, values of k, replicates) are
   submitted ``PARALLEL_FITS`` at a time over vectors persisted once per set.
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortlab.functions.hashing import unit_hash
+from cohortlab.functions.vectors import squared_distance
 from cohortlab.operators import metrics as M
+from cohortlab.operators.splits import resample_counts
 
 PARALLEL_FITS = 4             # independent fits submitted at a time
 
@@ -45,25 +48,51 @@ def _concurrently(calls: list[Callable]) -> list:
         return list(pool.map(inheritable_thread_target(SparkSession.active())(lambda call: call()), calls))
 
 
+def _fit(x: DataFrame, k: int, max_iter: int, seed: int, weight: str | None = None) -> FittedKMeans:
+    """One fit on a vector column ``vec``; rows of weight 0 take no part."""
+    if weight is not None:
+        x = x.where(F.col(weight) > 0)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    if k == 1:        # Spark ML takes two centers at least; the best single one is the mean
+        center = x.agg(Summarizer.metrics("mean").summary(F.col("vec"), w).alias("s")).first().s.mean
+        apart = squared_distance(vector_to_array("vec"), F.lit([float(v) for v in center]))
+        return FittedKMeans(1, [list(map(float, center))], float(x.agg(F.sum(w * apart)).first()[0]), seed)
+    estimator = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=seed, initMode="k-means||")
+    model = (estimator if weight is None else estimator.setWeightCol(weight)).fit(x)
+    return FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()], float(model.summary.trainingCost), seed)
+
+
+def _least_cost(fits: list[FittedKMeans]) -> FittedKMeans:
+    return min(fits, key=lambda m: (m.cost, m.seed))
+
+
 def kmeans_fits(df: DataFrame, ks: list[int], features: str = "features", restarts: int = 3,
                 max_iter: int = 50, seed: int = 0) -> dict[int, FittedKMeans]:
     """M12 for several k: per k the best of ``restarts`` fits by training cost."""
     # Lloyd iterations re-read the input: one persisted copy serves every fit
     x = df.select(array_to_vector(F.col(features)).alias("vec")).persist()
+    try:
+        fits = _concurrently([partial(_fit, x, k, max_iter, seed + r) for k in ks for r in range(restarts)])
+    finally:
+        x.unpersist()
+    return {k: _least_cost([m for m in fits if m.k == k]) for k in ks}
 
-    def fit(k: int, s: int) -> FittedKMeans:
-        if k == 1:        # Spark ML takes two centers at least; the best single one is the mean
-            one = x.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("vec")).alias("s")).first().s
-            return FittedKMeans(1, [list(map(float, one.mean))], float(sum(one.variance)) * (one["count"] - 1), s)
-        model = KMeans(k=k, featuresCol="vec", maxIter=max_iter, seed=s, initMode="k-means||").fit(x)
-        return FittedKMeans(k, [list(map(float, c)) for c in model.clusterCenters()],
-                            float(model.summary.trainingCost), s)
 
+def kmeans_fits_weighted(df: DataFrame, k: int, replicates: int, weights: str = "weights", features: str = "features",
+                         restarts: int = 3, max_iter: int = 50, seed: int = 0) -> list[FittedKMeans]:
+    """M12 once per replicate: replicate r counts a row ``weights[r]`` times (0: left out).
+
+    All replicates read one persisted set of vectors; a resample is a weight, not a copy.
+    Replicate r starts from seeds ``seed + r`` on.
+    """
+    x = df.select(array_to_vector(F.col(features)).alias("vec"), weights).persist()
+    sets = [x.select("vec", F.get(weights, F.lit(r)).cast("double").alias("w")) for r in range(replicates)]
     try:
-        fits = _concurrently([partial(fit, k, seed + r) for k in ks for r in range(restarts)])
+        fits = _concurrently([partial(_fit, part, k, max_iter, seed + r + s, "w")
+                              for r, part in enumerate(sets) for s in range(restarts)])
     finally:
         x.unpersist()
-    return {k: min((m for m in fits if m.k == k), key=lambda m: (m.cost, m.seed)) for k in ks}
+    return [_least_cost(fits[r * restarts:(r + 1) * restarts]) for r in range(replicates)]
 
 
 def kmeans_fit(df: DataFrame, k: int, features: str = "features", restarts: int = 3,
@@ -140,7 +169,6 @@ def label_all_k(test: DataFrame, train_models: dict, test_models: dict, features
     Centers are model parameters (sum of k rows of d numbers) joined as a
     bounded broadcast keyed by k.
     """
-    from cohortlab.functions.vectors import squared_distance
     spark = test.sparkSession
     ks = sorted(train_models)
     cen = spark.createDataFrame([(int(k), train_models[k].centers, test_models[k].centers) for k in ks],
@@ -157,44 +185,45 @@ def label_all_k(test: DataFrame, train_models: dict, test_models: dict, features
 
 
 def sweep_fold_metrics(labelled: DataFrame, features: str = "features", id_col: str = "id",
-                       sil_max_n: int | None = None) -> DataFrame:
-    """Strength, silhouette, CH and DB for every k of one fold: one grouped
-    pass per metric over the labelled test rows (keyed by k)."""
-    keys = ["k"]
+                       sil_max_n: int | None = None, squared: bool = False, keys: list[str] | None = None) -> DataFrame:
+    """Strength, silhouette, CH and DB for every k of one fold: one grouped pass per
+    metric over the labelled test rows (keyed by k, or by fold and k).  ``squared``
+    takes the linear ``silhouette_squared`` in place of the pairwise silhouette."""
+    keys = keys or ["k"]
     ps = (M.strength_from_assignment(labelled, "test_label", "train_label", keys)
-          .groupBy("k").agg(F.coalesce(F.min("strength"), F.lit(float("inf"))).alias("prediction_strength")))
-    sil = M.silhouette(labelled, "train_label", features, id_col, sil_max_n, keys=keys)
+          .groupBy(*keys).agg(F.coalesce(F.min("strength"), F.lit(float("inf"))).alias("prediction_strength")))
+    sil = (M.silhouette_squared(labelled, "train_label", features, keys) if squared
+           else M.silhouette(labelled, "train_label", features, id_col, sil_max_n, keys=keys))
     ch = M.calinski_harabasz(labelled, "train_label", features, keys=keys)
     db = M.davies_bouldin(labelled, "train_label", features, keys=keys)
-    return ps.join(sil, "k", "left").join(ch, "k", "left").join(db, "k", "left")
+    return ps.join(sil, keys, "left").join(ch, keys, "left").join(db, keys, "left")
 
 
 def k_sweep(df: DataFrame, ks: list[int], folds: int = 5, features: str = "features", id_col: str = "id",
-            restarts: int = 3, max_iter: int = 50, seed: int = 0) -> DataFrame:
+            restarts: int = 3, max_iter: int = 50, seed: int = 0, squared: bool = False) -> DataFrame:
     """Metric rows (fold, k, ...) over hash folds.
 
-    The driver loops over folds only to fit models (distributed Spark ML, all
-    k and restarts of a fold submitted together); the test fold is then
-    labelled for all k at once and each metric is one keyed job per fold.  No
-    data rows pass through the driver.
+    Only fits run fold by fold, and the fits of all folds are submitted together; the test
+    folds are then labelled for all k and each metric is one job keyed by (fold, k).  No data
+    rows pass through the driver.  ``squared`` takes the silhouette that is linear in the
+    rows (column ``silhouette_squared``), the choice for very large sets.
     """
     from cohortlab.operators.splits import kfold
     x = kfold(df.select(id_col, features), id_col, folds, f"fold{seed}").checkpoint(eager=True)
+    parts = [(x.where(F.col("fold") != f), x.where(F.col("fold") == f)) for f in range(folds)]
+    fits = _concurrently([partial(kmeans_fits, part, ks, features, restarts, max_iter, seed) for pair in parts for part in pair])
     out = None
-    for f in range(folds):
-        tr, te = x.where(F.col("fold") != f), x.where(F.col("fold") == f)
-        m_tr, m_te = _concurrently([partial(kmeans_fits, part, ks, features, restarts, max_iter, seed)
-                                    for part in (tr, te)])
-        lab = label_all_k(te, m_tr, m_te, features, id_col).checkpoint(eager=True)
-        met = sweep_fold_metrics(lab, features, id_col).withColumn("fold", F.lit(f + 1))
-        out = met if out is None else out.unionByName(met)
-    return out.select(F.col("fold").cast("int"), F.col("k").cast("int"), "silhouette", "prediction_strength",
-                      "calinski_harabasz", "davies_bouldin").checkpoint(eager=True)
+    for f, (_, test) in enumerate(parts):
+        lab = label_all_k(test, fits[2 * f], fits[2 * f + 1], features, id_col).withColumn("fold", F.lit(f + 1))
+        out = lab if out is None else out.unionByName(lab)
+    met = sweep_fold_metrics(out.checkpoint(eager=True), features, id_col, squared=squared, keys=["fold", "k"])
+    return met.select(F.col("fold").cast("int"), F.col("k").cast("int"), "silhouette_squared" if squared else "silhouette",
+                      "prediction_strength", "calinski_harabasz", "davies_bouldin").checkpoint(eager=True)
 
 
 def summarise_sweep(metrics: DataFrame) -> DataFrame:
     """Mean of every metric per k."""
-    cols = [c for c in ("silhouette", "prediction_strength", "calinski_harabasz", "davies_bouldin")
+    cols = [c for c in ("silhouette", "silhouette_squared", "prediction_strength", "calinski_harabasz", "davies_bouldin")
             if c in metrics.columns]
     return metrics.groupBy("k").agg(*[F.avg(c).alias(c) for c in cols])
 
@@ -237,13 +266,29 @@ def validation_report(sections: dict[str, DataFrame]) -> DataFrame:
 
 # -- replicate stability with model fitting (R operators) ------------------------------------
 
-def label_replicates(sets: list[DataFrame], models: list[FittedKMeans], features: str = "features") -> DataFrame:
-    """Union of the replicate sets, each labelled by its own model; written once."""
-    parts = [kmeans_predict(x, m, features, "label").drop(features) for x, m in zip(sets, models, strict=True)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.checkpoint(eager=True)
+def labels_of_models(df: DataFrame, models: list[FittedKMeans], features: str = "features", out: str = "labels") -> DataFrame:
+    """M13 for several models in one projection: ``out[r]`` is the row's label by model r.
+    The centers (model parameters) are one broadcast row."""
+    row = df.sparkSession.createDataFrame([([m.centers for m in models],)], "_models array<array<array<double>>>")
+    near = lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    label = lambda centers: F.transform(F.array(F.transform(
+        centers, lambda c: squared_distance(F.col(features), c))), near)[0]
+    return df.crossJoin(F.broadcast(row)).withColumn(out, F.transform("_models", label)).drop("_models")
+
+
+def label_signatures(labelled: DataFrame, labels: str = "labels", weights: str | None = None) -> DataFrame:
+    """(sig, w) of :func:`metrics.signatures` from label arrays: entry (r, label) for each
+    replicate, or only for those with a weight above 0."""
+    sig = F.transform(labels, lambda label, r: F.struct(r.cast("int").alias("rep"), label.alias("label")))
+    if weights is not None:
+        sig = F.filter(sig, lambda e: F.get(weights, e["rep"]) > 0)
+    return labelled.groupBy(sig.alias("sig")).agg(F.count(F.lit(1)).alias("w"))
+
+
+def subsample_weights(df: DataFrame, reps: int, frac: float, id_col: str, salt: str) -> DataFrame:
+    """``weights[r]`` = 1 for the ids that replicate r draws without replacement (hash < frac)."""
+    drawn = lambda r: unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), r.cast("string")), salt) < F.lit(frac)
+    return df.withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: drawn(r).cast("int")))
 
 
 def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8, id_col: str = "id",
@@ -251,51 +296,36 @@ def consensus_pac_fit(df: DataFrame, k: int, reps: int = 30, frac: float = 0.8,
                       max_iter: int = 50, seed: int = 0) -> DataFrame:
     """M20 with training: ``reps`` subsamples of all rows without replacement
     (hash < frac), a K-Means fit on each whole subsample, then PAC."""
-    xs = df.select(id_col, features).checkpoint(eager=True)
-    drawn = lambda r: unit_hash(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(r))),
-                                f"sub{seed}") < F.lit(frac)
-    sets = [xs.where(drawn(r)).select(F.lit(r).alias("rep"), id_col, features) for r in range(reps)]
-    models = _concurrently([partial(kmeans_fit, x, k, features, restarts, max_iter, seed + r)
-                            for r, x in enumerate(sets)])
-    return M.consensus_pac(label_replicates(sets, models, features), xs.select(id_col), id_col, denominator)
+    x = subsample_weights(df.select(id_col, features), reps, frac, id_col, f"sub{seed}").checkpoint(eager=True)
+    models = kmeans_fits_weighted(x, k, reps, "weights", features, restarts, max_iter, seed)
+    sigs = label_signatures(labels_of_models(x, models, features), weights="weights")
+    return M.pac_of_signatures(sigs, denominator)
 
 
 def bootstrap_ari_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
                       features: str = "features", restarts: int = 3, max_iter: int = 50, seed: int = 0,
                       ddof: int = 0) -> DataFrame:
-    """M21 with training: fit on each with-replacement resample (Spark ML,
-    distributed), label the FULL data with each model, mean/sd of pairwise ARI."""
-    from cohortlab.operators.splits import bootstrap_draws, dense_index
-    base = df.select(id_col, features)
-    n = base.count()
-    drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
-    try:
-        models = _concurrently([partial(kmeans_fit, drawn.where(F.col("rep") == r), k, features, restarts,
-                                        max_iter, seed + r) for r in range(reps)])
-    finally:
-        drawn.unpersist()
-    sets = [base.select(F.lit(r).alias("rep"), id_col, features) for r in range(reps)]
-    return M.bootstrap_ari(label_replicates(sets, models, features), id_col, ddof)
+    """M21 with training: fit on each with-replacement resample (rows weighted by how often
+    they were drawn), label the FULL data with each model, mean/sd of pairwise ARI."""
+    x = resample_counts(df.select(id_col, features), reps, frac, id_col, f"boot{seed}").checkpoint(eager=True)
+    models = kmeans_fits_weighted(x, k, reps, "weights", features, restarts, max_iter, seed)
+    sigs = label_signatures(labels_of_models(x, models, features))
+    return M.ari_summary(M.ari_of_counts(M.pair_counts(sigs), "l1", "l2", ["rep1", "rep2"]), ddof)
 
 
 def bootstrap_jaccard_fit(df: DataFrame, k: int, reps: int = 20, frac: float = 0.8, id_col: str = "id",
                           features: str = "features", restarts: int = 3, max_iter: int = 50,
                           seed: int = 0) -> DataFrame:
     """M22 with training: full-data labels vs labels of a model refitted on
-    each resample (duplicates kept); mean and sd (ddof 0) of the Jaccard."""
-    from cohortlab.operators.splits import bootstrap_draws, dense_index
-    base = df.select(id_col, features)
-    n = base.count()
-    full = kmeans_predict(base, kmeans_fit(base, k, features, restarts, max_iter, seed), features, "label")
-    drawn = bootstrap_draws(dense_index(base, id_col, "idx"), n, reps, frac, f"boot{seed}").persist()
-    try:
-        sets = [drawn.where(F.col("rep") == r).select("rep", "draw", id_col, features) for r in range(reps)]
-        models = _concurrently([partial(kmeans_fit, x, k, features, restarts, max_iter, seed + r + 1)
-                                for r, x in enumerate(sets)])
-        labels = label_replicates(sets, models, features)
-    finally:
-        drawn.unpersist()
-    return M.bootstrap_jaccard(labels, full.select(id_col, "label"), id_col)
+    each resample (a row drawn twice counts twice); mean and sd (ddof 0) of the Jaccard."""
+    x = resample_counts(df.select(id_col, features), reps, frac, id_col, f"boot{seed}").checkpoint(eager=True)
+    full = kmeans_fit(x, k, features, restarts, max_iter, seed)
+    models = kmeans_fits_weighted(x, k, reps, "weights", features, restarts, max_iter, seed + 1)
+    x = kmeans_predict(labels_of_models(x, models, features), full, features, "full_label")
+    drawn = x.select("full_label", F.posexplode(F.arrays_zip("labels", "weights")).alias("rep", "own"))
+    drawn = drawn.select("rep", "full_label", "own.labels", "own.weights").where("weights > 0")
+    per = M.jaccard_partition(drawn, "full_label", "labels", ["rep"], "weights")
+    return per.agg(F.avg("jaccard").alias("mean_jaccard"), F.stddev_pop("jaccard").alias("sd_jaccard"))
 
 
 def cross_source_ari_fit(source: DataFrame, target: DataFrame, k: int, features: str = "features",

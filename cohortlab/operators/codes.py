@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.functions.codes import DESCRIPTION_SPECIAL_CASES, decode, normalise_description_key
+from cohortlab.functions.codes import (CASE_DEFINITIONS, DESCRIPTION_SPECIAL_CASES, SYMPTOM_SYSTEMS, decode,
+                                       normalise_description_key)
 
 
 def harmonise_events(diagnoses: DataFrame) -> DataFrame:
@@ -74,6 +75,35 @@ def case_codes(code_list: DataFrame, dictionary: DataFrame, name: str,
     return med.unionByName(icd).distinct()
 
 
+def named_case_codes(code_list: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
+    """P8 for a definition of ``CASE_DEFINITIONS``: its ICD-10 codes and the GP codes that the
+    dictionary has for its code list (rows (system, name, code)), by the definition's system.
+    An unknown name is an error.  Nothing runs while the plan is built."""
+    if name not in CASE_DEFINITIONS:
+        raise ValueError(f"unknown case definition {name!r}; expected one of {sorted(CASE_DEFINITIONS)}")
+    system, icd = CASE_DEFINITIONS[name]
+    codes = dictionary.sparkSession.createDataFrame([(c,) for c in icd], "code string")
+    if system is not None:
+        wanted = code_list.where((F.col("name") == name) & (F.col("system") == system))
+        codes = codes.unionByName(_dictionary_codes(wanted, dictionary).select(F.col("medcode").alias("code")))
+    return codes.distinct()
+
+
+def named_symptom_codes(code_list: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """P9 for all nine symptoms: (name, medcode), each by the system of ``SYMPTOM_SYSTEMS``;
+    rows of another name or system take no part."""
+    own = F.create_map(*[F.lit(x) for pair in SYMPTOM_SYSTEMS.items() for x in pair])
+    return _dictionary_codes(code_list.where(F.col("system") == F.try_element_at(own, F.col("name"))), dictionary)
+
+
+def _dictionary_codes(wanted: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(name, medcode) of the dictionary entries that the list's Read or SNOMED codes name."""
+    entries = dictionary.select(F.col("medcode").cast("string").alias("medcode"), F.inline(F.array(
+        F.struct(F.lit("read").alias("system"), F.col("readcode").cast("string").alias("code")),
+        F.struct(F.lit("snomed").alias("system"), F.col("Snomedcode").cast("string").alias("code")))))
+    return wanted.join(entries, ["system", "code"]).select("name", "medcode").distinct()
+
+
 def symptom_codes(code_list: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Every (symptom, system) definition in one pass -> (name, medcode)."""
     read = (code_list.where(F.col("system") == "read")
@@ -90,13 +120,30 @@ def dedupe_descriptions(descriptions: DataFrame, order_col: str = "line_no") ->
     return d.groupBy("key").agg(F.max_by("target", order_col).alias("target"))
 
 
+def longest_prefix(codes: DataFrame, systems: DataFrame, col: str = "code") -> DataFrame:
+    """Code-system lookup: (code, description, system) of every distinct code that a system knows.
+
+    ``systems`` has (system, prefix, priority, description).  The system with the least
+    priority that has any prefix of the code answers, with its longest one (equal ones:
+    the first system and description by name).  Codes meet the dictionary in one join on
+    their own prefixes, as many rows a code as it has characters.
+    """
+    distinct = codes.select(F.col(col).cast("string").alias(col)).where(F.length(col) > 0).distinct()
+    cuts = F.transform(F.sequence(F.lit(1), F.length(col)), lambda n: F.substring(F.col(col), F.lit(1), n))
+    hits = distinct.select(col, F.explode(cuts).alias("prefix")).join(systems, "prefix")
+    order = F.struct("priority", (-F.length("prefix")).alias("length"), "system", "description")
+    best = hits.groupBy(col).agg(F.min(order).alias("best"))
+    return best.select(col, "best.description", "best.system")
+
+
 def describe_codes(codes: DataFrame, descriptions: DataFrame, col: str = "code",
-                   fallback: DataFrame | None = None, order_col: str = "line_no") -> DataFrame:
+                   fallback: DataFrame | None = None, order_col: str = "line_no", step: str | None = None) -> DataFrame:
     """Add ``description`` with the chain special case -> map -> fallback -> code.
 
-    ``fallback`` is an optional (code, description) table standing in for a
-    code-system lookup.  The description map is aggregated to one row per key
-    before the join, so the join cannot fan out.
+    ``fallback`` is an optional (code, description) table, as :func:`longest_prefix` of a
+    code system gives it.  The description map is aggregated to one row per key
+    before the join, so the join cannot fan out.  ``step`` names a column that tells
+    which link of the chain answered: special, map, system or code.
     """
     m = dedupe_descriptions(descriptions, order_col)
     out = codes.join(m.withColumnRenamed("key", col), col, "left")
@@ -107,7 +154,12 @@ def describe_codes(codes: DataFrame, descriptions: DataFrame, col: str = "code",
         chain.append(F.col("_fb"))
     chain.append(F.col(col))
     desc = F.coalesce(*chain)
-    desc = F.coalesce(decode(desc, DESCRIPTION_SPECIAL_CASES), desc)
+    special = decode(desc, DESCRIPTION_SPECIAL_CASES)
+    if step is not None:
+        answered = F.when(F.col("target").isNotNull(), "map")
+        answered = answered if fallback is None else answered.when(F.col("_fb").isNotNull(), "system")
+        out = out.withColumn(step, F.when(special.isNotNull(), "special").otherwise(answered.otherwise("code")))
+    desc = F.coalesce(special, desc)
     return out.withColumn("description", desc).drop("target", "_fb")
 
 

@@ -1,19 +1,25 @@
 """Sequence features: TF-IDF, truncated SVD, mean pooling.
 
 TF-IDF stays in long sparse form (doc, idx, value) - one row per non-zero
-- so vocabulary size never turns into dense rows.  The SVD uses Spark's
-distributed ``RowMatrix.computeSVD`` (no centring, as truncated SVD of a
-sparse matrix); projection X.V is a join of the sparse rows with the
-(vocabulary x components) loading table and a grouped sum.
+- so vocabulary size never turns into dense rows.  The SVD (no centring, as
+truncated SVD of a sparse matrix) iterates on X'X in the space of the terms;
+projection X.V is a join of the sparse rows with the (vocabulary x components)
+loading table and a grouped sum.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlab.functions.hashing import unit_hash
 from cohortlab.operators.sequences import SPECIAL_TOKENS
 
 
@@ -51,42 +57,12 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 
 
-def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, power_iters: int = 5,
-                 seed: int = 0, method: str = "randomized") -> tuple[DataFrame, list[float]]:
-    """Right singular vectors V (idx, comp, v) and singular values.
+# -- truncated SVD ---------------------------------------------------------------------------
+
+#: Numbers of a term-side matrix (terms x columns) that are broadcast; larger ones are joined.
+MAX_BROADCAST_NUMBERS = 1 << 22
+SALTS = 16
 
-    The same method at every size: a randomized range
-    finder with power iterations (Halko, Martinsson & Tropp 2011): 2q + 2
-    passes over X as joins + grouped vector sums, whatever k is; only
-    l x l matrices (l = k + oversample) reach the driver.  ``method="gramian"`` asks
-    for X'X and its eigenvectors instead (n_features^2 numbers on the driver).
-    """
-    if method == "randomized":
-        return randomized_svd_loadings(x, n_features, k, oversample, power_iters, seed)
-    import numpy as np
-    from pyspark import StorageLevel
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    rows = (x.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("nz"))
-             .rdd.map(lambda r: MV.sparse(n_features, [int(e["idx"]) for e in r["nz"]],
-                                          [float(e["value"]) for e in r["nz"]])))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        g = RowMatrix(rows).computeGramianMatrix().toArray()
-    finally:
-        rows.unpersist()
-    w, vecs = np.linalg.eigh(g)
-    order = np.argsort(w)[::-1][:k]
-    V = vecs[:, order]
-    sv = np.sqrt(np.maximum(w[order], 0.0))
-    loads = x.sparkSession.createDataFrame(
-        [(int(i), int(c), float(V[i, c])) for i in range(V.shape[0]) for c in range(V.shape[1]) if V[i, c] != 0.0],
-        "idx long, comp int, v double")
-    return loads, [float(s) for s in sv]
-
-
-# -- randomized SVD building blocks -------------------------------------------------------
 
 def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str) -> DataFrame:
     """sum over ``on`` of value * vec: (out_key, vec array) - X.D (on=idx) or X'.D (on=doc).
@@ -100,85 +76,157 @@ def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str) -> Data
     return s.select(out_key, vector_to_array("_s").alias("vec"))
 
 
-def _gram(rows: DataFrame, width: int):
-    """Y'Y for (key, vec) rows: per-task numpy partial Grams, summed on Spark."""
-    import numpy as np
-    import pandas as pd
-
-    def part(it):
-        g = np.zeros((width, width))
-        for pdf in it:
-            if len(pdf):
-                Y = np.stack(pdf["vec"].map(np.asarray).to_numpy()).astype(float)
-                g += Y.T @ Y
-        yield pd.DataFrame({"g": [g.ravel().tolist()]})
-
-    parts = rows.select("vec").mapInPandas(part, "g array<double>")
-    tot = parts.agg(Summarizer.sum(array_to_vector("g")).alias("s")).first()["s"]
-    return np.asarray(tot.toArray()).reshape(width, width)
-
-
-def _times_small(rows: DataFrame, key: str, M) -> DataFrame:
-    """(key, vec) . M for a small dense matrix M (broadcast, numpy per batch)."""
-    import numpy as np
-    import pandas as pd
-    bc = rows.sparkSession.sparkContext.broadcast(M)
-    kt = dict(rows.dtypes)[key]
+def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    values = batch.column(column)
+    return np.asarray(values.flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
-    def run(it):
-        m = bc.value
-        for pdf in it:
-            if len(pdf):
-                Y = np.stack(pdf["vec"].map(np.asarray).to_numpy()).astype(float)
-                yield pd.DataFrame({key: pdf[key], "vec": list(Y @ m)})
 
-    return rows.mapInPandas(run, f"{key} {kt}, vec array<double>")
+def _gram_product(x: DataFrame, docs: DataFrame, terms: DataFrame, numbers: int) -> DataFrame:
+    """X'X.D for the term rows (idx, vec) of D: (idx, vec).
 
-
-def _orthonormalise(rows: DataFrame, key: str, width: int):
-    """Q = Y E diag(1/sqrt(lambda)) from the eigen-decomposition of Y'Y
-    (stable even when Y is rank deficient: tiny directions are dropped)."""
-    import numpy as np
-    lam, E = np.linalg.eigh(_gram(rows, width))
-    keep = lam > lam.max() * 1e-12 if lam.max() > 0 else np.zeros_like(lam, dtype=bool)
-    T = E[:, keep] / np.sqrt(lam[keep])
-    return _times_small(rows, key, T), int(keep.sum())
+    While D has at most ``MAX_BROADCAST_NUMBERS`` numbers it is broadcast: a task multiplies
+    its documents (rows ``docs`` of index and value arrays) by D and the result by their
+    transpose, and sends one sum per term, so no term is a hot key.  A larger D is joined on
+    salted term ids, then the document sums on doc.
+    """
+    if numbers > MAX_BROADCAST_NUMBERS:
+        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        cells = x.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+        left = cells.join(salted, ["idx", "_salt"]).select("doc", array_to_vector(
+            F.transform("vec", lambda e: e * F.col("value"))).alias("_v"))
+        by_doc = left.groupBy("doc").agg(Summarizer.sum(F.col("_v")).alias("_s")).select("doc", vector_to_array("_s").alias("vec"))
+        return _times_sparse(x, by_doc, "doc", "idx")
+    table = terms.select("idx", "vec").toArrow()
+    ids = np.asarray(table.column("idx"))
+    order = np.argsort(ids)
+    vec = np.asarray(table.column("vec").combine_chunks().flatten()).reshape(len(ids), -1)
+    sent = x.sparkSession.sparkContext.broadcast((ids[order], vec[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, dense = sent.value
+        sums = np.zeros_like(dense)
+        for batch in batches:
+            sizes = np.asarray(pc.list_value_length(batch.column("idx"))).astype(np.int64)
+            if not sizes.sum():
+                continue
+            at = np.searchsorted(known, np.asarray(batch.column("idx").flatten()))
+            value = np.asarray(batch.column("value").flatten())[:, None]
+            full = np.flatnonzero(sizes)
+            starts = (np.cumsum(sizes) - sizes)[full]
+            by_doc = np.add.reduceat(value * dense[at], starts)
+            np.add.at(sums, at, value * np.repeat(by_doc, sizes[full], axis=0))
+        own = np.flatnonzero(np.abs(sums).any(axis=1))
+        if len(own):
+            ends = pa.array(np.arange(len(own) + 1) * sums.shape[1], pa.int32())
+            yield pa.record_batch({"idx": pa.array(known[own], pa.int64()),
+                                   "vec": pa.ListArray.from_arrays(ends, pa.array(sums[own].ravel()))})
+
+    parts = docs.mapInArrow(run, "idx long, vec array<double>")
+    total = parts.groupBy("idx").agg(Summarizer.sum(array_to_vector("vec")).alias("_s"))
+    return total.select("idx", vector_to_array("_s").alias("vec"))
+
+
+def _inner_products(rows: DataFrame, columns: list[str]) -> np.ndarray:
+    """[A B ...]'[A B ...] of the row arrays: numpy sums per task, added on Spark."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            if batch.num_rows:
+                side = np.hstack([_matrix(batch, c) for c in columns])
+                total = total + side.T @ side
+        if not np.isscalar(total):
+            yield pa.record_batch({"g": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+
+    parts = rows.select(*columns).mapInArrow(run, "g array<double>")
+    total = np.asarray(parts.agg(Summarizer.sum(array_to_vector("g")).alias("s")).first()["s"].toArray())
+    width = int(round(total.size ** 0.5))
+    return total.reshape(width, width)
+
+
+def _combined(rows: DataFrame, combos: dict[str, list[tuple[str, np.ndarray]]]) -> DataFrame:
+    """(idx, new columns): each a sum of old column arrays times small matrices (map only)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {"idx": batch.column("idx")}
+            for name, parts in combos.items():
+                made = sum(_matrix(batch, c) @ m for c, m in parts) if batch.num_rows else np.zeros((0, 1))
+                ends = pa.array(np.arange(batch.num_rows + 1) * made.shape[1], pa.int32())
+                out[name] = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
+            yield pa.record_batch(out)
+
+    return rows.mapInArrow(run, "idx long, " + ", ".join(f"{c} array<double>" for c in combos))
+
+
+def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, max_rounds: int = 60,
+                 tolerance: float = 1e-7, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """Right singular vectors V (idx, comp, v) and singular values of the sparse long
+    matrix (doc, idx, value), without centring.
+
+    Block iteration on X'X in the space of the terms (locally optimal block gradients): the
+    basis of a round is the current vectors, their residuals and the last directions; its
+    inner products (a few hundred numbers on the driver) give the best vectors of that
+    space.  A round applies X'X to the residuals only and writes one table (idx, vectors and
+    their images); small factors are applied after the product, row by row.  Rounds end
+    when every residual |X'X v - s^2 v| of the first k is below ``tolerance`` x s^2.
+    """
+    spark = x.sparkSession
+    x = x.select("doc", "idx", "value").checkpoint(eager=True)
+    docs = (x.groupBy("doc").agg(F.collect_list(F.struct("idx", "value")).alias("t"))
+            .select(F.col("t.idx").cast("array<long>").alias("idx"), F.col("t.value").cast("array<double>").alias("value"))
+            .checkpoint(eager=True))
+    terms = x.select("idx").distinct()
+    n_terms = terms.count()
+    width = min(k + oversample, n_terms)
+    if not width:
+        return spark.createDataFrame([], "idx long, comp int, v double"), []
+    start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: unit_hash(
+        F.concat_ws(":", F.col("idx").cast("string"), c.cast("string")), f"omega{seed}") * 2.0 - 1.0)
+    rows = terms.select(F.col("idx").cast("long").alias("idx"), start.alias("vec"))
+
+    def imaged(rows: DataFrame, column: str, image: str) -> DataFrame:
+        """``rows`` with ``image`` = X'X applied to ``column``; written."""
+        product = _gram_product(x, docs, rows.select("idx", F.col(column).alias("vec")), n_terms * width)
+        zeros = F.transform(column, lambda _: F.lit(0.0))          # terms whose image is 0 throughout
+        return (rows.join(product.withColumnRenamed("vec", image), "idx", "left")
+                .withColumn(image, F.coalesce(image, zeros)).checkpoint(eager=True))
+
+    rows = imaged(rows.withColumnRenamed("vec", "v"), "v", "av")
+    basis, value = ["v"], np.zeros(width)
+    for rounds in range(max_rounds + 1):
+        g = _inner_products(rows, [*basis, *(f"a{c}" for c in basis)])
+        n = len(g) // 2
+        gram, stiff = g[:n, :n], (g[:n, n:] + g[n:, :n]) / 2
+        if rounds:      # the residuals of the current vectors are the second block
+            w = len(value)
+            apart = np.sqrt(np.diag(gram)[w:w + k])
+            if rounds == max_rounds or (apart <= tolerance * np.maximum(value[:k], 1e-12 * value[0])).all():
+                break
+        # an orthonormal basis of the space (directions that rounding cannot tell apart are left out) ...
+        scale = 1.0 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        size, turn = np.linalg.eigh(gram * scale[:, None] * scale[None, :])
+        keep = size > 1e-12 * size.max()
+        ortho = scale[:, None] * turn[:, keep] / np.sqrt(size[keep])
+        # ... and in it the vectors with the largest X'X
+        values, best = np.linalg.eigh(ortho.T @ stiff @ ortho)
+        top = np.argsort(values)[::-1][:width]
+        coef = ortho @ best[:, top]
+        new = dict(zip(basis, np.split(coef, range(len(value), n, len(value)))))
+        value = np.maximum(values[top], 0.0)
+        combos = {"v": list(new.items()), "av": [(f"a{c}", m) for c, m in new.items()]}
+        if rounds:      # the directions that were added to the old vectors
+            combos["p"] = [(c, m) for c, m in new.items() if c != "v"]
+            combos["ap"] = [(f"a{c}", m) for c, m in combos["p"]]
+        combos["r"] = combos["av"] + [(c, -m * value[None, :]) for c, m in new.items()]
+        rows = imaged(_combined(rows, combos), "r", "ar")
+        basis = ["v", "r", "p"] if rounds else ["v", "r"]
+    loads = rows.select("idx", F.posexplode("v").alias("comp", "v")).where((F.col("comp") < k) & (F.col("v") != 0.0))
+    return loads.select("idx", F.col("comp").cast("int"), "v"), [float(s) for s in np.sqrt(value[:k])]
 
 
 def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10,
                             power_iters: int = 5, seed: int = 0) -> tuple[DataFrame, list[float]]:
-    """Randomized truncated SVD of the sparse long matrix (doc, idx, value)."""
-    import numpy as np
-    from cohortlab.functions.hashing import unit_hash
-
-    spark = x.sparkSession
-    l = k + oversample
-    # iterates read twice (y, z) are checkpointed (reliable, in
-    # spark.checkpoint.dir): each round's plan starts from files, so plans
-    # do not grow with the iterations and a lost executor re-reads files
-    ck = lambda df: df.checkpoint(eager=True)
-    x = ck(x.select("doc", "idx", "value"))
-    omega = spark.range(n_features).select(
-        F.col("id").alias("idx"),
-        F.transform(F.sequence(F.lit(0), F.lit(l - 1)),
-                    lambda c: unit_hash(F.concat_ws(":", F.col("id").cast("string"), c.cast("string")),
-                                        f"omega{seed}") * 2.0 - 1.0).alias("vec"))
-    y = ck(_times_sparse(x, omega, "idx", "doc"))                       # X . Omega
-    width = l
-    for it in range(power_iters + 1):
-        q, width = _orthonormalise(y, "doc", width)
-        z = ck(_times_sparse(x, q, "doc", "idx"))                       # X' . Q (q read once)
-        if it < power_iters:
-            zq, width = _orthonormalise(z, "idx", width)
-            y = ck(_times_sparse(x, zq, "idx", "doc"))                  # X . Z (zq read once)
-    lam, W = np.linalg.eigh(_gram(z, width))                            # Z'Z = B B'
-    order = np.argsort(lam)[::-1][:k]
-    sv = np.sqrt(np.maximum(lam[order], 0.0))
-    T = W[:, order] / np.where(sv > 0, sv, 1.0)
-    v = _times_small(z, "idx", T)                                       # V = Z W S^-1
-    loads = ck(v.select(F.col("idx").cast("long"), F.posexplode("vec").alias("comp", "v"))
-                .select("idx", F.col("comp").cast("int"), "v").where(F.col("v") != 0.0))
-    return loads, [float(s) for s in sv]
+    """:func:`svd_loadings` with at most ``power_iters`` rounds, converged or not."""
+    return svd_loadings(x, n_features, k, oversample, power_iters, seed=seed)
 
 
 def project(x: DataFrame, loadings: DataFrame, k: int) -> DataFrame:

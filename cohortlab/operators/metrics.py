@@ -8,31 +8,43 @@ Design:
   (JVM, partial aggregation); per-cluster rows are bounded by k.
 * Fitted centers (k x d, model parameters) are one broadcast row, so
   nearest-center assignment is a projection without shuffle.
-* Silhouette and consensus PAC are pairwise by definition and use every row:
-  blocks of ``TILE_ROWS`` rows meet in tiles (block i against block j), each
-  tile returns sums per row or one row of counts, and the sums are added up.
-  No pair rows, no group larger than two blocks.  A caller who wants a
-  sample passes ``max_n`` (the sampling operator O4); there is no default.
+* Silhouette and consensus PAC are pairwise by definition and use every row.
+  Equal rows first collapse to one row with a weight (equal vectors of a cluster,
+  equal label arrays); what is left meets in tiles of two blocks of ``TILE_ROWS``
+  rows, and a tile returns sums per row or one row of counts.  The silhouette skips
+  clusters that the triangle inequality rules out.  No pair rows, no group larger
+  than two blocks.  ``silhouette_squared`` is linear in the rows.  A caller who wants
+  a sample passes ``max_n`` (the sampling operator O4); there is no default.
+* Replicate labelings are label arrays: one array per item, distinct arrays counted,
+  contingencies of all replicate pairs summed from these weights.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
+from cohortlab.functions.assignment import best_assignment
 from cohortlab.functions.numeric import comb2, safe_div
 from cohortlab.functions.vectors import dot, euclidean, squared_distance
-from cohortlab.functions.hashing import portable_hash
 from cohortlab.operators.splits import sample_n
 
 MAX_BROADCAST_NUMBERS = 1 << 22     # 32 MB of centroids
 MAX_CENTERS = 10_000          # bound on the centers of one broadcast row (k)
-TILE_ROWS = 2048              # rows of each side that meet in one pairwise task
+MAX_LABELS = 4096             # of each side in the contingency table of best_mapping
+TILE_ROWS = 8192              # distinct rows of each side that meet in one pairwise task
+CHUNK_ROWS = 512              # query rows of a tile whose distances are held at a time
 
 
 # -- centers and assignment -------------------------------------------------------------
@@ -86,10 +98,11 @@ def cluster_centroids(df: DataFrame, label: str = "label", features: str = "feat
 
 # -- contingency-based agreement ----------------------------------------------------------
 
-def crosstab(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
-    """Pair counts of two labelings (optionally per key, e.g. replicate pair)."""
+def crosstab(df: DataFrame, a: str, b: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Pair counts of two labelings (optionally per key, e.g. replicate pair); a row
+    with a ``weight`` counts as that many rows."""
     keys = keys or []
-    return df.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n_ab"))
+    return df.groupBy(*keys, a, b).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n_ab"))
 
 
 def _pair_sums(ct: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
@@ -109,58 +122,63 @@ def _pair_sums(ct: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
                                 F.sum(F.when(F.col("_fb"), comb2("_nb")).otherwise(F.lit(0.0))).alias("s_b"))
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Adjusted Rand index from the contingency table; degenerate -> 1."""
+    return ari_of_counts(crosstab(df, a, b, keys, weight), a, b, keys)
+
+
+def ari_of_counts(counts: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+    """M23 of contingency cells (keys, a, b, n_ab)."""
     keys = keys or []
-    s = _pair_sums(crosstab(df, a, b, keys), a, b, keys)
+    s = _pair_sums(counts, a, b, keys)
     expected = F.coalesce(safe_div(F.col("s_a") * F.col("s_b"), comb2("n")), F.lit(0.0))   # one item: no pairs
     mx = (F.col("s_a") + F.col("s_b")) / 2.0
     ari = F.when(mx == expected, F.lit(1.0)).otherwise((F.col("s_ab") - expected) / (mx - expected))
     return s.select(*keys, ari.alias("ari"))
 
 
-def jaccard_partition(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
+def jaccard_partition(df: DataFrame, a: str, b: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Pair-counting Jaccard m11 / (m11 + m10 + m01); empty -> 1."""
     keys = keys or []
-    s = _pair_sums(crosstab(df, a, b, keys), a, b, keys)
+    s = _pair_sums(crosstab(df, a, b, keys, weight), a, b, keys)
     m11 = F.col("s_ab")
     den = m11 + (F.col("s_a") - m11) + (F.col("s_b") - m11)
     return s.select(*keys, F.when(den == 0, F.lit(1.0)).otherwise(m11 / den).alias("jaccard"))
 
 
-def best_mapping_accuracy(df: DataFrame, a: str, b: str) -> float:
-    """Best one-to-one label matching accuracy.
+def best_mapping(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The one-to-one matching of labels that most rows agree with: (a, b, n_ab).
 
-    The contingency table is computed on Spark (the only data pass); the
-    assignment over the (ka x kb) count table - bounded by the number of
-    labels - is a bitmask DP on the driver.
+    Labels are counted on Spark before any row moves; only a contingency table of at most
+    ``MAX_LABELS`` labels on either side reaches the driver, where the assignment is solved
+    in polynomial time.  Every label of the side with fewer labels is matched (n_ab 0 if
+    the pair never occurs).  Rows with a null label have no match and are left out.
     """
-    ct = crosstab(df, a, b).collect()
-    ra = sorted({r[a] for r in ct})
-    rb = sorted({r[b] for r in ct})
-    if not ra:
-        return float("nan")
-    if len(rb) > 20 and len(ra) > 20:
-        raise ValueError("best mapping supports up to 20 labels on one side")
-    m = np.zeros((len(ra), len(rb)))
-    ia, ib = {v: i for i, v in enumerate(ra)}, {v: i for i, v in enumerate(rb)}
-    for r in ct:
-        m[ia[r[a]], ib[r[b]]] = r["n_ab"]
-    if len(rb) > len(ra):
-        m = m.T
-    rows, cols = m.shape                       # rows >= cols, DP over column masks
-    best = {0: 0.0}
-    for i in range(rows):
-        nxt = dict(best)
-        for mask, val in best.items():
-            for j in range(cols):
-                if not mask & (1 << j):
-                    k = mask | (1 << j)
-                    v = val + m[i, j]
-                    if v > nxt.get(k, -1.0):
-                        nxt[k] = v
-        best = nxt
-    return float(max(best.values()) / m.sum())
+    rows = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    counts = crosstab(rows.where("_a IS NOT NULL AND _b IS NOT NULL"), "_a", "_b").checkpoint(eager=True)
+    labels = counts.agg(F.count_distinct("_a").alias("a"), F.count_distinct("_b").alias("b")).first()
+    if max(labels) > MAX_LABELS:
+        raise ValueError(f"best mapping of more than {MAX_LABELS} labels on one side")
+    types = dict(rows.dtypes)
+    shape = f"`{a}` {types['_a']}, `{b}` {types['_b']}, n_ab long"
+    if not max(labels):
+        return df.sparkSession.createDataFrame([], shape)
+    cells = counts.collect()
+    names_a, names_b = sorted({r["_a"] for r in cells}), sorted({r["_b"] for r in cells})
+    at_a, at_b = {v: i for i, v in enumerate(names_a)}, {v: i for i, v in enumerate(names_b)}
+    agree = np.zeros((len(names_a), len(names_b)))
+    for r in cells:
+        agree[at_a[r["_a"]], at_b[r["_b"]]] = r["n_ab"]
+    pairs = enumerate(best_assignment(agree)) if len(names_a) <= len(names_b) else (
+        (i, j) for j, i in enumerate(best_assignment(agree.T)))
+    return df.sparkSession.createDataFrame([(names_a[i], names_b[j], int(agree[i, j])) for i, j in pairs], shape)
+
+
+def best_mapping_accuracy(df: DataFrame, a: str, b: str) -> float:
+    """Share of the rows (with both labels) that agree with the best mapping; no rows -> nan."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).count()
+    agree = best_mapping(df, a, b).agg(F.sum("n_ab")).first()[0]
+    return float(agree / rows) if rows else float("nan")
 
 
 def strength_from_assignment(x: DataFrame, test_label: str, near: str,
@@ -290,17 +308,127 @@ def minmax_scale(df: DataFrame, features: str = "features", out: str | None = No
     return j.withColumn(out, scaled).drop("_lo", "_hi")
 
 
-# -- pairwise metrics by tiles -----------------------------------------------------------
+# -- silhouettes ---------------------------------------------------------------------------
+
+def _cluster_table(df: DataFrame, label: str, features: str, keys: list[str], squared: bool) -> DataFrame:
+    """(keys, clusters): per key one array of (label, n, centroid, spread); the spread is the
+    mean squared or plain distance to the centroid.  Labels x keys rows, written once."""
+    x = with_centroids(df, label, features, None, keys)
+    far = squared_distance(F.col(features), F.col("centroid"))
+    rows = x.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"), F.first("centroid").alias("centroid"),
+                                       F.avg(far if squared else F.sqrt(far)).alias("spread"))
+    cluster = F.struct(F.col(label).alias("label"), "n", "centroid", "spread")
+    return rows.groupBy(*keys).agg(F.collect_list(cluster).alias("clusters")).checkpoint(eager=True)
 
-def _tiled(rows: DataFrame, id_col: str, n_rows: int, salt: str, tile_rows: int) -> DataFrame:
-    """Rows dealt to tiles (_i, _j): block i as queries (_q) against block j as
-    references.  Blocks hold about ``tile_rows`` rows whatever the table's size."""
-    blocks = max(1, -(-n_rows // tile_rows))
-    own = (portable_hash(F.col(id_col), salt) % blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    q = rows.withColumn("_i", own).withColumn("_j", every).withColumn("_q", F.lit(True))
-    r = rows.withColumn("_j", own).withColumn("_i", every).withColumn("_q", F.lit(False))
-    return q.unionByName(r)
+
+def _beside(df: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the cluster array of its key, broadcast if it is small enough."""
+    size = F.aggregate("clusters", F.lit(0), lambda n, c: n + F.size(c["centroid"]))
+    numbers = clusters.agg(F.sum(size)).first()[0] or 0
+    side = F.broadcast(clusters) if numbers <= MAX_BROADCAST_NUMBERS else clusters
+    return df.join(side, keys) if keys else df.crossJoin(side)          # without keys: one row
+
+
+def _silhouette_value(n, a, b):
+    """(b - a) / max(a, b); singleton -> 0, no other cluster -> null, both 0 -> 0."""
+    most = F.greatest(a, b)
+    return F.when(n <= 1, 0.0).when(b.isNull(), None).when(most == 0, 0.0).otherwise(safe_div(b - a, most)).cast("double")
+
+
+def silhouette_squared(df: DataFrame, label: str = "label", features: str = "features",
+                       keys: list[str] | None = None) -> DataFrame:
+    """Mean silhouette of squared Euclidean distances over all rows, per key.
+
+    A statistic of its own, not M15: the mean squared distance of a row to a cluster is its
+    squared distance to the centroid plus the cluster's mean squared spread, so each row
+    meets the clusters only and the cost is linear in the rows.
+    """
+    keys = keys or []
+    x = _beside(df.select(*keys, label, features), _cluster_table(df, label, features, keys, True), keys)
+    apart = lambda c: squared_distance(F.col(features), c["centroid"]) + c["spread"]
+    own = F.filter("clusters", lambda c: c["label"] == F.col(label))[0]
+    others = F.transform(F.filter("clusters", lambda c: c["label"] != F.col(label)), apart)
+    x = x.select(*keys, own["n"].alias("n"), F.when(own["n"] > 1, apart(own) * own["n"] / (own["n"] - 1)).alias("a"),
+                 F.array_min(others).alias("b"))
+    s = _silhouette_value(F.col("n"), F.col("a"), F.col("b"))
+    return x.groupBy(*keys).agg(F.avg(s).alias("silhouette_squared"))
+
+
+def _distance_sums(rows: pd.DataFrame, features: str) -> np.ndarray:
+    """Weighted sum of the distances of each query row of a tile to its references."""
+    matrix = lambda part: np.stack(part[features].map(np.asarray).to_numpy()).astype(float)
+    ref, weight, query = matrix(rows[~rows["_q"]]), rows.loc[~rows["_q"], "_w"].to_numpy(float), matrix(rows[rows["_q"]])
+    norm, sums = (ref * ref).sum(axis=1), np.empty(len(query))
+    for start in range(0, len(query), CHUNK_ROWS):
+        q = query[start:start + CHUNK_ROWS]
+        own = (q * q).sum(axis=1)[:, None]
+        d2 = own + norm[None, :] - 2.0 * q @ ref.T
+        # the expanded square leaves rounding noise near distance 0: those pairs are taken from the differences
+        i, j = np.nonzero(d2 < 1e-9 * (1.0 + own))
+        for at in range(0, len(i), 1 << 16):
+            near = slice(at, at + (1 << 16))
+            d2[i[near], j[near]] = ((q[i[near]] - ref[j[near]]) ** 2).sum(axis=1)
+        sums[start:start + CHUNK_ROWS] = np.sqrt(np.maximum(d2, 0.0)) @ weight
+    return sums
+
+
+def _distinct_silhouettes(rows: DataFrame, label: str, features: str, keys: list[str], tile_rows: int) -> DataFrame:
+    """(keys, label, features, _w, s) of every distinct (label, vector) and how many rows it stands for.
+
+    Equal vectors of a cluster collapse to one row with a weight.  By the triangle
+    inequality the mean distance of a row to a cluster lies between its distance to the
+    centroid and that plus the cluster's mean spread; clusters that cannot be the nearest
+    other one are skipped, and a pair of clusters that no row needs is not dealt at all.
+    What is left meets in tiles of a block of one cluster's rows against a block of a cluster.
+    """
+    clusters = _cluster_table(rows, label, features, keys, False)
+    points = (rows.groupBy(*keys, F.col(label).alias("_l"), F.col(features).alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
+              .withColumn("_p", F.monotonically_increasing_id()).checkpoint(eager=True))
+
+    far = lambda c: euclidean(F.col("_v"), c["centroid"])
+    others = F.filter("clusters", lambda c: c["label"] != F.col("_l"))
+    nearest = F.array_min(F.transform(others, lambda c: far(c) + c["spread"]))
+    # a little slack, so that rounding never skips the nearest cluster
+    needed = F.filter("clusters", lambda c: (c["label"] == F.col("_l")) | (far(c) <= F.col("_near") * (1 + 1e-9) + 1e-12))
+    asked = _beside(points, clusters, keys).withColumn("_near", nearest)
+    asked = asked.select(*keys, "_p", "_l", "_v", "_w", F.transform(needed, lambda c: c["label"]).alias("_needed"))
+    asked = asked.checkpoint(eager=True)
+
+    blocks = points.groupBy(*keys, "_l").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_blocks"))
+    pairs = asked.select(*keys, "_l", F.explode("_needed").alias("_c")).distinct()
+    pairs = pairs.join(blocks.withColumnsRenamed({"_blocks": "_of_l"}), [*keys, "_l"])
+    pairs = pairs.join(blocks.withColumnsRenamed({"_l": "_c", "_blocks": "_of_c"}), [*keys, "_c"]).checkpoint(eager=True)
+    own_block = lambda n: F.pmod(F.xxhash64("_p"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tile = [*keys, "_l", "_c", "_i", "_j"]
+    query = (asked.withColumn("_c", F.explode("_needed")).join(pairs, [*keys, "_l", "_c"])
+             .withColumn("_i", own_block("_of_l")).withColumn("_j", each("_of_c"))
+             .select(*tile, "_p", "_v", "_w", F.lit(True).alias("_q")))
+    ref = (points.withColumnRenamed("_l", "_c").join(pairs, [*keys, "_c"])
+           .withColumn("_j", own_block("_of_c")).withColumn("_i", each("_of_l"))
+           .select(*tile, "_p", "_v", "_w", F.lit(False).alias("_q")))
+    kind = dict(points.dtypes)
+    shape = ", ".join([f"`{k}` {kind[k]}" for k in keys] + [f"_p long, _c {kind['_l']}, _d double"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = rows.loc[rows["_q"], [*keys, "_p", "_c"]]
+        return found.assign(_d=_distance_sums(rows, "_v") if len(found) < len(rows) else 0.0)
+
+    sums = (query.unionByName(ref).groupBy(*tile).applyInPandas(run, shape)
+            .groupBy(*keys, "_p", "_c").agg(F.sum("_d").alias("_d")))
+    sizes = points.groupBy(*keys, F.col("_l").alias("_c")).agg(F.sum("_w").alias("_n"))
+    sums = sums.join(sizes, [*keys, "_c"]).groupBy(*keys, "_p").agg(F.collect_list(F.struct("_c", "_n", "_d")).alias("_sums"))
+    own = F.filter("_sums", lambda c: c["_c"] == F.col("_l"))[0]
+    rest = F.filter("_sums", lambda c: c["_c"] != F.col("_l"))
+    s = _silhouette_value(own["_n"], own["_d"] / (own["_n"] - 1), F.array_min(F.transform(rest, lambda c: c["_d"] / c["_n"])))
+    return points.join(sums, [*keys, "_p"]).select(*keys, F.col("_l").alias(label), F.col("_v").alias(features), "_w", s.alias("s"))
+
+
+def _sampled(df: DataFrame, columns: list[str], id_col: str, max_n: int | None, salt: str) -> DataFrame:
+    rows = df.select(*columns)
+    if max_n is None:
+        return rows
+    return rows.join(sample_n(df.select(id_col).distinct(), max_n, id_col, salt), id_col, "left_semi")
 
 
 def silhouette_points(df: DataFrame, label: str = "label", features: str = "features",
@@ -309,62 +437,51 @@ def silhouette_points(df: DataFrame, label: str = "label", features: str = "feat
     """M15 per point: (keys, id, label, s) with Euclidean distances; singleton -> 0,
     a point at distance 0 from its own and the next cluster -> 0, one label only -> null.
 
-    Uses every row unless the caller asks for a hash sample of ``max_n`` ids.  A tile
-    returns, for each of its query rows and each label among its references, the sum
-    of distances; sums and label counts give a and b.  The row count sets the number
-    of blocks.  With ``keys`` (several labellings of the same rows) every labelling is
-    scored in the same job.
+    Uses every row unless the caller asks for a hash sample of ``max_n`` ids.  With
+    ``keys`` (several labellings of the same rows) every labelling is scored in the same job.
     """
     keys = keys or []
-    rows = df.select(*keys, id_col, label, features)
-    if max_n is not None:
-        rows = rows.join(sample_n(df.select(id_col).distinct(), max_n, id_col, salt), id_col, "left_semi")
-    n_rows = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    x = _tiled(rows, id_col, n_rows, salt + "blk", tile_rows)
-    types = dict(rows.dtypes)
-    shape = ", ".join([f"{k} {types[k]}" for k in keys]
-                      + [f"{id_col} {types[id_col]}", f"{label} {types[label]}", f"_other {types[label]}", "_d double"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
-        if qry.empty or ref.empty:
-            return pd.DataFrame({c: [] for c in [*keys, id_col, label, "_other", "_d"]})
-        xa = np.stack(ref[features].map(np.asarray).to_numpy()).astype(float)
-        labs, code = np.unique(ref[label].to_numpy(), return_inverse=True)
-        xq = np.stack(qry[features].map(np.asarray).to_numpy()).astype(float)
-        d2 = (xq * xq).sum(axis=1)[:, None] + (xa * xa).sum(axis=1)[None, :] - 2.0 * xq @ xa.T
-        d = np.sqrt(np.maximum(d2, 0.0))
-        # the expanded square leaves rounding noise at distance 0: equal vectors are 0 apart
-        near = np.argwhere(d2 < 1e-9 * (1.0 + (xq * xq).sum(axis=1)[:, None]))
-        for i, j in near:
-            d[i, j] = np.sqrt(((xq[i] - xa[j]) ** 2).sum())
-        sums = d @ (code[:, None] == np.arange(len(labs))[None, :]).astype(float)
-        out = {k: np.repeat(qry[k].to_numpy(), len(labs)) for k in keys}
-        out.update({id_col: np.repeat(qry[id_col].to_numpy(), len(labs)),
-                    label: np.repeat(qry[label].to_numpy(), len(labs)),
-                    "_other": np.tile(labs, len(qry)), "_d": sums.ravel()})
-        return pd.DataFrame(out)
-
-    sums = (x.groupBy(*keys, "_i", "_j").applyInPandas(run, shape)
-            .groupBy(*keys, id_col, label, "_other").agg(F.sum("_d").alias("_d")))
-    sizes = rows.groupBy(*keys, F.col(label).alias("_other")).agg(F.count(F.lit(1)).alias("_n"))
-    own = F.col("_other") == F.col(label)
-    per = (sums.join(sizes, [*keys, "_other"]).groupBy(*keys, id_col, label)
-           .agg(F.max(F.when(own, F.col("_n"))).alias("_n"),
-                F.max(F.when(own & (F.col("_n") > 1), F.col("_d") / (F.col("_n") - 1))).alias("_a"),
-                F.min(F.when(~own, F.col("_d") / F.col("_n"))).alias("_b")))
-    most = F.greatest("_a", "_b")
-    s = (F.when(F.col("_n") <= 1, 0.0).when(F.col("_b").isNull(), None).when(most == 0, 0.0)
-         .otherwise(safe_div(F.col("_b") - F.col("_a"), most)))
-    return per.select(*keys, id_col, label, s.cast("double").alias("s"))
+    rows = _sampled(df, [*keys, id_col, label, features], id_col, max_n, salt)
+    found = _distinct_silhouettes(rows, label, features, keys, tile_rows).drop("_w")
+    return rows.join(found, [*keys, label, features]).select(*keys, id_col, label, "s")
 
 
 def silhouette(df: DataFrame, label: str = "label", features: str = "features", id_col: str = "id",
-               max_n: int | None = None, salt: str = "silhouette", keys: list[str] | None = None) -> DataFrame:
+               max_n: int | None = None, salt: str = "silhouette", keys: list[str] | None = None,
+               tile_rows: int = TILE_ROWS) -> DataFrame:
     """Mean Euclidean silhouette over all rows (or the sample asked for), per key."""
     keys = keys or []
-    pts = silhouette_points(df, label, features, id_col, max_n, salt, keys=keys)
-    return pts.groupBy(*keys).agg(F.avg("s").alias("silhouette"))
+    rows = _sampled(df, [*keys, id_col, label, features], id_col, max_n, salt)
+    found = _distinct_silhouettes(rows, label, features, keys, tile_rows)
+    weight = F.when(F.col("s").isNotNull(), F.col("_w"))
+    return found.groupBy(*keys).agg(safe_div(F.sum(F.col("s") * F.col("_w")), F.sum(weight)).alias("silhouette"))
+
+
+# -- replicate labelings --------------------------------------------------------------------
+
+def signatures(rep_labels: DataFrame, id_col: str = "id", items: DataFrame | None = None) -> DataFrame:
+    """(sig, w): the distinct arrays of (rep, label) and how many ids have them.
+
+    ``items`` may name ids that no replicate has; their array is empty.  Items that every
+    replicate labels alike are one row from here on.
+    """
+    entry = F.struct(F.col("rep"), F.col("label"))
+    own = rep_labels.groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("sig"))
+    if items is not None:
+        own = items.select(id_col).distinct().join(own, id_col, "left")
+        own = own.withColumn("sig", F.coalesce("sig", F.array().cast(dict(own.dtypes)["sig"])))
+    return own.groupBy("sig").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _label_matrix(sigs: pa.Array, reps: dict, labels: dict) -> np.ndarray:
+    """(rows x reps) label codes, -1 where a replicate lacks the row; both dicts take new values."""
+    entries = sigs.flatten()
+    row = np.repeat(np.arange(len(sigs)), np.asarray(sigs.value_lengths()))
+    codes = [np.array([known.setdefault(v, len(known)) for v in entries.field(i).to_pylist()], np.int64)
+             for i, known in ((0, reps), (1, labels))]
+    out = np.full((len(sigs), max(1, len(reps))), -1, np.int64)
+    out[row, codes[0]] = codes[1]
+    return out
 
 
 def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
@@ -378,45 +495,57 @@ def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
     sampled (0 when never co-sampled); ambiguous = strictly inside
     (low, high).  denominator: 'all' -> n(n-1) ordered pairs; 'cosampled' ->
     ordered co-sampled pairs; 'cosampled_minus_n' -> that minus n, floor 1.
-    Fewer than two items have no pairs: PAC 0.  Items meet in tiles of two
-    blocks, and a tile returns one row of counts.
+    Fewer than two items have no pairs: PAC 0.
+    """
+    return pac_of_signatures(signatures(rep_labels, id_col, items), denominator, low, high, tile_rows)
+
+
+def pac_of_signatures(sigs: DataFrame, denominator: str = "all", low: float = 0.1, high: float = 0.9,
+                      tile_rows: int = TILE_ROWS) -> DataFrame:
+    """M20 of a weighted signature table (sig, w).
+
+    Items with equal label arrays are one row, so the work goes with the distinct arrays:
+    blocks of them meet in tiles (each pair of blocks once) and a tile returns one row
+    of counts, weighted by the ordered item pairs behind a pair of arrays.
     """
     if denominator not in ("all", "cosampled", "cosampled_minus_n"):
         raise ValueError("denominator must be 'all', 'cosampled' or 'cosampled_minus_n'")
-    it = items.select(id_col).distinct()
-    sig = (it.join(rep_labels.select(id_col, "rep", "label"), id_col, "left")
-             .groupBy(id_col).agg(F.map_from_entries(F.collect_list(
-                 F.when(F.col("rep").isNotNull(), F.struct("rep", "label")))).alias("sig")))
-    n_items = it.count()
-    x = _tiled(sig, id_col, n_items, "pacblk", tile_rows)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ref, qry = pdf[~pdf["_q"]], pdf[pdf["_q"]]
-        reps = sorted({r for m in pdf["sig"] for r in (dict(m) if m is not None else {})})
-        rix = {r: i for i, r in enumerate(reps)}
-
-        def mat(frame):
-            labels = np.full((len(frame), max(len(reps), 1)), -1, dtype=np.int64)
-            for row, m in enumerate(frame["sig"]):
-                for r, lab in (dict(m) if m is not None else {}).items():
-                    labels[row, rix[r]] = lab
-            return labels
-
-        la, lq = mat(ref), mat(qry)
-        both = (lq >= 0).astype(np.int32) @ (la >= 0).astype(np.int32).T
-        same = np.zeros_like(both)
-        for r in range(la.shape[1]):
-            same += ((lq[:, r][:, None] == la[:, r][None, :]) & (lq[:, r][:, None] >= 0)).astype(np.int32)
-        cons = np.where(both > 0, same / np.maximum(both, 1), 0.0)
-        off = qry[id_col].to_numpy()[:, None] != ref[id_col].to_numpy()[None, :]
-        amb = int((((cons > low) & (cons < high)) & off).sum())
-        co = int(((both > 0) & off).sum())
-        return pd.DataFrame({"ambiguous": [amb], "cosampled": [co]})
-
-    agg = (x.groupBy("_i", "_j").applyInPandas(run, "ambiguous long, cosampled long")
-            .agg(F.coalesce(F.sum("ambiguous"), F.lit(0)).alias("ambiguous"),
-                 F.coalesce(F.sum("cosampled"), F.lit(0)).alias("cosampled")))
-    n = F.lit(float(n_items))
+    rows = sigs.withColumn("_p", F.monotonically_increasing_id()).checkpoint(eager=True)
+    size = rows.agg(F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum("w"), F.lit(0)).alias("items")).first()
+    blocks = max(1, -(-size["distinct"] // tile_rows))
+    own = F.pmod(F.xxhash64("_p"), F.lit(blocks)).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)),
+                        lambda t: F.struct(F.least(t, own).alias("_i"), F.greatest(t, own).alias("_j")))
+    dealt = rows.select("sig", "w", "_p", own.alias("_b"), F.inline(tiles))
+
+    def run(tile: pa.Table) -> pa.Table:
+        reps, labels = {}, {}
+        sig = tile.column("sig").combine_chunks()
+        _label_matrix(sig, reps, labels)                       # all replicates of the tile are known first
+        codes = _label_matrix(sig, reps, labels)
+        w, p, b = (np.asarray(tile.column(c)) for c in ("w", "_p", "_b"))
+        i, j = tile.column("_i")[0].as_py(), tile.column("_j")[0].as_py()
+        query, ref = np.flatnonzero(b == i), np.flatnonzero(b == j)
+        ambiguous = cosampled = 0
+        there = (codes[ref] >= 0).astype(np.float32).T
+        for start in range(0, len(query), CHUNK_ROWS):
+            q = query[start:start + CHUNK_ROWS]
+            both = ((codes[q] >= 0).astype(np.float32) @ there).astype(np.int32)
+            same = np.zeros_like(both)
+            for r in range(codes.shape[1]):
+                own_label = codes[q, r][:, None]
+                same += (own_label == codes[ref, r][None, :]) & (own_label >= 0)
+            consensus = np.where(both > 0, same / np.maximum(both, 1), 0.0)
+            pairs = w[q][:, None] * (w[ref][None, :] - (p[q][:, None] == p[ref][None, :]))
+            pairs = pairs * (1 if i == j else 2)               # (i, j) and (j, i)
+            ambiguous += int(pairs[(consensus > low) & (consensus < high)].sum())
+            cosampled += int(pairs[both > 0].sum())
+        return pa.table({"ambiguous": [ambiguous], "cosampled": [cosampled]})
+
+    agg = (dealt.groupBy("_i", "_j").applyInArrow(run, "ambiguous long, cosampled long")
+           .agg(F.coalesce(F.sum("ambiguous"), F.lit(0)).alias("ambiguous"),
+                F.coalesce(F.sum("cosampled"), F.lit(0)).alias("cosampled")))
+    n = F.lit(float(size["items"]))
     if denominator == "all":
         den = n * (n - F.lit(1.0))
     elif denominator == "cosampled":
@@ -424,24 +553,57 @@ def consensus_pac(rep_labels: DataFrame, items: DataFrame, id_col: str = "id",
     else:
         den = F.greatest(F.col("cosampled").cast("double") - n, F.lit(1.0))
     return agg.select(F.coalesce(safe_div(F.col("ambiguous").cast("double"), den), F.lit(0.0)).alias("pac"),
-                      "ambiguous", "cosampled", F.lit(n_items).cast("int").alias("n"))
+                      "ambiguous", "cosampled", F.lit(size["items"]).cast("int").alias("n"))
+
+
+def pair_counts(sigs: DataFrame) -> DataFrame:
+    """(rep1, rep2, l1, l2, n_ab), rep1 < rep2: contingency cells of every pair of replicates
+    from a signature table.
+
+    A task turns its rows into a label matrix and counts each pair of columns; it sends one
+    row per occurring cell, at most reps^2 / 2 x labels^2, whatever the number of items.
+    """
+    entry = sigs.schema["sig"].dataType.elementType
+    rep, label = entry["rep"].dataType.simpleString(), entry["label"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: Counter = Counter()
+        for batch in batches:
+            reps, labels = {}, {}
+            codes, w = _label_matrix(batch.column("sig"), reps, labels), np.asarray(batch.column("w"))
+            names, places, k = list(labels), sorted(reps, key=lambda r: r), len(labels)
+            for x, r1 in enumerate(places):
+                for r2 in places[x + 1:]:
+                    c1, c2 = codes[:, reps[r1]], codes[:, reps[r2]]
+                    in_both = (c1 >= 0) & (c2 >= 0)
+                    cell, at = np.unique(c1[in_both] * k + c2[in_both], return_inverse=True)
+                    sums = np.bincount(at, weights=w[in_both], minlength=len(cell)).astype(np.int64)
+                    for c, n in zip(cell.tolist(), sums.tolist()):
+                        cells[r1, r2, names[c // k], names[c % k]] += n
+        if cells:
+            columns = [*zip(*cells), list(cells.values())]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], ["rep1", "rep2", "l1", "l2", "n_ab"])
+
+    arrow = to_arrow_schema(StructType([StructField("r", entry["rep"].dataType), StructField("l", entry["label"].dataType)]))
+    kinds = [arrow.field("r").type] * 2 + [arrow.field("l").type] * 2 + [pa.int64()]
+    shape = f"rep1 {rep}, rep2 {rep}, l1 {label}, l2 {label}, n_ab long"
+    return sigs.mapInArrow(count, shape).groupBy("rep1", "rep2", "l1", "l2").agg(F.sum("n_ab").alias("n_ab"))
 
 
 def replicate_pair_ari(rep_labels: DataFrame, id_col: str = "id") -> DataFrame:
     """M21 core: ARI of every pair of replicate labelings of the same items.
 
-    Self-join of (rep, id, label) on id with rep1 < rep2: rows per item are
-    bounded by reps^2, independent of the data size.
+    One label array per item, counted as distinct arrays; no self-join of items.
     """
-    a = rep_labels.select(F.col("rep").alias("rep1"), id_col, F.col("label").alias("l1"))
-    b = rep_labels.select(F.col("rep").alias("rep2"), id_col, F.col("label").alias("l2"))
-    pairs = a.join(b, id_col).where(F.col("rep1") < F.col("rep2"))
-    return adjusted_rand(pairs, "l1", "l2", ["rep1", "rep2"])
+    return ari_of_counts(pair_counts(signatures(rep_labels, id_col)), "l1", "l2", ["rep1", "rep2"])
 
 
 def bootstrap_ari(rep_labels: DataFrame, id_col: str = "id", ddof: int = 0) -> DataFrame:
     """Mean and sd (ddof 0 or 1) of pairwise replicate ARIs; < 2 reps -> (1, 0)."""
-    ari = replicate_pair_ari(rep_labels, id_col)
+    return ari_summary(replicate_pair_ari(rep_labels, id_col), ddof)
+
+
+def ari_summary(ari: DataFrame, ddof: int = 0) -> DataFrame:
     sd = F.stddev_pop("ari") if ddof == 0 else F.stddev_samp("ari")
     out = ari.agg(F.avg("ari").alias("mean_ari"), sd.alias("sd_ari"), F.count(F.lit(1)).alias("pairs"))
     return out.select(F.coalesce("mean_ari", F.lit(1.0)).alias("mean_ari"),
@@ -470,24 +632,45 @@ def cross_source_ari(target: DataFrame, source_centers: list[list[float]],
 
 
 def pair_ranking_loss(pairs: DataFrame, scale: float = 20.0, batch: str = "batch",
-                      a: str = "a", b: str = "b", pos: str = "pos") -> DataFrame:
+                      a: str = "a", b: str = "b", pos: str = "pos", tile_rows: int = 2048) -> DataFrame:
     """Symmetric in-batch ranking loss over stored vector pairs.
 
     S_ij = scale * a_i . b_j within a batch; loss = mean over rows and over
-    columns of logsumexp - diagonal, averaged.  The batch self-join has
-    batch_size^2 rows per batch (bounded by the batch size parameter).
+    columns of logsumexp - diagonal, averaged.  ``pos`` tells the pairs of a batch apart.
+
+    A batch meets itself in tiles of two blocks of about ``tile_rows`` pairs: one matrix
+    product per tile, which returns for each row and column the mergeable state of its
+    log-sum-exp (largest score, sum of exp(score - largest)).  One pass over the pairs.
     """
-    left = pairs.select(batch, F.col(pos).alias("i"), F.col(a).alias("va"))
-    right = pairs.select(batch, F.col(pos).alias("j"), F.col(b).alias("vb"))
-    s = left.join(right, batch).withColumn("s", F.lit(scale) * dot(F.col("va"), F.col("vb")))
-
-    def lse(grp):
-        m = s.groupBy(batch, grp).agg(F.max("s").alias("_m"))
-        z = s.join(m, [batch, grp]).groupBy(batch, grp).agg(
-            (F.first("_m") + F.log(F.sum(F.exp(F.col("s") - F.col("_m"))))).alias("lse"),
-            F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("diag"))
-        return z.select((F.col("lse") - F.col("diag")).alias("ce"))
-
-    rows = lse("i").agg(F.avg("ce").alias("r"))
-    cols = lse("j").agg(F.avg("ce").alias("c"))
-    return rows.crossJoin(cols).select(((F.col("r") + F.col("c")) / 2.0).alias("loss"))
+    rows = pairs.select(F.col(batch).alias("_batch"), F.col(pos).alias("_pos"), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    sizes = rows.groupBy("_batch").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("_pos"), F.col("_blocks")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    rows = rows.join(sizes, "_batch")
+    left = rows.select("_batch", "_pos", F.col("_a").alias("_v"), own.alias("_i"), each.alias("_j"), F.lit(True).alias("_row"))
+    right = rows.select("_batch", "_pos", F.col("_b").alias("_v"), each.alias("_i"), own.alias("_j"), F.lit(False).alias("_row"))
+    kind = dict(rows.dtypes)
+    shape = f"_batch {kind['_batch']}, _row boolean, _pos {kind['_pos']}, high double, mass double, diag double"
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        x, y = tile[tile["_row"]], tile[~tile["_row"]]
+        if x.empty or y.empty:
+            return tile.iloc[:0][["_batch", "_row", "_pos"]].assign(high=0.0, mass=0.0, diag=0.0)
+        matrix = lambda part: np.stack(part["_v"].map(np.asarray).to_numpy()).astype(float)
+        scores = scale * matrix(x) @ matrix(y).T
+        same = x["_pos"].to_numpy()[:, None] == y["_pos"].to_numpy()[None, :]
+        out = []
+        for part, s, d in ((x, scores, same), (y, scores.T, same.T)):
+            high = s.max(axis=1)
+            out.append(part[["_batch", "_row", "_pos"]].assign(high=high, mass=np.exp(s - high[:, None]).sum(axis=1),
+                                                               diag=np.where(d.any(axis=1), (s * d).sum(axis=1), np.nan)))
+        return pd.concat(out)
+
+    state = left.unionByName(right).groupBy("_batch", "_i", "_j").applyInPandas(run, shape)
+    states = state.groupBy("_batch", "_row", "_pos").agg(
+        F.max("high").alias("high"), F.collect_list(F.struct("high", "mass")).alias("parts"),
+        F.sum(F.when(F.isnan("diag"), F.lit(0.0)).otherwise(F.col("diag"))).alias("diag"))
+    mass = F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["mass"] * F.exp(p["high"] - F.col("high")))
+    loss = F.col("high") + F.log(mass) - F.col("diag")
+    return states.agg(F.avg(F.when(F.col("_row"), loss)).alias("r"), F.avg(F.when(~F.col("_row"), loss)).alias("c")).select(
+        ((F.col("r") + F.col("c")) / 2.0).alias("loss"))

@@ -118,28 +118,15 @@ def outcome_relabel_map(internal: DataFrame, by: str = "label", event_col: str =
     return rates.select(F.col(by).alias("_old"), F.row_number().over(w).cast("int").alias("_new"))
 
 
-MAX_LABELS = 10_000
-
-
-def collect_relabel_map(mapping: DataFrame) -> dict:
-    """The relabel map has one row per cluster; collected with a bound check."""
-    rows = mapping.limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError("too many labels to relabel")
-    return {r["_old"]: r["_new"] for r in rows}
-
-
-def apply_relabel(df: DataFrame, mapping: dict, by: str = "label") -> DataFrame:
-    """Apply a (bounded) old -> new label map as a literal map expression."""
-    if not mapping:
-        return df.withColumn(by, F.lit(None).cast("int"))
-    m = F.create_map(*[x for k, v in sorted(mapping.items()) for x in (F.lit(k), F.lit(v))])
-    return df.withColumn(by, F.try_element_at(m, F.col(by)).cast("int"))
+def apply_relabel(df: DataFrame, mapping: DataFrame, by: str = "label") -> DataFrame:
+    """Old -> new label by the map's rows (one per label); an unknown label becomes null."""
+    numbered = df.withColumnRenamed(by, "_old").join(mapping, "_old", "left")
+    return numbered.select(*[F.col("_new").alias(by) if c == by else F.col(c) for c in df.columns])
 
 
 def relabel_by_outcome(internal: DataFrame, *others: DataFrame, by: str = "label",
                        event_col: str = "event"):
     """Renumber clusters by internal mortality; same map for external sets."""
-    mapping = collect_relabel_map(outcome_relabel_map(internal, by, event_col))
-    res = [apply_relabel(internal, mapping, by)] + [apply_relabel(o, mapping, by) for o in others]
+    mapping = outcome_relabel_map(internal, by, event_col)
+    res = [apply_relabel(df, mapping, by) for df in (internal, *others)]
     return res[0] if not others else tuple(res)

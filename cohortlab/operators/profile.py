@@ -17,6 +17,7 @@ from cohortlab.functions import codes as FC
 from cohortlab.functions.dates import age_years
 from cohortlab.operators.codes import describe_codes
 
+# The variables of the baseline table.
 CONTINUOUS_VARS = ["age", "sbp", "bmi"]
 CATEGORICAL_VARS = ["Male", "Female", "BMI underweight", "BMI healthy", "BMI overweight",
                     "BMI obesity", "Smoker", "Ex-Smoker", "Non-Smoker", "ethnicity_White",
@@ -29,13 +30,14 @@ def _r(c: Column, digits: int) -> Column:
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """(value, n, share) by descending frequency.
+    """(value, n, share) by descending frequency, equal ones by value.
 
-    The share window runs over the aggregated rows (one per value).
+    The total is one broadcast row; the order is a range sort of one row per value.
     """
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).orderBy(
-        F.col("n").desc(), col)
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("_total")))
+    return (c.crossJoin(total).select(col, "n", (F.col("n") / F.col("_total")).alias("share"))
+            .orderBy(F.col("n").desc(), col))
 
 
 def baseline_features(df: DataFrame, index_col: str = "index_date") -> DataFrame:

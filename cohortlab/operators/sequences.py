@@ -12,6 +12,11 @@ entries, which is the sequence itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,9 @@ PAD_ID, UNK_ID, SEP_ID, CLS_ID, MASK_ID = range(5)
 LOST_CODE = "lost"
 # ---------------------------------------------------------------------------
 
+MAX_DICTIONARY = 1 << 20      # vocabulary tokens that are broadcast for encoding
+JOIN_SALTS = 16               # copies of a larger vocabulary, so that no token is one hot key
+
 
 def whole_months(at, dob) -> Column:
     """Completed months of age: month difference, minus one if the day of
@@ -149,25 +157,55 @@ def keep_vocabulary(seq: DataFrame, vocab: DataFrame) -> DataFrame:
     return long
 
 
-def vocab_encode(seq: DataFrame, vocab: DataFrame, max_len: int = 512) -> DataFrame:
-    """token ids with [CLS] first, truncated to ``max_len``, padded, masked.
-
-    Returns (patid, input_ids[], attention_mask[]).  Unknown tokens map to UNK.
-    """
-    long = sequence_tokens(seq).where(F.col("pos") <= max_len - 1)
-    ids = long.join(vocab.select(F.col("token").alias("code"), "idx"), "code", "left")
-    ids = ids.withColumn("idx", F.coalesce(F.col("idx"), F.lit(UNK_ID)).cast("int"))
-    agg = ids.groupBy("patid").agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_t"))
-    body = F.concat(F.array(F.lit(CLS_ID)), F.transform("_t", lambda s: s["idx"]))
+def _encoded(rows: DataFrame, ids: Column, max_len: int) -> DataFrame:
+    """``ids`` after [CLS], padded and masked to ``max_len``."""
+    body = F.concat(F.array(F.lit(CLS_ID)), ids)
     n = F.size(body)
-    pad = F.array_repeat(F.lit(PAD_ID), F.greatest(F.lit(max_len) - n, F.lit(0)))
-    return agg.select("patid", F.concat(body, pad).alias("input_ids"),
-                      F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(max_len) - n))
-                      .alias("attention_mask"))
+    spare = F.lit(max_len) - n
+    return rows.select("patid", F.concat(body, F.array_repeat(F.lit(PAD_ID), spare)).alias("input_ids"),
+                       F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), spare)).alias("attention_mask"))
+
+
+def _encode_in_place(seq: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
+    """(patid, ids): tokens looked up in a broadcast dictionary, arrays stay as they are."""
+    known = seq.sparkSession.sparkContext.broadcast(vocab.select("token", "idx").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = known.value.column("token").combine_chunks()
+        numbers = known.value.column("idx").combine_chunks().cast(pa.int32())
+        for batch in batches:
+            cut = pc.list_slice(batch.column("code"), 0, max_len - 1)
+            at = pc.index_in(cut.flatten(), value_set=tokens)
+            ids = pc.fill_null(numbers.take(at), UNK_ID)
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(cut)))))
+            yield pa.record_batch({"patid": batch.column("patid"),
+                                   "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)})
+
+    return seq.select("patid", "code").mapInArrow(run, f"patid {dict(seq.dtypes)['patid']}, ids array<int>")
+
+
+def _encode_by_join(seq: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
+    """(patid, ids): tokens meet the vocabulary in a join salted by position; specials, the
+    commonest tokens, are numbered by a literal map before it."""
+    specials = F.create_map(*[F.lit(x) for i, t in enumerate(SPECIAL_TOKENS) for x in (t, i)])
+    salts = F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))
+    long = sequence_tokens(seq).where(F.col("pos") <= max_len - 1)
+    long = long.withColumn("_special", F.try_element_at(specials, F.coalesce("code", F.lit(""))))
+    long = long.withColumn("_salt", F.when(F.col("_special").isNull(), (F.col("pos") % JOIN_SALTS).cast("int")))
+    words = vocab.where(~F.col("token").isin(*SPECIAL_TOKENS)).select(F.col("token").alias("code"), "idx", F.explode(salts).alias("_salt"))
+    ids = long.join(words, ["code", "_salt"], "left").withColumn("idx", F.coalesce("_special", "idx", F.lit(UNK_ID)).cast("int"))
+    return ids.groupBy("patid").agg(F.array_sort(F.collect_list(F.struct("pos", "idx"))).alias("_t")).select(
+        "patid", F.col("_t.idx").alias("ids"))
 
 
-def text_tokens(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """Blank-separated tokens of a text column in long form (id, pos, code)."""
-    toks = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")), " ")
-    z = df.select(F.col(id_col).alias("patid"), F.posexplode(toks).alias("pos", "code"))
-    return z.where(F.col("code") != "").select("patid", (F.col("pos") + 1).alias("pos"), "code")
+def vocab_encode(seq: DataFrame, vocab: DataFrame, max_len: int = 512, max_dictionary: int = MAX_DICTIONARY) -> DataFrame:
+    """token ids with [CLS] first, truncated to ``max_len``, padded, masked.
+
+    Returns (patid, input_ids[], attention_mask[]) of the patients with a token; ``patid``
+    is distinct.  Unknown tokens map to UNK.  A vocabulary of at most ``max_dictionary``
+    tokens is broadcast and looked up without a shuffle, a larger one is joined.
+    """
+    seq = seq.where(F.size("code") > 0)
+    small = vocab.limit(max_dictionary + 1).count() <= max_dictionary
+    rows = (_encode_in_place if small else _encode_by_join)(seq, vocab, max_len)
+    return _encoded(rows, F.col("ids"), max_len)

@@ -102,3 +102,18 @@ def bootstrap_draws(indexed: DataFrame, n_rows: int, reps: int, frac: float = 1.
     key = F.concat_ws(":", F.col("rep").cast("string"), F.col("draw").cast("string"))
     draws = draws.withColumn(index_col, portable_hash(key, salt) % n_rows)
     return draws.join(indexed, index_col)
+
+
+def resample_counts(df: DataFrame, reps: int, frac: float, id_col: str, salt: str = "boot") -> DataFrame:
+    """``df`` with ``weights[r]``: how often replicate r of :func:`bootstrap_draws` draws the row.
+
+    Draws are (replicate, row number) pairs that are counted before they meet the rows, so
+    the rows themselves are never copied.  ``id_col`` must be distinct.
+    """
+    index = dense_index(df.select(id_col), id_col, "_idx")
+    draws = bootstrap_draws(index.select("_idx"), df.count(), reps, frac, salt, "_idx")
+    counts = draws.groupBy("_idx", "rep").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    counts = counts.groupBy("_idx").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rep").cast("int"), "_n"))).alias("_by"))
+    by_id = index.join(counts, "_idx").select(id_col, "_by")
+    weight = F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda r: F.coalesce(F.try_element_at("_by", r), F.lit(0)))
+    return df.join(by_id, id_col, "left").withColumn("weights", weight).drop("_by")

@@ -363,6 +363,17 @@ def q_best_mapping(spark, d):
     return rounded(spark.createDataFrame([(acc,)], "accuracy double"), "accuracy")
 
 
+@register("best_mapping_many_labels")
+def q_best_mapping_many(spark, d):
+    """M25 with 60 labels on either side: orders by customer, and a renumbering of that
+    which a fifth of the orders leaves."""
+    from cohortlab.functions.hashing import portable_hash
+    orders = R.table(spark, d, "orders").select("o_orderkey", (portable_hash("o_custkey", "map") % 60).cast("int").alias("a"))
+    other = F.when(portable_hash("o_orderkey", "stay") % 5 > 0, (F.col("a") * 7 + 3) % 60).otherwise(
+        portable_hash("o_orderkey", "away") % 60)
+    return M.best_mapping(orders.withColumn("b", other.cast("int")), "a", "b")
+
+
 @register("prediction_strength_by_cluster")
 def q_ps_by_cluster(spark, d):
     return rounded(M.prediction_strength_by_cluster(R.vectors(spark, d), "label", S.class_center_list(spark, d)),
@@ -380,6 +391,11 @@ def q_silhouette(spark, d):
     return rounded(M.silhouette(R.vectors(spark, d), "label"), "silhouette")
 
 
+@register("silhouette_squared")
+def q_silhouette_squared(spark, d):
+    return rounded(M.silhouette_squared(R.vectors(spark, d), "label"), "silhouette_squared")
+
+
 @register("silhouette_points")
 def q_silhouette_points(spark, d):
     return rounded(M.silhouette_points(R.vectors(spark, d), "label"), "s")
@@ -514,6 +530,25 @@ def q_svd_project(spark, d):
                     F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
 
+@register("svd_invariants")
+def q_svd_invariants(spark, d):
+    """What every truncated SVD of the training documents has in common: V'V is the identity
+    (part ``dot``), and |X'Xv - s^2 v| is below 1e-6 s^2 for every component (part ``residual``, 1)."""
+    tr, _, _, loads, sv = _svd(spark, d)
+    image = FE._times_sparse(tr, FE.project(tr, loads, len(sv)).withColumnRenamed("features", "vec"), "doc", "idx")
+    v = loads.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
+    comps = range(len(sv))
+    at = lambda i: F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0))
+    off = lambda i: F.pow(F.get("vec", F.lit(i)) - F.lit(sv[i] ** 2) * at(i), F.lit(2))
+    row = image.join(v, "idx", "left").agg(
+        *[F.sum(at(i) * at(j)).alias(f"dot_{i}_{j}") for i in comps for j in comps if i <= j],
+        *[(F.sqrt(F.sum(off(i))) <= F.lit(1e-6 * sv[i] ** 2)).cast("double").alias(f"residual_{i}_{i}") for i in comps])
+    long = row.unpivot([], row.columns, "name", "value")
+    name = F.split("name", "_")
+    return rounded(long.select(name[0].alias("part"), name[1].cast("int").alias("i"), name[2].cast("int").alias("j"),
+                               F.abs("value").alias("value")), "value")
+
+
 @register("kmeans_labels")
 def q_kmeans_labels(spark, d):
     """Rows-only: K-Means fitted on projected train docs, external docs labelled."""
@@ -525,7 +560,7 @@ def q_kmeans_labels(spark, d):
 @register("k_sweep")
 def q_k_sweep(spark, d):
     """Rows-only: folds x k metric rows with K-Means fits on the vectors."""
-    return CL.k_sweep(R.vectors(spark, d), [2, 3], folds=2, restarts=1, max_iter=10)
+    return CL.k_sweep(R.vectors(spark, d), [2, 3], folds=2, restarts=1, max_iter=10, squared=True)
 
 
 @register("gap_statistic")
@@ -707,3 +742,7 @@ def q_shifted_labels(spark, d):
     from cohortlab.functions.codes import shift_label
     labels = R.cluster_labels(spark, d).select("patid", shift_label("label").alias("cluster"))
     return CD.non_overlapping_join(labels, R.patients(spark, d).withColumn("cluster", F.lit(-1)))
+
+
+# Queries of the readers, code systems and model selection register themselves.
+from cohortlab.plans import reader_queries, selection_queries  # noqa: E402, F401

@@ -1,15 +1,17 @@
 """Readers and writers.
 
 All readers return lazy DataFrames with explicit column handling; the only
-actions are one-line header reads (dosage files) and a one-row
-column-validity aggregate (score files).  Writers never collect.
+actions are one-line header reads of text files.  The text formats are parsed from a
+table of lines (``parse_*``), wherever it comes from; broken lines are kept apart, not
+dropped unseen.  Writers never collect.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -30,11 +32,60 @@ def read_delimited(spark: SparkSession, path: str, sep: str = "\t", schema: Stru
     return r.csv(path)
 
 
+# -- text lines to rows ----------------------------------------------------------------------
+
+BROKEN = "_broken_line"       # the text of a line that does not parse, else null
+
+
+def data_lines(lines: DataFrame, header: str | None = None) -> DataFrame:
+    """The lines (value) without byte-order marks, blank lines and copies of the header."""
+    clean = lines.select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.trim("value") != "")
+    return clean if header is None else clean.where(F.col("value") != F.lit(header.lstrip("\ufeff")))
+
+
+def parse_delimited(lines: DataFrame, schema: StructType | str, sep: str = "\t", header: str | None = None,
+                    date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """Lines of delimited text to the columns of ``schema`` and ``BROKEN``.
+
+    Nothing is dropped and nothing fails: a line with too few or too many cells, or with a
+    cell that is not of its type, keeps what parses and is named in ``BROKEN``;
+    :func:`accepted` and :func:`quarantined` part the rows.  A quoted cell may hold the
+    separator, but no line break.
+    """
+    typed = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    full = StructType([*typed.fields, StructField(BROKEN, StringType())])
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN, "dateFormat": date_format}
+    row = F.from_csv("value", full.toDDL(), options)
+    # read as a whole: the parser must see all cells to tell a broken line
+    rows = data_lines(lines, header).select(row.alias("row"))
+    return rows.select(*[F.col(f"row.`{f.name}`") for f in full.fields])
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def quarantined(parsed: DataFrame) -> DataFrame:
+    """The broken lines as they stood."""
+    return parsed.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+
+
+def _text_columns(header: str, sep: str) -> StructType:
+    names = [n.strip().strip('"') for n in header.lstrip("\ufeff").split(sep)]
+    return StructType([StructField(n, StringType()) for n in names])
+
+
+def parse_code_list(lines: DataFrame, header: str, column: str, sep: str = ",") -> DataFrame:
+    """S3: one column of CSV lines as a code list (code string), trimmed and de-duplicated;
+    broken lines take no part."""
+    rows = accepted(parse_delimited(lines, _text_columns(header, sep), sep, header))
+    return rows.select(F.trim(F.col(f"`{column}`")).alias("code")).where("code <> ''").distinct()
+
+
 def read_code_list(spark: SparkSession, path: str, column: str, sep: str = ",") -> DataFrame:
     """S3: one column of a CSV as a code list DataFrame (code string), de-duplicated."""
-    df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    return (df.select(F.trim(F.col(f"`{column}`")).cast("string").alias("code"))
-              .where(F.col("code").isNotNull() & (F.col("code") != "")).distinct())
+    lines = spark.read.text(path)
+    return parse_code_list(lines, lines.first()["value"], column, sep)
 
 
 def read_dosage(spark: SparkSession, path: str, id_col: str = "FID", snps: list[str] | None = None) -> DataFrame:
@@ -62,40 +113,55 @@ def parse_dosage(lines: DataFrame, header: str, id_col: str = "FID", snps: list[
             .where("snp <> ''"))
 
 
-def read_scores(spark: SparkSession, path: str, traits: list[str], id_col: str = "patid") -> DataFrame:
-    """Score CSV -> long (patid, trait, score).
+def parse_scores(lines: DataFrame, header: str, traits: list[str], id_col: str = "patid", sep: str = ",") -> DataFrame:
+    """Lines of a score table to long (patid, trait, score).
 
-    A trait column is kept only if every non-null cell parses as a number
-    (checked in one aggregation pass over all trait columns).
+    A trait is kept only if every cell of it that is not empty is a number; a trait with
+    another cell goes as a whole.  The bad traits (at most one row each) meet the cells in
+    an anti join, so nothing runs while the plan is built.  Broken lines take no part.
     """
-    df = spark.read.option("header", True).csv(path)
-    bad = df.agg(*[F.count(F.when(F.col(f"`{t}`").isNotNull() & F.col(f"`{t}`").try_cast("double").isNull(), 1))
-                   .alias(t) for t in traits]).first()
-    keep = [t for t in traits if bad[t] == 0]
-    wide = df.select(F.col(id_col).cast("string").alias("patid"),
-                     *[F.col(f"`{t}`").try_cast("double").alias(t) for t in keep])
-    if not keep:
-        return wide.select("patid", F.lit(None).cast("string").alias("trait"),
-                           F.lit(None).cast("double").alias("score")).where(F.lit(False))
-    return wide.unpivot(["patid"], keep, "trait", "score")
+    rows = accepted(parse_delimited(lines, _text_columns(header, sep), sep, header))
+    cells = F.array(*[F.struct(F.lit(t).alias("trait"), F.col(f"`{t}`").alias("text")) for t in traits])
+    long = rows.select(F.col(f"`{id_col}`").alias("patid"), F.inline(cells))
+    long = long.withColumn("score", F.col("text").try_cast("double"))
+    bad = long.where("text IS NOT NULL AND score IS NULL").select("trait").distinct()
+    return long.join(bad, "trait", "left_anti").select("patid", "trait", "score")
+
+
+def read_scores(spark: SparkSession, path: str, traits: list[str], id_col: str = "patid") -> DataFrame:
+    """Score CSV -> long (patid, trait, score); see :func:`parse_scores`."""
+    lines = spark.read.text(path)
+    return parse_scores(lines, lines.first()["value"], traits, id_col)
+
+
+def parse_sequences(lines: DataFrame, header: str) -> DataFrame:
+    """CSV lines whose cells hold stringified Python lists -> array columns ``code``,
+    ``year``, ``age`` and ``BROKEN``: lines that are no CSV row, a cell that is no list, or lists
+    of different lengths."""
+    rows = parse_delimited(lines, _text_columns(header, ","), ",", header)
+    lists = {"code": "array<string>", "year": "array<int>", "age": "array<int>"}
+    cells = {c: F.from_json(F.regexp_replace(c, "'", '"'), kind) for c, kind in lists.items()}
+    size = [F.coalesce(F.size(c), F.lit(-1)) for c in cells.values()]
+    fits = (size[0] >= 0) & (size[0] == size[1]) & (size[0] == size[2])
+    names = [c for c in rows.columns if c not in lists and c != BROKEN]
+    text = F.concat_ws(",", *names, *lists)
+    return rows.select(*names, *[v.alias(c) for c, v in cells.items()],
+                       F.coalesce(BROKEN, F.when(~fits, text)).alias(BROKEN))
 
 
 def read_sequences_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV whose cells hold stringified Python lists -> array columns."""
-    df = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    as_json = lambda c: F.regexp_replace(F.col(c), "'", '"')
-    cols = [F.col(c) for c in df.columns if c not in ("code", "year", "age")]
-    return df.select(*cols,
-                     F.from_json(as_json("code"), "array<string>").alias("code"),
-                     F.from_json(as_json("year"), "array<int>").alias("year"),
-                     F.from_json(as_json("age"), "array<int>").alias("age"))
+    """The sequences of a CSV file; broken lines are left out (see :func:`parse_sequences`)."""
+    lines = spark.read.text(path)
+    return accepted(parse_sequences(lines, lines.first()["value"]))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """Vectors keyed by id as Parquet (id, features array<double>); missing -> error."""
     try:
         df = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no embeddings at {path}") from e
     return df.select("id", F.col("features").cast("array<double>").alias("features"))
 

@@ -532,6 +532,15 @@ where i = (select count(distinct ai) from mx)""", _PART + [
   group by d.i + 1, d.mask | (1::bigint << m.bj)"""),
 ], recursive=True)
 
+# each label's commonest partner; an optimal matching if no partner is taken twice, else no row
+ORACLE["best_mapping_many_labels"] = f"""
+with o as (select o_orderkey, {H('o_custkey', "'map'")} % 60 as a from orders),
+x as (select a, case when {H('o_orderkey', "'stay'")} % 5 > 0 then (a * 7 + 3) % 60
+             else {H('o_orderkey', "'away'")} % 60 end as b from o),
+ct as (select a, b, count(*) as n_ab from x group by a, b),
+best as (select a, arg_max(b, n_ab) as b, max(n_ab) as n_ab from ct group by a)
+select a::int as a, b::int as b, n_ab from best where (select count(distinct b) = count(*) from best)"""
+
 _PS = [("cells", "select label, nearest, count(*) as c from part group by label, nearest"),
        ("psc", """select label as cluster, cast(sum(c) as bigint) as size,
            case when sum(c) <= 1 then 'inf'::double else sum(c * (c - 1) / 2.0) / (sum(c) * (sum(c) - 1) / 2.0) end as strength
@@ -553,6 +562,10 @@ _SIL = [
 ORACLE["silhouette"] = vec_sql(f"select {R6('avg(s)')} as silhouette from sil", _SIL)
 ORACLE["silhouette_points"] = vec_sql(f"select id, label, {R6('s')} as s from sil", _SIL)
 
+_SIL2 = [(n, q.replace("list_distance(a.features, b.features) as d", "list_distance(a.features, b.features) ** 2 as d"))
+         for n, q in _SIL]
+ORACLE["silhouette_squared"] = vec_sql(f"select {R6('avg(s)')} as silhouette_squared from sil", _SIL2)
+
 _DISP = [
     ("dims", "select id, label, unnest(features) as x, unnest(range(0, len(features))) as dim from vectors"),
     ("cen", "select label, dim, avg(x) as mu from dims group by label, dim"),
@@ -814,3 +827,13 @@ select l_orderkey, count(*) filter (where l_orderkey % 5 <> 0) as n_dates,
 from lineitem group by l_orderkey"""
 ORACLE["shifted_labels"] = with_roles(["cluster_labels", "patients"], """
 select patid, cast(label + 1 as integer) as cluster, pracid from cluster_labels join patients using (patid)""")
+
+# any exact truncated SVD with eight components gives these rows
+ORACLE["svd_invariants"] = """
+select 'dot' as part, i::int as i, j::int as j, case when i = j then 1.0 else 0.0 end::double as value
+from range(8) a(i), range(8) b(j) where i <= j
+union all
+select 'residual', i::int, i::int, 1.0::double from range(8) a(i)"""
+
+
+from oracle import readers, selection  # noqa: E402, F401
