@@ -49,6 +49,7 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 SHARD_TERMS = 8192
 TILE_SOURCES = 128
+SALTS = 64
 BROADCAST_BYTES = 32 << 20
 PIECE = 4 << 20               # bytes of one text that are split at a time
 ENTRIES = 1 << 18             # dictionary entries a task holds before it sends them on
@@ -115,10 +116,15 @@ def build_shard(rows: pa.Table) -> pa.Table:
 
 
 def term_shards(kept: DataFrame, shard_terms: int) -> DataFrame:
-    """One row per (lang, shard): a perfect hash over its terms; ``terms`` are in slot order."""
-    sizes = (kept.groupBy("lang").agg(F.ceil(F.count("*") / shard_terms).cast("int").alias("shards"))
-             .withColumnRenamed("lang", "of"))
-    dealt = kept.join(sizes, F.col("lang") == F.col("of")).select(
+    """One row per (lang, shard): a perfect hash over its terms; ``terms`` are in slot order.
+
+    The number of a language's shards meets its terms in a join salted by the term's hash, so
+    the terms of one language are spread over ``SALTS`` keys.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sizes = kept.groupBy("lang").agg(F.ceil(F.count("*") / shard_terms).cast("int").alias("shards")).withColumn("salt", salts)
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(sizes, ["lang", "salt"]).select(
         "lang", "term", "shards", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"))
     return dealt.groupBy("lang", "shard").applyInArrow(
         build_shard, "lang string, shard int, shards int, sizes array<int>, bits array<binary>, numbers array<int>, terms array<string>")
