@@ -359,8 +359,9 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     first = (found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy_key")).alias("k"))
              .select(F.col("k.doc_id").alias("_id"), F.col("k.copy_key").alias("_copy")))
-    # texts meet the kept keys in one shuffle at every size; of repeated rows one is left
-    same = (F.col("d._copy") == F.col("f._copy")) & F.col("d.doc_id").eqNullSafe(F.col("f._id"))
-    keyed = docs.withColumn("_copy", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    return (keyed.alias("d").join(first.alias("f").hint("merge"), same, "left_semi")
-            .dropDuplicates(["doc_id", "_copy"]).select(*docs.columns))
+    # texts meet the kept keys in one shuffle at every size; of repeated rows one is left.
+    # The rows travel as one struct, so their columns may have any names
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_doc"),
+                        F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("_text"))
+    same = (F.col("_text") == F.col("_copy")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    return keyed.join(first.hint("merge"), same, "left_semi").dropDuplicates(["_doc", "_text"]).select("row.*")

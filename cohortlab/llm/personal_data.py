@@ -239,10 +239,11 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets; overlapping spans become
     one, named by the first.  ``n_chars`` (if there) is counted anew."""
-    text = F.coalesce("text", F.lit(""))
-    seen = stage(docs.select("doc_id", candidates(text).alias("found")).filter(F.size("found") > 0), "pii-candidates")
-    model = stage(span_model(candidate_rows(seen)), "pii-model")
-    rows = annotate(docs.withColumn("found", candidates(text)), model)
+    # the rows travel as one struct, so their columns may have any names; candidates are found once
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    seen = stage(docs.select(row.alias("row"), candidates(F.coalesce("text", F.lit(""))).alias("found")), "pii-texts")
+    model = stage(span_model(candidate_rows(seen.filter(F.size("found") > 0))), "pii-model")
+    text, size = F.coalesce("row.text", F.lit("")), F.size("spans")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -254,7 +255,7 @@ def redact(docs: DataFrame) -> DataFrame:
     by_start = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
     done = F.aggregate(by_start, zero, cut, lambda acc: F.concat(acc["out"], F.substring(
         text, (acc["at"] + 1).cast("int"), F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    rows = annotate(seen, model).withColumn("clean", F.when(size > 0, done).otherwise(F.col("row.text")))
+    fresh = {"text": F.col("clean"),
+             "n_chars": F.when(size > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return rows.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
