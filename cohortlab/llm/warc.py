@@ -2,13 +2,14 @@
 
 ``spark.read.format("warc").load(folder)`` and ``df.write.format("warc")``:
 
-* planning lists the folder's ``*.warc.gz`` files and packs them into
-  partitions of ``partitionBytes`` (files are written no larger than
+* planning lists the folder's files - those that the manifests of this source name, or
+  every ``*.warc.gz`` and ``*.warc`` where there is none (a folder without any is an error),
+  or the one file that the path names - and packs them into partitions of ``partitionBytes`` (files are written no larger than
   ``fileBytes``, so a partition's size does not grow with the archive);
 * equality, ``IN`` and null tests on ``record_type``, ``record_id``,
   ``refers_to``, ``payload_digest`` and ``target_uri`` are pushed into the
-  reader, which parses a record's headers first and skips the payload bytes of
-  records that fail them;
+  reader, which parses a record's headers first and skips the payload of records that
+  fail them: a member of this source tells its length, so the reader seeks past it;
 * option ``payload=false`` leaves every payload unread as well (the column is
   null), for jobs that need headers only.
 
@@ -30,6 +31,7 @@ archive without records.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,6 +55,9 @@ HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_ur
            "payload_bytes": "WARC-Payload-Length", "refers_to": "WARC-Refers-To"}
 PUSHED = ("record_type", "record_id", "refers_to", "payload_digest", "target_uri")
 ENDING = ".warc.gz"
+ENDINGS = (ENDING, ".warc")
+#: Fixed value: the profile that the format names for revisits of equal payloads.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
 BATCH_BYTES = 8 << 20
 
@@ -71,37 +76,86 @@ def record_bytes(row: dict) -> bytes:
         value = row.get(column)
         if value is not None:
             lines.append(f"{name}: " + str(value).replace("\r", " ").replace("\n", " "))
+    if row.get("record_type") == "revisit":
+        lines.append(f"WARC-Profile: {REVISIT_PROFILE}")
     lines.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
     out = {}
-    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+    text = re.sub(r"\r\n[\x20\t]+", " ", block.decode("utf-8", "replace"))       # continuation lines
+    for line in text.split("\r\n")[1:]:
         name, sep, value = line.partition(":")
         if sep:
             out[name.strip().lower()] = value.strip()
     return out
 
 
+def member(data: bytes, head: int, level: int) -> bytes:
+    """``data`` as one gzip member whose extra field holds the member's length; the first
+    ``head`` bytes (a record's headers) are flushed apart, so that they inflate alone."""
+    pack = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = pack.compress(data[:head]) + pack.flush(zlib.Z_SYNC_FLUSH) + pack.compress(data[head:]) + pack.flush()
+    extra = MARK + (8).to_bytes(2, "little") + (12 + 12 + len(body) + 8).to_bytes(8, "little")
+    start = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + len(extra).to_bytes(2, "little") + extra
+    return start + body + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
+
+
+MARK = b"WL"                  # extra field of a member that tells its length (8 bytes)
+INFLATED = 1 << 16            # bytes that are inflated at a time
+
+
 class RecordStream:
-    """Records of one gzip file, headers first; reads ``CHUNK`` bytes at a time."""
+    """Records of one file, headers first; plain or gzip.
+
+    Reads ``CHUNK`` bytes and inflates ``INFLATED`` bytes at a time.  A block that is not
+    wanted is left where its member ends, if the member tells its length; members that do not
+    are inflated to their end.  ``inflated`` counts the bytes.
+    """
 
     def __init__(self, stream):
-        self.stream, self.rest, self.data = stream, b"", bytearray()
-        self.inflate = zlib.decompressobj(31)
+        self.stream, self.rest, self.data, self.inflated = stream, b"", bytearray(), 0
+        self.at = 0                                # place of ``rest`` in the file
+        self.plain = self._peek(2) != b"\x1f\x8b"
+        self.inflate, self.end = None, None        # the open member and its end, if known
+
+    def _peek(self, n: int) -> bytes:
+        while len(self.rest) < n and (raw := self.stream.read(CHUNK)):
+            self.rest += raw
+        return self.rest[:n]
+
+    def _take(self, n: int) -> bytes:
+        taken, self.rest = self.rest[:n], self.rest[n:]
+        self.at += len(taken)
+        return taken
 
     def _more(self) -> bool:
+        if self.plain:
+            self._peek(1)
+            got = self._take(INFLATED)
+            self.data += got
+            return bool(got)
         while True:
-            if self.inflate.eof:
-                self.rest = self.inflate.unused_data + self.rest
+            if self.inflate is None:
+                head = self._peek(24)
+                if not head:
+                    return False
+                known = head[:4] == b"\x1f\x8b\x08\x04" and head[12:16] == MARK + b"\x08\0"
+                self.end = self.at + int.from_bytes(head[16:24], "little") if known else None
                 self.inflate = zlib.decompressobj(31)
-            raw, self.rest = self.rest or self.stream.read(CHUNK), b""
-            if not raw:
+            if not self._peek(1):
                 return False
-            got = self.inflate.decompress(raw)
+            raw = self._take(len(self.rest))
+            got = self.inflate.decompress(raw, INFLATED)
+            left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            self.rest = left + self.rest
+            self.at -= len(left)
+            if self.inflate.eof:
+                self.inflate = None
             if got:
                 self.data += got
+                self.inflated += len(got)
                 return True
 
     def headers(self) -> dict[str, str] | None:
@@ -126,7 +180,16 @@ class RecordStream:
         return block
 
     def skip(self) -> None:
-        """Pass over the block without keeping it."""
+        """Pass over the block without keeping it; without inflating it if its member tells its end."""
+        if self.inflate is not None and self.end is not None:
+            self.data.clear()
+            if self.end > self.at + len(self.rest):
+                self.stream.seek(self.end)
+                self.rest = b""
+            else:
+                self.rest = self.rest[self.end - self.at:]
+            self.at, self.inflate = self.end, None
+            return
         while len(self.data) < self.left:
             self.left -= len(self.data)
             self.data.clear()
@@ -167,19 +230,26 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, top = _fs(self.path)
+        own = fs.get_file_info(top)
+        if own.type == pafs.FileType.File:
+            return [FilePack([own.path])]
         found = fs.get_file_info(pafs.FileSelector(top, allow_not_found=False))
+        manifests = [x for x in found if x.base_name.startswith("_manifest")]
         counted: set[str] = set()
-        for x in found:
-            if x.base_name.startswith("_manifest"):
-                with fs.open_input_stream(x.path) as s:
-                    counted.update(s.read().decode().split())
+        for x in manifests:
+            with fs.open_input_stream(x.path) as s:
+                counted.update(s.read().decode().split())
+        if not manifests:                  # not written by this source: every archive counts
+            counted = {x.base_name for x in found if x.base_name.endswith(ENDINGS)}
+            if not counted:
+                raise FileNotFoundError(f"no WARC files in {self.path}")
         packs, size = [FilePack()], 0
         for x in sorted(found, key=lambda x: x.base_name):
             if x.base_name in counted:
                 if packs[-1].files and size + x.size > self.partition_bytes:
                     packs.append(FilePack())
                     size = 0
-                packs[-1].files.append(x.base_name)
+                packs[-1].files.append(x.path)
                 size += x.size
         return packs
 
@@ -194,12 +264,12 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: FilePack) -> Iterator[pa.RecordBatch]:
-        fs, top = _fs(self.path)
+        fs, _ = _fs(self.path)
         schema = pa.schema([(c, pa.int64() if c == "payload_bytes" else pa.string()) for c in HEADERS]
                            + [("payload", pa.binary())])
         rows, held = [], 0
         for name in partition.files:
-            with fs.open_input_stream(f"{top}/{name}", compression=None) as stream:
+            with fs.open_input_file(name) as stream:
                 records = RecordStream(stream)
                 while (found := records.headers()) is not None:
                     row = {c: found.get(h.lower()) for c, h in HEADERS.items()}
@@ -240,15 +310,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(top, recursive=True)
         done, out, size = Written(), None, 0
         for batch in iterator:
-            for i in range(batch.num_rows):
-                data = record_bytes({c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)})
+            for row in batch.to_pylist():
+                data = record_bytes(row)
                 if out is None or size > self.file_bytes:
                     if out is not None:
                         out.close()
                     done.files.append(f"records-{uuid.uuid4().hex}{ENDING}")
                     out, size = fs.open_output_stream(f"{top}/{done.files[-1]}", compression=None), 0
-                pack = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                data = pack.compress(data) + pack.flush()
+                data = member(data, data.index(b"\r\n\r\n") + 4, self.level)
                 out.write(data)
                 size += len(data)
         if out is not None:
