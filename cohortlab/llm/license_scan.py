@@ -19,7 +19,7 @@ template; null if none reaches the threshold), that Dice, and all matches in ord
 
 Scale: a projection, no shuffle; the templates are a fixed table of a few notices.
 Windows are cut only in texts with one of a few words that every window of the template
-must hold one of, and their number depends on the template, not on the text.
+must hold one of, one for each dense place of the text, at most 1.5 templates long.
 
 Edge cases: null and empty texts match nothing; units of one word have no bigrams and
 match nothing; equal units of a document count once; repeated rows are scanned alike;
@@ -57,6 +57,15 @@ TEMPLATES = (
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
                 "General Public License as published by the Free Software Foundation; either version 2 of the "
                 "License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the "
+                 "License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of the "
+                 "License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are "
                      "permitted provided that the following conditions are met:"),
