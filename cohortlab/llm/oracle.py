@@ -59,7 +59,7 @@ FROM m
 
 RULE_RATIOS = (("symbols", "n_symbols", "word_chars"), ("dup_lines", "n_dup_lines", "n_lines"),
                ("repeats", "n_repeat_words", "n_words"), ("upper", "n_upper", "word_chars"), ("bangs", "n_bangs", "n_words"))
-_BIN = "CASE WHEN {b} > 0 THEN least((50 * {a} + {b} - 1) // {b}, 51) ELSE 0 END"
+_BIN = "CASE WHEN {b} > 0 THEN least((200 * {a} + {b} - 1) // {b}, 201) ELSE 0 END"
 _RATIOS = " UNION ALL ".join(
     f"SELECT rid, doc_id, lang, {i} AS place, '{r}' AS rule, {_BIN.format(a=a, b=b)} AS bin FROM counts"
     for i, (r, a, b) in enumerate(RULE_RATIOS))
@@ -87,13 +87,15 @@ WITH d AS (
   {_RATIOS}
 ), good AS (
   SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), rows_ AS (
+  SELECT rid, doc_id, lang, list(bin ORDER BY place) AS bins, list(rule ORDER BY place) AS rules FROM ratios GROUP BY rid, doc_id, lang
 ), held AS (
-  SELECT lang, rule, bin FROM ratios JOIN good USING (doc_id)
+  SELECT lang, unnest(first(rules)) AS rule, unnest(min(bins)) AS bin FROM rows_ JOIN good USING (doc_id) GROUP BY doc_id, lang
 ), families AS (
   SELECT lang, rule, count(*) AS n, count(*) OVER () AS tests FROM held GROUP BY lang, rule
 ), cuts AS (
   SELECT f.lang, f.rule, f.n, f.tests, c.cut, count(*) FILTER (WHERE h.bin > c.cut) AS k
-  FROM families f CROSS JOIN (SELECT unnest(generate_series(1, 50)) AS cut) c
+  FROM families f CROSS JOIN (SELECT unnest(generate_series(0, 200)) AS cut) c
   JOIN held h ON h.lang IS NOT DISTINCT FROM f.lang AND h.rule = f.rule
   GROUP BY f.lang, f.rule, f.n, f.tests, c.cut
 ), terms AS (
@@ -103,7 +105,7 @@ WITH d AS (
          + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE))) AS p
   FROM terms GROUP BY lang, rule, cut, tests, k, n
 ), chosen AS (
-  SELECT lang, rule, coalesce(max(cut) FILTER (WHERE k >= n * 0.01 OR p > 0.05 / tests), 0) + 1 AS cut FROM bounds GROUP BY lang, rule
+  SELECT lang, rule, coalesce(max(cut) FILTER (WHERE k >= n * 0.01 OR p > 0.05 / tests), -1) + 1 AS cut FROM bounds GROUP BY lang, rule
 ), failed AS (
   SELECT rid, string_agg(r.rule, ',' ORDER BY place) AS reasons
   FROM ratios r JOIN chosen c ON c.lang IS NOT DISTINCT FROM r.lang AND c.rule = r.rule
@@ -116,12 +118,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counts LEFT JOIN failed USING (rid)
 """
 
+# total_alpha 0.25 and delta 0.2: 0.05 of the good documents a rule
+OP5_WIDE = (OP5.replace("ln(0.01::DOUBLE)", "ln(0.05::DOUBLE)").replace("ln(0.99::DOUBLE)", "ln(0.95::DOUBLE)")
+            .replace("k >= n * 0.01 OR p > 0.05 / tests", "k >= n * 0.05 OR p > 0.2 / tests"))
+
 # -- secrets: matches and the pieces between them give the positions -----------------------
 
 _QUOTE = "[\"'']?"                       # a quote, within an SQL string
 SECRET_PATTERNS = (
     ("assign", rf"((?i:password|passwd|secret|token|api_?key)){_QUOTE}\x20*[:=]\x20*{_QUOTE}([A-Za-z0-9+/_.=-]+)"),
-    ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"), ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[\x20\x09-\x0D]+[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
     ("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"))
 
@@ -299,4 +305,5 @@ FROM folded
 """
 
 ORACLE = {"op1_mix_sources": OP1, "op2_warc_archive": OP2, "op5_quality_rules": OP5, "op9_secret_scan": OP9,
-          "op10_license_scan": OP10, "op11_source_divergence": OP11, "op13_merkle_manifest": OP13}
+          "op10_license_scan": OP10, "op11_source_divergence": OP11, "op13_merkle_manifest": OP13,
+          "quality_rules_wide": OP5_WIDE, "secret_scan_two_versions": OP9}

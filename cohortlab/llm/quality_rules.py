@@ -18,8 +18,9 @@ doc_id, and the bounds are computed on (stratum, rule, bin) counts.
 
 Edge cases: null and empty texts have no words and fail the base; a null language is
 a stratum of its own; labels without document, with null id or label are ignored; of
-repeated label rows the largest counts; repeated document rows are judged alike and
-count once per stratum as a label's document; further columns are ignored.
+repeated label rows the largest counts; repeated document rows are judged alike; of several
+rows of one id in a stratum the one with the least bins (rules in order) counts as the label's
+document; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from cohortlab.llm._spans import bound
 from cohortlab.llm._tables import stage
 from cohortlab.llm._words import WORD
 
-GRID = 50
+GRID = 200
 #: Rule -> (numerator, denominator) over the counts.
 RULES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"),
          "repeats": ("n_repeat_words", "n_words"), "upper": ("n_upper", "word_chars"),
@@ -101,21 +102,25 @@ def choose_cutoffs(counts: DataFrame, labels: DataFrame, total_alpha: float = 0.
     """(stratum, cutoffs map<rule, bin>): a rule rejects bins above its cutoff."""
     good = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
             .agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id"))
-    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), ratio_bin(r).alias("bin")) for r in RULES]))
-    held = counts.join(good, "doc_id").dropDuplicates(["doc_id", "stratum"]).select("stratum", bins.alias("x"))
+    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"row.{r}").alias("bin")) for r in RULES]))
+    # of a document's rows in a stratum the one with the least bins, rule by rule, counts
+    row = F.struct(*[ratio_bin(r).alias(r) for r in RULES])
+    firsts = counts.join(good, "doc_id").groupBy("doc_id", "stratum").agg(F.min(row).alias("row"))
+    held = firsts.select("stratum", bins.alias("x"))
     per = held.groupBy("stratum", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
     # one row per stratum and rule with its histogram (at most GRID + 2 bins)
     hist = per.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bin", "n")).alias("h"))
     strata = F.count(F.lit(1)).over(Window.partitionBy())                # rules times strata: a few rows
     tests = (hist.withColumn("tests", strata)
-             .withColumn("cut", F.explode(F.sequence(F.lit(1), F.lit(GRID))))
+             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(GRID))))
              .withColumn("k", F.aggregate("h", F.lit(0).cast("long"), lambda acc, x: acc + F.when(
                  x["bin"] > F.col("cut"), x["n"]).otherwise(0))))
     passed = binomial_at_most(F.col("k"), F.col("n"), total_alpha / len(RULES)) <= F.lit(delta) / F.col("tests")
     worst = tests.withColumn("failed", F.when(~passed, F.col("cut"))).groupBy("stratum", "rule").agg(
-        F.coalesce(F.max("failed"), F.lit(0)).alias("failed"))
-    # the mildest cutoff of all rejects what exceeds the grid; beyond it nothing is rejected
-    cut = F.when(F.col("failed") >= GRID, GRID + 1).otherwise(F.col("failed") + 1)
+        F.coalesce(F.max("failed"), F.lit(-1)).alias("failed"))
+    # cutoff 0 rejects every ratio above 0; the mildest one rejects what exceeds the grid, and
+    # beyond it (GRID + 1) nothing is rejected
+    cut = F.col("failed") + 1
     return worst.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", cut.alias("cut")))).alias("cutoffs"))
 
 

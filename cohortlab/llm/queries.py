@@ -76,7 +76,22 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(documents(spark, sf_dir))
 
 
+def quality_rules_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 with risks at which cutoffs bind in strata of a few hundred good documents."""
+    prepare(spark)
+    return quality_rules.judge(documents(spark, sf_dir), labels(spark, sf_dir), total_alpha=0.25, delta=0.2)
+
+
+def secret_scan_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 in two runs over one ledger: the documents of English, then all documents, of
+    which only blobs that the ledger does not hold are scanned; the result is that of one run."""
+    prepare(spark)
+    docs, ledger = documents(spark, sf_dir), shared_path(spark, "secrets-ledger")
+    secrets.scan_versions(docs.filter("lang = 'en'"), ledger)
+    return secrets.report(docs, ledger_path=ledger)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_sources, op2_warc_archive, op3_decontaminate, op4_toxicity_chain, op5_quality_rules, op6_quality_classifier,
     op7_personal_data, op8_ngram_jaccard_join, op9_secret_scan, op10_license_scan,
-    op11_source_divergence, op12_language_id, op13_merkle_manifest)}
+    op11_source_divergence, op12_language_id, op13_merkle_manifest, quality_rules_wide, secret_scan_two_versions)}

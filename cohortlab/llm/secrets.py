@@ -36,12 +36,15 @@ def _either_case(word: str) -> str:
 
 
 ASSIGN = ("(" + "|".join(map(_either_case, KEYWORDS)) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+#: A private key block to its END line; the BEGIN line alone where no key and END follow.
+PEM = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+       r"(?:[\x20\x09-\x0D]++[A-Za-z0-9+/=\x20\x09-\x0D]*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?")
 #: Rule -> (pattern, test of the found text); the first three are the contract's base.
 RULES = {
     "assign@1": (ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 8),
     "access@1": (r"AKIA[A-Z0-9]+", lambda m: F.length(m) >= 16),
     "hex@1": (r"[0-9a-f]{32,}+", None),
-    "pem@1": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", None),
+    "pem@2": (PEM, None),
     "github@1": (r"gh[pousr]_[A-Za-z0-9]{36,}+", None),
     "jwt@1": (r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", None),
 }
@@ -82,9 +85,10 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = R
                 .filter(F.size("todo") > 0).drop("seen"))
     texts = docs.select("doc_id", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     same = (F.col("t.blob") == F.col("s.blob")) & F.col("t.doc_id").eqNullSafe(F.col("s.first_id"))
-    return (texts.alias("t").join(todo.alias("s").hint("shuffle_hash"), same)
-            .select("t.blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
-            .dropDuplicates(["blob"]))
+    # repeated rows share both keys: one of them is scanned
+    return (texts.alias("t").join(todo.alias("s"), same).select("t.blob", "t.doc_id", "text", "todo")
+            .dropDuplicates(["blob", "doc_id"])
+            .select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings")))
 
 
 def join_findings(docs: DataFrame, ledger: DataFrame, rules: dict = RULES) -> DataFrame:
