@@ -611,6 +611,12 @@ def q_select_k_by_strength(spark, d):
     return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.5, None)
 
 
+@register("select_k_by_strength_t09")
+def q_select_k_by_strength_t09(spark, d):
+    """W5 without fallback at 0.9: null when no K is that strong."""
+    return CL.select_k(CL.summarise_sweep(S.fixed_center_sweep(spark, d)), 0.9, None)
+
+
 @register("best_fold")
 def q_best_fold(spark, d):
     m = S.fixed_center_sweep(spark, d)

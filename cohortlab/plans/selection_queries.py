@@ -71,9 +71,16 @@ def q_validation_table_fixed(spark, d):
     return rounded(MS.validation_table(sets, fixed_models(sets), 3, "internal"), *METRICS, "cross_source_ari")
 
 
-@register("k_table")
-def q_k_table(spark, d):
-    """Rows-only: the K table with a Spark ML fit for every model."""
+@register("k_table_fitted")
+def q_k_table_fitted(spark, d):
+    """The K table with a Spark ML fit for every model, and what holds for any fit: how many of
+    the ten metrics each K has, and whether each lies in its range."""
     sets = two_sets(spark, d)
     models = MS.fit_models(sets, [2, 3], consensus_reps=3, bootstrap_reps=3, gap_sets=2, restarts=1, max_iter=10)
-    return MS.selection_table(sets, models, "internal")
+    table = MS.selection_table(sets, models, "internal")
+    names = [*METRICS, "gap", "gap_se", "cross_source_ari_external"]
+    within = [F.col("silhouette").between(-1, 1), F.col("calinski_harabasz") > 0, F.col("davies_bouldin") > 0,
+              F.col("consensus_pac").between(0, 1), F.col("bootstrap_ari_mean").between(-1, 1), F.col("bootstrap_ari_sd") >= 0,
+              F.col("gap_se") >= 0, F.col("cross_source_ari_external").between(-1, 1)]
+    found = sum(F.col(c).isNotNull().cast("int") for c in names)
+    return table.select("k", (found + 1).alias("n_columns"), F.forall(F.array(*within), lambda x: x).alias("in_range"))

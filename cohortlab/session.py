@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 # Settings that matter for every job in the library.  AQE re-plans joins at
@@ -49,8 +50,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - remote sessions manage checkpoints server-side
-        return spark.conf.get("spark.checkpoint.dir", "")
+    except (PySparkAttributeError, PySparkNotImplementedError):         # a remote session has the setting or none
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if not current:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share") from None
+        return current
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
@@ -81,7 +85,7 @@ def ship_package(spark: SparkSession) -> None:
     try:
         sc = spark.sparkContext
         app = sc.applicationId
-    except Exception:  # noqa: BLE001 - remote sessions ship code differently
+    except (PySparkAttributeError, PySparkNotImplementedError):         # remote sessions ship code differently
         return
     if app in _SHIPPED:
         return

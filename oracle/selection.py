@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.roles import H, with_roles
-from oracle.sql import HS, ORACLE, R6, ari_ctes
+from oracle.sql import HS, ORACLE, R6, ari_ctes, sweep_sql
 
 _SETS = [
     ("half", f"select *, case when {HS('id', chr(39) + 'src' + chr(39))} < 0.5 then 'internal' else 'external' end as ds from vectors"),
@@ -85,3 +85,10 @@ select ds as dataset, k, {_CORE}, {R6('ambiguous / greatest(cosampled - items, 1
   {R6('bootstrap_ari_mean')} as bootstrap_ari_mean, {R6('sd1')} as bootstrap_ari_sd,
   case when ds = 'external' then {R6('cs_ari.ari')} end as cross_source_ari
 {_FROM} join cs_ari using (k) where k = 3""", _SETS)
+
+# holds for any fit: K and nine metrics, each in its range
+ORACLE["k_table_fitted"] = "select k::int as k, 10 as n_columns, true as in_range from (values (2), (3)) t(k)"
+
+ORACLE["select_k_by_strength_t09"] = sweep_sql("""select cast(bs as integer) as best_k,
+  case when bs is not null then 'prediction_strength' end as rule from (
+  select max(case when prediction_strength >= 0.9 then k end) as bs from ssum)""")
