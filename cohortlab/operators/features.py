@@ -62,6 +62,11 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
 #: Numbers of a term-side matrix (terms x columns) that are broadcast; larger ones are joined.
 MAX_BROADCAST_NUMBERS = 1 << 22
 SALTS = 16
+#: Blocks of vectors that the iteration keeps before it shrinks its space.
+BLOCKS = 8
+#: Numbers of all blocks and their images that are kept on the driver; more are kept in tables.
+MAX_DRIVER_NUMBERS = 1 << 23
+CHUNK_TERMS = 4096
 
 
 def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str) -> DataFrame:
@@ -96,25 +101,39 @@ def _gram_product(x: DataFrame, docs: DataFrame, terms: DataFrame, numbers: int)
             F.transform("vec", lambda e: e * F.col("value"))).alias("_v"))
         by_doc = left.groupBy("doc").agg(Summarizer.sum(F.col("_v")).alias("_s")).select("doc", vector_to_array("_s").alias("vec"))
         return _times_sparse(x, by_doc, "doc", "idx")
-    table = terms.select("idx", "vec").toArrow()
+    return _task_sums(docs, *_sorted_matrix(terms.select("idx", "vec").toArrow()))
+
+
+def _sorted_matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of (idx, vec) rows by id."""
     ids = np.asarray(table.column("idx"))
     order = np.argsort(ids)
-    vec = np.asarray(table.column("vec").combine_chunks().flatten()).reshape(len(ids), -1)
-    sent = x.sparkSession.sparkContext.broadcast((ids[order], vec[order]))
+    vec = table.column("vec").combine_chunks()
+    return ids[order], np.asarray(vec.flatten()).reshape(len(ids), -1)[order]
+
+
+def _own_sums(batches: Iterator[pa.RecordBatch], known: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """X'X.D of a task's documents (rows of index and value arrays), all rows of D."""
+    sums = np.zeros_like(dense)
+    for batch in batches:
+        sizes = np.asarray(pc.list_value_length(batch.column("idx"))).astype(np.int64)
+        if not sizes.sum():
+            continue
+        at = np.searchsorted(known, np.asarray(batch.column("idx").flatten()))
+        value = np.asarray(batch.column("value").flatten())[:, None]
+        full = np.flatnonzero(sizes)
+        by_doc = np.add.reduceat(value * dense[at], (np.cumsum(sizes) - sizes)[full])
+        np.add.at(sums, at, value * np.repeat(by_doc, sizes[full], axis=0))
+    return sums
+
+
+def _task_sums(docs: DataFrame, ids: np.ndarray, dense: np.ndarray) -> DataFrame:
+    """X'X.D (idx, vec) for the broadcast rows D of the ascending ``ids``; a task sends the terms it has."""
+    sent = docs.sparkSession.sparkContext.broadcast((ids, dense))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, dense = sent.value
-        sums = np.zeros_like(dense)
-        for batch in batches:
-            sizes = np.asarray(pc.list_value_length(batch.column("idx"))).astype(np.int64)
-            if not sizes.sum():
-                continue
-            at = np.searchsorted(known, np.asarray(batch.column("idx").flatten()))
-            value = np.asarray(batch.column("value").flatten())[:, None]
-            full = np.flatnonzero(sizes)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            by_doc = np.add.reduceat(value * dense[at], starts)
-            np.add.at(sums, at, value * np.repeat(by_doc, sizes[full], axis=0))
+        known, rows = sent.value
+        sums = _own_sums(batches, known, rows)
         own = np.flatnonzero(np.abs(sums).any(axis=1))
         if len(own):
             ends = pa.array(np.arange(len(own) + 1) * sums.shape[1], pa.int32())
@@ -126,6 +145,26 @@ def _gram_product(x: DataFrame, docs: DataFrame, terms: DataFrame, numbers: int)
     return total.select("idx", vector_to_array("_s").alias("vec"))
 
 
+def _whole_sums(docs: DataFrame, ids: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """The same as one matrix: tasks send runs of ``CHUNK_TERMS`` rows, each one vector."""
+    sent = docs.sparkSession.sparkContext.broadcast((ids, dense))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _own_sums(batches, *sent.value)
+        for start in range(0, len(sums), CHUNK_TERMS):
+            part = sums[start:start + CHUNK_TERMS]
+            if part.any():
+                yield pa.record_batch({"start": pa.array([start], pa.int64()), "vec": pa.array([part.ravel()], pa.list_(pa.float64()))})
+
+    parts = docs.mapInArrow(run, "start long, vec array<double>")
+    total = parts.groupBy("start").agg(Summarizer.sum(array_to_vector("vec")).alias("_s"))
+    out = np.zeros_like(dense)
+    for row in total.collect():
+        part = row["_s"].toArray().reshape(-1, dense.shape[1])
+        out[row["start"]:row["start"] + len(part)] = part
+    return out
+
+
 def _inner_products(rows: DataFrame, columns: list[str]) -> np.ndarray:
     """[A B ...]'[A B ...] of the row arrays: numpy sums per task, added on Spark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +196,71 @@ def _combined(rows: DataFrame, combos: dict[str, list[tuple[str, np.ndarray]]])
     return rows.mapInArrow(run, "idx long, " + ", ".join(f"{c} array<double>" for c in combos))
 
 
+class _DriverBlocks:
+    """Blocks of term vectors and their images under X'X as numpy matrices; the product runs on Spark."""
+
+    def __init__(self, docs: DataFrame, start: DataFrame) -> None:
+        self.docs = docs
+        self.ids, first = _sorted_matrix(start.toArrow())
+        self.blocks = {"v": first, "av": self._image(first)}
+
+    def _image(self, block: np.ndarray) -> np.ndarray:
+        return _whole_sums(self.docs, self.ids, block)
+
+    def inner_products(self, columns: list[str]) -> np.ndarray:
+        side = np.hstack([self.blocks[c] for c in columns])
+        return side.T @ side
+
+    def combined(self, combos: dict) -> dict[str, np.ndarray]:
+        return {c: sum(self.blocks[k] @ m for k, m in parts) for c, parts in combos.items()}
+
+    def advance(self, combos: dict, fresh: str) -> None:
+        self.blocks = self.combined(combos)
+        self.blocks[f"a{fresh}"] = self._image(self.blocks[fresh])
+
+    def vectors(self, spark, parts: list) -> DataFrame:
+        block = self.combined({"v": parts})["v"]
+        ends = pa.array(np.arange(len(self.ids) + 1) * block.shape[1], pa.int32())
+        return spark.createDataFrame(pa.table({"idx": self.ids, "v": pa.ListArray.from_arrays(ends, pa.array(block.ravel()))}))
+
+
+class _TableBlocks:
+    """The same as one table (idx, blocks and their images) that a round writes anew."""
+
+    def __init__(self, x: DataFrame, docs: DataFrame, start: DataFrame, numbers: int) -> None:
+        self.x, self.docs, self.numbers = x, docs, numbers
+        self.rows = self._imaged(start.withColumnRenamed("vec", "v"), "v", "av")
+
+    def _imaged(self, rows: DataFrame, column: str, image: str) -> DataFrame:
+        product = _gram_product(self.x, self.docs, rows.select("idx", F.col(column).alias("vec")), self.numbers)
+        zeros = F.transform(column, lambda _: F.lit(0.0))          # terms whose image is 0 throughout
+        return (rows.join(product.withColumnRenamed("vec", image), "idx", "left")
+                .withColumn(image, F.coalesce(image, zeros)).checkpoint(eager=True))
+
+    def inner_products(self, columns: list[str]) -> np.ndarray:
+        return _inner_products(self.rows, columns)
+
+    def advance(self, combos: dict, fresh: str) -> None:
+        self.rows = self._imaged(_combined(self.rows, combos), fresh, f"a{fresh}")
+
+    def vectors(self, spark, parts: list) -> DataFrame:
+        return _combined(self.rows, {"v": parts})
+
+
 def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, max_rounds: int = 60,
                  tolerance: float = 1e-7, seed: int = 0) -> tuple[DataFrame, list[float]]:
     """Right singular vectors V (idx, comp, v) and singular values of the sparse long
     matrix (doc, idx, value), without centring.
 
-    Block iteration on X'X in the space of the terms (locally optimal block gradients): the
-    basis of a round is the current vectors, their residuals and the last directions; its
-    inner products (a few hundred numbers on the driver) give the best vectors of that
-    space.  A round applies X'X to the residuals only and writes one table (idx, vectors and
-    their images); small factors are applied after the product, row by row.  Rounds end
-    when every residual |X'X v - s^2 v| of the first k is below ``tolerance`` x s^2.
+    Block iteration on X'X in the space of the terms: a round adds the residuals of the best
+    vectors found so far to the space; its inner products give the best vectors of the larger
+    space.  After ``BLOCKS`` rounds the space shrinks to the vectors and the directions that
+    were added last.  A round applies X'X to the residuals only, in one pass over the documents;
+    small factors are applied after the product, row by row.  Rounds end when every residual
+    |X'X v - s^2 v| of the first k is below ``tolerance`` x s^2.
+
+    The blocks (terms x (k + oversample) numbers each) stay on the driver while all of them
+    hold at most ``MAX_DRIVER_NUMBERS`` numbers, else in a table that a round writes anew.
     """
     spark = x.sparkSession
     x = x.select("doc", "idx", "value").checkpoint(eager=True)
@@ -181,24 +274,18 @@ def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, ma
         return spark.createDataFrame([], "idx long, comp int, v double"), []
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: unit_hash(
         F.concat_ws(":", F.col("idx").cast("string"), c.cast("string")), f"omega{seed}") * 2.0 - 1.0)
-    rows = terms.select(F.col("idx").cast("long").alias("idx"), start.alias("vec"))
-
-    def imaged(rows: DataFrame, column: str, image: str) -> DataFrame:
-        """``rows`` with ``image`` = X'X applied to ``column``; written."""
-        product = _gram_product(x, docs, rows.select("idx", F.col(column).alias("vec")), n_terms * width)
-        zeros = F.transform(column, lambda _: F.lit(0.0))          # terms whose image is 0 throughout
-        return (rows.join(product.withColumnRenamed("vec", image), "idx", "left")
-                .withColumn(image, F.coalesce(image, zeros)).checkpoint(eager=True))
+    start = terms.select(F.col("idx").cast("long").alias("idx"), start.alias("vec"))
+    small = 2 * BLOCKS * n_terms * width <= MAX_DRIVER_NUMBERS
+    space = _DriverBlocks(docs, start) if small else _TableBlocks(x, docs, start, n_terms * width)
 
-    rows = imaged(rows.withColumnRenamed("vec", "v"), "v", "av")
-    basis, value = ["v"], np.zeros(width)
+    basis, value, parts, last = ["v"], np.zeros(width), [np.eye(width)], [np.eye(width)]
     for rounds in range(max_rounds + 1):
-        g = _inner_products(rows, [*basis, *(f"a{c}" for c in basis)])
+        g = space.inner_products([*basis, *(f"a{c}" for c in basis)])
         n = len(g) // 2
         gram, stiff = g[:n, :n], (g[:n, n:] + g[n:, :n]) / 2
-        if rounds:      # the residuals of the current vectors are the second block
-            w = len(value)
-            apart = np.sqrt(np.diag(gram)[w:w + k])
+        if rounds:      # the newest block holds the residuals of the last vectors
+            newest = n - len(value)
+            apart = np.sqrt(np.diag(gram)[newest:newest + k])
             if rounds == max_rounds or (apart <= tolerance * np.maximum(value[:k], 1e-12 * value[0])).all():
                 break
         # an orthonormal basis of the space (directions that rounding cannot tell apart are left out) ...
@@ -209,17 +296,25 @@ def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, ma
         # ... and in it the vectors with the largest X'X
         values, best = np.linalg.eigh(ortho.T @ stiff @ ortho)
         top = np.argsort(values)[::-1][:width]
-        coef = ortho @ best[:, top]
-        new = dict(zip(basis, np.split(coef, range(len(value), n, len(value)))))
+        widths = [len(p) for p in parts]
+        parts = np.split(ortho @ best[:, top], np.cumsum(widths)[:-1])
         value = np.maximum(values[top], 0.0)
-        combos = {"v": list(new.items()), "av": [(f"a{c}", m) for c, m in new.items()]}
-        if rounds:      # the directions that were added to the old vectors
-            combos["p"] = [(c, m) for c, m in new.items() if c != "v"]
-            combos["ap"] = [(f"a{c}", m) for c, m in combos["p"]]
-        combos["r"] = combos["av"] + [(c, -m * value[None, :]) for c, m in new.items()]
-        rows = imaged(_combined(rows, combos), "r", "ar")
-        basis = ["v", "r", "p"] if rounds else ["v", "r"]
-    loads = rows.select("idx", F.posexplode("v").alias("comp", "v")).where((F.col("comp") < k) & (F.col("v") != 0.0))
+        new = list(zip(basis, parts))
+        image = [(f"a{c}", m) for c, m in new]
+        residual = image + [(c, -m * value[None, :]) for c, m in new]
+        if len(basis) < BLOCKS:     # the space grows by the residuals
+            kept = [*basis, *(f"a{c}" for c in basis)]
+            combos = {c: [(c, np.eye(w))] for c, w in zip(kept, widths * 2)}
+            fresh, last = f"r{len(basis)}", parts
+            basis, widths = [*basis, fresh], [*widths, len(value)]
+        else:                       # it shrinks to the vectors and the directions that were added last
+            combos = {"v": new, "av": image, "p": new[1:], "ap": image[1:]}
+            fresh, last = "r", [np.eye(len(value)), np.zeros((len(value),) * 2)]
+            basis, widths = ["v", "p", "r"], [len(value)] * 3
+        space.advance(combos | {fresh: residual}, fresh)
+        parts = [np.zeros((w, 0)) for w in widths]
+    vectors = space.vectors(spark, list(zip(basis, last)))
+    loads = vectors.select("idx", F.posexplode("v").alias("comp", "v")).where((F.col("comp") < k) & (F.col("v") != 0.0))
     return loads.select("idx", F.col("comp").cast("int"), "v"), [float(s) for s in np.sqrt(value[:k])]
 
 

@@ -27,9 +27,12 @@ FULL, SUBSAMPLE, BOOTSTRAP, GAP_OBSERVED, GAP_REFERENCE = "full", "subsample", "
 
 def fit_models(datasets: dict[str, DataFrame], ks: list[int], consensus_reps: int = 30, consensus_frac: float = 0.8,
                bootstrap_reps: int = 20, bootstrap_frac: float = 0.8, gap_sets: int = 10, restarts: int = 10,
-               max_iter: int = 300, seed: int = 0, id_col: str = "id", features: str = "features") -> DataFrame:
+               max_iter: int = 300, seed: int = 0, id_col: str = "id", features: str = "features",
+               targets: tuple[str, ...] = ()) -> DataFrame:
     """The models table of ``datasets`` (name -> rows of id and features) for every K.
 
+    ``targets`` names the sets that only serve as targets of transferred labels: they get
+    their whole-set models and no repetitions.
     Subsamples and resamples are weights on one persisted set of vectors.  A part with no
     repetitions (``consensus_reps=0``, ...) is left out, and its columns are null later.
     """
@@ -43,6 +46,8 @@ def fit_models(datasets: dict[str, DataFrame], ks: list[int], consensus_reps: in
         x = df.select(id_col, features)
         whole = CL.kmeans_fits(x, ks, features, restarts, max_iter, seed)
         add(name, FULL, [(0, m) for m in whole.values()])
+        if name in targets:
+            continue
         weighted = []
         if consensus_reps:
             weighted.append((SUBSAMPLE, consensus_reps, CL.subsample_weights(x, consensus_reps, consensus_frac, id_col, f"sub{seed}")))

@@ -536,17 +536,20 @@ def q_svd_invariants(spark, d):
     (part ``dot``), and |X'Xv - s^2 v| is below 1e-6 s^2 for every component (part ``residual``, 1)."""
     tr, _, _, loads, sv = _svd(spark, d)
     image = FE._times_sparse(tr, FE.project(tr, loads, len(sv)).withColumnRenamed("features", "vec"), "doc", "idx")
-    v = loads.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
-    comps = range(len(sv))
-    at = lambda i: F.coalesce(F.try_element_at("m", F.lit(i)), F.lit(0.0))
-    off = lambda i: F.pow(F.get("vec", F.lit(i)) - F.lit(sv[i] ** 2) * at(i), F.lit(2))
-    row = image.join(v, "idx", "left").agg(
-        *[F.sum(at(i) * at(j)).alias(f"dot_{i}_{j}") for i in comps for j in comps if i <= j],
-        *[(F.sqrt(F.sum(off(i))) <= F.lit(1e-6 * sv[i] ** 2)).cast("double").alias(f"residual_{i}_{i}") for i in comps])
-    long = row.unpivot([], row.columns, "name", "value")
-    name = F.split("name", "_")
-    return rounded(long.select(name[0].alias("part"), name[1].cast("int").alias("i"), name[2].cast("int").alias("j"),
-                               F.abs("value").alias("value")), "value")
+    zero = F.lit(0.0)
+    by_term = loads.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
+    rows = image.join(by_term, "idx", "left").select("vec", F.transform(
+        F.sequence(F.lit(0), F.lit(len(sv) - 1)), lambda c: F.coalesce(F.try_element_at("m", c), zero)).alias("own"))
+    rows = rows.checkpoint(eager=True)
+    dots = rows.select("own", F.posexplode("own").alias("i", "a")).select("i", "a", F.posexplode("own").alias("j", "b"))
+    dots = dots.where("i <= j").groupBy("i", "j").agg(F.abs(F.sum(F.col("a") * F.col("b"))).alias("value"))
+    squares = F.array(*[F.lit(s * s) for s in sv])
+    off = rows.select(F.posexplode(F.arrays_zip("vec", "own", squares.alias("s2"))).alias("i", "x"))
+    apart = off.groupBy("i").agg(F.sqrt(F.sum(F.pow(F.col("x.vec") - F.col("x.s2") * F.col("x.own"), F.lit(2)))).alias("apart"),
+                                 F.first("x.s2").alias("s2"))
+    within = apart.select(F.lit("residual").alias("part"), "i", F.col("i").alias("j"),
+                          (F.col("apart") <= 1e-6 * F.col("s2")).cast("double").alias("value"))
+    return rounded(dots.select(F.lit("dot").alias("part"), "i", "j", "value").unionByName(within), "value")
 
 
 @register("kmeans_labels")

@@ -174,9 +174,11 @@ def test_ranking_loss_in_tiles(spark):
 
 # -- SVD ------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("numbers", [1 << 22, 0], ids=["broadcast", "joined"])
-def test_svd_converges(spark, monkeypatch, numbers):
-    monkeypatch.setattr(FE, "MAX_BROADCAST_NUMBERS", numbers)
+@pytest.mark.parametrize("sent, kept", [(1 << 22, 1 << 23), (1 << 22, 0), (0, 0)], ids=["driver", "broadcast", "joined"])
+def test_svd_converges(spark, monkeypatch, sent, kept):
+    monkeypatch.setattr(FE, "MAX_BROADCAST_NUMBERS", sent)
+    monkeypatch.setattr(FE, "MAX_DRIVER_NUMBERS", kept)
+    monkeypatch.setattr(FE, "BLOCKS", 3)              # so that the space shrinks at least once
     rng = np.random.default_rng(0)
     rows = [(d, i * 3, float(rng.random())) for d in range(60) for i in range(30) if rng.random() < 0.3 or i == 0]
     x = np.zeros((60, 90))
