@@ -323,7 +323,9 @@ def source_divergence(docs: DataFrame, min_docs: int = MIN_DOCS, shard_terms: in
     """(lang, source, part, item, value, rank): parts ``pair`` (all other sources of the
     language) and ``term`` (the ten kept terms furthest above the language)."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    shards = stage(term_shards(kept_terms(texts, min_docs), shard_terms), "divergence-shards")
+    # written first: both sides of the join in term_shards read it
+    kept = stage(kept_terms(texts, min_docs), "divergence-terms")
+    shards = stage(term_shards(kept, shard_terms), "divergence-shards")
     counts = slot_counts(texts, shards, broadcast_bytes)
     groups = texts.select("lang", "source").distinct()
     tiles = tile_rows(groups, counts, shards, tile_sources).groupBy("lang", "shard", "ti", "tj")
