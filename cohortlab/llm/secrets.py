@@ -85,10 +85,10 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: dict = R
                 .filter(F.size("todo") > 0).drop("seen"))
     texts = docs.select("doc_id", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     same = (F.col("t.blob") == F.col("s.blob")) & F.col("t.doc_id").eqNullSafe(F.col("s.first_id"))
-    # repeated rows share both keys: one of them is scanned
-    return (texts.alias("t").join(todo.alias("s"), same).select("t.blob", "t.doc_id", "text", "todo")
-            .dropDuplicates(["blob", "doc_id"])
-            .select("blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings")))
+    # of repeated rows each is scanned where it stands: their findings are smaller to move than their texts
+    return (texts.alias("t").join(todo.alias("s"), same)
+            .select("t.blob", F.col("todo").alias("rules"), scan(F.col("text"), F.col("todo"), rules).alias("findings"))
+            .dropDuplicates(["blob"]))
 
 
 def join_findings(docs: DataFrame, ledger: DataFrame, rules: dict = RULES) -> DataFrame:
