@@ -10,17 +10,20 @@ loading table and a grouped sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlab.functions.hashing import unit_hash
 from cohortlab.operators.sequences import SPECIAL_TOKENS
+from cohortlab.plans.materialize import remove_stage
+from cohortlab.session import ensure_checkpoint_dir
 
 
 def term_counts(tokens: DataFrame, vocab: DataFrame, doc_col: str = "patid",
@@ -59,57 +62,45 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
 
 # -- truncated SVD ---------------------------------------------------------------------------
 
-#: Numbers of a term-side matrix (terms x columns) that are broadcast; larger ones are joined.
+#: Numbers of one block of vectors (terms x columns) that are broadcast; larger ones stay in tables.
 MAX_BROADCAST_NUMBERS = 1 << 22
-SALTS = 16
 #: Blocks of vectors that the iteration keeps before it shrinks its space.
 BLOCKS = 8
 #: Numbers of all blocks and their images that are kept on the driver; more are kept in tables.
 MAX_DRIVER_NUMBERS = 1 << 23
 CHUNK_TERMS = 4096
+#: Cells (non-zeros) of the documents that one task multiplies at a time when blocks are in tables.
+PART_CELLS = 1 << 17
 
 
-def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str) -> DataFrame:
+def _times_sparse(x: DataFrame, dense: DataFrame, on: str, out_key: str, width: int) -> DataFrame:
     """sum over ``on`` of value * vec: (out_key, vec array) - X.D (on=idx) or X'.D (on=doc).
 
-    ``dense`` is (on, vec array<double>); the product is a join plus a
-    grouped ``Summarizer.sum`` (partial aggregation on the JVM).
+    ``dense`` is (on, vec array<double> of ``width``); the product is a join plus a grouped
+    sum per component (partial aggregation, one short row per non-zero).
     """
-    j = x.join(dense, on)
-    v = array_to_vector(F.transform("vec", lambda e: e * F.col("value")))
-    s = j.select(out_key, v.alias("_v")).groupBy(out_key).agg(Summarizer.sum(F.col("_v")).alias("_s"))
-    return s.select(out_key, vector_to_array("_s").alias("vec"))
+    cells = x.join(dense, on).select(out_key, "value", "vec")
+    sums = [F.sum(F.get("vec", F.lit(c)) * F.col("value")).alias(f"_s{c}") for c in range(width)]
+    return cells.groupBy(out_key).agg(*sums).select(out_key, F.array(*[f"_s{c}" for c in range(width)]).alias("vec"))
 
 
-def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+def _matrix(batch: pa.RecordBatch | pa.Table, column: str) -> np.ndarray:
     values = batch.column(column)
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
     return np.asarray(values.flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
 
 
-def _gram_product(x: DataFrame, docs: DataFrame, terms: DataFrame, numbers: int) -> DataFrame:
-    """X'X.D for the term rows (idx, vec) of D: (idx, vec).
-
-    While D has at most ``MAX_BROADCAST_NUMBERS`` numbers it is broadcast: a task multiplies
-    its documents (rows ``docs`` of index and value arrays) by D and the result by their
-    transpose, and sends one sum per term, so no term is a hot key.  A larger D is joined on
-    salted term ids, then the document sums on doc.
-    """
-    if numbers > MAX_BROADCAST_NUMBERS:
-        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        cells = x.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
-        left = cells.join(salted, ["idx", "_salt"]).select("doc", array_to_vector(
-            F.transform("vec", lambda e: e * F.col("value"))).alias("_v"))
-        by_doc = left.groupBy("doc").agg(Summarizer.sum(F.col("_v")).alias("_s")).select("doc", vector_to_array("_s").alias("vec"))
-        return _times_sparse(x, by_doc, "doc", "idx")
-    return _task_sums(docs, *_sorted_matrix(terms.select("idx", "vec").toArrow()))
+def _arrays(block: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as Arrow lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * block.shape[1], pa.int32()), pa.array(block.ravel()))
 
 
 def _sorted_matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(ids, matrix) of (idx, vec) rows by id."""
     ids = np.asarray(table.column("idx"))
     order = np.argsort(ids)
-    vec = table.column("vec").combine_chunks()
-    return ids[order], np.asarray(vec.flatten()).reshape(len(ids), -1)[order]
+    return ids[order], _matrix(table, "vec")[order]
 
 
 def _own_sums(batches: Iterator[pa.RecordBatch], known: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -127,26 +118,9 @@ def _own_sums(batches: Iterator[pa.RecordBatch], known: np.ndarray, dense: np.nd
     return sums
 
 
-def _task_sums(docs: DataFrame, ids: np.ndarray, dense: np.ndarray) -> DataFrame:
-    """X'X.D (idx, vec) for the broadcast rows D of the ascending ``ids``; a task sends the terms it has."""
-    sent = docs.sparkSession.sparkContext.broadcast((ids, dense))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rows = sent.value
-        sums = _own_sums(batches, known, rows)
-        own = np.flatnonzero(np.abs(sums).any(axis=1))
-        if len(own):
-            ends = pa.array(np.arange(len(own) + 1) * sums.shape[1], pa.int32())
-            yield pa.record_batch({"idx": pa.array(known[own], pa.int64()),
-                                   "vec": pa.ListArray.from_arrays(ends, pa.array(sums[own].ravel()))})
-
-    parts = docs.mapInArrow(run, "idx long, vec array<double>")
-    total = parts.groupBy("idx").agg(Summarizer.sum(array_to_vector("vec")).alias("_s"))
-    return total.select("idx", vector_to_array("_s").alias("vec"))
-
-
 def _whole_sums(docs: DataFrame, ids: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    """The same as one matrix: tasks send runs of ``CHUNK_TERMS`` rows, each one vector."""
+    """X'X.D for the broadcast rows D of the ascending ``ids``, as one matrix: tasks send runs
+    of ``CHUNK_TERMS`` rows, each one vector."""
     sent = docs.sparkSession.sparkContext.broadcast((ids, dense))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,177 +139,249 @@ def _whole_sums(docs: DataFrame, ids: np.ndarray, dense: np.ndarray) -> np.ndarr
     return out
 
 
-def _inner_products(rows: DataFrame, columns: list[str]) -> np.ndarray:
-    """[A B ...]'[A B ...] of the row arrays: numpy sums per task, added on Spark."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0.0
-        for batch in batches:
-            if batch.num_rows:
-                side = np.hstack([_matrix(batch, c) for c in columns])
-                total = total + side.T @ side
-        if not np.isscalar(total):
-            yield pa.record_batch({"g": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
-
-    parts = rows.select(*columns).mapInArrow(run, "g array<double>")
-    total = np.asarray(parts.agg(Summarizer.sum(array_to_vector("g")).alias("s")).first()["s"].toArray())
-    width = int(round(total.size ** 0.5))
-    return total.reshape(width, width)
-
-
-def _combined(rows: DataFrame, combos: dict[str, list[tuple[str, np.ndarray]]]) -> DataFrame:
-    """(idx, new columns): each a sum of old column arrays times small matrices (map only)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"idx": batch.column("idx")}
-            for name, parts in combos.items():
-                made = sum(_matrix(batch, c) @ m for c, m in parts) if batch.num_rows else np.zeros((0, 1))
-                ends = pa.array(np.arange(batch.num_rows + 1) * made.shape[1], pa.int32())
-                out[name] = pa.ListArray.from_arrays(ends, pa.array(made.ravel()))
-            yield pa.record_batch(out)
-
-    return rows.mapInArrow(run, "idx long, " + ", ".join(f"{c} array<double>" for c in combos))
-
-
 class _DriverBlocks:
     """Blocks of term vectors and their images under X'X as numpy matrices; the product runs on Spark."""
 
-    def __init__(self, docs: DataFrame, start: DataFrame) -> None:
-        self.docs = docs
-        self.ids, first = _sorted_matrix(start.toArrow())
-        self.blocks = {"v": first, "av": self._image(first)}
+    def __init__(self, x: DataFrame, start: Column) -> None:
+        self.docs = (x.groupBy("doc").agg(F.collect_list(F.struct("idx", "value")).alias("t"))
+                     .select(F.col("t.idx").alias("idx"), F.col("t.value").alias("value")).checkpoint(eager=True))
+        self.ids, first = _sorted_matrix(x.select("idx").distinct().select("idx", start.alias("vec")).toArrow())
+        self.blocks = [(first, _whole_sums(self.docs, self.ids, first))]
 
-    def _image(self, block: np.ndarray) -> np.ndarray:
-        return _whole_sums(self.docs, self.ids, block)
+    def _combined(self, m: np.ndarray, side: int) -> np.ndarray:
+        return np.hstack([b[side] for b in self.blocks]) @ m
 
-    def inner_products(self, columns: list[str]) -> np.ndarray:
-        side = np.hstack([self.blocks[c] for c in columns])
-        return side.T @ side
+    def newest_products(self) -> np.ndarray:
+        return np.hstack([v for v, _ in self.blocks]).T @ np.hstack(self.blocks[-1])
 
-    def combined(self, combos: dict) -> dict[str, np.ndarray]:
-        return {c: sum(self.blocks[k] @ m for k, m in parts) for c, parts in combos.items()}
+    def extend(self, m: np.ndarray, value: np.ndarray) -> None:
+        fresh = self._combined(m, 1) - self._combined(m, 0) * value
+        self.blocks.append((fresh, _whole_sums(self.docs, self.ids, fresh)))
 
-    def advance(self, combos: dict, fresh: str) -> None:
-        self.blocks = self.combined(combos)
-        self.blocks[f"a{fresh}"] = self._image(self.blocks[fresh])
+    def shrink(self, m: np.ndarray) -> None:
+        self.blocks = [(self._combined(m, 0), self._combined(m, 1))]
 
-    def vectors(self, spark, parts: list) -> DataFrame:
-        block = self.combined({"v": parts})["v"]
-        ends = pa.array(np.arange(len(self.ids) + 1) * block.shape[1], pa.int32())
-        return spark.createDataFrame(pa.table({"idx": self.ids, "v": pa.ListArray.from_arrays(ends, pa.array(block.ravel()))}))
+    def vectors(self, spark: SparkSession, m: np.ndarray) -> DataFrame:
+        return spark.createDataFrame(pa.table({"idx": self.ids, "v": _arrays(self._combined(m, 0))}))
 
+    def close(self) -> None:
+        pass
 
-class _TableBlocks:
-    """The same as one table (idx, blocks and their images) that a round writes anew."""
 
-    def __init__(self, x: DataFrame, docs: DataFrame, start: DataFrame, numbers: int) -> None:
-        self.x, self.docs, self.numbers = x, docs, numbers
-        self.rows = self._imaged(start.withColumnRenamed("vec", "v"), "v", "av")
+def _packed(cells: pa.Table) -> pa.Table:
+    """The cells (p, doc, idx, value) of one part as one row: its terms, each cell's place among
+    them and document, and the values."""
+    term, at = np.unique(np.asarray(cells.column("idx")), return_inverse=True)
+    doc = pc.dictionary_encode(cells.column("doc").combine_chunks(), null_encoding="encode").indices
+    row = {"p": cells.column("p").slice(0, 1).combine_chunks()}
+    for name, values in (("term", pa.array(term, pa.int64())), ("at", pa.array(at, pa.int32())),
+                         ("row", doc.cast(pa.int32())), ("value", cells.column("value").combine_chunks())):
+        row[name] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.table(row)
+
 
-    def _imaged(self, rows: DataFrame, column: str, image: str) -> DataFrame:
-        product = _gram_product(self.x, self.docs, rows.select("idx", F.col(column).alias("vec")), self.numbers)
-        zeros = F.transform(column, lambda _: F.lit(0.0))          # terms whose image is 0 throughout
-        return (rows.join(product.withColumnRenamed("vec", image), "idx", "left")
-                .withColumn(image, F.coalesce(image, zeros)).checkpoint(eager=True))
+def _part_products(docs: pa.Table, rows: pa.Table) -> pa.Table:
+    """X'X.D of the documents of one part (a row of :func:`_packed`) and the rows of D that it
+    needs; rows whose home is this part come back in ``own``."""
+    term, at, row, value = (np.asarray(docs.column(c).combine_chunks().flatten()) for c in ("term", "at", "row", "value"))
+    dense = np.empty((len(term), len(rows.column("vec")[0])))
+    place = np.searchsorted(term, np.asarray(rows.column("idx")))
+    dense[place] = _matrix(rows, "vec")
+    image = np.empty_like(dense)
+    for c in range(dense.shape[1]):
+        by_doc = np.bincount(row, weights=value * dense[at, c])
+        image[:, c] = np.bincount(at, weights=value * by_doc[row], minlength=len(term))
+    home = pc.equal(rows.column("home").combine_chunks(), True)
+    own = pc.if_else(home, rows.column("vec").combine_chunks(), pa.scalar(None, pa.list_(pa.float64())))
+    return pa.table({"idx": rows.column("idx").combine_chunks(), "own": own, "image": _arrays(image[place])})
 
-    def inner_products(self, columns: list[str]) -> np.ndarray:
-        return _inner_products(self.rows, columns)
 
-    def advance(self, combos: dict, fresh: str) -> None:
-        self.rows = self._imaged(_combined(self.rows, combos), fresh, f"a{fresh}")
+class _TableBlocks:
+    """The same as tables (idx, v, av) of one block each, bucketed on the term.
+
+    A block and its image are written once; all passes over them join the tables bucket by
+    bucket, without a shuffle.  The documents stand in parts of about ``PART_CELLS`` cells.  A
+    product sends each row of a block to the parts that have its term, and adds what they send back.
+    """
 
-    def vectors(self, spark, parts: list) -> DataFrame:
-        return _combined(self.rows, {"v": parts})
+    def __init__(self, x: DataFrame, start: Column, cells: int) -> None:
+        parts = -(-cells // PART_CELLS)
+        self.spark, self.made = x.sparkSession, []
+        self.buckets = min(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        x = x.select(F.pmod(F.xxhash64("doc"), F.lit(parts)).cast("int").alias("p"), "doc", "idx", "value")
+        packed = x.groupBy("p").applyInArrow(_packed, "p int, term array<long>, at array<int>, row array<int>, value array<double>")
+        self.docs = self._written(packed.repartition(self.buckets, "p"), "p")
+        terms = x.select("idx", "p").distinct().repartition(self.buckets, "idx").groupBy("idx").agg(F.collect_list("p").alias("parts"))
+        self.terms = self._written(terms, "idx")
+        self.blocks, self.widths = [], []
+        first = self.terms.select("idx", "parts", start.alias("vec"))
+        self._append(first, len(first.first()["vec"]))
+
+    def _written(self, rows: DataFrame, key: str) -> DataFrame:
+        """``rows``, dealt by ``key`` into the buckets, as a table of their own."""
+        name = f"svd_{uuid4().hex}"
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/{name}"
+        rows.write.bucketBy(self.buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+        self.made.append((name, path))
+        return self.spark.table(name)
+
+    def _append(self, rows: DataFrame, width: int) -> None:
+        """Write the block (idx, parts, vec) and its image."""
+        sent = rows.select("idx", "vec", F.posexplode("parts").alias("home", "p")).withColumn("home", F.col("home") == 0)
+        found = self.docs.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
+            _part_products, "idx long, own array<double>, image array<double>")
+        sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("own", "image") for i in range(width)]
+        total = found.repartition(self.buckets, "idx").groupBy("idx").agg(*sums)
+        side = lambda c: F.array(*[f"{c}{i}" for i in range(width)])
+        self.blocks.append(self._written(total.select("idx", side("own").alias("v"), side("image").alias("av")), "idx"))
+        self.widths.append(width)
+
+    def _rows(self) -> DataFrame:
+        rows = self.terms
+        for j, block in enumerate(self.blocks):     # buckets meet in place; no table is small enough to be sent around
+            rows = rows.join(block.withColumnsRenamed({"v": f"v{j}", "av": f"av{j}"}).hint("merge"), "idx")
+        return rows
+
+    def _combined(self, columns: dict[str, dict[str, np.ndarray]], kept: str = "") -> DataFrame:
+        """(idx, kept, new columns): each a sum of block columns times small matrices (map only)."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    out = {c: batch.column(c) for c in ("idx", kept) if c}
+                    for name, parts in columns.items():
+                        out[name] = _arrays(sum(_matrix(batch, c) @ m for c, m in parts.items()))
+                    yield pa.record_batch(out)
+
+        shape = ["idx long", *([f"{kept} array<int>"] if kept else []), *(f"{c} array<double>" for c in columns)]
+        return self._rows().mapInArrow(run, ", ".join(shape))
+
+    def _split(self, m: np.ndarray, side: str) -> dict[str, np.ndarray]:
+        return {f"{side}{j}": part for j, part in enumerate(np.split(m, np.cumsum(self.widths)[:-1]))}
+
+    def newest_products(self) -> np.ndarray:
+        old, new = [f"v{j}" for j in range(len(self.blocks))], [f"{c}{len(self.blocks) - 1}" for c in ("v", "av")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = 0.0
+            for batch in batches:
+                if batch.num_rows:
+                    total = total + np.hstack([_matrix(batch, c) for c in old]).T @ np.hstack([_matrix(batch, c) for c in new])
+            if not np.isscalar(total):
+                yield pa.record_batch({"g": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+        sums = self._rows().select(*{*old, *new}).mapInArrow(run, "g array<double>")
+        total = sums.agg(Summarizer.sum(array_to_vector("g")).alias("s")).first()["s"].toArray()
+        return np.asarray(total).reshape(sum(self.widths), -1)
+
+    def extend(self, m: np.ndarray, value: np.ndarray) -> None:
+        fresh = self._split(m, "av") | self._split(-m * value, "v")
+        self._append(self._combined({"vec": fresh}, "parts"), len(value))
+
+    def shrink(self, m: np.ndarray) -> None:
+        rows = self._combined({"v": self._split(m, "v"), "av": self._split(m, "av")})
+        block, old = self._written(rows.repartition(self.buckets, "idx"), "idx"), self.made[2:]
+        self.blocks, self.widths, self.made = [block], [m.shape[1]], [*self.made[:2], self.made[-1]]
+        self._remove([t for t in old if t not in self.made])
+
+    def vectors(self, spark: SparkSession, m: np.ndarray) -> DataFrame:
+        return self._combined({"v": self._split(m, "v")})
+
+    def _remove(self, tables: list[tuple[str, str]]) -> None:
+        for name, path in tables:
+            remove_stage(self.spark, name, path)
+
+    def close(self) -> None:
+        self._remove(self.made)
 
 
 def svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10, max_rounds: int = 60,
-                 tolerance: float = 1e-7, seed: int = 0) -> tuple[DataFrame, list[float]]:
+                 tolerance: float = 1e-7, seed: int = 0, all_residuals: bool = False) -> tuple[DataFrame, list[float]]:
     """Right singular vectors V (idx, comp, v) and singular values of the sparse long
     matrix (doc, idx, value), without centring.
 
     Block iteration on X'X in the space of the terms: a round adds the residuals of the best
     vectors found so far to the space; its inner products give the best vectors of the larger
-    space.  After ``BLOCKS`` rounds the space shrinks to the vectors and the directions that
-    were added last.  A round applies X'X to the residuals only, in one pass over the documents;
-    small factors are applied after the product, row by row.  Rounds end when every residual
-    |X'X v - s^2 v| of the first k is below ``tolerance`` x s^2.
-
-    The blocks (terms x (k + oversample) numbers each) stay on the driver while all of them
-    hold at most ``MAX_DRIVER_NUMBERS`` numbers, else in a table that a round writes anew.
+    space.  After ``BLOCKS`` rounds the space shrinks to the k + oversample best vectors and the
+    directions that were added last.  A round applies X'X to the residuals only, in one pass over
+    the documents; of the first k it takes those that were not below the tolerance before (or with
+    ``all_residuals`` those of all k + oversample vectors).  Rounds end when every residual
+    |X'X v - s^2 v| of the first k is below ``tolerance`` x s^2 in one and the same round.
+
+    The blocks (terms x (k + oversample) numbers at most) stay on the driver while all of them
+    hold at most ``MAX_DRIVER_NUMBERS`` numbers, else each is a table that is written once.
     """
     spark = x.sparkSession
-    x = x.select("doc", "idx", "value").checkpoint(eager=True)
-    docs = (x.groupBy("doc").agg(F.collect_list(F.struct("idx", "value")).alias("t"))
-            .select(F.col("t.idx").cast("array<long>").alias("idx"), F.col("t.value").cast("array<double>").alias("value"))
-            .checkpoint(eager=True))
-    terms = x.select("idx").distinct()
-    n_terms = terms.count()
-    width = min(k + oversample, n_terms)
+    x = x.select("doc", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")).checkpoint(eager=True)
+    size = x.agg(F.count_distinct("idx").alias("terms"), F.count(F.lit(1)).alias("cells")).first()
+    width = min(k + oversample, size["terms"])
     if not width:
         return spark.createDataFrame([], "idx long, comp int, v double"), []
     start = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: unit_hash(
         F.concat_ws(":", F.col("idx").cast("string"), c.cast("string")), f"omega{seed}") * 2.0 - 1.0)
-    start = terms.select(F.col("idx").cast("long").alias("idx"), start.alias("vec"))
-    small = 2 * BLOCKS * n_terms * width <= MAX_DRIVER_NUMBERS
-    space = _DriverBlocks(docs, start) if small else _TableBlocks(x, docs, start, n_terms * width)
-
-    basis, value, parts, last = ["v"], np.zeros(width), [np.eye(width)], [np.eye(width)]
+    block = size["terms"] * width
+    small = block <= MAX_BROADCAST_NUMBERS and 2 * BLOCKS * block <= MAX_DRIVER_NUMBERS
+    space = _DriverBlocks(x, start) if small else _TableBlocks(x, start, size["cells"])
+
+    blocks, k = 1, min(k, width)
+    every = np.arange(width if all_residuals else k)
+    gram, stiff = np.split(space.newest_products(), 2, axis=1)
+    value, last, taken = np.zeros(width), np.eye(width), every
     for rounds in range(max_rounds + 1):
-        g = space.inner_products([*basis, *(f"a{c}" for c in basis)])
-        n = len(g) // 2
-        gram, stiff = g[:n, :n], (g[:n, n:] + g[n:, :n]) / 2
         if rounds:      # the newest block holds the residuals of the last vectors
-            newest = n - len(value)
-            apart = np.sqrt(np.diag(gram)[newest:newest + k])
-            if rounds == max_rounds or (apart <= tolerance * np.maximum(value[:k], 1e-12 * value[0])).all():
+            apart = np.sqrt(np.diag(gram)[len(gram) - len(taken):])
+            far = (taken < k) & (apart > tolerance * np.maximum(value[taken], 1e-12 * value[0]))
+            if rounds == max_rounds or (len(taken) == len(every) and not far.any()):
                 break
+            taken = taken[far] if far.any() and not all_residuals else every
         # an orthonormal basis of the space (directions that rounding cannot tell apart are left out) ...
         scale = 1.0 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
-        size, turn = np.linalg.eigh(gram * scale[:, None] * scale[None, :])
-        keep = size > 1e-12 * size.max()
-        ortho = scale[:, None] * turn[:, keep] / np.sqrt(size[keep])
+        sizes, turn = np.linalg.eigh(gram * scale[:, None] * scale[None, :])
+        keep = sizes > 1e-12 * sizes.max()
+        ortho = scale[:, None] * turn[:, keep] / np.sqrt(sizes[keep])
         # ... and in it the vectors with the largest X'X
-        values, best = np.linalg.eigh(ortho.T @ stiff @ ortho)
+        values, best = np.linalg.eigh(ortho.T @ ((stiff + stiff.T) / 2) @ ortho)
         top = np.argsort(values)[::-1][:width]
-        widths = [len(p) for p in parts]
-        parts = np.split(ortho @ best[:, top], np.cumsum(widths)[:-1])
-        value = np.maximum(values[top], 0.0)
-        new = list(zip(basis, parts))
-        image = [(f"a{c}", m) for c, m in new]
-        residual = image + [(c, -m * value[None, :]) for c, m in new]
-        if len(basis) < BLOCKS:     # the space grows by the residuals
-            kept = [*basis, *(f"a{c}" for c in basis)]
-            combos = {c: [(c, np.eye(w))] for c, w in zip(kept, widths * 2)}
-            fresh, last = f"r{len(basis)}", parts
-            basis, widths = [*basis, fresh], [*widths, len(value)]
-        else:                       # it shrinks to the vectors and the directions that were added last
-            combos = {"v": new, "av": image, "p": new[1:], "ap": image[1:]}
-            fresh, last = "r", [np.eye(len(value)), np.zeros((len(value),) * 2)]
-            basis, widths = ["v", "p", "r"], [len(value)] * 3
-        space.advance(combos | {fresh: residual}, fresh)
-        parts = [np.zeros((w, 0)) for w in widths]
-    vectors = space.vectors(spark, list(zip(basis, last)))
+        value, last = np.maximum(values[top], 0.0), ortho @ best[:, top]
+        if blocks == BLOCKS:        # the space shrinks to the vectors and the directions that were added last
+            added = last[:, :len(every)].copy()
+            added[:width] = 0.0
+            space.shrink(np.hstack([last, added]))
+            gram, stiff = np.split(space.newest_products(), 2, axis=1)
+            blocks, last = 1, np.eye(len(gram), width)
+        space.extend(last[:, taken], value[taken])      # it grows by the residuals
+        blocks += 1
+        fresh, image = np.split(space.newest_products(), 2, axis=1)
+        n = len(gram)
+        gram = np.block([[gram, fresh[:n]], [fresh[:n].T, fresh[n:]]])
+        stiff = np.block([[stiff, image[:n]], [image[:n].T, image[n:]]])
+        last = np.vstack([last, np.zeros((len(taken), width))])
+    vectors = space.vectors(spark, last)
     loads = vectors.select("idx", F.posexplode("v").alias("comp", "v")).where((F.col("comp") < k) & (F.col("v") != 0.0))
-    return loads.select("idx", F.col("comp").cast("int"), "v"), [float(s) for s in np.sqrt(value[:k])]
+    loads = loads.select("idx", F.col("comp").cast("int"), "v")
+    if not small:
+        loads = loads.checkpoint(eager=True)
+    space.close()
+    return loads, [float(s) for s in np.sqrt(value[:k])]
 
 
 def randomized_svd_loadings(x: DataFrame, n_features: int, k: int, oversample: int = 10,
                             power_iters: int = 5, seed: int = 0) -> tuple[DataFrame, list[float]]:
     """:func:`svd_loadings` with at most ``power_iters`` rounds, converged or not."""
-    return svd_loadings(x, n_features, k, oversample, power_iters, seed=seed)
+    return svd_loadings(x, n_features, k, oversample, power_iters, seed=seed, all_residuals=True)
 
 
 def project(x: DataFrame, loadings: DataFrame, k: int) -> DataFrame:
     """X.V for sparse rows: (doc, features array<double> of length k).
 
     Loadings become one k-vector per term; each non-zero contributes
-    value * V[idx] and the per-document sum is a ``Summarizer.sum``
+    value * V[idx] and the per-document sum is one sum per component
     (one shuffled row per non-zero, partial aggregation).
     """
     wide = (loadings.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
                     .select("idx", F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                                                lambda c: F.coalesce(F.try_element_at(F.col("m"), c), F.lit(0.0)))
                             .alias("vec")))
-    return _times_sparse(x, wide, "idx", "doc").withColumnRenamed("vec", "features")
+    return _times_sparse(x, wide, "idx", "doc", k).withColumnRenamed("vec", "features")
 
 
 def mean_pool(tokens: DataFrame, token_vectors: DataFrame, doc_col: str = "patid",

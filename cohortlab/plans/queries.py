@@ -535,7 +535,7 @@ def q_svd_invariants(spark, d):
     """What every truncated SVD of the training documents has in common: V'V is the identity
     (part ``dot``), and |X'Xv - s^2 v| is below 1e-6 s^2 for every component (part ``residual``, 1)."""
     tr, _, _, loads, sv = _svd(spark, d)
-    image = FE._times_sparse(tr, FE.project(tr, loads, len(sv)).withColumnRenamed("features", "vec"), "doc", "idx")
+    image = FE._times_sparse(tr, FE.project(tr, loads, len(sv)).withColumnRenamed("features", "vec"), "doc", "idx", len(sv))
     zero = F.lit(0.0)
     by_term = loads.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("comp", "v"))).alias("m"))
     rows = image.join(by_term, "idx", "left").select("vec", F.transform(
