@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -44,7 +45,8 @@ MAX_BROADCAST_NUMBERS = 1 << 22     # 32 MB of centroids
 MAX_CENTERS = 10_000          # bound on the centers of one broadcast row (k)
 MAX_LABELS = 4096             # of each side in the contingency table of best_mapping
 TILE_ROWS = 8192              # distinct rows of each side that meet in one pairwise task
-CHUNK_ROWS = 512              # query rows of a tile whose distances are held at a time
+CHUNK_NUMBERS = 1 << 19       # pairs of a tile whose distances or counts are held at a time (4 MB of doubles)
+NEAR_NUMBERS = 1 << 19        # numbers of the vector differences that are held at a time
 
 
 # -- centers and assignment -------------------------------------------------------------
@@ -354,21 +356,36 @@ def silhouette_squared(df: DataFrame, label: str = "label", features: str = "fea
     return x.groupBy(*keys).agg(F.avg(s).alias("silhouette_squared"))
 
 
-def _distance_sums(rows: pd.DataFrame, features: str) -> np.ndarray:
+def _chunks(queries: int, refs: int) -> Iterator[slice]:
+    """Runs of query rows that make at most ``CHUNK_NUMBERS`` pairs with the references."""
+    step = max(1, CHUNK_NUMBERS // max(1, refs))
+    return (slice(start, start + step) for start in range(0, queries, step))
+
+
+def _vectors(rows: pa.Table, column: str) -> np.ndarray:
+    """The vectors of an Arrow list column as a matrix, without an object per row."""
+    values = rows.column(column).combine_chunks()
+    if values.null_count:
+        raise ValueError("a row has no vector")
+    return np.asarray(values.flatten(), float).reshape(rows.num_rows, -1)
+
+
+def _distance_sums(ref: np.ndarray, weight: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Weighted sum of the distances of each query row of a tile to its references."""
-    matrix = lambda part: np.stack(part[features].map(np.asarray).to_numpy()).astype(float)
-    ref, weight, query = matrix(rows[~rows["_q"]]), rows.loc[~rows["_q"], "_w"].to_numpy(float), matrix(rows[rows["_q"]])
     norm, sums = (ref * ref).sum(axis=1), np.empty(len(query))
-    for start in range(0, len(query), CHUNK_ROWS):
-        q = query[start:start + CHUNK_ROWS]
+    step = max(1, NEAR_NUMBERS // ref.shape[1])
+    for part in _chunks(len(query), len(ref)):
+        q = query[part]
         own = (q * q).sum(axis=1)[:, None]
-        d2 = own + norm[None, :] - 2.0 * q @ ref.T
+        d2 = q @ ref.T
+        d2 *= -2.0
+        d2 += own + norm[None, :]
         # the expanded square leaves rounding noise near distance 0: those pairs are taken from the differences
         i, j = np.nonzero(d2 < 1e-9 * (1.0 + own))
-        for at in range(0, len(i), 1 << 16):
-            near = slice(at, at + (1 << 16))
+        for at in range(0, len(i), step):
+            near = slice(at, at + step)
             d2[i[near], j[near]] = ((q[i[near]] - ref[j[near]]) ** 2).sum(axis=1)
-        sums[start:start + CHUNK_ROWS] = np.sqrt(np.maximum(d2, 0.0)) @ weight
+        sums[part] = np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2) @ weight
     return sums
 
 
@@ -410,11 +427,15 @@ def _distinct_silhouettes(rows: DataFrame, label: str, features: str, keys: list
     kind = dict(points.dtypes)
     shape = ", ".join([f"`{k}` {kind[k]}" for k in keys] + [f"_p long, _c {kind['_l']}, _d double"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = rows.loc[rows["_q"], [*keys, "_p", "_c"]]
-        return found.assign(_d=_distance_sums(rows, "_v") if len(found) < len(rows) else 0.0)
+    def run(rows: pa.Table) -> pa.Table:
+        asking = rows.column("_q")
+        found, there = rows.filter(asking), rows.filter(pc.invert(asking))
+        sums = np.zeros(found.num_rows)
+        if found.num_rows and there.num_rows:
+            sums = _distance_sums(_vectors(there, "_v"), np.asarray(there.column("_w"), float), _vectors(found, "_v"))
+        return found.select([*keys, "_p", "_c"]).append_column("_d", pa.array(sums))
 
-    sums = (query.unionByName(ref).groupBy(*tile).applyInPandas(run, shape)
+    sums = (query.unionByName(ref).groupBy(*tile).applyInArrow(run, shape)
             .groupBy(*keys, "_p", "_c").agg(F.sum("_d").alias("_d")))
     sizes = points.groupBy(*keys, F.col("_l").alias("_c")).agg(F.sum("_w").alias("_n"))
     sums = sums.join(sizes, [*keys, "_c"]).groupBy(*keys, "_p").agg(F.collect_list(F.struct("_c", "_n", "_d")).alias("_sums"))
@@ -527,14 +548,14 @@ def pac_of_signatures(sigs: DataFrame, denominator: str = "all", low: float = 0.
         i, j = tile.column("_i")[0].as_py(), tile.column("_j")[0].as_py()
         query, ref = np.flatnonzero(b == i), np.flatnonzero(b == j)
         ambiguous = cosampled = 0
-        there = (codes[ref] >= 0).astype(np.float32).T
-        for start in range(0, len(query), CHUNK_ROWS):
-            q = query[start:start + CHUNK_ROWS]
+        there, ref_codes = (codes[ref] >= 0).astype(np.float32).T, np.ascontiguousarray(codes[ref].T)
+        for part in _chunks(len(query), len(ref)):
+            q = query[part]
             both = ((codes[q] >= 0).astype(np.float32) @ there).astype(np.int32)
             same = np.zeros_like(both)
             for r in range(codes.shape[1]):
                 own_label = codes[q, r][:, None]
-                same += (own_label == codes[ref, r][None, :]) & (own_label >= 0)
+                same += (own_label == ref_codes[r][None, :]) & (own_label >= 0)
             consensus = np.where(both > 0, same / np.maximum(both, 1), 0.0)
             pairs = w[q][:, None] * (w[ref][None, :] - (p[q][:, None] == p[ref][None, :]))
             pairs = pairs * (1 if i == j else 2)               # (i, j) and (j, i)
