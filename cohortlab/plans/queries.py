@@ -514,6 +514,9 @@ def q_idf(spark, d):
     return rounded(idf, "idf")
 
 
+COMPONENTS = 300
+
+
 def _svd(spark, d, k=8):
     tr, te, ex, vocab, _ = S.tfidf_split(spark, d)
     n_feat = vocab.agg(F.max("idx")).first()[0] + 1
@@ -523,9 +526,10 @@ def _svd(spark, d, k=8):
 
 @register("svd_project")
 def q_svd_project(spark, d):
-    """Rows-only (signs of singular vectors are arbitrary): test docs in SVD space."""
-    _, te, _, loads, _ = _svd(spark, d)
-    p = FE.project(te, loads, 8)
+    """Rows-only (signs of singular vectors are arbitrary): test docs in the SVD space of M11, 300
+    components (zeros for those that the training documents do not have)."""
+    _, te, _, loads, _ = _svd(spark, d, COMPONENTS)
+    p = FE.project(te, loads, COMPONENTS)
     return p.select("doc", F.size("features").alias("dims"),
                     F.sqrt(F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"))
 
